@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, secrets
+from . import chat, html_extract, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,22 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chain = toxicity.fit_corpus(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).withColumn("toxic", toxicity.is_toxic())
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op3_packing": op3_packing,
     "op5_chat": op5_chat,
     "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {}
