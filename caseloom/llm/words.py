@@ -124,9 +124,9 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         np.add.at(step, hi, -1)
         keep = np.cumsum(step[:-1]) > 0
     for k in np.flatnonzero((count > 0) & ~long):
-        value = np.uint64(count[k])
-        for w in h[first[k] : first[k] + count[k]]:
-            value = value * np.uint64(0xD6E8FEB86659FD93) + w
+        value = int(count[k])
+        for w in h[first[k] : first[k] + count[k]].tolist():
+            value = (value * 0xD6E8FEB86659FD93 + w) & _MASK
         rolled[first[k]] = mix(np.array([value], dtype=np.uint64))[0]
         keep[first[k]] = True
     return rolled[keep], made
