@@ -32,8 +32,10 @@ from .words import Words, chunks, mix, split_words
 MIN_WORDS = 50
 #: Words of a run, and runs in a window of which one is kept.
 RUN, WINDOW = 8, 16
-#: Neighbours compared on each side, in either order.
+#: Neighbours of other documents compared on each side, in either order.
 NEAR = 2
+#: Rows carried from one batch of sorted suffixes to the next.
+CARRY = 64
 
 _SUFFIXES = "head long, right binary, doc_id long, pos int, left binary"
 _SPANS = "doc_id long, start int, stop int, other long, edge binary"
@@ -157,6 +159,21 @@ def _common(x: np.ndarray, nx: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.n
     return np.minimum(reach, np.minimum(nx[a], nx[b]))
 
 
+def _near_pairs(doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each row with the nearest row before and after it of another document, and those with the next such rows."""
+    n = len(doc)
+    edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    run = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]).astype(np.int64)]))
+    starts, ends = edge, np.concatenate([edge[1:], [n]]) - 1
+    pairs = []
+    for step in range(1, NEAR + 1):
+        ahead = np.flatnonzero(run + step < len(starts))
+        pairs.append((ahead, starts[run[ahead] + step]))
+        behind = np.flatnonzero(run >= step)
+        pairs.append((ends[run[behind] - step], behind))
+    return [(a[doc[a] != doc[b]], b[doc[a] != doc[b]]) for a, b in pairs]
+
+
 def compare_neighbours(head, right, doc, pos, left, min_words: int) -> list[tuple[np.ndarray, ...]]:
     """Spans (doc, start, stop, other) of matches between neighbours of sorted suffixes."""
     n = len(head)
@@ -168,9 +185,9 @@ def compare_neighbours(head, right, doc, pos, left, min_words: int) -> list[tupl
         words = np.ascontiguousarray(lft.astype(">u4")).view(f"S{max(1, 4 * lft.shape[1])}").ravel() if lft.shape[1] else np.zeros(n, "S1")
         orders.append(np.lexsort((words, head)))
     for order in orders:
-        for step in range(1, NEAR + 1):
-            a, b = order[: n - step], order[step:]
-            ok = (head[a] == head[b]) & (doc[a] != doc[b])
+        for a, b in _near_pairs(doc[order]):
+            a, b = order[a], order[b]
+            ok = head[a] == head[b]
             a, b = a[ok], b[ok]
             if not len(a):
                 continue
@@ -207,17 +224,17 @@ def raw_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
             if not rows:
                 continue
-            if len(opening) < NEAR:
-                opening += rows[: NEAR - len(opening)]
-            last = (last + rows)[-NEAR:]
+            if len(opening) < CARRY:
+                opening += rows[: CARRY - len(opening)]
+            last = (last + rows)[-CARRY:]
             both = carry + rows
             seen += len(rows)
             made = _span_batch(_compare_rows(both, min_words))
             if made is not None:
                 yield made
-            carry = both[-NEAR:]
+            carry = both[-CARRY:]
         if seen:
-            ends = pickle.dumps((opening, last if seen > NEAR else []))
+            ends = pickle.dumps((opening, last if seen > CARRY else []))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([None], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())] + [pa.array([ends], pa.binary())],
                 names=["doc_id", "start", "stop", "other", "edge"],
