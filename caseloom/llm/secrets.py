@@ -73,7 +73,7 @@ def spans_text(hits: Column) -> Column:
 
 
 def find_candidates(docs: DataFrame, id_col="doc_id", text_col="text", repo_col="source", owner_col="source") -> DataFrame:
-    """Per row of ``docs``: row_id, id, repo, owner, base hits and generic hits, in order of start."""
+    """Per row of ``docs``: row_id, id, key of id and text, repo, owner, base hits and generic hits, in order of start."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     base = F.array_sort(
         F.concat(
@@ -90,11 +90,13 @@ def find_candidates(docs: DataFrame, id_col="doc_id", text_col="text", repo_col=
             F.col(text_col).alias("_text"),
             F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("_repo"),
             F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"),
+            F.xxhash64(id_col, text_col).alias("_row_key"),
         )
-        .select("row_id", "_id", "_repo", "_owner", base.alias("_base"), _hits(text, GENERIC, 3, 0, mixed).alias("_generic"))
+        .select("row_id", "_id", "_row_key", "_repo", "_owner", base.alias("_base"), _hits(text, GENERIC, 3, 0, mixed).alias("_generic"))
         .select(
             "row_id",
             "_id",
+            "_row_key",
             "_repo",
             "_owner",
             _hashed(F.col("_base")).alias("_base"),
@@ -168,3 +170,57 @@ def secret_digest(docs: DataFrame) -> DataFrame:
         "n_owned",
         "n_copied",
     )
+
+
+def mask_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+    """``docs`` with secrets in ``text`` replaced by ``[kind]``; all columns stay.
+
+    Base spans are masked unless more than ``max_owners`` owners hold the same
+    value, which makes it a copied example; generic spans are masked where they
+    are owner-specific. Where spans overlap they are masked as one, by the kind
+    of the first. ``n_chars`` is counted anew where it is present.
+    """
+    columns = docs.columns
+    marked = "array<struct<start:int,rank:int,end:int>>"
+    found = cut(find_candidates(docs), "secrets")
+    counted = ownership(found).where(F.col("n_owners") <= max_owners).select("digest")
+    owned = (
+        found.select("_row_key", F.explode(F.concat("_base", "_generic")).alias("h"))
+        .select("_row_key", F.struct("h.start", "h.rank", "h.end").alias("span"), F.col("h.digest").alias("digest"))
+        .join(counted, "digest", "left_semi")
+        .groupBy("_row_key")
+        .agg(F.array_sort(F.collect_set("span")).alias("_spans"))
+    )
+    # Spans grow from left to right; one that starts inside the last one only widens it.
+    joined = F.aggregate(
+        "_spans",
+        F.array().cast(marked),
+        lambda done, x: F.when(
+            (F.size(done) > 0) & (x["start"] < F.element_at(done, -1)["end"]),
+            F.concat(
+                F.slice(done, F.lit(1), F.size(done) - 1),
+                F.array(
+                    F.struct(
+                        F.element_at(done, -1)["start"].alias("start"),
+                        F.element_at(done, -1)["rank"].alias("rank"),
+                        F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"),
+                    )
+                ),
+            ).cast(marked),
+        ).otherwise(F.concat(done, F.array(x)).cast(marked)),
+    )
+    kind = F.array(*[F.lit(f"[{k}]") for k in KINDS])
+    pieces = F.aggregate(
+        F.col("_joined"),
+        F.struct(F.lit("").alias("made"), F.lit(0).alias("at")),
+        lambda acc, x: F.struct(
+            F.concat(acc["made"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.get(kind, x["rank"])).alias("made"),
+            x["end"].alias("at"),
+        ),
+    )
+    out = docs.withColumn("_row_key", F.xxhash64("doc_id", "text")).join(owned, "_row_key", "left").withColumn("_joined", joined).withColumn("_made", pieces)
+    whole = F.concat(F.col("_made.made"), F.substring(F.col("text"), F.col("_made.at") + 1, F.char_length("text")))
+    out = out.withColumn("text", F.when(F.col("_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(whole))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*columns)

@@ -324,7 +324,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` without the passages that repeat an earlier document.
 
-    A document left without words goes; all columns stay, ``n_chars`` is counted
+    Rows that share an id are taken for one document: its spans apply to each,
+    as far as it reaches. A document left without words goes; all columns stay, ``n_chars`` is counted
     anew where it is present. Rows without spans are untouched.
     """
     columns = docs.columns
@@ -340,6 +341,8 @@ def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 words = split_words([text])
                 keep = np.ones(len(text) + 1, bool)
                 for span in ranges:
+                    if span["start"] >= len(words.start):
+                        continue
                     stop = words.start[span["stop"]] if span["stop"] < len(words.start) else len(text)
                     keep[words.start[span["start"]] : stop] = False
                 texts.append(np.frombuffer(text, np.uint8)[keep[:-1]].tobytes().strip())

@@ -200,7 +200,7 @@ def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataF
         table[(model.features & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         for batch in batches:
             probs = np.zeros((batch.num_rows, len(model.names)))
-            texts = _binary(batch.column(0))
+            texts = _binary(batch.column(place))
             for first, owner, key in text_features(texts):
                 n = min(len(texts) - first, int(owner.max(initial=-1)) + 1)
                 hit = table[(key & np.uint64((1 << 20) - 1)).astype(np.int64)]
@@ -213,11 +213,13 @@ def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataF
             empty = np.fromiter((not t or not t.strip() for t in texts), bool, len(texts))
             if empty.any():
                 probs[empty] = model.probabilities(1, np.empty(0, np.int64), np.empty(0, np.int64))[0]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(probs[:, c]) for c in range(len(names))]], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(probs[:, c]) for c in range(len(names))]], names=[*keep, *names])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{c}` double" for c in names])
-    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_scored_text"), *keep).mapInArrow(run, schema)
+    sent_columns = keep if "text" in keep else [*keep, "text"]
+    place = sent_columns.index("text")
+    return docs.select(*sent_columns).mapInArrow(run, schema)
 
 
 #: Categories of the labelled tables, in chain order: 0/1 columns made from quality and toxic.
