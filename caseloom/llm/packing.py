@@ -13,57 +13,32 @@ rows are packed once each. A null id is carried through.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .token_ids import encoder
+
 LENGTH = 2048
 #: Documents in a group, on average. FFD wastes under one bin a group.
 GROUP_DOCS = 4096
-CACHE_WORDS = 400_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-def chunk_encoder(path: str, end_id: int) -> Callable[[str | None], bytes]:
-    """Text to its ids as little-endian uint32 bytes, closed by ``end_id``.
-
-    The tokenizer drops white space and splits at it, so what stands between
-    two ASCII blanks or newlines is encoded on its own and remembered.
-    """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
-    closing = end_id.to_bytes(4, "little")
-
-    def encode(text: str | None) -> bytes:
-        parts = (text or "").replace("\n", " ").split(" ")
-        new = [p for p in set(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(parts))
-            for part, ids in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[part] = np.array(ids.ids, dtype="<u4").tobytes()
-        return b"".join([known[p] for p in parts]) + closing
-
-    return encode
-
-
 def cut_documents(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH) -> DataFrame:
     """Pieces of every document: full sequences and a remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_encoder(path, end_id)
+        tokens, closing = encoder(path), end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text)
+            for doc_id, numbers in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).cast(pa.binary()).to_pylist())):
+                ids = numbers.astype("<u4").tobytes() + closing
                 total = len(ids) // 4
                 for start in range(0, total, length):
                     piece = ids[4 * start : 4 * (start + length)]
