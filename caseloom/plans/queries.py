@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signature, text
-from ..operators import contradictions, dedup, ids, merge, report
+from ..operators import audit, contradictions, dedup, ids, keys, merge, report
 from . import views
 from .views import CASES_SQL, FEEDBACK_SQL, OPTIONS_SQL, TELEMETRY_SQL
 
@@ -390,3 +390,235 @@ def _(s, d):
 )
 def _(s, d):
     return views.cases(s, d).select("case_id", text.difficulty("question").alias("difficulty"))
+
+
+# Raw rows for the key checks: the options of a case under another id, with a shifted key for every seventh.
+RAW_SQL = """fp_v AS (SELECT case_id, array_to_string(list_sort(list(substring(trim(lower(option_text)), 1, 30))), '|') AS fp FROM options_v GROUP BY case_id),
+  raw_v AS (SELECT CASE WHEN o.case_id % 5 = 0 THEN o.case_id END AS case_id, fp, option_text AS answer, o.case_id AS pos FROM options_v o JOIN fp_v USING (case_id)
+    WHERE slot - 1 = CASE WHEN o.case_id % 7 = 0 THEN (o.case_id + 1) % 4 ELSE o.case_id % 4 END)"""
+KEYS = (CASES_SQL, OPTIONS_SQL, RAW_SQL)
+
+
+def raw_rows(s, d):
+    """(bank fingerprints, options, raw rows)"""
+    o = views.options(views.cases(s, d))
+    bank = keys.fingerprints(o)
+    i = F.col("case_id")
+    shown = F.when(i % 7 == 0, (i + 1) % 4).otherwise(i % 4)
+    raw = o.join(bank, "case_id").where(F.col("slot") - 1 == shown).select(F.when(i % 5 == 0, i).alias("case_id"), "fp", F.col("option_text").alias("answer"), i.alias("pos"))
+    return bank, o, raw
+
+
+@query(
+    "JN01_match_raw",
+    """SELECT f.case_id, coalesce(i.a, p.a) AS answer, CASE WHEN i.a IS NOT NULL THEN 'id' WHEN p.a IS NOT NULL THEN 'options' ELSE 'none' END AS how FROM fp_v f
+    LEFT JOIN (SELECT case_id, arg_max(answer, pos) AS a FROM raw_v WHERE case_id IS NOT NULL GROUP BY case_id) i USING (case_id)
+    LEFT JOIN (SELECT fp, arg_max(answer, pos) AS a FROM raw_v WHERE fp <> '' GROUP BY fp) p USING (fp)""",
+    KEYS,
+)
+def _(s, d):
+    bank, _o, raw = raw_rows(s, d)
+    return keys.match_raw(bank, raw)
+
+
+@query(
+    "JN02_heal_keys",
+    f"""SELECT case_id, action, CASE WHEN action = 'heal' THEN new_key END AS new_key FROM (SELECT f.case_id, new_key, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' WHEN regexp_matches(answer, '^(all|none) of the above$') THEN 'all_of_above'
+      WHEN new_key IS NULL THEN 'absent' WHEN already THEN 'keep' ELSE 'heal' END AS action
+    FROM fp_v f LEFT JOIN (SELECT fp, count(DISTINCT {NORM.format('answer')}) AS n, min({NORM.format('answer')}) AS answer FROM raw_v GROUP BY fp) r USING (fp)
+    LEFT JOIN (SELECT case_id, min(option_id) AS new_key, bool_or(is_correct) AS already FROM options_v JOIN fp_v USING (case_id)
+      JOIN (SELECT fp, min({NORM.format('answer')}) AS answer FROM raw_v GROUP BY fp HAVING count(DISTINCT {NORM.format('answer')}) = 1) x USING (fp)
+      WHERE {NORM.format('option_text')} = answer GROUP BY case_id) k ON k.case_id = f.case_id)""",
+    KEYS,
+)
+def _(s, d):
+    return keys.heal_keys(*raw_rows(s, d))
+
+
+@query("JN03_anchor_map", "SELECT fp, min(answer) AS answer, count(DISTINCT answer) > 1 AS ambiguous FROM raw_v GROUP BY fp", KEYS)
+def _(s, d):
+    return keys.anchor_map(raw_rows(s, d)[2])
+
+
+@query(
+    "JN06_anchor_fuzzy",
+    f"""SELECT case_id, option_id, d1 AS distance FROM (SELECT case_id, arg_min(option_id, rn) AS option_id, min(d) AS d1, coalesce(max(d) FILTER (rn = 2), 99) AS d2 FROM (
+      SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY d, slot) AS rn FROM (SELECT o.case_id, option_id, slot, levenshtein({ALNUM.format('option_text')}, {ALNUM.format('anchor')}) AS d
+        FROM options_v o JOIN (SELECT case_id, substring(option_text, 2, 60) AS anchor FROM options_v WHERE is_correct) a USING (case_id)))
+      WHERE rn <= 2 GROUP BY case_id) WHERE (d1 = 0 AND d2 > 0) OR (d1 <= 2 AND d2 - d1 >= 2)""",
+    BOTH,
+)
+def _(s, d):
+    o = views.options(views.cases(s, d))
+    anchors = o.where("is_correct").select("case_id", text.alnum(F.substring("option_text", 2, 60)).alias("anchor"))
+    return keys.anchor_fuzzy(o.withColumn("option_text", text.alnum("option_text")), anchors)
+
+
+@query("JN07_any_key", "SELECT case_id, key, patch FROM (SELECT case_id, unnest([CAST(case_id AS VARCHAR), 'h' || case_id]) AS key FROM cases_v) JOIN (SELECT CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'h' || doc_id END AS key, quality AS patch FROM labels) USING (key)")
+def _(s, d):
+    c = views.cases(s, d).select("case_id", F.concat(F.lit("h"), "case_id").alias("hash_id"), F.lit(None).cast("string").alias("case_code"))
+    i = F.col("doc_id")
+    patches = views.table(s, d, "labels").select(F.when(i % 2 == 0, i.cast("string")).otherwise(F.concat(F.lit("h"), i)).alias("key"), F.col("quality").alias("patch"))
+    return keys.join_any_key(c, patches)
+
+
+@query("JN08_apply_manifest", "SELECT case_id, source FROM cases_v WHERE case_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def _(s, d):
+    return keys.apply_manifest(views.cases(s, d), views.table(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("case_id"))).select("case_id", "source")
+
+
+@query(
+    "JN09_reverse_lookup",
+    f"""SELECT case_id, option_id, arg_min(word, ix) AS word, array_to_string(arg_min(categories, ix), ',') AS categories FROM (
+      SELECT w.case_id, option_id, ix, word, categories FROM (SELECT case_id, option_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS ix FROM (SELECT case_id, option_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS ws FROM (
+        SELECT case_id, option_id, list_filter(string_split({NORM.format('option_text')}, ' '), lambda x: length(x) >= 7) AS l FROM options_v WHERE NOT is_correct))) w
+      JOIN (SELECT word, list_sort(list(DISTINCT category))[1:2] AS categories, min(case_id) AS lo, max(case_id) AS hi FROM (SELECT case_id, unnest(list_filter(string_split({NORM.format('option_text')}, ' '), lambda x: length(x) >= 7)) AS word FROM options_v WHERE is_correct)
+        JOIN cases_v USING (case_id) GROUP BY word) r USING (word) WHERE lo <> w.case_id OR hi <> w.case_id) GROUP BY case_id, option_id""",
+    BOTH,
+)
+def _(s, d):
+    c = views.cases(s, d)
+    return keys.reverse_lookup(views.options(c), c)
+
+
+@query("JN10_backfill", "SELECT a.case_id, coalesce(nullif(t, ''), b.title) AS title FROM (SELECT case_id, CASE WHEN case_id % 3 = 0 THEN '' ELSE title END AS t FROM cases_v) a JOIN cases_v b USING (case_id)")
+def _(s, d):
+    c = views.cases(s, d).select("case_id", "title")
+    holes = c.withColumn("title", F.when(F.col("case_id") % 3 == 0, "").otherwise(F.col("title")))
+    return keys.backfill(holes, c, "case_id", ["title"])
+
+
+@query(
+    "JN13_zip_ranked",
+    "SELECT case_id, page_id FROM (SELECT case_id, row_number() OVER (ORDER BY case_id) AS r FROM cases_v WHERE needs_review) JOIN (SELECT page_id, row_number() OVER (ORDER BY page_id) AS r FROM pages) USING (r)",
+)
+def _(s, d):
+    return keys.zip_ranked(views.cases(s, d).where("needs_review").select("case_id"), views.table(s, d, "pages").select("page_id"), ["case_id"], ["page_id"])
+
+
+@query(
+    "AG22_key_crosscheck",
+    f"""SELECT count(*) AS checked, count(*) FILTER (own = {NORM.format('answer')}) AS equal FROM (SELECT f.case_id, coalesce(i.a, p.a) AS answer FROM fp_v f
+    LEFT JOIN (SELECT case_id, arg_max(answer, pos) AS a FROM raw_v WHERE case_id IS NOT NULL GROUP BY case_id) i USING (case_id)
+    LEFT JOIN (SELECT fp, arg_max(answer, pos) AS a FROM raw_v WHERE fp <> '' GROUP BY fp) p USING (fp)) JOIN (SELECT case_id, min({NORM.format('option_text')}) AS own FROM options_v WHERE is_correct GROUP BY case_id) USING (case_id) WHERE answer IS NOT NULL""",
+    KEYS,
+)
+def _(s, d):
+    bank, _o, raw = raw_rows(s, d)
+    return keys.key_crosscheck(keys.match_raw(bank, raw), answers(s, d))
+
+
+LANGS = ["en", "de", "fr"]
+AGG_OPTS = f"""agg_v AS (SELECT c.*, coalesce(n, 0) AS n_options, coalesce(nr, 0) AS n_right, coalesce(nd, 0) AS n_distinct, coalesce(nl, 0) AS n_lower, coalesce(longest, 0) AS longest, coalesce(first_right, '') AS first_right, mean_wrong, nw, absolute, poison FROM cases_v c LEFT JOIN (
+    SELECT case_id, count(*) AS n, count(*) FILTER (is_correct) AS nr, count(DISTINCT {NORM.format('option_text')}) AS nd, count(DISTINCT lower(option_text)) AS nl, max(length(option_text)) AS longest,
+    min(option_text) FILTER (is_correct) AS first_right, avg(length(option_text)) FILTER (NOT is_correct) AS mean_wrong, count(*) FILTER (NOT is_correct) AS nw,
+    bool_or(NOT is_correct AND regexp_matches(lower(option_text), '\\b(always|never|all|none)\\b')) AS absolute,
+    bool_or(regexp_matches(lower(option_text), '(all|none) of the above|both [a-d] and [a-d]')) AS poison FROM options_v GROUP BY case_id) o USING (case_id))"""
+
+
+def checks_sql(layer, checks):
+    return " UNION ALL ".join(f"SELECT case_id, '{layer}' AS layer, '{c}' AS code, '{sv}' AS severity FROM agg_v WHERE {p}" for c, sv, p in checks)
+
+
+A_CHECKS = [
+    ("few_options", "critical", "n_options < 2"), ("no_correct", "critical", "n_right = 0"), ("multi_correct", "high", "n_right > 1"), ("empty_question", "critical", "trim(question) = ''"),
+    ("same_options", "medium", "n_distinct < n_options"), ("brackets", "low", "length(regexp_replace(question, '[^(]', '', 'g')) <> length(regexp_replace(question, '[^)]', '', 'g'))"),
+    ("trailing_stop_word", "low", "regexp_matches(lower(trim(question)), '\\b(the|a|an|of|and|or|with|to|in)$')"), ("no_terminal", "low", "trim(question) <> '' AND NOT regexp_matches(trim(question), '[.?!:]$')"),
+    ("bad_category", "medium", "category NOT IN ('en', 'de', 'fr')"),
+]
+S_CHECKS = [
+    ("length_bias", "medium", "nw > 0 AND n_right > 0 AND length(first_right) > 1.8 * mean_wrong"), ("absolutes_wrong", "low", "absolute"), ("shuffle_poison", "high", "poison"),
+    ("negation", "low", "regexp_matches(lower(question), '\\b(except|not|false)\\b')"),
+]
+AUDIT = (CASES_SQL, OPTIONS_SQL, AGG_OPTS)
+
+
+@query("QA01_structure", checks_sql("A", A_CHECKS), AUDIT)
+def _(s, d):
+    return audit.audit_structure(views.cases_with_options(s, d), LANGS)
+
+
+@query("QA02_answers")
+def _(s, d):
+    return audit.audit_answers(views.cases_with_options(s, d))
+
+
+@query("QA15_screening", checks_sql("S", S_CHECKS), AUDIT)
+def _(s, d):
+    return audit.screening(views.cases_with_options(s, d))
+
+
+@query("QA10_topic_drift")
+def _(s, d):
+    return audit.topic_drift(views.cases_with_options(s, d))
+
+
+BUCKETS = {"hash_run": "#{2,}", "star_run": "[*]{2,}", "number": "[0-9]{4,}", "mail": "[a-z0-9.]+@[a-z0-9.]+"}
+
+
+@query(
+    "QA19_text_artifacts",
+    " UNION ALL ".join(
+        f"SELECT case_id, '{f}' AS field, '{b}' AS bucket, regexp_extract({f}, '{p}') AS found FROM cases_v WHERE regexp_extract({f}, '{p}') <> ''" for f in ("title", "narrative", "rationale") for b, p in BUCKETS.items()
+    ),
+)
+def _(s, d):
+    return audit.text_artifacts(views.cases(s, d), ["title", "narrative", "rationale"], BUCKETS)
+
+
+@query(
+    "AG04_issue_report",
+    " UNION ALL ".join(f"SELECT '{c}' AS dimension, {c} AS value, count(*) AS n FROM ({checks_sql('A', A_CHECKS)} UNION ALL {checks_sql('S', S_CHECKS)}) GROUP BY {c}" for c in ("severity", "layer", "code")),
+    AUDIT,
+)
+def _(s, d):
+    c = views.cases_with_options(s, d)
+    return audit.issue_report(audit.audit_structure(c, LANGS).unionByName(audit.screening(c)))
+
+
+@query(
+    "SE01_manifest",
+    f"SELECT case_id, arg_min(code, layer || code) AS code, count(*) AS n_issues FROM ({checks_sql('A', A_CHECKS)} UNION ALL {checks_sql('S', S_CHECKS)}) WHERE severity = 'critical' OR code IN ('same_options', 'length_bias') GROUP BY case_id",
+    AUDIT,
+)
+def _(s, d):
+    c = views.cases_with_options(s, d)
+    return audit.build_manifest(audit.audit_structure(c, LANGS).unionByName(audit.screening(c)), ["same_options", "length_bias"])
+
+
+@query("SE03_release", "SELECT case_id, status AS code FROM cases_v WHERE quarantined AND case_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def _(s, d):
+    held = views.cases(s, d).where("quarantined").select("case_id", F.col("status").alias("code"))
+    return audit.release(held, views.table(s, d, "labels").where("quality = 0").select(F.col("doc_id").alias("case_id")))
+
+
+@query("SE04_extend_manifest", "SELECT case_id, 'held' AS code FROM cases_v WHERE quarantined UNION ALL SELECT case_id, 'cut' FROM cases_v WHERE truncated AND NOT quarantined")
+def _(s, d):
+    c = views.cases(s, d)
+    return audit.extend_manifest(c.where("quarantined").select("case_id", F.lit("held").alias("code")), c.where("truncated").select("case_id", F.lit("cut").alias("code")))
+
+
+@query(
+    "SE02_union_queues",
+    """SELECT case_id, max(priority) AS priority, list_sort(list(DISTINCT reason)) AS reasons FROM (SELECT case_id, 3 AS priority, 'review' AS reason FROM cases_v WHERE needs_review
+    UNION ALL SELECT case_id, difficulty, 'cut' FROM cases_v WHERE truncated UNION ALL SELECT case_id, difficulty, 'any' FROM cases_v WHERE truncated) GROUP BY case_id""",
+)
+def _(s, d):
+    c = views.cases(s, d)
+    a = c.where("needs_review").select("case_id", F.lit(3).alias("priority"), F.array(F.lit("review")).alias("reasons"))
+    return audit.union_queues(a, c.where("truncated").select("case_id", F.col("difficulty").alias("priority"), F.array(F.lit("cut"), F.lit("any")).alias("reasons")))
+
+
+@query(
+    "QA22_publish_violations",
+    """SELECT (SELECT count(*) FROM (SELECT case_id, count(*) OVER (PARTITION BY case_id) AS k FROM cases_v) WHERE k > 1) AS repeated_ids, count(*) FILTER (n_right <> 1) AS not_one_correct, count(*) FILTER (NOT score BETWEEN 0 AND 100) AS score_out_of_range,
+    count(*) FILTER (n_distinct < n_options) AS repeated_options, count(*) FILTER (length(trim(question)) < 10) AS short_stems, count(*) FILTER (length(rationale) = 0) AS no_rationale FROM agg_v""",
+    AUDIT,
+)
+def _(s, d):
+    return audit.publish_violations(views.cases_with_options(s, d))
+
+
+@query("FL05_corruption")
+def _(s, d):
+    return views.cases(s, d).select("case_id", audit.corruption_reason(F.col("question")).alias("reason")).where("reason is not null")
