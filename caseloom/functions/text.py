@@ -91,7 +91,7 @@ def first_sentence(c, most: int = 80) -> Column:
 
 def extract_prompt(c) -> Column:
     """FN08: the last sentence that asks; else the last sentence."""
-    parts = F.filter(F.transform(F.regexp_extract_all(norm_ws(c), F.lit("[^.?!\\n]+[.?!]?"), F.lit(0)), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.regexp_extract_all(norm_ws(c), F.lit("[^.?!\\n]+[.?!]?"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
     asks = F.filter(parts, lambda s: s.endswith("?"))
     return F.coalesce(F.try_element_at(asks, F.lit(-1)), F.try_element_at(parts, F.lit(-1)), F.lit(""))
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import signature, text
-from ..operators import audit, contradictions, dedup, ids, keys, merge, report
+from ..functions import scoring, signature, text
+from ..operators import audit, category, contradictions, dedup, gates, ids, keys, memory, merge, report, review
+from ..sources import io, parse
 from . import views
 from .views import CASES_SQL, FEEDBACK_SQL, OPTIONS_SQL, TELEMETRY_SQL
 
@@ -622,3 +623,383 @@ def _(s, d):
 @query("FL05_corruption")
 def _(s, d):
     return views.cases(s, d).select("case_id", audit.corruption_reason(F.col("question")).alias("reason")).where("reason is not null")
+
+
+# Verdicts: conversation turns as results of a case, confidence by turn.
+RESULTS_SQL = """results_v AS (SELECT conv_id AS case_id, turn AS pos, chr(CAST(65 + (conv_id + turn // 2) % 2 AS INTEGER)) AS option, CASE turn % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+  'f' || lpad(CAST(turn AS VARCHAR), 4, '0') AS file, text FROM conversations)"""
+
+
+def results(s, d):
+    t = F.col("turn")
+    return views.table(s, d, "conversations").select(
+        F.col("conv_id").alias("case_id"), t.alias("pos"), F.when((F.col("conv_id") + F.floor(t / 2)) % 2 == 0, "A").otherwise("B").alias("option"),
+        F.when(t % 3 == 0, "HIGH").when(t % 3 == 1, "MEDIUM").otherwise("LOW").alias("confidence"), F.concat(F.lit("f"), F.lpad(t.cast("string"), 4, "0")).alias("file"), "text",
+    )
+
+
+VERDICTS = """SELECT case_id, CASE WHEN n = 0 THEN 'keep_review' WHEN n = 1 THEN 'apply' ELSE 'conflict' END AS action, CASE WHEN n = 1 THEN o END AS option, CASE WHEN n = 1 THEN f END AS file FROM (
+  SELECT case_id, count(DISTINCT option) FILTER (confidence = 'HIGH') AS n, min(option) FILTER (confidence = 'HIGH') AS o, min(file) FILTER (confidence = 'HIGH') AS f FROM results_v GROUP BY case_id)"""
+
+
+@query("EN06_verdicts", VERDICTS, (RESULTS_SQL,))
+def _(s, d):
+    return review.merge_verdicts(results(s, d))
+
+
+@query("AG24_patch_stats", f"SELECT action AS outcome, count(*) AS n FROM ({VERDICTS}) GROUP BY 1", (RESULTS_SQL,))
+def _(s, d):
+    return review.patch_stats(review.merge_verdicts(results(s, d)))
+
+
+@query(
+    "EN07_apply_results",
+    """SELECT case_id, arg_max(coalesce(full_rationale, explanation), row(l = 3, pos)) FILTER (coalesce(full_rationale, explanation) IS NOT NULL) AS rationale, arg_max(answer, pos) FILTER (l = 2) AS new_key, max(l) AS level FROM (
+      SELECT *, CASE WHEN full_rationale IS NOT NULL THEN 3 WHEN answer IS NOT NULL THEN 2 ELSE 1 END AS l FROM (
+        SELECT case_id, pos, CASE WHEN case_id % 4 = 0 AND pos = 1 THEN text END AS full_rationale, CASE WHEN pos % 2 = 0 THEN option END AS answer, CASE WHEN pos % 2 = 1 THEN substring(text, 1, 50) END AS explanation FROM results_v)) GROUP BY case_id""",
+    (RESULTS_SQL,),
+)
+def _(s, d):
+    pos = F.col("pos")
+    kinds = results(s, d).select(
+        "case_id", "pos", F.when((F.col("case_id") % 4 == 0) & (pos == 1), F.col("text")).alias("full_rationale"), F.when(pos % 2 == 0, F.col("option")).alias("answer"), F.when(pos % 2 == 1, F.substring("text", 1, 50)).alias("explanation")
+    )
+    return review.apply_results(kinds)
+
+
+@query(
+    "EN09_answer_audit",
+    """SELECT o.case_id, option_id, CASE confidence WHEN 'HIGH' THEN option_id = option WHEN 'MEDIUM' THEN is_correct OR option_id = option ELSE is_correct END AS is_correct
+    FROM options_v o LEFT JOIN (SELECT case_id, option, CASE case_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM results_v WHERE pos = 0) r USING (case_id)""",
+    (*BOTH, RESULTS_SQL),
+)
+def _(s, d):
+    i = F.col("case_id") % 3
+    found = results(s, d).where("pos = 0").select("case_id", "option", F.when(i == 0, "HIGH").when(i == 1, "MEDIUM").otherwise("LOW").alias("confidence"))
+    return review.apply_answer_audit(views.options(views.cases(s, d)), found).select("case_id", "option_id", "is_correct")
+
+
+@query("EN12_blind_votes", f"SELECT case_id, CASE WHEN {NORM.format('answer')} = {NORM.format('vote')} THEN 'agree' ELSE 'conflict' END AS outcome FROM ({ANSWERS}) JOIN (SELECT case_id, option_text AS vote FROM options_v WHERE slot = 1) USING (case_id)", BOTH)
+def _(s, d):
+    o = views.options(views.cases(s, d))
+    return review.blind_votes(answers(s, d), o.where("slot = 1").select("case_id", F.col("option_text").alias("vote")))
+
+
+@query("EN13_resolve_conflicts", "SELECT case_id, state, CASE WHEN state = 'flip' THEN 'B' ELSE key END AS key FROM (SELECT case_id, key, CASE WHEN key = 'B' THEN 'stale' WHEN score >= 80 THEN 'flip' ELSE 'hold' END AS state FROM (SELECT case_id, score, option_id AS key FROM options_v JOIN cases_v USING (case_id) WHERE is_correct))", BOTH)
+def _(s, d):
+    c = views.cases(s, d)
+    keyed = views.options(c).where("is_correct").join(c.select("case_id", "score"), "case_id")
+    return review.resolve_conflicts(keyed.select("case_id", F.col("option_id").alias("key"), F.lit("B").alias("audit_key"), F.col("score").alias("quality")))
+
+
+@query("EN08_aligned")
+def _(s, d):
+    c = views.cases(s, d)
+    return c.select("case_id", review.aligned(F.col("question"), F.col("narrative")).alias("aligned"))
+
+
+@query(
+    "EN15_current_values",
+    "SELECT case_id, max(new_value) FILTER (rn = 1 AND field = 'prompt') AS prompt, max(new_value) FILTER (rn = 1 AND field = 'options') AS options FROM (SELECT *, row_number() OVER (PARTITION BY case_id, field ORDER BY created_at DESC, id DESC) AS rn FROM (SELECT id, case_id, created_at, CASE WHEN id % 2 = 0 THEN 'prompt' ELSE 'options' END AS field, user_hash AS new_value FROM feedback_v)) GROUP BY case_id",
+    (FEEDBACK_SQL,),
+)
+def _(s, d):
+    edits = views.feedback(s, d).select("id", "case_id", "created_at", F.when(F.col("id") % 2 == 0, "prompt").otherwise("options").alias("field"), F.col("user_hash").alias("new_value"))
+    return review.current_values(edits, ["prompt", "options"])
+
+
+@query("SE06_unknown_cases", "SELECT case_id * 17 AS case_id, pos FROM results_v WHERE case_id * 17 NOT IN (SELECT case_id FROM cases_v)", (CASES_SQL, RESULTS_SQL))
+def _(s, d):
+    return review.unknown_cases(results(s, d).select((F.col("case_id") * 17).alias("case_id"), "pos"), views.cases(s, d))
+
+
+@query("JN12_adjudicate", "SELECT case_id, option AS recommended FROM results_v WHERE (option = 'A' AND case_id % 2 = 0) OR (option = 'B' AND case_id % 3 = 0)", (RESULTS_SQL,))
+def _(s, d):
+    r = results(s, d).select("case_id", F.col("option").alias("recommended"))
+    allowed = F.filter(F.array(F.when(F.col("case_id") % 2 == 0, F.lit("A")), F.when(F.col("case_id") % 3 == 0, F.lit("B"))), lambda x: x.isNotNull())
+    return review.adjudicate(r, r.select("case_id").distinct().withColumn("allowed", allowed))
+
+
+@query("WN10_number_packs", "SELECT case_id, status AS issue, (row_number() OVER (PARTITION BY status ORDER BY case_id) - 1) // 20 AS pack FROM cases_v")
+def _(s, d):
+    return review.number_packs(views.cases(s, d).select("case_id", F.col("status").alias("issue")), 20)
+
+
+@query("SC10_conflict_lane", "SELECT case_id, CASE WHEN n_options < 2 THEN 'mechanical' WHEN n_right <> 1 THEN 'answer_key' ELSE 'clinical' END AS lane, n_options >= 2 AND n_right <> 1 AND score >= 80 AS phase_1 FROM agg_v WHERE status = 'QUARANTINED_AI_CONFLICT'", AUDIT)
+def _(s, d):
+    return review.conflict_lane(views.cases_with_options(s, d))
+
+
+@query("EN04_recover_rationale", "SELECT case_id, CASE WHEN length(trim(title)) >= length(trim(rationale)) OR regexp_matches(lower(trim(rationale)), '^the') THEN CASE WHEN regexp_matches(lower(trim(title)), '^the') OR trim(title) = '' THEN CASE WHEN regexp_matches(lower(trim(rationale)), '^the') OR trim(rationale) = '' THEN NULL ELSE trim(rationale) END ELSE trim(title) END ELSE trim(rationale) END AS rationale FROM cases_v WHERE NOT ((regexp_matches(lower(trim(title)), '^the') OR trim(title) = '') AND (regexp_matches(lower(trim(rationale)), '^the') OR trim(rationale) = ''))")
+def _(s, d):
+    return review.recover_rationale(views.cases(s, d), ["title", "rationale"], "^the")
+
+
+@query("EN16_panel_cases")
+def _(s, d):
+    i = F.col("case_id")
+    votes = F.array(*[((i * k) % 7).cast("int") for k in range(1, 6)])
+    return review.panel_cases(views.cases(s, d).select("case_id", votes.alias("votes")))
+
+
+REVIEW_LOG = F.expr("1 + pmod(event_id, 4)").cast("int")
+
+
+def review_log(s, d):
+    return views.telemetry(s, d).select("user_hash", "case_id", "ts", F.col("event_id").alias("seq"), REVIEW_LOG.alias("grade"))
+
+
+@query("ST03_fold_reviews")
+def _(s, d):
+    st = memory.fold_reviews(review_log(s, d))
+    return st.select("user_hash", "case_id", *[F.round(c, 6).alias(c) for c in ("difficulty", "stability", "last_review")], "lapses", "reviews")
+
+
+@query("TK03_due_cards")
+def _(s, d):
+    return memory.due_cards(memory.fold_reviews(review_log(s, d)), 1_710_000_000.0)
+
+
+@query("ST04_reset_corrected")
+def _(s, d):
+    return memory.reset_corrected(memory.fold_reviews(review_log(s, d)), views.cases(s, d).where("quarantined").select("case_id"))
+
+
+@query("ST05_memory_stats")
+def _(s, d):
+    return memory.memory_stats(memory.fold_reviews(review_log(s, d)), 1_710_000_000.0)
+
+
+FREQ = {"Alpha": ["the", "and", "of"], "Beta": ["die", "und", "der"], "Gamma": ["les", "est", "que"], "Delta": ["para", "las", "por"]}
+PAIRS = ", ".join(f"('{c}', '{w}')" for c, ws in FREQ.items() for w in ws)
+HITS_SQL = f"""hits_v AS (SELECT DISTINCT case_id, signal, category, word FROM (SELECT case_id, 'narrative' AS signal, unnest(string_split({NORM.format('narrative')}, ' ')) AS word FROM cases_v
+    UNION ALL SELECT case_id, 'keyword', unnest(string_split({NORM.format('title')}, ' ')) FROM cases_v) JOIN (VALUES {PAIRS}) w(category, word) USING (word)),
+  lab_v AS (SELECT case_id, CASE lang WHEN 'en' THEN 'Alpha' WHEN 'de' THEN 'Beta' WHEN 'fr' THEN 'Gamma' END AS category FROM (SELECT doc_id AS case_id, CASE WHEN doc_id % 4 = 0 THEN 'de' ELSE lang END AS lang FROM documents))"""
+
+
+def labelled(s, d):
+    lang = F.when(F.col("case_id") % 4 == 0, "de").otherwise(F.col("category"))
+    c = views.cases(s, d)
+    return c.withColumn("category", F.when(lang == "en", "Alpha").when(lang == "de", "Beta").when(lang == "fr", "Gamma"))
+
+
+def hits(s, d):
+    return category.match_keywords(views.cases(s, d), {"narrative": "narrative", "keyword": "title"}, FREQ)
+
+
+@query("UD02_keyword_matches", "SELECT case_id, signal, category, word FROM hits_v", (CASES_SQL, HITS_SQL))
+def _(s, d):
+    return hits(s, d)
+
+
+RESOLVED_SQL = """scored_v AS (SELECT case_id, category, sum(CASE signal WHEN 'raw' THEN 4 WHEN 'narrative' THEN 2 ELSE 1 END) + CASE WHEN count(*) FILTER (signal <> 'raw') >= 2 THEN 2 ELSE 0 END AS score FROM (
+    SELECT DISTINCT case_id, signal, category FROM hits_v UNION ALL SELECT case_id, 'raw', category FROM lab_v WHERE category IS NOT NULL) GROUP BY case_id, category),
+  two_v AS (SELECT case_id, max(category) FILTER (rn = 1) AS w, max(score) FILTER (rn = 1) AS ws, max(category) FILTER (rn = 2) AS r, coalesce(max(score) FILTER (rn = 2), 0) AS rs FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, category) AS rn FROM scored_v) WHERE rn <= 2 GROUP BY case_id),
+  resolved_v AS (SELECT l.case_id, l.category AS raw, coalesce(w, 'Unclassified') AS resolved, coalesce(ws, 0) AS score, r AS runner_up, CASE WHEN ws >= 5 AND ws - rs >= 2 THEN 'high' WHEN ws >= 3 AND ws - rs >= 2 THEN 'medium' ELSE 'low' END AS confidence,
+    coalesce(l.category <> w, false) OR coalesce(rs >= 3, false) AS conflict FROM lab_v l LEFT JOIN two_v USING (case_id))"""
+
+
+@query("SC01_resolve_category", "SELECT case_id, resolved, CAST(score AS BIGINT) AS score, runner_up, confidence, conflict FROM resolved_v", (CASES_SQL, HITS_SQL, RESOLVED_SQL))
+def _(s, d):
+    return category.resolve_category(labelled(s, d), hits(s, d))
+
+
+@query(
+    "SC04_apply_category",
+    """SELECT r.case_id, coalesce(a.category, CASE WHEN confidence = 'high' THEN resolved ELSE coalesce(raw, 'Unclassified') END) AS final, a.category IS NULL AND confidence <> 'high' AND conflict AS review FROM resolved_v r
+    LEFT JOIN (SELECT case_id, 'Delta' AS category FROM cases_v WHERE needs_review) a USING (case_id)""",
+    (CASES_SQL, HITS_SQL, RESOLVED_SQL),
+)
+def _(s, d):
+    c = labelled(s, d)
+    done = category.resolve_category(c, hits(s, d)).join(c.select("case_id", F.col("category").alias("raw")), "case_id")
+    return category.apply_category(done, c.where("needs_review").select("case_id", F.lit("Delta").alias("category"))).select("case_id", "final", "review")
+
+
+@query("AG07_category_audit", "SELECT raw, resolved, count(*) AS n FROM resolved_v WHERE raw <> resolved GROUP BY raw, resolved ORDER BY n DESC, raw, resolved LIMIT 25", (CASES_SQL, HITS_SQL, RESOLVED_SQL))
+def _(s, d):
+    c = labelled(s, d)
+    return category.category_audit(category.resolve_category(c, hits(s, d)).join(c.select("case_id", F.col("category").alias("raw")), "case_id"))
+
+
+@query("SC05_map_sources", "SELECT case_id, coalesce(m, category) AS category FROM cases_v LEFT JOIN (VALUES ('src1', 'en'), ('src2', 'de')) t(source, m) USING (source)")
+def _(s, d):
+    table = s.createDataFrame([("src1", "en"), ("src2", "de"), ("src3", "xx")], "source string, category string")
+    return category.map_sources(views.cases(s, d), table, ["en", "de"]).select("case_id", "category")
+
+
+@query(
+    "SC06_tag_topics",
+    """SELECT c.case_id, coalesce(category, 'general') AS organ, coalesce(words, '') AS words FROM cases_v c LEFT JOIN (SELECT case_id, t.category, words FROM (SELECT case_id, category, array_to_string(list_sort(list(DISTINCT word))[1:8], ',') AS words, row_number() OVER (PARTITION BY case_id ORDER BY count(DISTINCT word) DESC, category) AS rn FROM hits_v GROUP BY case_id, category) t WHERE rn = 1) USING (case_id)""".replace("coalesce(category,", "coalesce(h.category,").replace("WHERE rn = 1) USING", "WHERE rn = 1) h USING"),
+    (CASES_SQL, HITS_SQL),
+)
+def _(s, d):
+    return category.tag_topics(hits(s, d), views.cases(s, d))
+
+
+TAG_RULES = {"numbers": "[0-9]{3,}", "marks": "[#*%]{3}", "english": "the", "german": "sch"}
+
+
+@query(
+    "SC07_tags",
+    "SELECT case_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(question), '{p}') THEN '{n}' END" for n, p in TAG_RULES.items()) + "], lambda x: x IS NOT NULL), ',') AS tags, CASE "
+    + " ".join(f"WHEN regexp_matches(lower(question), '{p}') THEN '{n}'" for n, p in TAG_RULES.items()) + " ELSE 'none' END AS first FROM cases_v",
+)
+def _(s, d):
+    q = F.col("question")
+    return views.cases(s, d).select("case_id", F.array_join(category.regex_tags(q, TAG_RULES), ",").alias("tags"), category.first_rule(q, TAG_RULES, "none").alias("first"))
+
+
+@query("SC08_fill_gaps", "SELECT case_id, category FROM (SELECT case_id, category, row_number() OVER (PARTITION BY category ORDER BY case_id) AS rn FROM cases_v WHERE needs_review) JOIN (VALUES ('en', 5), ('de', 3)) n(category, needed) USING (category) WHERE rn <= needed")
+def _(s, d):
+    return category.fill_gaps(views.cases(s, d).where("needs_review").select("case_id", "category"), s.createDataFrame([("en", 5), ("de", 3)], "category string, needed int"))
+
+
+@query("SC14_changed_only", "SELECT case_id, CASE WHEN case_id % 9 = 0 THEN 'x' ELSE category END AS category FROM cases_v WHERE case_id % 9 = 0 OR case_id >= 900")
+def _(s, d):
+    c = views.cases(s, d).select("case_id", "category")
+    return category.changed_only(c.where("case_id < 900"), c.withColumn("category", F.when(F.col("case_id") % 9 == 0, "x").otherwise(F.col("category"))), "case_id", ["category"])
+
+
+@query("FL03_browse", "SELECT case_id FROM cases_v WHERE category = 'en' AND exam_type IN ('A', 'BOTH') AND contains(lower(title || ' ' || question || ' ' || category), 'idiot') AND case_id NOT IN (SELECT case_id FROM telemetry_v WHERE case_id IS NOT NULL)", (CASES_SQL, TELEMETRY_SQL))
+def _(s, d):
+    return gates.browse(views.cases(s, d), category="en", exam="A", search="Idiot", done=views.telemetry(s, d).where("case_id is not null")).select("case_id")
+
+
+@query("FL04_exam_pool", f"SELECT case_id FROM agg_v WHERE NOT {HELD} AND NOT needs_review AND NOT truncated AND exam_type IN ('B', 'BOTH') AND n_right = 1 AND n_options >= 4", AUDIT)
+def _(s, d):
+    return gates.exam_pool(views.cases_with_options(s, d), "B").select("case_id")
+
+
+@query("FL07_flag_invalid", f"SELECT case_id FROM agg_v WHERE NOT {HELD} AND n_right <> 1", AUDIT)
+def _(s, d):
+    return gates.flag_invalid(views.cases_with_options(s, d))
+
+
+@query("FL09_feedback_gate", "SELECT id, case_id, list_filter(tags, lambda t: t IN ('click', 'error', 'typo')) AS tags FROM feedback_v WHERE case_id IS NOT NULL AND len(list_filter(tags, lambda t: t IN ('click', 'error', 'typo'))) > 0", (FEEDBACK_SQL,))
+def _(s, d):
+    fb = views.feedback(s, d).withColumn("comment", F.lit("<b>"))
+    return gates.feedback_gate(fb, ("click", "error", "typo")).select("id", "case_id", "tags")
+
+
+@query("FL10_proposal_gate", "SELECT id, case_id, user_hash FROM feedback_v WHERE case_id IS NOT NULL AND id % 3 <> 0 AND status <> 'open' AND user_hash NOT IN (SELECT user_hash FROM feedback_v GROUP BY user_hash HAVING count(*) > 70)", (FEEDBACK_SQL,))
+def _(s, d):
+    fb = views.feedback(s, d)
+    bans = fb.groupBy("user_hash").count().where("count > 70")
+    sent = fb.select("id", "case_id", "user_hash", F.when(F.col("id") % 3 == 0, "nothing").otherwise("prompt").alias("field"), F.when(F.col("status") == "open", "abc").otherwise("A book").alias("reference"), F.lit("old").alias("old_value"), F.lit("new").alias("new_value"))
+    return gates.proposal_gate(sent, bans).select("id", "case_id", "user_hash")
+
+
+@query("FL12_thin_rationale", "SELECT case_id FROM agg_v WHERE length(trim(rationale)) < 80 OR lower(trim(rationale)) = lower(first_right)", AUDIT)
+def _(s, d):
+    return gates.thin_rationale(views.cases_with_options(s, d))
+
+
+@query("FL13_health_screen", "SELECT case_id, CASE WHEN n_options >= 2 AND length(trim(question)) > 5 AND n_right > 0 THEN 'pass' ELSE 'hold' END AS label FROM agg_v", AUDIT)
+def _(s, d):
+    return gates.health_screen(views.cases_with_options(s, d))
+
+
+@query("FL14_panel_candidates", f"SELECT case_id FROM agg_v WHERE NOT {HELD} AND length(narrative) >= 50 AND n_options >= 4 AND n_right > 0 AND category IN ('en', 'fr')", AUDIT)
+def _(s, d):
+    return gates.panel_candidates(views.cases_with_options(s, d), ["en", "fr"])
+
+
+@query("IO05_relational", "SELECT case_id, slot - 1 AS sort_order, option_id, option_text, CAST(is_correct AS INTEGER) AS is_correct FROM (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY slot) AS slot, option_id, option_text, is_correct FROM options_v)", BOTH)
+def _(s, d):
+    return io.to_relational(views.cases_with_options(s, d), 1)[1]
+
+
+@query("IO06_from_relational", "SELECT case_id, count(o.case_id) AS n, coalesce(array_to_string(list(option_id ORDER BY slot), ''), '') AS ids FROM (SELECT case_id AS id FROM cases_v) c LEFT JOIN options_v o ON o.case_id = c.id GROUP BY c.id, o.case_id".replace("SELECT case_id, count", "SELECT c.id AS case_id, count").replace("list(option_id ORDER BY slot)", "list(option_id ORDER BY slot) FILTER (option_id IS NOT NULL)"), BOTH)
+def _(s, d):
+    table, opts = io.to_relational(views.cases_with_options(s, d), 1)
+    return io.from_relational(table, opts).select("case_id", F.size("options").cast("long").alias("n"), F.array_join(F.transform("options", lambda o: o["id"]), "").alias("ids"))
+
+
+@query("IO07_parity", "SELECT count(*) FILTER (case_id % 10 <> 0 AND case_id < 900) AS equal, count(*) FILTER (case_id % 10 = 0 AND case_id < 900) AS different, count(*) FILTER (case_id >= 900) AS only_a, 0 AS only_b FROM cases_v")
+def _(s, d):
+    a = views.cases(s, d)
+    return io.parity(a, a.where("case_id < 900").withColumn("title", F.when(F.col("case_id") % 10 == 0, "changed").otherwise(F.col("title"))))
+
+
+@query("IO08_upsert", "SELECT case_id, CASE WHEN truncated THEN 'fixed' ELSE category END AS category FROM cases_v")
+def _(s, d):
+    base = views.cases(s, d).select("case_id", "category", "truncated")
+    return io.upsert(base, base.where("truncated").withColumn("category", F.lit("fixed"))).select("case_id", "category")
+
+
+@query("IO10_parse_results", """SELECT 'needs-review|x|' || conv_id || '-' || turn AS custom_id, CASE WHEN turn % 5 = 4 THEN NULL ELSE chr(CAST(65 + turn % 4 AS INTEGER)) END AS option, CASE turn % 5 WHEN 3 THEN 'bad_confidence' WHEN 4 THEN 'empty_content' ELSE '' END AS error FROM conversations""".replace("FROM conversations", "FROM conv_v"), ("conv_v AS (SELECT conv_id, turn FROM conversations)",))
+def _(s, d):
+    t = F.col("turn")
+    body = F.to_json(F.struct(F.col("conv_id").cast("string").alias("_id"), F.expr("char(65 + turn % 4)").alias("correct_option_id"), F.when(t % 5 == 3, "SURE").otherwise("high").alias("confidence"), F.lit("because").alias("rationale")))
+    fenced = F.when(t % 5 == 4, "").otherwise(F.concat(F.lit("Here: ```json\n"), body, F.lit("\n```")))
+    chat_shape = F.to_json(F.struct(F.concat(F.lit("needs-review|x|"), "conv_id", F.lit("-"), "turn").alias("custom_id"), F.struct(F.struct(F.array(F.struct(F.struct(fenced.alias("content")).alias("message"))).alias("choices")).alias("body")).alias("response")))
+    lines = views.table(s, d, "conversations").select(chat_shape.alias("value"), F.lit("f").alias("file"))
+    return io.parse_results(lines).select("custom_id", "option", "error")
+
+
+@query("IO04_schema_gate", "SELECT case_id FROM cases_v WHERE length(question) >= 20 AND category IS NOT NULL")
+def _(s, d):
+    return io.schema_gate(views.cases(s, d), {"question": F.length("question") >= 20, "category": F.col("category").isNotNull()})[0].select("case_id")
+
+
+@query("IO12_plan_sources", "SELECT source, CASE WHEN n % 3 = 0 THEN 0 ELSE n END AS resume_at FROM (SELECT source, count(*) AS n FROM cases_v GROUP BY source) WHERE n % 3 = 0 OR n % 2 = 0")
+def _(s, d):
+    n = views.cases(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    state = n.select("source", F.when(F.col("n") % 3 == 0, "old").otherwise("now").alias("etag"), F.when(F.col("n") % 2 == 0, "partial").otherwise("complete").alias("status"), F.col("n").alias("row_offset"))
+    return io.plan_sources(n.select("source", F.lit("now").alias("etag")), state)
+
+
+@query("PR02_cols_mcq", """SELECT case_id AS case_key, len(list_filter(o, lambda x: x <> '')) AS n, CASE WHEN o[1 + case_id % 4] <> '' THEN substring('ABCD', CAST(1 + case_id % 4 AS INTEGER), 1) ELSE '' END AS key FROM (SELECT case_id, list_transform([1, 2, 3, 4], lambda i: coalesce(trim(string_split(question, '.')[i]), '')) AS o FROM cases_v)""")
+def _(s, d):
+    parts = F.split("question", "\\.", -1)
+    raw = views.cases(s, d).select(F.col("case_id").alias("case_key"), "question", *[F.get(parts, F.lit(k)).alias(c) for k, c in enumerate(("opa", "opb", "opc", "opd"))], (F.col("case_id") % 4).cast("int").alias("cop"))
+    return parse.parse_cols_mcq(raw).select("case_key", F.size("options").cast("long").alias("n"), F.array_join(F.transform(F.filter("options", lambda o: o["is_correct"]), lambda o: o["id"]), "").alias("key"))
+
+
+@query("PR10_publishable", "SELECT case_id FROM agg_v WHERE n_options >= 2 AND n_right > 0", AUDIT)
+def _(s, d):
+    return parse.publishable(views.cases_with_options(s, d)).select("case_id")
+
+
+@query("PR15_append_new", f"""SELECT case_id FROM (SELECT case_id, k, row_number() OVER (PARTITION BY k ORDER BY case_id) AS rn FROM (SELECT case_id, substring({ALNUM.format('question')}, 1, 100) AS k FROM cases_v WHERE case_id >= 500)) WHERE rn = 1 AND k NOT IN (SELECT substring({ALNUM.format('question')}, 1, 100) FROM cases_v WHERE case_id < 500)""")
+def _(s, d):
+    c = views.cases(s, d).select("case_id", "pos", "question")
+    return parse.append_new(c.where("case_id < 500"), c.where("case_id >= 500")).select("case_id")
+
+
+@query("PR16_by_hits", "SELECT case_id, CASE WHEN greatest(a, b) = 0 THEN 'none' WHEN a >= b THEN 'en' ELSE 'de' END AS category FROM (SELECT case_id, CAST(contains(lower(question), ' the ') AS INTEGER) + CAST(contains(lower(question), ' of ') AS INTEGER) AS a, CAST(contains(lower(question), ' die ') AS INTEGER) + CAST(contains(lower(question), ' der ') AS INTEGER) AS b FROM cases_v)")
+def _(s, d):
+    return views.cases(s, d).select("case_id", parse.categorize_by_hits(F.col("question"), {"en": [" the ", " of "], "de": [" die ", " der "]}, "none").alias("category"))
+
+
+@query("FN11_validation_score")
+def _(s, d):
+    i = F.col("case_id")
+    layers = dict(zip(scoring.LAYER_WEIGHTS, (i % 5, i % 4, i % 3, i % 6, i % 2, i % 7)))
+    score, _flags = scoring.validation_score(layers, F.when(F.col("exam_type") == "A", scoring.LOCAL_CONTEXT).otherwise(F.col("exam_type")))
+    return views.cases(s, d).select("case_id", score.alias("score"))
+
+
+@query("FN12_quality_score", """SELECT case_id, 25 * CAST(n_right > 0 AS INTEGER) + 25 * CAST(length(rationale) > 50 AS INTEGER) + 15 * CAST(NOT truncated AS INTEGER) + 10 * CAST(n_options BETWEEN 4 AND 5 AS INTEGER) + 10 * CAST(length(question) > 100 AS INTEGER) + 5 * CAST(NOT needs_review AS INTEGER) AS quality FROM agg_v""", AUDIT)
+def _(s, d):
+    score = scoring.quality_score(F.exists("options", lambda o: o["is_correct"]), F.col("rationale"), F.col("truncated"), F.size("options"), F.col("question"), F.lit(False), F.lit(False), F.col("needs_review"))
+    return views.cases_with_options(s, d).select("case_id", score.alias("quality"))
+
+
+@query("FN21_retrievability", "SELECT case_id, round(least(1, greatest(0, pow(1 + (pow(0.9, -2) - 1) * difficulty / (1 + score), -0.5))), 9) AS recall FROM cases_v")
+def _(s, d):
+    return views.cases(s, d).select("case_id", F.round(scoring.retrievability(1 + F.col("score"), F.col("difficulty")), 9).alias("recall"))
+
+
+@query("FN16_resolve_option")
+def _(s, d):
+    said = F.element_at(F.array(F.lit("A"), F.lit("opb"), F.lit("3"), F.lit("zz")), (F.col("case_id") % 4 + 1).cast("int"))
+    return views.cases_with_options(s, d).select("case_id", scoring.resolve_option(F.col("options"), said).alias("option"))
+
+
+@query("FN24_flip_votes")
+def _(s, d):
+    i = F.col("case_id")
+    votes = F.array(*[((i * k) % 11).cast("int") for k in range(1, 6)])
+    return views.cases(s, d).select("case_id", F.array_join(scoring.flip_votes(votes, F.when(i % 2 == 0, 1).otherwise(-1)).cast("array<string>"), ",").alias("votes"))

@@ -94,10 +94,10 @@ def parity(a: DataFrame, b: DataFrame, key: str = "case_id") -> DataFrame:
     x, y = row_digest(a, key), row_digest(b, key).withColumnRenamed("digest", "other")
     joined = x.join(y, key, "full_outer")
     return joined.agg(
-        F.count_if("digest = other").alias("equal"),
-        F.count_if("digest <> other").alias("different"),
-        F.count_if("other is null").alias("only_a"),
-        F.count_if("digest is null").alias("only_b"),
+        F.count_if(F.expr("digest = other")).alias("equal"),
+        F.count_if(F.expr("digest <> other")).alias("different"),
+        F.count_if(F.expr("other is null")).alias("only_a"),
+        F.count_if(F.expr("digest is null")).alias("only_b"),
     )
 
 
