@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, embedding_dedup, html_extract, ngram_join, packing, secrets, sentencepiece_fst, suffix_dedup, toxicity
+from .oracles import ORACLE_SQL as _ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,4 +75,4 @@ QUERIES = {
     "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(_ORACLE_SQL)
