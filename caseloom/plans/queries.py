@@ -742,11 +742,9 @@ def _(s, d):
     return review.panel_cases(views.cases(s, d).select("case_id", votes.alias("votes")))
 
 
-REVIEW_LOG = F.expr("1 + pmod(event_id, 4)").cast("int")
-
-
 def review_log(s, d):
-    return views.telemetry(s, d).select("user_hash", "case_id", "ts", F.col("event_id").alias("seq"), REVIEW_LOG.alias("grade"))
+    grade = (1 + F.pmod("event_id", F.lit(4))).cast("int")
+    return views.telemetry(s, d).select("user_hash", "case_id", "ts", F.col("event_id").alias("seq"), grade.alias("grade"))
 
 
 @query("ST03_fold_reviews")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from caseloom.plans import queries
+from caseloom.plans import all_queries as queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
