@@ -20,7 +20,9 @@ def semantic_sig(text: Column, keep: int = 8, least: int = 4) -> Column:
     words = F.array_distinct(F.filter(words, lambda w: (F.length(w) > 4) & ~w.isin(*STOP_WORDS)))
     ranked = F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
     top = F.array_sort(F.transform(F.slice(ranked, 1, keep), lambda x: x["w"]))
-    return F.when((F.length(text) >= 30) & (F.size(top) >= least), F.array_join(top, "_"))
+    # The one-element array binds the words, which would be worked out for each use otherwise.
+    joined = F.transform(F.array(top), lambda t: F.when(F.size(t) >= least, F.array_join(t, "_")))[0]
+    return F.when(F.length(text) >= 30, joined)
 
 
 def options_hash(texts: Column, chars: int = 30, least: int = 3) -> Column:

@@ -72,7 +72,7 @@ def anchor_fuzzy(options: DataFrame, anchors: DataFrame, most: int = 2, lead: in
     ranked = dist.withColumn("rn", F.row_number().over(order)).where("rn <= 2")
     pair = ranked.groupBy("case_id").agg(F.min_by("option_id", "rn").alias("option_id"), F.min("d").alias("d1"), F.max(F.when(F.col("rn") == 2, F.col("d"))).alias("d2"))
     clear = ((F.col("d1") == 0) & (F.coalesce("d2", F.lit(99)) > 0)) | ((F.col("d1") <= most) & (F.coalesce("d2", F.lit(99)) - F.col("d1") >= lead))
-    return pair.where(clear).select("case_id", "option_id", F.col("d1").alias("distance"))
+    return pair.where(clear).select("case_id", "option_id", F.col("d1").cast("long").alias("distance"))
 
 
 def join_any_key(cases: DataFrame, patches: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signature import options_hash, semantic_sig
+from ..sources.io import ensure_checkpoint_dir
 
 
 def merge_keys(cases: DataFrame) -> DataFrame:
@@ -17,7 +18,9 @@ def merge_keys(cases: DataFrame) -> DataFrame:
     sig = semantic_sig(F.col("question"))
     narrow = cases.select("case_id", "pos", "source", "exam_type", "confidence", sig.alias("sig"), options_hash(F.transform("options", lambda o: o["text"])).alias("oh"))
     cluster = F.concat_ws("::", "sig", "oh")
-    keyed = narrow.where("sig is not null").withColumn("cluster", cluster)
+    ensure_checkpoint_dir(cases.sparkSession)
+    # Signatures are costly and read by several branches: they are worked out once.
+    keyed = narrow.where("sig is not null").select("case_id", "pos", "source", "exam_type", "confidence", cluster.alias("cluster")).checkpoint()
     contexts = keyed.groupBy("cluster").agg(F.max(F.col("exam_type") == "A").alias("has_a"), F.max(F.col("exam_type") == "B").alias("has_b"))
     split = F.when(F.col("has_a") & F.col("has_b") & (F.col("exam_type") == "B"), "B").otherwise("A")
     return (

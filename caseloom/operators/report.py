@@ -73,7 +73,7 @@ def top_counts(df: DataFrame, by: str, k: int) -> DataFrame:
 
 def length_stats(df: DataFrame, col: str) -> DataFrame:
     """AG14: exact order statistics of text lengths by group of equal lengths: value at index floor(n * p)."""
-    sizes = df.groupBy(F.length(col).alias("len")).agg(F.count(F.lit(1)).alias("c"))
+    sizes = df.groupBy(F.length(col).cast("long").alias("len")).agg(F.count(F.lit(1)).alias("c"))
     upto = sizes.withColumn("hi", F.sum("c").over(Window.orderBy("len")))  # one row for each distinct length
     total = sizes.agg(F.sum("c").alias("t"), F.min("len").alias("lo"), F.max("len").alias("top"), F.sum(F.col("len") * F.col("c")).alias("s"))
     at = lambda p, n: F.min(F.when(F.col("hi") > F.floor(F.col("t") * p), F.col("len"))).alias(n)

@@ -35,7 +35,7 @@ def _(s, d):
 
 @query("FN04_mojibake", "SELECT case_id, length(question) AS n FROM cases_v WHERE NOT regexp_matches(question, '[ÂÃâ]')")
 def _(s, d):
-    return views.cases(s, d).where(~F.col("question").rlike("[ÂÃâ]")).select("case_id", F.length(text.fix_mojibake("question")).alias("n"))
+    return views.cases(s, d).where(~F.col("question").rlike("[ÂÃâ]")).select("case_id", F.length(text.fix_mojibake("question")).cast("long").alias("n"))
 
 
 @query("FN05_clean_explanation")
@@ -50,7 +50,7 @@ def _(s, d):
 
 @query("FN07_age", "SELECT case_id, case_id % 90 AS years FROM cases_v")
 def _(s, d):
-    return views.cases(s, d).select("case_id", text.age(F.concat(F.lit("A "), F.col("case_id") % 90, F.lit("-year-old. "), F.col("title"))).alias("years"))
+    return views.cases(s, d).select("case_id", text.age(F.concat(F.lit("A "), F.col("case_id") % 90, F.lit("-year-old. "), F.col("title"))).cast("long").alias("years"))
 
 
 @query("FN08_prompt")
@@ -220,9 +220,9 @@ QUEUE_SQL = (
 )
 
 
-@query("QA16_readability", "SELECT case_id, source, reasons, CAST(list_sum(list_transform(reasons, lambda r: CASE r WHEN 'html' THEN 5 WHEN 'symbols' THEN 3 WHEN 'long_sentence' THEN 2 ELSE 1 END)) AS BIGINT) AS priority FROM queue_v WHERE len(reasons) > 0", (CASES_SQL, QUEUE_SQL))
+@query("QA16_readability", "SELECT case_id, source, array_to_string(reasons, ',') AS reasons, CAST(list_sum(list_transform(reasons, lambda r: CASE r WHEN 'html' THEN 5 WHEN 'symbols' THEN 3 WHEN 'long_sentence' THEN 2 ELSE 1 END)) AS BIGINT) AS priority FROM queue_v WHERE len(reasons) > 0", (CASES_SQL, QUEUE_SQL))
 def _(s, d):
-    return quality.readability_queue(views.cases(s, d), READ)
+    return quality.readability_queue(views.cases(s, d), READ).withColumns({"reasons": F.array_join("reasons", ","), "priority": F.col("priority").cast("long")})
 
 
 @query("SC11_lane", "SELECT case_id, CASE WHEN list_contains(reasons, 'html') OR list_contains(reasons, 'symbols') THEN 'source_text' WHEN list_contains(reasons, 'broken_lines') OR list_contains(reasons, 'no_space_after_stop') THEN 'auto' WHEN list_contains(reasons, 'shouting') THEN 'editor' ELSE 'advisory' END AS lane FROM queue_v WHERE len(reasons) > 0", (CASES_SQL, QUEUE_SQL))
@@ -237,7 +237,7 @@ def _(s, d):
 
 @query("TK02_queue_order", "SELECT case_id, priority FROM (SELECT case_id, CAST(len(reasons) AS BIGINT) AS priority FROM queue_v WHERE len(reasons) > 0)", (CASES_SQL, QUEUE_SQL))
 def _(s, d):
-    return audit.queue_order(quality.readability_queue(views.cases(s, d), {})).select("case_id", "priority")
+    return audit.queue_order(quality.readability_queue(views.cases(s, d), {})).select("case_id", F.col("priority").cast("long").alias("priority"))
 
 
 @query("TK08_open_proposals", "SELECT id FROM feedback_v WHERE status IN ('open', 'resolved') ORDER BY created_at DESC, id DESC LIMIT 30", (FEEDBACK_SQL,))
@@ -287,7 +287,7 @@ def said(s, d):
     return cased(s, d).withColumn("rationale", F.when(i % 2 == 0, F.concat(F.lit("The correct answer is "), named, F.lit(". "), F.col("rationale"))).otherwise(F.lit("none")))
 
 
-@query("QA08_rationale_answer", "SELECT case_id, substring('ABCD', CAST(1 + case_id % 3 AS INTEGER), 1) AS named, 22 AS at FROM cases_v WHERE case_id % 2 = 0")
+@query("QA08_rationale_answer", "SELECT case_id, substring('ABCD', CAST(1 + case_id % 3 AS INTEGER), 1) AS named, CAST(22 AS BIGINT) AS at FROM cases_v WHERE case_id % 2 = 0")
 def _(s, d):
     return rationale.rationale_answers(said(s, d)).select("case_id", "named", "at")
 
@@ -474,7 +474,7 @@ def _(s, d):
 @query("SE07_token_overlap", f"SELECT case_id, len(list_intersect(list_distinct(string_split({NORM.format('question')}, ' ')), list_distinct(string_split({NORM.format('rationale')}, ' ')))) AS shared FROM cases_v")
 def _(s, d):
     tokens = lambda c: F.array_distinct(F.split(text.comparable(c), " "))
-    return views.cases(s, d).select("case_id", F.size(F.array_intersect(tokens("question"), tokens("rationale"))).alias("shared"))
+    return views.cases(s, d).select("case_id", F.size(F.array_intersect(tokens("question"), tokens("rationale"))).cast("long").alias("shared"))
 
 
 @query("WN06_runner_up", "SELECT source, max(category) FILTER (rn = 1) AS winner, max(category) FILTER (rn = 2) AS runner_up FROM (SELECT source, category, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, category) AS rn FROM cases_v GROUP BY source, category) GROUP BY source")

@@ -179,12 +179,12 @@ GOLD = f"""keyed AS (SELECT s.*, sig || '::' || coalesce(oh, '') AS cluster FROM
     "DD03_golden_merge",
     """SELECT c.case_id, source, exam_type, CASE WHEN length(rationale) >= 20 THEN rationale ELSE coalesce(graft, rationale) END AS rationale,
       CASE WHEN n_merged > 1 THEN least(5.0, coalesce(confidence, 3.0) + least((len(merged_sources) - 1) * CAST(0.15 AS DOUBLE), 0.5)) ELSE confidence END AS confidence,
-      coalesce(merged_sources, [source]) AS merged_sources, coalesce(n_merged, 1) AS n_merged, coalesce(len(merged_sources) - 1, 0) >= 2 AS is_high_yield
+      array_to_string(coalesce(merged_sources, [source]), ',') AS merged_sources, coalesce(n_merged, 1) AS n_merged, coalesce(len(merged_sources) - 1, 0) >= 2 AS is_high_yield
     FROM cases_v c LEFT JOIN gt ON host_id = c.case_id WHERE c.case_id NOT IN (SELECT case_id FROM rk WHERE rn > 1)""",
     (*BOTH, SIG, GOLD),
 )
 def _(s, d):
-    return merge.golden_merge(views.cases_with_options(s, d))[0]
+    return merge.golden_merge(views.cases_with_options(s, d))[0].withColumn("merged_sources", F.array_join("merged_sources", ","))
 
 
 @query("DD06_redirects", "SELECT case_id AS absorbed_id, host_id FROM rk JOIN gt USING (merge_key) WHERE rn > 1", (*BOTH, SIG, GOLD))
@@ -340,7 +340,7 @@ def _(s, d):
 
 @query(
     "AG20_accuracy",
-    """SELECT category, n, hits, percent, CASE WHEN percent < 70 AND n >= 2 THEN 'weak' ELSE 'strong' END AS area FROM (SELECT category, count(*) AS n, sum(CAST(is_correct AS INTEGER)) AS hits,
+    """SELECT category, n, hits, percent, CASE WHEN percent < 70 AND n >= 2 THEN 'weak' ELSE 'strong' END AS area FROM (SELECT category, count(*) AS n, CAST(sum(CAST(is_correct AS INTEGER)) AS BIGINT) AS hits,
       CAST(floor(sum(CAST(is_correct AS INTEGER)) * 100 / count(*) + 0.5) AS BIGINT) AS percent FROM first_v JOIN cases_v USING (case_id) GROUP BY category)""",
     (CASES_SQL, TELEMETRY_SQL, FIRST),
 )
@@ -355,11 +355,11 @@ def _(s, d):
 
 @query(
     "WN08_streaks",
-    """SELECT user_hash, min(day) AS first_day, count(*) AS days FROM (SELECT user_hash, day, day - CAST(row_number() OVER (PARTITION BY user_hash ORDER BY day) AS INTEGER) AS island FROM (SELECT DISTINCT user_hash, CAST(ts AS DATE) AS day FROM telemetry_v)) GROUP BY user_hash, island""",
+    """SELECT user_hash, CAST(min(day) AS VARCHAR) AS first_day, count(*) AS days FROM (SELECT user_hash, day, day - CAST(row_number() OVER (PARTITION BY user_hash ORDER BY day) AS INTEGER) AS island FROM (SELECT DISTINCT user_hash, CAST(ts AS DATE) AS day FROM telemetry_v)) GROUP BY user_hash, island""",
     (TELEMETRY_SQL,),
 )
 def _(s, d):
-    return report.streaks(views.telemetry(s, d))
+    return report.streaks(views.telemetry(s, d)).withColumn("first_day", F.col("first_day").cast("string"))
 
 
 @query("TK06_top_counts", "SELECT source AS value, count(*) AS n FROM cases_v GROUP BY source ORDER BY n DESC, value LIMIT 7")
@@ -601,13 +601,13 @@ def _(s, d):
 
 @query(
     "SE02_union_queues",
-    """SELECT case_id, max(priority) AS priority, list_sort(list(DISTINCT reason)) AS reasons FROM (SELECT case_id, 3 AS priority, 'review' AS reason FROM cases_v WHERE needs_review
+    """SELECT case_id, max(priority) AS priority, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM (SELECT case_id, 3 AS priority, 'review' AS reason FROM cases_v WHERE needs_review
     UNION ALL SELECT case_id, difficulty, 'cut' FROM cases_v WHERE truncated UNION ALL SELECT case_id, difficulty, 'any' FROM cases_v WHERE truncated) GROUP BY case_id""",
 )
 def _(s, d):
     c = views.cases(s, d)
     a = c.where("needs_review").select("case_id", F.lit(3).alias("priority"), F.array(F.lit("review")).alias("reasons"))
-    return audit.union_queues(a, c.where("truncated").select("case_id", F.col("difficulty").alias("priority"), F.array(F.lit("cut"), F.lit("any")).alias("reasons")))
+    return audit.union_queues(a, c.where("truncated").select("case_id", F.col("difficulty").alias("priority"), F.array(F.lit("cut"), F.lit("any")).alias("reasons"))).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query(
@@ -874,10 +874,10 @@ def _(s, d):
     return gates.flag_invalid(views.cases_with_options(s, d))
 
 
-@query("FL09_feedback_gate", "SELECT id, case_id, list_filter(tags, lambda t: t IN ('click', 'error', 'typo')) AS tags FROM feedback_v WHERE case_id IS NOT NULL AND len(list_filter(tags, lambda t: t IN ('click', 'error', 'typo'))) > 0", (FEEDBACK_SQL,))
+@query("FL09_feedback_gate", "SELECT id, case_id, array_to_string(list_filter(tags, lambda t: t IN ('click', 'error', 'typo')), ',') AS tags FROM feedback_v WHERE case_id IS NOT NULL AND len(list_filter(tags, lambda t: t IN ('click', 'error', 'typo'))) > 0", (FEEDBACK_SQL,))
 def _(s, d):
     fb = views.feedback(s, d).withColumn("comment", F.lit("<b>"))
-    return gates.feedback_gate(fb, ("click", "error", "typo")).select("id", "case_id", "tags")
+    return gates.feedback_gate(fb, ("click", "error", "typo")).select("id", "case_id", F.array_join("tags", ",").alias("tags"))
 
 
 @query("FL10_proposal_gate", "SELECT id, case_id, user_hash FROM feedback_v WHERE case_id IS NOT NULL AND id % 3 <> 0 AND status <> 'open' AND user_hash NOT IN (SELECT user_hash FROM feedback_v GROUP BY user_hash HAVING count(*) > 70)", (FEEDBACK_SQL,))
@@ -905,7 +905,7 @@ def _(s, d):
 
 @query("IO05_relational", "SELECT case_id, slot - 1 AS sort_order, option_id, option_text, CAST(is_correct AS INTEGER) AS is_correct FROM (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY slot) AS slot, option_id, option_text, is_correct FROM options_v)", BOTH)
 def _(s, d):
-    return io.to_relational(views.cases_with_options(s, d), 1)[1]
+    return io.to_relational(views.cases_with_options(s, d), 1)[1].withColumn("sort_order", F.col("sort_order").cast("long"))
 
 
 @query("IO06_from_relational", "SELECT case_id, count(o.case_id) AS n, coalesce(array_to_string(list(option_id ORDER BY slot), ''), '') AS ids FROM (SELECT case_id AS id FROM cases_v) c LEFT JOIN options_v o ON o.case_id = c.id GROUP BY c.id, o.case_id".replace("SELECT case_id, count", "SELECT c.id AS case_id, count").replace("list(option_id ORDER BY slot)", "list(option_id ORDER BY slot) FILTER (option_id IS NOT NULL)"), BOTH)
@@ -914,7 +914,7 @@ def _(s, d):
     return io.from_relational(table, opts).select("case_id", F.size("options").cast("long").alias("n"), F.array_join(F.transform("options", lambda o: o["id"]), "").alias("ids"))
 
 
-@query("IO07_parity", "SELECT count(*) FILTER (case_id % 10 <> 0 AND case_id < 900) AS equal, count(*) FILTER (case_id % 10 = 0 AND case_id < 900) AS different, count(*) FILTER (case_id >= 900) AS only_a, 0 AS only_b FROM cases_v")
+@query("IO07_parity", "SELECT count(*) FILTER (case_id % 10 <> 0 AND case_id < 900) AS equal, count(*) FILTER (case_id % 10 = 0 AND case_id < 900) AS different, count(*) FILTER (case_id >= 900) AS only_a, CAST(0 AS BIGINT) AS only_b FROM cases_v")
 def _(s, d):
     a = views.cases(s, d)
     return io.parity(a, a.where("case_id < 900").withColumn("title", F.when(F.col("case_id") % 10 == 0, "changed").otherwise(F.col("title"))))
