@@ -345,9 +345,9 @@ def _(s, d):
     return kept.select("case_id", F.array_join(F.array_sort(F.map_keys(rationale.split_wall(wall))), ",").alias("letters"))
 
 
-@query("EN02_inject_pearl", "SELECT case_id, CASE WHEN regexp_matches(lower(question), '\\bthe\\b') THEN 'English' WHEN regexp_matches(lower(question), '\\bund\\b') THEN 'German' ELSE 'x' END AS pearl FROM cases_v")
+@query("EN02_inject_pearl", "SELECT case_id, CASE WHEN regexp_matches(lower(question), ' the ') THEN 'English' WHEN regexp_matches(lower(question), ' und ') THEN 'German' ELSE 'x' END AS pearl FROM cases_v")
 def _(s, d):
-    return views.cases(s, d).select("case_id", rationale.inject_pearl(F.col("question"), F.lit("x"), {"\\bthe\\b": "English", "\\bund\\b": "German"}).alias("pearl"))
+    return views.cases(s, d).select("case_id", rationale.inject_pearl(F.col("question"), F.lit("x"), {" the ": "English", " und ": "German"}).alias("pearl"))
 
 
 @query("EN03_enrich_queue", "SELECT case_id FROM agg_v WHERE n_right > 0 AND case_id % 5 = 0", AUDIT)
