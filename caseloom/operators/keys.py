@@ -124,3 +124,23 @@ def key_crosscheck(matched: DataFrame, answers: DataFrame) -> DataFrame:
     own = answers.groupBy("case_id").agg(F.min(comparable("answer")).alias("own"))
     both = matched.where("how <> 'none'").join(own, "case_id")
     return both.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("own") == comparable("answer")).alias("equal"))
+
+
+def recover_keys_by_prefix(cases: DataFrame, bank: DataFrame, raw: DataFrame, chars: int = 60) -> DataFrame:
+    """JN05: the raw answer of the same question beginning, else of the same options; two equi-joins, the first raw row wins.
+
+    ``raw`` has question, fp, answer, pos; ``bank`` has case_id, fp.
+    """
+    head = lambda c: F.substring(comparable(c), 1, chars)
+    by_head = raw.groupBy(head("question").alias("head")).agg(F.min_by("answer", "pos").alias("by_head"))
+    by_fp = raw.where("fp <> ''").groupBy("fp").agg(F.min_by("answer", "pos").alias("by_fp"))
+    joined = cases.select("case_id", head("question").alias("head")).join(by_head, "head", "left").join(bank, "case_id", "left").join(by_fp, "fp", "left")
+    return joined.select("case_id", F.coalesce("by_head", "by_fp").alias("answer")).where("answer is not null")
+
+
+def refill_stem(bank: DataFrame, raw: DataFrame) -> DataFrame:
+    """JN14: stems by (year, fingerprint), else by fingerprint alone; the last raw row wins. bank has case_id, year, fp."""
+    exact = raw.groupBy("year", "fp").agg(F.max_by("question", "pos").alias("exact"))
+    loose = raw.groupBy("fp").agg(F.max_by("question", "pos").alias("loose"))
+    joined = bank.join(exact, ["year", "fp"], "left").join(loose, "fp", "left")
+    return joined.select("case_id", F.coalesce("exact", "loose").alias("question")).where("question is not null")

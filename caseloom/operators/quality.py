@@ -205,3 +205,39 @@ def smoke(df: DataFrame) -> DataFrame:
         *[F.struct(F.lit(n).alias("name"), ok.alias("passed"), F.col(n).alias("n")) for n, ok in (("few_options", F.col("few_options") * 20 <= F.col("rows")), ("no_key", F.col("no_key") * 20 <= F.col("rows")), ("no_rationale", F.col("no_rationale") * 20 <= F.col("rows")), ("repeated_ids", F.col("repeated_ids") == 0))]
     )
     return row.select(F.explode(checks).alias("c")).select("c.*")
+
+
+def deep_audit(df: DataFrame) -> DataFrame:
+    """QA17: damage of explanations and fields: leads, references, page and image marks, markup, empty parts."""
+    r, low = F.col("rationale"), F.lower("rationale")
+    return issues(
+        df,
+        "X",
+        [
+            ("answer_lead", "low", low.rlike("^\\s*(ans|answer|jawaban)\\s*[:.-]")),
+            ("reference", "low", low.rlike("ref(erence)?s?\\s*[:.-]")),
+            ("page_mark", "low", low.rlike("pg\\.?\\s*(no\\.?)?\\s*[0-9]+")),
+            ("image_mark", "low", low.rlike("\\[(image|figure|img)")),
+            ("markup", "medium", r.rlike("</?[a-z]+[^>]*>")),
+            ("odd_symbols", "low", r.rlike("[#*%$&]{3,}")),
+            ("mojibake", "medium", r.rlike("[ÂÃ][^ ]")),
+            ("no_title", "low", F.trim("title") == ""),
+            ("no_narrative", "low", F.trim("narrative") == ""),
+            ("no_confidence", "low", F.col("confidence").isNull()),
+        ],
+    )
+
+
+def category_pack(resolved: DataFrame, buckets: dict[str, str]) -> DataFrame:
+    """SC12: shortlist rows (case_id, bucket, allowed): resolved cases that a bucket's predicate (SQL over the frame) picks, with the categories it may take."""
+    names = F.filter(F.array(*[F.when(F.expr(p), F.lit(n)) for n, p in buckets.items()]), lambda x: x.isNotNull())
+    allowed = F.array_distinct(F.filter(F.array("raw", "resolved", "runner_up"), lambda x: x.isNotNull()))
+    return resolved.select("case_id", F.explode(names).alias("bucket"), allowed.alias("allowed"))
+
+
+def suppress_signals(signals: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """SC02: signals without false positives: a rule (signal, category, word) drops that signal of a case; an empty word drops any."""
+    drop = F.lit(False)
+    for signal, cat, word in rules:
+        drop = drop | ((F.col("signal") == signal) & (F.col("category") == cat) & ((F.col("word") == word) if word else F.lit(True)))
+    return signals.where(~drop)

@@ -206,3 +206,9 @@ def text_lengths(df: DataFrame) -> DataFrame:
     n = word_count("question")
     negative = comparable("question").rlike("\\b(not|except|nicht|pas|sauf|no)\\b")
     return df.select("case_id", n.cast("long").alias("words"), F.when(n <= 50, "short").when(n <= 150, "medium").otherwise("long").alias("bucket"), negative.alias("negative_stem"))
+
+
+def cap_groups(df: DataFrame, group: str, n: int) -> DataFrame:
+    """WN11: rows of the ``n`` groups that are seen first, by their smallest pos; a report's cap, not a sample."""
+    first = df.groupBy(group).agg(F.min("pos").alias("_first")).orderBy("_first", group).limit(n).select(group)
+    return df.join(first, group, "left_semi")

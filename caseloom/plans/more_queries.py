@@ -488,3 +488,64 @@ def _(s, d):
 def _(s, d):
     return contradictions.contradiction_keys(views.cases(s, d)).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("case_id").alias("first_id")).where("n > 1")
 
+
+
+FP_SQL = "fp_v AS (SELECT case_id, array_to_string(list_sort(list(substring(trim(lower(option_text)), 1, 30))), '|') AS fp FROM options_v GROUP BY case_id)"
+FPS = (CASES_SQL, OPTIONS_SQL, FP_SQL)
+
+
+@query(
+    "JN05_keys_by_prefix",
+    f"""SELECT c.case_id, coalesce(h.a, p.a) AS answer FROM (SELECT case_id, substring({NORM.format('question')}, 1, 60) AS head FROM cases_v) c LEFT JOIN fp_v USING (case_id)
+    LEFT JOIN (SELECT substring({NORM.format('question')}, 1, 60) AS head, arg_min(title, pos) AS a FROM cases_v WHERE case_id % 2 = 0 AND case_id IN (SELECT case_id FROM fp_v) GROUP BY 1) h USING (head)
+    LEFT JOIN (SELECT fp, arg_min(title, pos) AS a FROM cases_v JOIN fp_v USING (case_id) WHERE case_id % 2 = 0 AND fp <> '' GROUP BY fp) p USING (fp) WHERE coalesce(h.a, p.a) IS NOT NULL""",
+    FPS,
+)
+def _(s, d):
+    c = views.cases(s, d)
+    bank = keys.fingerprints(views.options(c))
+    raw = c.where("case_id % 2 = 0").join(bank, "case_id").select("question", "fp", F.col("title").alias("answer"), "pos")
+    return keys.recover_keys_by_prefix(c, bank, raw)
+
+
+@query(
+    "JN14_refill_stem",
+    """SELECT f.case_id, coalesce(e.q, l.q) AS question FROM (SELECT case_id, case_id % 3 AS year, fp FROM fp_v) f LEFT JOIN (SELECT case_id % 3 AS year, fp, arg_max(question, case_id) AS q FROM fp_v JOIN cases_v USING (case_id) WHERE case_id % 2 = 0 GROUP BY 1, 2) e USING (year, fp)
+    LEFT JOIN (SELECT fp, arg_max(question, case_id) AS q FROM fp_v JOIN cases_v USING (case_id) WHERE case_id % 2 = 0 GROUP BY fp) l USING (fp) WHERE coalesce(e.q, l.q) IS NOT NULL""",
+    FPS,
+)
+def _(s, d):
+    c = views.cases(s, d)
+    bank = keys.fingerprints(views.options(c)).withColumn("year", F.col("case_id") % 3)
+    raw = c.where("case_id % 2 = 0").select("case_id", "question", "pos").join(bank, "case_id").select("year", "fp", "question", "pos")
+    return keys.refill_stem(bank, raw)
+
+
+@query("WN11_cap_groups", "SELECT case_id, source FROM cases_v WHERE source IN (SELECT source FROM cases_v GROUP BY source ORDER BY min(pos), source LIMIT 5)")
+def _(s, d):
+    return report.cap_groups(views.cases(s, d), "source", 5).select("case_id", "source")
+
+
+X_CHECKS = [
+    ("answer_lead", "low", "regexp_matches(lower(rationale), '^\\s*(ans|answer|jawaban)\\s*[:.-]')"), ("reference", "low", "regexp_matches(lower(rationale), 'ref(erence)?s?\\s*[:.-]')"),
+    ("page_mark", "low", "regexp_matches(lower(rationale), 'pg\\.?\\s*(no\\.?)?\\s*[0-9]+')"), ("image_mark", "low", "regexp_matches(lower(rationale), '\\[(image|figure|img)')"),
+    ("markup", "medium", "regexp_matches(rationale, '</?[a-z]+[^>]*>')"), ("odd_symbols", "low", "regexp_matches(rationale, '[#*%$&]{3,}')"), ("mojibake", "medium", "regexp_matches(rationale, '[ÂÃ][^ ]')"),
+    ("no_title", "low", "trim(title) = ''"), ("no_narrative", "low", "trim(narrative) = ''"), ("no_confidence", "low", "confidence IS NULL"),
+]
+
+
+@query("QA17_deep_audit", union(X_CHECKS, "X").replace("agg_v", "cases_v"))
+def _(s, d):
+    return quality.deep_audit(views.cases(s, d))
+
+
+@query("SC12_category_pack", "SELECT case_id, bucket, array_to_string([category, 'X'], ',') AS allowed FROM (SELECT case_id, category, 'low' AS bucket FROM cases_v WHERE score < 30 UNION ALL SELECT case_id, category, 'even' FROM cases_v WHERE case_id % 2 = 0)")
+def _(s, d):
+    made = views.cases(s, d).select("case_id", "score", F.col("category").alias("raw"), F.lit("X").alias("resolved"), F.lit(None).cast("string").alias("runner_up"))
+    return quality.category_pack(made, {"low": "score < 30", "even": "case_id % 2 = 0"}).withColumn("allowed", F.array_join("allowed", ","))
+
+
+@query("SC02_suppress", "SELECT case_id, word FROM (SELECT case_id, unnest(string_split(NORMAL, ' ')) AS word FROM cases_v) WHERE word = 'of' GROUP BY case_id, word".replace("NORMAL", NORM.format("title")))
+def _(s, d):
+    hits = category.match_keywords(views.cases(s, d), {"keyword": "title"}, {"Alpha": ["the", "of"], "Beta": ["die"]})
+    return quality.suppress_signals(hits, [("keyword", "Alpha", "the"), ("keyword", "Beta", "")]).select("case_id", "word")
