@@ -328,32 +328,39 @@ def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     as far as it reaches. A document left without words goes; all columns stay, ``n_chars`` is counted
     anew where it is present. Rows without spans are untouched.
     """
-    columns = docs.columns
+    columns, kinds = docs.columns, dict(docs.dtypes)
     per_doc = spans.where("repeats_earlier").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cut"))
-    joined = docs.join(per_doc, "doc_id", "left")
-    clean = joined.where("_cut is null").select(*columns)
-    place = columns.index("text")
+    place, counted = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+
+    def shortened(text: bytes, ranges: list[dict]) -> str:
+        words = split_words([text])
+        keep = np.ones(len(text), bool)
+        for span in ranges:
+            if span["start"] < len(words.start):
+                stop = words.start[span["stop"]] if span["stop"] < len(words.start) else len(text)
+                keep[words.start[span["start"]] : stop] = False
+        return np.frombuffer(text, np.uint8)[keep].tobytes().strip().decode("utf-8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, ranges in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                words = split_words([text])
-                keep = np.ones(len(text) + 1, bool)
-                for span in ranges:
-                    if span["start"] >= len(words.start):
-                        continue
-                    stop = words.start[span["stop"]] if span["stop"] < len(words.start) else len(text)
-                    keep[words.start[span["start"]] : stop] = False
-                texts.append(np.frombuffer(text, np.uint8)[keep[:-1]].tobytes().strip())
-            left = pa.array(texts, pa.binary()).cast(pa.string())
-            rest = list(batch.columns[2:])
-            rest[place] = left
-            made = pa.RecordBatch.from_arrays(rest, names=columns)
-            yield made.filter(pa.array([bool(t) for t in texts], pa.bool_()))
-
-    kinds = dict(docs.dtypes)
-    touched = joined.where("_cut is not null").select(F.col("text").alias("_text"), "_cut", *columns).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
-    if "n_chars" in columns:
-        touched = touched.withColumn("n_chars", F.char_length("text").cast(kinds["n_chars"])).select(*columns)
-    return clean.unionByName(touched)
+            ranges = batch.column(len(columns)).to_pylist()
+            rest = list(batch.columns[: len(columns)])
+            touched = [k for k, r in enumerate(ranges) if r]
+            if touched:
+                texts = rest[place].to_pylist()
+                stay = np.ones(len(texts), bool)
+                for k in touched:
+                    texts[k] = shortened((texts[k] or "").encode("utf-8"), ranges[k])
+                    stay[k] = bool(texts[k])
+                rest[place] = pa.array(texts, pa.string())
+                if counted is not None:
+                    sizes = rest[counted].to_pylist()
+                    for k in touched:
+                        sizes[k] = len(texts[k])
+                    rest[counted] = pa.array(sizes, rest[counted].type)
+                yield pa.RecordBatch.from_arrays(rest, names=columns).filter(pa.array(stay))
+            else:
+                yield pa.RecordBatch.from_arrays(rest, names=columns)
+
+    # One pass over the joined rows: two filtered branches would shuffle the texts twice.
+    return docs.join(per_doc, "doc_id", "left").select(*columns, "_cut").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
