@@ -18,7 +18,7 @@ import numpy as np
 from .words import Words, _power, chunks
 
 #: Distinct runs remembered by a worker before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 _encoders: dict[str, RunEncoder] = {}
 

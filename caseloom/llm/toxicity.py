@@ -146,11 +146,17 @@ def train(sample: DataFrame, categories: list[str], folds: int = FOLDS, max_feat
     blobs = got["features"].to_pylist()
     order = sorted(range(len(blobs)), key=lambda k: (blobs[k], *(got[f"y_{c}"][k].as_py() for c in categories)))
     feats = [np.frombuffer(blobs[k], np.uint64) for k in order]
-    ys = [got[f"y_{c}"].to_numpy()[order].astype(float) if blobs else np.zeros(0) for c in categories]
-    weight = got["weight"].to_numpy()[order] if blobs else np.zeros(0)
+    ys = [got[f"y_{c}"].to_numpy()[order].astype(float) if len(order) else np.zeros(0) for c in categories]
+    weight = got["weight"].to_numpy()[order] if len(order) else np.zeros(0)
     n = len(feats)
     keys = np.concatenate(feats) if n else np.empty(0, np.uint64)
     rows = np.repeat(np.arange(n), [len(f) for f in feats]) if n else np.empty(0, int)
+    del feats, blobs
+    if n:  # what too few texts of the sample have is never chosen
+        _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
+        common = times[inverse] >= MIN_DOCS
+        keys, rows = keys[common], rows[common]
+        del inverse, times, common
     fold = np.arange(n) % folds
     kept = [_select(rows, keys, y, n, max_features) for y in ys]
     features = np.unique(np.concatenate(kept)) if kept else np.empty(0, np.uint64)

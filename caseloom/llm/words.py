@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CHUNK_BYTES = 2 << 20
+#: Text bytes worked on at once; arrays of eight bytes for each byte are made of them.
+CHUNK_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _powers: dict[str, np.ndarray] = {}
