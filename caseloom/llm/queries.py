@@ -10,7 +10,10 @@ from .oracles import ORACLE_SQL as _ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; one that comes as fewer pieces than there are cores (a small file) is spread over them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
