@@ -31,7 +31,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the smallest id. Rows without an id stay."""
-    found = ngram_join.ngram_components(docs)
+    """Of each component of near-duplicates (five words, 80 percent), the document with the smallest id. Rows without an id stay."""
+    found = ngram_join.ngram_components(docs, n=5, percent=80)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     return kept
