@@ -6,13 +6,15 @@ depend on content alone, so two copies of a passage keep the same ones. A
 passage of ``min_words`` words has a kept suffix within its first ``window``
 words, and at least ``head`` words of the passage follow it. Suffixes whose
 head occurs in one document only cannot match and are dropped by the counts.
-The others are sorted by what follows, neighbours are compared, and matches are
-extended to the right and to the left; each batch is also put in the order of
-what precedes, for neighbours that agree further to the left. Overlapping
-spans of a document are joined.
+The others are sorted by what follows. Where a head has few suffixes, each is
+compared with all the others, and matches are extended to the right and to the
+left. Where it has more, or where it may go on in the next partition, the
+suffixes are classed by each window of ``min_words`` words around the head, so
+that no match depends on a suffix's place in the order, and every window knows
+the smallest id that has it. Overlapping spans of a document are joined.
 
 Words are lower-cased (A-Z) runs between white space and compared by 32 bits of
-their hash. Null, empty and short texts have no spans. Repeated rows match each
+their hash, windows by 64. Null, empty and short texts have no spans. Repeated rows match each
 other when their ids differ; a null id takes no part.
 """
 
@@ -32,13 +34,13 @@ from .words import Words, chunks, mix, split_words
 MIN_WORDS = 50
 #: Words of a run, and runs in a window of which one is kept.
 RUN, WINDOW = 8, 16
-#: Neighbours of other documents compared on each side, in either order.
+#: Neighbours of other documents compared on each side: all of a head with NEAR + 1 suffixes. Larger heads go by windows.
 NEAR = 2
-#: Rows carried from one batch of sorted suffixes to the next.
-CARRY = 64
+#: Suffixes whose windows are worked out at once.
+ROWS = 8192
 
 _SUFFIXES = "head long, right binary, doc_id long, pos int, left binary"
-_SPANS = "doc_id long, start int, stop int, other long, edge binary"
+_SPANS = "doc_id long, start int, stop int, other long, window long"
 
 
 def _rolled(h: np.ndarray, n: int) -> np.ndarray:
@@ -176,29 +178,76 @@ def _near_pairs(doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def compare_neighbours(head, right, doc, pos, left, min_words: int) -> list[tuple[np.ndarray, ...]]:
     """Spans (doc, start, stop, other) of matches between neighbours of sorted suffixes."""
-    n = len(head)
     r, nr = _padded(right)
     lft, nl = _padded(left)
     spans = []
-    orders = [np.arange(n)]
-    if n > 1:
-        words = np.ascontiguousarray(lft.astype(">u4")).view(f"S{max(1, 4 * lft.shape[1])}").ravel() if lft.shape[1] else np.zeros(n, "S1")
-        orders.append(np.lexsort((words, head)))
-    for order in orders:
-        for a, b in _near_pairs(doc[order]):
-            a, b = order[a], order[b]
-            ok = head[a] == head[b]
-            a, b = a[ok], b[ok]
-            if not len(a):
-                continue
-            after, before = _common(r, nr, a, b), _common(lft, nl, a, b)
-            ok = after + before >= min_words
-            a, b, after, before = a[ok], b[ok], after[ok], before[ok]
-            spans.append((doc[a], pos[a] - before, pos[a] + after, doc[b]))
-            spans.append((doc[b], pos[b] - before, pos[b] + after, doc[a]))
+    for a, b in _near_pairs(doc):
+        ok = head[a] == head[b]
+        a, b = a[ok], b[ok]
+        if not len(a):
+            continue
+        after, before = _common(r, nr, a, b), _common(lft, nl, a, b)
+        ok = after + before >= min_words
+        a, b, after, before = a[ok], b[ok], after[ok], before[ok]
+        spans.append((doc[a], pos[a] - before, pos[a] + after, doc[b]))
+        spans.append((doc[b], pos[b] - before, pos[b] + after, doc[a]))
     return spans
 
 
+def windows_around(right: list[bytes], left: list[bytes], min_words: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, words before the suffix, hash) of each window of ``min_words`` words that holds a row's head."""
+    factor = np.uint64(0x9FB21C651E98DF25)
+    away = np.uint64(pow(0x9FB21C651E98DF25, min_words, 1 << 64))
+    found = []
+    for at in range(0, len(right), ROWS):
+        r, nr = _padded(right[at : at + ROWS])
+        lft, nl = _padded(left[at : at + ROWS])
+        back = min(window - 1, lft.shape[1])
+        line = mix(np.concatenate([lft[:, :back][:, ::-1], r], axis=1).astype(np.uint64) + np.uint64(1))
+        sums = np.zeros((len(line), line.shape[1] + 1), np.uint64)
+        for k in range(line.shape[1]):
+            sums[:, k + 1] = sums[:, k] * factor + line[:, k]
+        for before in range(back + 1):
+            start = back - before
+            if start + min_words > line.shape[1]:
+                continue
+            rows = np.flatnonzero((nl >= before) & (nr >= min_words - before))
+            value = mix(sums[rows, start + min_words] - sums[rows, start] * away)
+            found.append((rows + at, np.full(len(rows), before), value.view(np.int64)))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+
+def two_smallest(value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, smallest id of each, next id, whether there is a next)."""
+    order = np.lexsort((doc, value))
+    v, d = value[order], doc[order]
+    fresh = np.ones(len(v), bool)
+    fresh[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
+    v, d = v[fresh], d[fresh]
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
+    second = np.minimum(first + 1, len(v) - 1)
+    return v[first], d[first], d[second], (second > first) & (v[second] == v[first])
+
+
+def class_spans(value: np.ndarray, doc: np.ndarray, start: np.ndarray, min_words: int) -> list[tuple[np.ndarray, ...]]:
+    """Spans (doc, start, stop, other) of all windows that two documents have, with the smallest other document."""
+    values, least, next_, shared = two_smallest(value, doc)
+    k = np.searchsorted(values, value)
+    ok = shared[k]
+    k, doc, start = k[ok], doc[ok], start[ok]
+    other = np.where(least[k] == doc, next_[k], least[k])
+    # Windows in a row with the same partner are one span.
+    order = np.lexsort((start, other, doc))
+    doc, start, other = doc[order], start[order], other[order]
+    opens = np.ones(len(doc), bool)
+    opens[1:] = (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]) | (start[1:] > start[:-1] + 1)
+    first = np.flatnonzero(opens)
+    last = np.concatenate([first[1:], [len(doc)]]) - 1 if len(first) else first
+    return [(doc[first], start[first], start[last] + min_words, other[first])]
+
+
 def _span_batch(spans: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
     if not spans:
         return None
@@ -209,58 +258,91 @@ def _span_batch(spans: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
     fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]) | (stop[1:] != stop[:-1])
     doc, start, stop, other = doc[fresh], start[fresh], stop[fresh], other[fresh]
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(other, pa.int64()), pa.nulls(len(doc), pa.binary())],
-        names=["doc_id", "start", "stop", "other", "edge"],
+        [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(other, pa.int64()), pa.nulls(len(doc), pa.int64())],
+        names=["doc_id", "start", "stop", "other", "window"],
     )
 
 
 def raw_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, stop (words), other: matches of at least ``min_words`` words, not yet joined."""
-    import pickle
+    """doc_id, start, stop (words), other: matches of at least ``min_words`` words, not yet joined.
+
+    Each window that repeats comes with the smallest id among the other documents that have it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, seen, opening, last = [], 0, [], []
+        names = ["head", "right", "doc_id", "pos", "left"]
+        kept: list[pa.RecordBatch] = []
+        opened = False
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-            if not rows:
+            if not batch.num_rows:
                 continue
-            if len(opening) < CARRY:
-                opening += rows[: CARRY - len(opening)]
-            last = (last + rows)[-CARRY:]
-            both = carry + rows
-            seen += len(rows)
-            made = _span_batch(_compare_rows(both, min_words))
-            if made is not None:
-                yield made
-            carry = both[-CARRY:]
-        if seen:
-            ends = pickle.dumps((opening, last if seen > CARRY else []))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())] + [pa.array([ends], pa.binary())],
-                names=["doc_id", "start", "stop", "other", "edge"],
-            )
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Compare the ends of neighbouring partitions: a few rows each."""
-        ends = [pickle.loads(b) for batch in batches for b in batch.column(0).to_pylist()]
-        rows = sorted({row for pair in ends for part in pair for row in part}, key=lambda x: (x[0], x[1], x[2], x[3]))
-        made = _span_batch(_compare_rows(rows, min_words))
+            heads = batch.column(0).to_numpy()
+            at = int(np.searchsorted(heads, heads[-1], side="left"))
+            # The last head may go on; so may the first one of the partition, in the partition before.
+            if at or (kept and kept[0].column(0)[0].as_py() != heads[-1]):
+                table = pa.Table.from_batches([*kept, batch.slice(0, at)]).select(names)
+                yield from whole(table, not opened)
+                opened = True
+                kept = [batch.slice(at)]
+            else:
+                kept.append(batch)
+        if kept:
+            yield from still_open(pa.Table.from_batches(kept).select(names))
+
+    def columns(table: pa.Table):
+        return table["head"].to_numpy(), table["right"].to_pylist(), table["doc_id"].to_numpy(), table["pos"].to_numpy().astype(np.int64), table["left"].to_pylist()
+
+    def whole(table: pa.Table, opens: bool) -> Iterator[pa.RecordBatch]:
+        """Spans of heads that end in ``table``; where the partition begins here, its first head is left open."""
+        if opens and table.num_rows:
+            end = int(np.searchsorted(table["head"].to_numpy(), table["head"][0].as_py(), side="right"))
+            yield from still_open(table.slice(0, end))
+            table = table.slice(end)
+        if table.num_rows < 2:
+            return
+        heads = table["head"].to_numpy()
+        _, number, times = np.unique(heads, return_inverse=True, return_counts=True)
+        few = times[number] <= NEAR + 1
+        spans = compare_neighbours(*columns(table.filter(pa.array(few & (times[number] > 1)))), min_words)
+        many = table.filter(pa.array(~few))
+        if many.num_rows:
+            _, right, doc, pos, left = columns(many)
+            row, before, value = windows_around(right, left, min_words)
+            spans += class_spans(value, doc[row], pos[row] - before, min_words)
+        made = _span_batch(spans)
         if made is not None:
             yield made
 
+    def still_open(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Windows of suffixes whose head may go on elsewhere (stop set), and the ids that this partition has of each (stop null)."""
+        _, right, doc, pos, left = columns(table)
+        row, before, value = windows_around(right, left, min_words)
+        values, least, next_, more = two_smallest(value, doc[row])
+        n, m = len(row), len(values)
+        start = pos[row] - before
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([doc[row], least]), pa.int64()),
+                pa.array(np.concatenate([start, np.zeros(m, np.int64)]), pa.int32()),
+                pa.array(np.concatenate([start + min_words, np.zeros(m, np.int64)]), pa.int32(), mask=np.arange(n + m) >= n),
+                pa.array(np.concatenate([np.zeros(n, np.int64), next_]), pa.int64(), mask=np.concatenate([np.ones(n, bool), ~more])),
+                pa.array(np.concatenate([value, values]), pa.int64()),
+            ],
+            names=["doc_id", "start", "stop", "other", "window"],
+        )
+
     order = ["head", "right", "doc_id", "pos"]
     table = suffix_table(docs, min_words)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut(table.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _SPANS), "spans")
-    ends = found.where("edge is not null").select("edge").repartition(1).mapInArrow(across, _SPANS)
-    return found.where("edge is null").unionByName(ends).select("doc_id", "start", "stop", "other")
-
-
-def _compare_rows(rows: list[tuple], min_words: int) -> list[tuple[np.ndarray, ...]]:
-    if len(rows) < 2:
-        return []
-    head, right, doc, pos, left = zip(*rows)
-    return compare_neighbours(np.array(head, np.int64), list(right), np.array(doc, np.int64), np.array(pos, np.int64), list(left), min_words)
+    # A partition has two open heads at most, and one row a window of theirs.
+    ids = F.slice(F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.array("doc_id", "other")))))), 1, 2)
+    classes = found.where("window is not null and stop is null").groupBy("window").agg(ids.alias("ids")).where("size(ids) = 2")
+    classes = cut(classes, "classes")  # so that its size is known: where it is small, the windows need no shuffle here
+    other = F.when(F.col("ids")[0] == F.col("doc_id"), F.col("ids")[1]).otherwise(F.col("ids")[0])
+    across = found.where("window is not null and stop is not null").drop("other").join(classes, "window").withColumn("other", other)
+    columns_ = ["doc_id", "start", "stop", "other"]
+    return found.where("window is null").select(*columns_).unionByName(across.select(*columns_))
 
 
 JOINED = "doc_id long, start int, stop int, n_words int, other long, repeats_earlier boolean"
