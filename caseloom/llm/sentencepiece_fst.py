@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .token_ids import Remembering
-from .words import Words, _power
+from .words import Words, hash_ranges
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -344,14 +344,8 @@ class Encoder(Remembering):
         begins[1:n] |= line[:-1]
         start = np.flatnonzero(begins[:n])
         stop = np.append(start[1:], n)[: len(start)]
-        up, _ = _power(n + 2)
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((raw[:n].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
         per_text = np.diff(np.concatenate([[0], np.searchsorted(start, ends)]))
-        out = Words(np.empty(0, np.uint64), start, stop, per_text, ends - lengths, raw, sums)
-        out.hash = out.range_hash(start, stop)
-        return out
+        return Words(hash_ranges(raw, start, stop), start, stop, per_text, ends - lengths, raw)
 
     def encode_runs(self, words: Words, new: np.ndarray) -> list[np.ndarray]:
         blob = words.raw.tobytes()

@@ -1,9 +1,9 @@
 """Ids of whole texts by a tokenizer that drops white space and splits at it.
 
-A text is cut into runs that the tokenizer treats on their own; runs are told
-apart by 64-bit hashes of their bytes, each distinct run is encoded once and
-its ids are remembered, and the ids of all texts of a chunk are gathered with
-numpy. A run is a stretch between blanks. It is cut further where letters (a-z
+A text is cut into runs that the tokenizer treats on their own; each distinct
+run is encoded once and its ids are remembered, and the ids of all texts of a
+chunk are gathered with numpy. A remembered run is found by a hash and then
+compared byte by byte; one that differs, or is very long, is encoded by itself. A run is a stretch between blanks. It is cut further where letters (a-z
 and Latin-1, lower-cased) meet other ASCII characters, unless it holds an
 apostrophe, ``<|`` or any other character: there, contractions, added tokens
 and combining marks could span the cut.
@@ -15,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .words import Words, _power, chunks
+from .words import Words, chunks, hash_ranges, same_bytes
 
 #: Distinct runs remembered by a worker before it starts afresh.
 REMEMBERED = 500_000
+#: Longer runs are not remembered.
+LONGEST = 1024
 
 _encoders: dict[str, RunEncoder] = {}
 
@@ -55,15 +57,10 @@ def _runs(texts: list[bytes]) -> Words:
     stops = np.concatenate([edge[1:], [n]])
     real = kinds > 0
     start, end, kinds = edge[real], stops[real], kinds[real]
-    up, _ = _power(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     ends = np.cumsum(lengths)
     per_text = np.diff(np.concatenate([[0], np.searchsorted(start, ends)]))
-    out = Words(np.empty(0, np.uint64), start, end, per_text, ends - lengths, raw, sums)
-    out.hash = out.range_hash(start, end)
+    out = Words(hash_ranges(raw, start, end), start, end, per_text, ends - lengths, raw)
     out.kinds = kinds
     return out
 
@@ -79,6 +76,9 @@ class Remembering:
         self.at = np.empty(0, np.int64)
         self.size = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
+        self.spelled = np.empty(0, np.uint8)
+        self.spelled_at = np.empty(0, np.int64)
+        self.spelled_size = np.empty(0, np.int64)
 
     def runs(self, texts: list[bytes]) -> Words:
         raise NotImplementedError
@@ -87,25 +87,38 @@ class Remembering:
         """Ids of the runs numbered ``new``."""
         raise NotImplementedError
 
-    def _number(self, words: Words) -> np.ndarray:
-        """For each run its place among the remembered ones."""
-        uniq, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+    def _remembered(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the remembered runs, whether it is this very run) for each run."""
+        length = words.end - words.start
+        short = length <= LONGEST
+        place, same = np.zeros(len(length), np.int64), np.zeros(len(length), bool)
+        if not short.any():
+            return place, same
+        chosen = np.flatnonzero(short)
+        uniq, first, inverse = np.unique(words.hash[chosen], return_index=True, return_inverse=True)
         if len(self.keys) + len(uniq) > REMEMBERED:
             self.forget()
         at = np.searchsorted(self.keys, uniq)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == uniq[known]
-        new = first[~known]
+        new = chosen[first[~known]]
         if len(new):
             parts = self.encode_runs(words, new)
             sizes = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-            place = at[~known]
-            self.keys = np.insert(self.keys, place, uniq[~known])
-            self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(sizes) - sizes)
-            self.size = np.insert(self.size, place, sizes)
+            where, own = at[~known], length[new]
+            self.keys = np.insert(self.keys, where, uniq[~known])
+            self.at = np.insert(self.at, where, len(self.ids) + np.cumsum(sizes) - sizes)
+            self.size = np.insert(self.size, where, sizes)
+            self.spelled_at = np.insert(self.spelled_at, where, len(self.spelled) + np.cumsum(own) - own)
+            self.spelled_size = np.insert(self.spelled_size, where, own)
             self.ids = np.concatenate([self.ids, *parts])
+            ends = np.cumsum(own)
+            self.spelled = np.concatenate([self.spelled, words.raw[np.repeat(words.start[new] - (ends - own), own) + np.arange(int(ends[-1]))]])
             at = np.searchsorted(self.keys, uniq)
-        return at[inverse]
+        place[chosen] = at[inverse]
+        fits = chosen[self.spelled_size[place[chosen]] == length[chosen]]
+        same[fits] = same_bytes(words.raw, words.start[fits], length[fits], self.spelled, self.spelled_at[place[fits]])
+        return place, same
 
     def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """uint32 ids of each text, in order."""
@@ -114,10 +127,18 @@ class Remembering:
             if not len(words.start):
                 yield from (np.empty(0, np.uint32) for _ in part)
                 continue
-            number = self._number(words)
-            size = self.size[number]
+            place, same = self._remembered(words)
+            alone = np.flatnonzero(~same)
+            at, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+            at[same], size[same] = self.at[place[same]], self.size[place[same]]
+            known = self.ids
+            if len(alone):
+                parts = self.encode_runs(words, alone)
+                size[alone] = [len(p) for p in parts]
+                at[alone] = len(known) + np.cumsum(size[alone]) - size[alone]
+                known = np.concatenate([known, *parts])
             ends = np.cumsum(size)
-            ids = self.ids[np.repeat(self.at[number] - (ends - size), size) + np.arange(int(ends[-1]))]
+            ids = known[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]))]
             bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words.per_text)])]
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 yield ids[a:b]

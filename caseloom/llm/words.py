@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-#: Text bytes worked on at once; arrays of eight bytes for each byte are made of them.
+#: Text bytes worked on at once; arrays of eight bytes for each word are made of them.
 CHUNK_BYTES = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes of a range that are hashed eight at a time; longer ranges go through BLAKE2.
+LANE_BYTES = 256
 _MASK = (1 << 64) - 1
-_powers: dict[str, np.ndarray] = {}
+_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -24,15 +26,42 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, np.uint64(base), dtype=np.uint64)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of ``raw`` on as one number; zeros follow its end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+
+
+def hash_ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges; ranges of one length up to eight bytes never share one."""
+    size = end - start
+    h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    view = lanes(raw)
+    todo = np.flatnonzero(size <= LANE_BYTES)
+    at = 0
+    while len(todo):
+        rest = size[todo] - at
+        lane = view[start[todo] + at] & _TAIL[np.minimum(rest, 8)]
+        h[todo] = mix(h[todo] ^ (lane + np.uint64(at)))
+        todo = todo[rest > 8]
+        at += 8
+    for k in np.flatnonzero(size > LANE_BYTES):
+        h[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_bytes(raw: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, other_start: np.ndarray) -> np.ndarray:
+    """Whether ranges of ``size`` bytes of the two arrays are equal, byte by byte."""
+    same = np.ones(len(start), bool)
+    x, y = lanes(raw), lanes(other)
+    todo, at = np.arange(len(start)), 0
+    while len(todo):
+        rest = size[todo] - at
+        differ = ((x[start[todo] + at] ^ y[other_start[todo] + at]) & _TAIL[np.clip(rest, 0, 8)]) != 0
+        same[todo[differ]] = False
+        todo = todo[~differ & (rest > 8)]
+        at += 8
+    return same
 
 
 @dataclass
@@ -45,12 +74,10 @@ class Words:
     per_text: np.ndarray
     text_start: np.ndarray
     raw: np.ndarray
-    sums: np.ndarray
 
     def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of arbitrary byte ranges of ``raw``."""
-        down = _powers["down"]
-        return mix((self.sums[end] - self.sums[start]) * down[start] + (end - start).astype(np.uint64))
+        return hash_ranges(self.raw, start, end)
 
 
 def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -87,17 +114,11 @@ def split_words(texts: list[bytes], letters_only: bool = False) -> Words:
     if len(inside) and inside[0]:
         edge = np.concatenate([[0], edge])
     start, end = edge[0::2], edge[1::2]
-    up, down = _power(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     stops = np.cumsum(lengths)
     upto = np.searchsorted(start, stops)
     per_text = np.diff(np.concatenate([[0], upto]))
-    out = Words(np.empty(0, np.uint64), start, end, per_text, stops - lengths, raw, sums)
-    out.hash = out.range_hash(start, end)
-    return out
+    return Words(hash_ranges(raw, start, end), start, end, per_text, stops - lengths, raw)
 
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
