@@ -13,6 +13,7 @@ high, never too low; users treat it as a filter or an order, not as proof.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,9 +24,12 @@ from pyspark.sql import functions as F
 
 from .words import Words, chunks, split_words
 
-#: Text bytes in a block, and keys in a fragment, on average.
-BLOCK_BYTES = 2 << 20
-FRAGMENT_KEYS = 1 << 20
+#: Text bytes in a block, and keys in a fragment, on average: the least, and the most that a worker's memory takes.
+#: Between them both grow with the root of the input, as messages are blocks times fragments.
+BLOCK_BYTES = (2 << 20, 64 << 20)
+FRAGMENT_KEYS = (1 << 20, 32 << 20)
+#: Input, in bytes, up to which blocks and fragments are smallest.
+SMALL = 8 << 30
 EXACT = 200
 
 
@@ -39,9 +43,11 @@ def plan(docs: DataFrame, keys_per_byte: float) -> Sizes:
     """Numbers of blocks and fragments for these documents."""
     row = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     size = (row["bytes"] or 0) + 1
-    blocks = max(1, -(-size // BLOCK_BYTES), -(-row["rows"] // 16384))
-    fragments = max(32, int(size * keys_per_byte) // FRAGMENT_KEYS)
-    return Sizes(blocks, min(16, (fragments - 1).bit_length()))
+    grown = math.sqrt(max(1.0, size / SMALL))
+    block, keys = (min(int(least * grown), most) for least, most in (BLOCK_BYTES, FRAGMENT_KEYS))
+    blocks = max(1, -(-size // block), -(-row["rows"] // (block // 128)))
+    fragments = max(32, int(size * keys_per_byte) // keys)
+    return Sizes(blocks, min(32, (fragments - 1).bit_length()))
 
 
 def dealt(docs: DataFrame, sizes: Sizes) -> DataFrame:

@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .ngram_join import _forest
 from .scratch import cut
 from .vectors import k_means, matrix, sample, squared_distances, takes_part, unit
 
@@ -112,6 +111,27 @@ def _visits(rows: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
     return rows.mapInArrow(run, "rep long, grp long, copies long, v array<double>, cells array<int>")
 
 
+def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what ``links`` connects; no more edges than documents."""
+    edges: list[tuple[int, int]] = []
+    todo_left = np.ones(len(left), bool)
+    todo_right = links.any(axis=0)
+    for k in range(len(left)):
+        if not todo_left[k]:
+            continue
+        todo_left[k] = False
+        front = links[k] & todo_right
+        root = int(left[k])
+        while front.any():
+            todo_right &= ~front
+            edges += [(root, int(x)) for x in right[front]]
+            back = links[:, front].any(axis=1) & todo_left
+            todo_left &= ~back
+            edges += [(root, int(x)) for x in left[back]]
+            front = (links[back].any(axis=0) & todo_right) if back.any() else np.zeros(len(right), bool)
+    return [(a, b) for a, b in edges if a != b]
+
+
 def _block_links(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         out_id, out_n, out_a, out_b = [], [], [], []

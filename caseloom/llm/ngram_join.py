@@ -1,50 +1,61 @@
 """Similarity self-join of documents on word n-grams by vertical partitioning.
 
 The global order of n-grams goes from rare to frequent, by document frequencies
-counted over all documents. Documents that cannot reach the threshold because
-too many of their n-grams occur nowhere else leave at once. The others meet
-where the first n-grams of their ordered sets (as many as the threshold
-requires) coincide, and the connected groups of such meetings bound where links
-can be. Equal sets are one representative. Within a group, pairs of blocks of
-documents are worked off independently: the order is cut into fragments,
-each fragment's partial overlaps are counted, and the counts are summed per
-pair, until the pair is exact. Pairs are counted in place and never emitted; a
-block pair returns a spanning forest of its links.
+counted over all documents; n-grams of one document count for its size only.
+The order is cut into fragments, the same for all documents: a document's set
+becomes one segment a fragment. For pairs that may link, each fragment counts
+its partial overlap on its own, and the partial counts are summed per pair.
+
+Pairs that may link meet where the first n-grams of their ordered sets (as many
+as the threshold requires) coincide. Documents of equal words are one
+representative. Among the documents that meet at an n-gram, all are first
+paired with one of them, the anchor, and linked documents become one class;
+only classes that still meet are paired again. So a group of near copies costs
+a pair a document and not a pair of each two. At last all pairs of different
+classes that still meet are counted, but those that sizes, places in the order,
+or the distances to the anchor (Jaccard distance obeys the triangle inequality)
+rule out. No link between classes is lost, whatever the groups.
+
+Links found on hashes are verified on the words of the texts.
 
 Null and empty texts have empty sets and link with nothing; equal sets of
 different rows always link. Repeated ids are one document in the result's
 components and a row each in the result. A row with a null id keeps its count,
-has a null component and links with nothing.
+has a null component and links with nothing. Other columns, whatever their
+names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
 from .components import components
-from .scratch import cut
-from .words import shingles
+from .scratch import cut, discard
+from .words import shingles, split_words
 
-#: Documents, and n-grams of documents, on one side of a block pair.
-SIDE_DOCS = 1024
-SIDE_GRAMS = 1 << 20
-#: n-grams of a fragment while partial overlaps are counted.
-FRAGMENT = 4096
+#: Where the global order is cut: at the first n-gram of these frequency classes, and half-way through the first class.
+CUTS = (2, 3, 5, 17, 65)
+#: Rows that meet one anchor in a task's group, and bytes of a task's groups, on average.
+ANCHOR_ROWS, CELL_BYTES = 2048, 4 << 20
+#: Pairs left for the last step for each n-gram of a prefix, beyond which another round of anchors comes first.
+PAIRS_PER_ENTRY = 2
+ROUNDS = 6
 
 
-def linked(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+def linked(overlap, a, b, percent: int):
     """100 * intersection >= percent * union, in whole numbers."""
     return 100 * overlap >= percent * (a + b - overlap)
 
 
 def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_grams; and, where a link is possible, set_key, grams in global order, prefix."""
+    """doc_id, n_grams; and, where a link is possible, words_key, prefix (n-gram, place in the order), segments, body (the text, compressed)."""
 
     def extract(words):
         return (*shingles(words, n), None)
@@ -57,129 +68,194 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         key, doc, cls = keys.key[part], keys.doc[part], classes[part]
         order = np.lexsort((key, cls, doc))
         key, doc, cls = key[order], doc[order], cls[order]
+        fragment = 2 * np.searchsorted(CUTS, cls, side="right") + ((cls == CUTS[0]) & (key >= np.uint64(1 << 63)))
         cuts = np.searchsorted(doc, np.arange(len(doc_ids) + 1))
-        set_key, grams, prefix = [], [], []
+        words_key, prefix, segments, body = [], [], [], []
         for k in range(len(doc_ids)):
             if not alive[k] or doc_ids[k] is None:
-                set_key.append(None), grams.append(None), prefix.append(None)
+                words_key.append(None), prefix.append(None), segments.append(None), body.append(None)
                 continue
-            own, c = key[cuts[k] : cuts[k + 1]], cls[cuts[k] : cuts[k + 1]]
+            a, b = cuts[k], cuts[k + 1]
+            own, c, f = key[a:b], cls[a:b], fragment[a:b]
             first = len(own) - -(-percent * len(own) // 100) + 1
-            set_key.append(hashlib.md5(np.sort(own).tobytes()).digest())
-            grams.append(own.tobytes())
-            prefix.append(own[:first][c[:first] >= 2].view(np.int64))
-        return pa.table(
-            {
-                "doc_id": pa.array(doc_ids, pa.int64()),
-                "n_grams": pa.array(count, pa.int64()),
-                "set_key": pa.array(set_key, pa.binary()),
-                "grams": pa.array(grams, pa.binary()),
-                "prefix": pa.array(prefix, pa.list_(pa.int64())),
-            }
-        )
-
-    schema = "doc_id long, n_grams long, set_key binary, grams binary, prefix array<long>"
-    empty = pa.schema([("doc_id", pa.int64()), ("n_grams", pa.int64()), ("set_key", pa.binary()), ("grams", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-    return blocks.with_frequencies(docs, blocks.plan(docs, 0.2), extract, finish, schema, empty)
-
-
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Overlap of every left set with every right set, summed over fragments of the order."""
-    grams = np.concatenate(left + right)
-    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
-    _, column, times = np.unique(grams, return_inverse=True, return_counts=True)
-    shared = times[column] >= 2
-    number = np.cumsum(times >= 2) - 1
-    column, owner = number[column[shared]], owner[shared]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    total = np.zeros((len(left), len(right)), dtype=np.float64)
-    width = int(column[-1]) + 1 if len(column) else 0
-    for lo in range(0, width, FRAGMENT):
-        a, b = np.searchsorted(column, [lo, lo + FRAGMENT])
-        part = np.zeros((len(left) + len(right), min(FRAGMENT, width - lo)), dtype=np.float32)
-        part[owner[a:b], column[a:b] - lo] = 1
-        total += part[: len(left)] @ part[len(left) :].T
-    return total
-
-
-def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect what ``links`` connects; no more edges than documents."""
-    edges: list[tuple[int, int]] = []
-    todo_left = np.ones(len(left), bool)
-    todo_right = links.any(axis=0)
-    for k in range(len(left)):
-        if not todo_left[k]:
-            continue
-        todo_left[k] = False
-        front = links[k] & todo_right
-        root = int(left[k])
-        while front.any():
-            todo_right &= ~front
-            edges += [(root, int(x)) for x in right[front]]
-            back = links[:, front].any(axis=1) & todo_left
-            todo_left &= ~back
-            edges += [(root, int(x)) for x in left[back]]
-            front = (links[back].any(axis=0) & todo_right) if back.any() else np.zeros(len(right), bool)
-    return [(a, b) for a, b in edges if a != b]
-
-
-def links_within(groups: DataFrame, percent: int, cells: int) -> DataFrame:
-    """Spanning links (a, b) from rows (grp, doc_id, n_grams, grams) of documents that may link.
-
-    ``cells``: batches among which groups of one block pair are dealt.
+            body.append(zlib.compress(texts[k], 1))
+            words_key.append(hashlib.blake2b(b" ".join(texts[k].lower().split()), digest_size=16).digest())
+            at = np.flatnonzero(c[:first] >= 2)
+            prefix.append([{"gram": g, "place": i} for g, i in zip(own[at].view(np.int64).tolist(), at.tolist())])
+            lo = int(np.searchsorted(c, 2))
+            edges = [lo, *(lo + 1 + np.flatnonzero(f[lo + 1 :] != f[lo:-1])).tolist(), b - a] if lo < b - a else []
+            segments.append([{"fragment": int(f[x]), "grams": own[x:y].tobytes()} for x, y in zip(edges[:-1], edges[1:])])
+        return pa.table([doc_ids, count, words_key, prefix, segments, body], schema=_SETS)
+
+    return blocks.with_frequencies(docs, blocks.plan(docs, 0.2), extract, finish, _SETS_SQL, _SETS)
+
+
+_SETS_SQL = "doc_id long, n_grams long, words_key binary, prefix array<struct<gram:long,place:int>>, segments array<struct<fragment:int,grams:binary>>, body binary"
+_SETS = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("n_grams", pa.int64()),
+        ("words_key", pa.binary()),
+        ("prefix", pa.list_(pa.struct([("gram", pa.int64()), ("place", pa.int32())]))),
+        ("segments", pa.list_(pa.struct([("fragment", pa.int32()), ("grams", pa.binary())]))),
+        ("body", pa.binary()),
+    ]
+)
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """By sizes, and by what can still follow the first common n-gram in either order."""
+    nx, ny, px, py = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.place"), F.col(f"{y}.place")
+    sizes = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
+    rest = F.least(nx - px, ny - py)
+    return sizes & (rest * (100 + percent) >= (nx + ny) * percent)
+
+
+def anchored(cells: DataFrame, blob: str, count, size: int) -> DataFrame:
+    """Run ``count(ids of x, blobs of x, blob of the anchor)`` for the rows (a, x, fragment, blob) that meet an anchor.
+
+    ``cells``: rows (a, x or null for the anchor itself, fragment, side, blob), ``size``: about their bytes. Returns (x, a, part), zeros left out.
+    Rows of one anchor are on as many sides as bound them; sides of many anchors share a task's group.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("grp", "ascending"), ("doc_id", "ascending")])
-        grp, side = table["grp"].to_numpy(), table["side"].to_numpy()
-        i, j = table["i"].to_numpy(), table["j"].to_numpy()
-        ids = table["doc_id"].to_numpy()
-        grams = [np.frombuffer(b, np.uint64) for b in table["grams"].to_pylist()]
-        out: list[tuple[int, int]] = []
-        cuts = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1], [True]]))
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            mine = np.arange(lo, hi)
-            left, right = (mine, mine) if i[lo] == j[lo] else (mine[side[mine] == i[lo]], mine[side[mine] == j[lo]])
-            if not len(left) or not len(right):
-                continue
-            got = _overlaps([grams[k] for k in left], [grams[k] for k in right])
-            sizes = np.array([len(g) for g in grams[lo:hi]], dtype=np.float64)
-            ok = linked(got, sizes[left - lo][:, None], sizes[right - lo][None, :], percent)
-            out += _forest(ok, ids[left], ids[right])
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("t"))
-    sides = F.greatest(F.ceil(F.col("m") / F.lit(SIDE_DOCS)), F.ceil(F.col("t") / F.lit(SIDE_GRAMS))).cast("int")
-    rows = (
-        groups.join(sizes.where("m > 1").select("grp", sides.alias("sides")), "grp")
-        .withColumn("side", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("sides")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-        .withColumn("i", F.least("side", "other").cast("int"))
-        .withColumn("j", F.greatest("side", "other").cast("int"))
-    )
-    # Groups of one block share a task by hash; a block pair of a larger group is a task's group of its own.
-    cell = F.when(F.col("sides") == 1, F.pmod(F.xxhash64(F.lit(5), "grp"), F.lit(cells))).otherwise(F.xxhash64(F.lit(5), "grp", "i", "j"))
-    return rows.select(cell.alias("cell"), "grp", "i", "j", "side", "doc_id", "grams").groupBy("cell").applyInArrow(run, "a long, b long")
+        table = table.sort_by([("fragment", "ascending"), ("a", "ascending"), ("side", "ascending"), ("x", "ascending")])
+        a, side, fragment = (table[c].to_numpy() for c in ("a", "side", "fragment"))
+        cuts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (side[1:] != side[:-1]) | (fragment[1:] != fragment[:-1]), [True]]))
+        x, blobs = table["x"].to_pylist(), table[blob].to_pylist()
+        out: list[list] = [[], [], []]
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = [k for k in range(lo, hi) if x[k] is None]  # nulls sort last
+            rows = range(lo, hi - len(own))
+            if own and rows:
+                got = count([blobs[k] for k in rows], [blobs[k] for k in own])
+                for k, v in zip(rows, got):
+                    if v:
+                        out[0].append(x[k]), out[1].append(int(a[lo])), out[2].append(int(v))
+        return pa.table({"x": pa.array(out[0], pa.int64()), "a": pa.array(out[1], pa.int64()), "part": pa.array(out[2], pa.int64())})
+
+    cell = F.pmod(F.xxhash64("a", "side", "fragment"), F.lit(max(8, size // CELL_BYTES)))
+    return cells.withColumn("cell", cell).groupBy("cell").applyInArrow(run, "x long, a long, part long")
+
+
+def with_anchors(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, x, side, columns of ``rows``) for both ends of pairs (x, a); the anchor's own row (x null) once a side. ``rows`` has ``row``."""
+    sides = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(ANCHOR_ROWS)).cast("int").alias("sides")), "anchors")
+    met = pairs.join(sides, "a").select("a", "x", F.pmod(F.xxhash64(F.lit(3), "x"), F.col("sides")).cast("int").alias("side"), F.col("x").alias("row"))
+    own = sides.select("a", F.lit(None).cast("long").alias("x"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.col("a").alias("row"))
+    return met.unionByName(own).join(rows, "row").drop("row")
+
+
+def count_overlaps(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(x, a, overlap) of pairs (x, a): partial counts of every fragment, summed per pair."""
 
+    def count(blobs: list[bytes], own: list[bytes]) -> np.ndarray:
+        anchor = np.sort(np.frombuffer(own[0], np.uint64))
+        grams = np.frombuffer(b"".join(blobs), np.uint64)
+        found = anchor[np.minimum(np.searchsorted(anchor, grams), len(anchor) - 1)] == grams
+        return np.bincount(np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs]), weights=found, minlength=len(blobs))
 
-def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    segments = with_anchors(pairs, reps.select("row", "segments")).select("a", "x", "side", F.explode("segments").alias("s"))
+    cells = segments.select("a", "x", "side", F.col("s.fragment").alias("fragment"), F.col("s.grams").alias("grams"))
+    size = reps.agg(F.sum("n_grams")).first()[0] or 0
+    partial = anchored(cells, "grams", count, 8 * size)
+    return partial.groupBy("x", "a").agg(F.sum("part").alias("overlap"))
+
+
+def verified(links: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those links (x, a) that hold on the words of the texts."""
+
+    def grams(body: bytes) -> set[tuple[bytes, ...]]:
+        found = split_words([zlib.decompress(body)])
+        low = found.raw.tobytes()
+        words = [low[s:e] for s, e in zip(found.start.tolist(), found.end.tolist())]
+        return set(zip(*(words[k:] for k in range(n)))) if len(words) >= n else {tuple(words)} - {()}
+
+    def count(bodies: list[bytes], own: list[bytes]) -> list[int]:
+        anchor = grams(own[0])
+        return [int(linked(len(mine & anchor), len(mine), len(anchor), percent)) for mine in map(grams, bodies)]
+
+    cells = with_anchors(links, reps.select("row", "body")).withColumn("fragment", F.lit(0))
+    size = reps.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    return anchored(cells, "body", count, 3 * size).select("x", "a")
+
+
+def _with_anchor(entries: DataFrame, seed: int) -> DataFrame:
+    """Entries x with the anchor y of their n-gram, where that is of another class."""
+    anchor = F.min(F.struct(F.xxhash64(F.lit(seed), "row").alias("h"), "row", "n", "place", "class")).alias("y")
+    anchors = entries.groupBy("gram").agg(anchor, F.count(F.lit(1)).alias("m")).where("m > 1").select("gram", "y")
+    return entries.alias("x").join(anchors, "gram").where("x.class <> y.class")
+
+
+def near_links(alive: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (x, a) between rows that connect all rows that link. ``alive``: row, n_grams, prefix, segments, body."""
+    first = alive.select("row", F.col("n_grams").alias("n"), F.explode("prefix").alias("p"))
+    entries = cut(first.select(F.col("p.gram").alias("gram"), "row", "n", F.col("p.place").alias("place"), F.col("row").alias("class")), "entries")
+    reps = known = links = None
+    for turn in range(ROUNDS + 1):
+        per_gram = entries.groupBy("gram", "class").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
+        mixed = cut(per_gram.where("m * m > own").select("gram", "m", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")), "mixed")
+        size = mixed.agg(F.sum("pairs"), F.sum("m")).first()
+        if not size[0]:
+            break
+        entries = _replaced(entries, entries.join(mixed.select("gram"), "gram").select(*entries.columns), "entries")
+        discard(mixed)
+        if reps is None:  # rows that meet no other leave here
+            reps = cut(alive.join(entries.select("row").distinct(), "row", "left_semi").select("row", "n_grams", "segments", "body"), "reps")
+        last = turn > 0 and (size[0] <= PAIRS_PER_ENTRY * size[1] or turn == ROUNDS)
+        if last:
+            pairs = _all_pairs(entries, known, percent)
+        else:
+            pairs = _with_anchor(entries, turn).where(may_link("x", "y", percent)).select(F.col("x.row").alias("x"), F.col("y.row").alias("a")).distinct()
+        pairs = cut(pairs, "pairs")
+        sizes = reps.select(F.col("row"), F.col("n_grams").alias("n"))
+        counted = count_overlaps(pairs, reps).join(sizes.toDF("x", "nx"), "x").join(sizes.toDF("a", "na"), "a")
+        counted = cut(counted, "overlaps")
+        known = counted if known is None else known.unionByName(counted)
+        found = cut(verified(counted.where(linked(F.col("overlap"), F.col("nx"), F.col("na"), percent)).select("x", "a"), reps, n, percent), "near")
+        links = found if links is None else links.unionByName(found)
+        discard(pairs)
+        if last:
+            break
+        classes = components(links.toDF("a", "b")).toDF("row", "component")
+        entries = _replaced(entries, entries.join(classes, "row", "left").select("gram", "row", "n", "place", F.coalesce("component", "row").alias("class")), "entries")
+    for table in (entries, reps):
+        discard(table)
+    return links if links is not None else alive.select(F.col("row").alias("x"), F.col("row").alias("a")).where("false")
+
+
+def _replaced(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    new = cut(new, name)
+    discard(old)
+    return new
+
+
+def _all_pairs(entries: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different classes that meet, but those ruled out."""
+    # Distance to the first round's anchor of the n-gram, where it was counted.
+    anchor = F.min(F.struct(F.xxhash64(F.lit(0), "row").alias("h"), F.col("row").alias("id"))).alias("y")
+    anchors = entries.groupBy("gram").agg(anchor).select("gram", F.col("y.id").alias("a"))
+    distance = known.select(F.col("x").alias("row"), "a", (1 - F.col("overlap") / (F.col("nx") + F.col("na") - F.col("overlap"))).alias("d")).dropDuplicates(["row", "a"])
+    near = entries.join(anchors, "gram").join(distance, ["row", "a"], "left").withColumn("d", F.when(F.col("row") == F.col("a"), 0.0).otherwise(F.col("d")))
+    near = near.select("gram", "row", "n", "place", "class", "d")
+    apart = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) > 1 - percent / 100 + 1e-9, F.lit(False))
+    met = near.alias("x").join(near.alias("y"), F.col("x.gram") == F.col("y.gram"))
+    met = met.where((F.col("x.class") != F.col("y.class")) & (F.col("x.row") < F.col("y.row")) & ~apart & may_link("x", "y", percent))
+    return met.select(F.col("x.row").alias("x"), F.col("y.row").alias("a")).distinct()
+
+
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
-    sets = cut(document_sets(docs, n, percent), "sets")
-    alive = sets.where("set_key is not null")
-    classes = alive.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    member = cut(alive.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep"), "members")
-    # Of a repeated id only one row can stand for a class; equal rows hold equal sets.
-    reps = cut(
-        alive.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"]).select("doc_id", "n_grams", "grams", "prefix"), "reps"
-    )
-    first = reps.select("doc_id", F.explode("prefix").alias("gram"))
-    anchors = first.groupBy("gram").agg(F.min("doc_id").alias("anchor"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "anchor")
-    meetings = first.join(anchors, "gram").where("doc_id <> anchor").select(F.col("doc_id").alias("a"), F.col("anchor").alias("b")).distinct()
-    groups = components(meetings).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "grp")
-    links = links_within(reps.select("doc_id", "n_grams", "grams").join(groups, "doc_id"), percent, max(256, reps.count() // 64))
-    same = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(same)).withColumnRenamed("node", "doc_id")
+    sets = cut(document_sets(docs, n, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
+    alive = sets.where("words_key is not null")
+    classes = alive.groupBy("words_key").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    # Written out, so that the join below can be split where one text has very many copies.
+    classes = cut(classes.select("words_key", "rep"), "classes")
+    same = cut(alive.select("doc_id", "row", "words_key").join(classes, "words_key").where("row <> rep.row").select("row", F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("b")), "same")
+    near = near_links(alive.join(same.select("row"), "row", "left_anti"), n, percent)
+    ids = alive.select("row", "doc_id")
+    near = near.join(ids.toDF("x", "b"), "x").join(ids.toDF("a", "c"), "a").select(F.col("b").alias("a"), F.col("c").alias("b"))
+    found = components(near.unionByName(same.select("a", "b"))).withColumnRenamed("node", "doc_id")
     return sets.select("doc_id", F.col("n_grams").alias("n_shingles")).join(found, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )

@@ -48,7 +48,7 @@ def sets(texts, n):
 
 def test_ngram_join(spark, corpus):
     got = {}
-    for r in ngram_join.ngram_components(documents(spark, corpus)).collect():
+    for r in ngram_join.ngram_components(documents(spark, corpus), n=4, percent=85).collect():
         got.setdefault(r.doc_id, []).append(r)
     own = sets(corpus, 4)
     parent = {k: k for k in own}
@@ -70,7 +70,7 @@ def test_ngram_join(spark, corpus):
 def test_ngram_join_empty_and_null_ids(spark):
     empty = documents(spark, ["x"]).where("false")
     assert ngram_join.ngram_components(empty).count() == 0
-    rows = ngram_join.ngram_components(documents(spark, [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")])).collect()
+    rows = ngram_join.ngram_components(n=4, percent=85, docs=documents(spark, [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")])).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.n_shingles) for r in rows) == [(-1, -1, 3), (-1, -1, 3), (3, 3, 3)]
 
 
