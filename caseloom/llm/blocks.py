@@ -6,7 +6,8 @@ the key space into equal ranges; a fragment adds the counts up and answers each
 block with one byte a key. So a key costs a block one entry however many of its
 documents hold it, and no key makes a task large. Keys travel in packed arrays.
 
-The byte is the frequency up to 200 and then grows with its logarithm. Keys are
+The byte is the frequency up to 200 and then grows with its logarithm; it is
+over 200 also where documents of one block repeat the key so often. Keys are
 told apart by 32 bits within their fragment, so a rare frequency may be too
 high, never too low; users treat it as a filter or an order, not as proof.
 """
@@ -31,10 +32,13 @@ FRAGMENT_KEYS = (1 << 20, 32 << 20)
 #: Input, in bytes, up to which blocks and fragments are smallest.
 SMALL = 8 << 30
 EXACT = 200
+#: Mark of a key that a block has in more than EXACT places.
+OFTEN = 1 << 15
 
 
 @dataclass
 class Sizes:
+    bytes: int
     blocks: int
     log_fragments: int
 
@@ -47,7 +51,7 @@ def plan(docs: DataFrame, keys_per_byte: float) -> Sizes:
     block, keys = (min(int(least * grown), most) for least, most in (BLOCK_BYTES, FRAGMENT_KEYS))
     blocks = max(1, -(-size // block), -(-row["rows"] // (block // 128)))
     fragments = max(32, int(size * keys_per_byte) // keys)
-    return Sizes(blocks, min(32, (fragments - 1).bit_length()))
+    return Sizes(size, blocks, min(32, (fragments - 1).bit_length()))
 
 
 def dealt(docs: DataFrame, sizes: Sizes) -> DataFrame:
@@ -62,6 +66,11 @@ def frequency_class(df: np.ndarray) -> np.ndarray:
     return np.where(df <= EXACT, df, EXACT + np.minimum(55, np.ceil(4 * np.log2(over)))).astype(np.uint8)
 
 
+def documents_of(cls: np.ndarray) -> np.ndarray:
+    """About how many documents a class stands for."""
+    return np.where(cls <= EXACT, cls, EXACT * 2.0 ** ((cls.astype(float) - EXACT) / 4))
+
+
 @dataclass
 class Keys:
     """Distinct (key, document) pairs of a block, in order of key, then document."""
@@ -72,6 +81,8 @@ class Keys:
     code: np.ndarray
     codes: np.ndarray
     code_docs: np.ndarray
+    #: Whether more than EXACT places of the block have it.
+    code_often: np.ndarray
     extra: np.ndarray | None = None
 
 
@@ -89,7 +100,8 @@ def keys_of(key: np.ndarray, doc: np.ndarray, log_fragments: int, extra: np.ndar
     start = np.ones(len(code), bool)
     start[1:] = code[1:] != code[:-1]
     number = np.cumsum(start) - 1
-    return Keys(key, doc, number, code[start], np.bincount(number[fresh], minlength=int(start.sum())), extra)
+    codes = int(start.sum())
+    return Keys(key, doc, number, code[start], np.bincount(number[fresh], minlength=codes), np.bincount(number, minlength=codes) > EXACT, extra)
 
 
 Extract = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
@@ -139,7 +151,7 @@ def with_frequencies(
         fragment = (keys.codes >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(fragment, np.arange((1 << log_fragments) + 1))
         low = keys.codes.astype(np.uint32)
-        held = np.minimum(keys.code_docs, 65535).astype(np.uint16)
+        held = (np.minimum(keys.code_docs, OFTEN - 1) + OFTEN * keys.code_often).astype(np.uint16)
         there = np.flatnonzero(np.diff(cuts))
         return pa.table(
             {
@@ -154,7 +166,9 @@ def with_frequencies(
         codes = [np.frombuffer(b, np.uint32) for b in table["codes"].to_pylist()]
         held = np.concatenate([np.frombuffer(b, np.uint16) for b in table["held"].to_pylist()])
         _, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-        classes = frequency_class(np.bincount(inverse, weights=held))[inverse]
+        documents = np.bincount(inverse, weights=held % OFTEN)
+        often = (np.bincount(inverse, weights=held // OFTEN) > 0) & (documents > 1)
+        classes = np.maximum(frequency_class(documents), np.where(often, EXACT + 1, 0)).astype(np.uint8)[inverse]
         ends = np.cumsum([len(c) for c in codes])
         said = [classes[e - len(c) : e].tobytes() for c, e in zip(codes, ends)]
         return pa.table({"block": table["block"], "fragment": table["fragment"], "classes": pa.array(said, pa.binary())})

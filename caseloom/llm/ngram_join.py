@@ -9,8 +9,9 @@ its partial overlap on its own, and the partial counts are summed per pair.
 Pairs that may link meet where the first n-grams of their ordered sets (as many
 as the threshold requires) coincide. Documents of equal words are one
 representative. Among the documents that meet at an n-gram, all are first
-paired with one of them, the anchor, and linked documents become one class;
-only classes that still meet are paired again. So a group of near copies costs
+paired with one of them, the anchor (a document takes the first anchor of its
+n-grams, in an order by hash), and linked documents become one class; only
+classes that still meet are paired again. So a group of near copies costs
 a pair a document and not a pair of each two. At last all pairs of different
 classes that still meet are counted, but those that sizes, places in the order,
 or the distances to the anchor (Jaccard distance obeys the triangle inequality)
@@ -45,8 +46,8 @@ CUTS = (2, 3, 5, 17, 65)
 #: Rows that meet one anchor in a task's group, and bytes of a task's groups, on average.
 ANCHOR_ROWS, CELL_BYTES = 2048, 4 << 20
 #: Pairs left for the last step for each n-gram of a prefix, beyond which another round of anchors comes first.
-PAIRS_PER_ENTRY = 2
-ROUNDS = 6
+PAIRS_PER_ENTRY = 16
+ROUNDS = 4
 
 
 def linked(overlap, a, b, percent: int):
@@ -206,7 +207,8 @@ def near_links(alive: DataFrame, n: int, percent: int) -> DataFrame:
         if last:
             pairs = _all_pairs(entries, known, percent)
         else:
-            pairs = _with_anchor(entries, turn).where(may_link("x", "y", percent)).select(F.col("x.row").alias("x"), F.col("y.row").alias("a")).distinct()
+            met = _with_anchor(entries, turn).where(may_link("x", "y", percent)).groupBy(F.col("x.row").alias("x"))
+            pairs = met.agg(F.min(F.struct("y.h", "y.row")).alias("y")).select("x", F.col("y.row").alias("a"))
         pairs = cut(pairs, "pairs")
         sizes = reps.select(F.col("row"), F.col("n_grams").alias("n"))
         counted = count_overlaps(pairs, reps).join(sizes.toDF("x", "nx"), "x").join(sizes.toDF("a", "na"), "a")

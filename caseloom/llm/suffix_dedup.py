@@ -7,15 +7,20 @@ passage of ``min_words`` words has a kept suffix within its first ``window``
 words, and at least ``head`` words of the passage follow it. Suffixes whose
 head occurs in one document only cannot match and are dropped by the counts.
 The others are sorted by what follows. Where a head has few suffixes, each is
-compared with all the others, and matches are extended to the right and to the
-left. Where it has more, or where it may go on in the next partition, the
-suffixes are classed by each window of ``min_words`` words around the head, so
-that no match depends on a suffix's place in the order, and every window knows
-the smallest id that has it. Overlapping spans of a document are joined.
+compared with its neighbours, and matches are extended to the right and to the
+left. Where it has more, its suffixes are classed by each window of
+``min_words`` words around the head, so that no match depends on a suffix's
+place in the order, and every window knows the smallest id that has it. Heads
+of more than 200 documents are dealt into blocks by document; blocks tell
+fragments of the windows which ids they have, and hear which windows others
+have too. So a head makes no task large. Overlapping spans are joined.
 
 Words are lower-cased (A-Z) runs between white space and compared by 32 bits of
-their hash, windows by 64. Null, empty and short texts have no spans. Repeated rows match each
-other when their ids differ; a null id takes no part.
+their hash (a span could be a word too long once in 2^32 spans), windows by 64.
+Null, empty and short texts have no spans; an empty table gives no rows. Other
+columns are ignored. Repeated rows match each other when their ids differ.
+Different texts that share an id are documents of their own, and count as later
+than all others; equal rows of one id are one document. A null id takes no part.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
+from .rows import fresh, numbered, shared_ids, text_key
 from .scratch import cut
 from .words import Words, chunks, mix, split_words
 
@@ -38,9 +44,18 @@ RUN, WINDOW = 8, 16
 NEAR = 2
 #: Suffixes whose windows are worked out at once.
 ROWS = 8192
+#: Bytes of text whose suffixes of rarer heads share a task's group, on average.
+CELL_BYTES = 1 << 20
+#: Documents in a block of a frequent head: the least, and this many times the root of all its documents.
+BLOCK_DOCS, ROOTS = 256, 16
 
-_SUFFIXES = "head long, right binary, doc_id long, pos int, left binary"
-_SPANS = "doc_id long, start int, stop int, other long, window long"
+_SUFFIXES = "cell long, head long, right binary, doc_id long, pos int, left binary, parts int"
+_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
+_NAMES = ["cell", "head", "right", "doc_id", "pos", "left", "parts"]
+_FOUND = "doc_id long, start int, stop int, other long, block long, fragment long, packed binary"
+_FOUND_SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("other", pa.int64()), ("block", pa.int64()), ("fragment", pa.int64()), ("packed", pa.binary())]
+)
 
 
 def _rolled(h: np.ndarray, n: int) -> np.ndarray:
@@ -76,7 +91,8 @@ def kept_suffixes(words: Words, min_words: int, head: int) -> tuple[np.ndarray,
         return none
     first = np.cumsum(count) - count
     runs = _rolled(h, RUN)
-    value = (runs & ~np.uint64((1 << 22) - 1)) | (np.arange(len(runs), dtype=np.uint64) & np.uint64((1 << 22) - 1))
+    # The leftmost of the smallest: 32 bits of the hash, then the place.
+    value = (runs >> np.uint64(32) << np.uint64(32)) | np.arange(len(runs), dtype=np.uint64)
     size = 1
     while size < WINDOW:
         value = np.minimum(value[: len(value) - size], value[size:])
@@ -86,9 +102,7 @@ def kept_suffixes(words: Words, min_words: int, head: int) -> tuple[np.ndarray,
     np.add.at(step, first[long], 1)
     np.add.at(step, (first + count - (RUN + WINDOW - 2))[long], -1)
     valid = np.cumsum(step[:-1])[: len(value)] > 0
-    at = np.flatnonzero(valid)
-    low = (value[at] & np.uint64((1 << 22) - 1)).astype(np.int64)
-    picked = np.unique((at & ~((1 << 22) - 1)) | low)
+    picked = np.unique((value[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64))
     text = np.searchsorted(first, picked, side="right") - 1
     # An empty text shares its first word with the next; take the one that has words.
     fits = picked + head <= first[text] + count[text]
@@ -97,9 +111,14 @@ def kept_suffixes(words: Words, min_words: int, head: int) -> tuple[np.ndarray,
 
 
 def suffix_table(docs: DataFrame, min_words: int, window: int = WINDOW) -> DataFrame:
-    """Suffixes whose head occurs in two documents, with what follows and what precedes."""
+    """Suffixes whose head occurs in two documents, with what follows and what precedes, and the group that compares them.
+
+    ``cell`` is negative for the blocks of a frequent head, which has ``parts`` of them.
+    """
     head = min_words - window + 1
     right, left = head + window + 2, window + 2
+    sizes = blocks.plan(docs, 0.03)
+    cells = np.uint64(max(1, sizes.bytes // CELL_BYTES))
 
     def extract(words):
         return kept_suffixes(words, min_words, head)
@@ -110,8 +129,12 @@ def suffix_table(docs: DataFrame, min_words: int, window: int = WINDOW) -> DataF
         known = np.array([d is not None for d in doc_ids], bool)
         key, doc, pos = keys.key[good], keys.doc[good], keys.extra[good] if keys.extra is not None else np.empty(0, np.int64)
         order = np.argsort(doc, kind="stable")
-        key, doc, pos = key[order], doc[order], pos[order]
-        out = [[], [], [], [], []]
+        key, doc, pos, cls = key[order], doc[order], pos[order], classes[good][order]
+        shared = blocks.documents_of(cls)
+        parts = np.where(cls > blocks.EXACT, np.ceil(shared / np.maximum(BLOCK_DOCS, ROOTS * np.sqrt(shared))), 0).astype(np.int64)
+        dealt = mix(ids[doc].view(np.uint64)) % np.maximum(parts, 1).astype(np.uint64) + (pos >> 16).astype(np.uint64) * np.uint64(1 << 32)
+        cell = np.where(parts > 0, -(mix(key ^ mix(dealt)) >> np.uint64(1)).astype(np.int64) - 1, (key % cells).astype(np.int64))
+        out: list[list] = [[] for _ in _NAMES]
         cuts = np.searchsorted(doc, np.arange(len(doc_ids) + 1))
         for first, part in chunks(texts):
             part_cuts = cuts[first : first + len(part) + 1]
@@ -127,19 +150,17 @@ def suffix_table(docs: DataFrame, min_words: int, window: int = WINDOW) -> DataF
                 own = small[base[k] : base[k] + words.per_text[k]]
                 back = own[::-1]
                 n = len(own)
-                for p, h in zip(pos[a:b].tolist(), key[a:b].view(np.int64).tolist()):
-                    out[0].append(h)
-                    out[1].append(own[p : p + right].tobytes())
-                    out[2].append(int(ids[first + k]))
-                    out[3].append(p)
-                    out[4].append(back[n - p : n - p + left].tobytes())
-        return pa.table([pa.array(c, t) for c, t in zip(out, _TYPES)], names=["head", "right", "doc_id", "pos", "left"])
-
-    empty = pa.schema(list(zip(["head", "right", "doc_id", "pos", "left"], _TYPES)))
-    return blocks.with_frequencies(docs, blocks.plan(docs, 0.03), extract, finish, _SUFFIXES, empty)
+                where = pos[a:b].tolist()
+                out[0] += cell[a:b].tolist()
+                out[1] += key[a:b].view(np.int64).tolist()
+                out[2] += [own[p : p + right].tobytes() for p in where]
+                out[3] += [int(ids[first + k])] * (b - a)
+                out[4] += where
+                out[5] += [back[n - p : n - p + left].tobytes() for p in where]
+                out[6] += parts[a:b].tolist()
+        return pa.table([pa.array(c, t) for c, t in zip(out, _TYPES)], names=_NAMES)
 
-
-_TYPES = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+    return blocks.with_frequencies(docs, sizes, extract, finish, _SUFFIXES, pa.schema(list(zip(_NAMES, _TYPES))))
 
 
 def _padded(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -231,11 +252,16 @@ def two_smallest(value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return v[first], d[first], d[second], (second > first) & (v[second] == v[first])
 
 
-def class_spans(value: np.ndarray, doc: np.ndarray, start: np.ndarray, min_words: int) -> list[tuple[np.ndarray, ...]]:
-    """Spans (doc, start, stop, other) of all windows that two documents have, with the smallest other document."""
-    values, least, next_, shared = two_smallest(value, doc)
-    k = np.searchsorted(values, value)
-    ok = shared[k]
+def class_spans(value: np.ndarray, doc: np.ndarray, start: np.ndarray, min_words: int, classes) -> list[tuple[np.ndarray, ...]]:
+    """Spans (doc, start, stop, other) of all windows that two documents have, with the smallest other document.
+
+    ``classes``: distinct values in order, smallest id, next id, whether there is a next.
+    """
+    values, least, next_, shared = classes
+    if not len(values):
+        return []
+    k = np.minimum(np.searchsorted(values, value), len(values) - 1)
+    ok = shared[k] & (values[k] == value)
     k, doc, start = k[ok], doc[ok], start[ok]
     other = np.where(least[k] == doc, next_[k], least[k])
     # Windows in a row with the same partner are one span.
@@ -248,19 +274,17 @@ def class_spans(value: np.ndarray, doc: np.ndarray, start: np.ndarray, min_words
     return [(doc[first], start[first], start[last] + min_words, other[first])]
 
 
-def _span_batch(spans: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
+def _span_table(spans: list[tuple[np.ndarray, ...]]) -> pa.Table:
+    """Of spans from one place the longest, with its smallest partner."""
     if not spans:
-        return None
+        return _FOUND_SCHEMA.empty_table()
     doc, start, stop, other = (np.concatenate([s[k] for s in spans]) for k in range(4))
     order = np.lexsort((other, -stop, start, doc))
     doc, start, stop, other = doc[order], start[order], stop[order], other[order]
-    fresh = np.ones(len(doc), bool)  # the longest from each start, with its smallest partner
-    fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]) | (stop[1:] != stop[:-1])
-    doc, start, stop, other = doc[fresh], start[fresh], stop[fresh], other[fresh]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(other, pa.int64()), pa.nulls(len(doc), pa.int64())],
-        names=["doc_id", "start", "stop", "other", "window"],
-    )
+    first = np.ones(len(doc), bool)
+    first[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]) | (stop[1:] != stop[:-1])
+    n = int(first.sum())
+    return pa.table([doc[first], start[first].astype(np.int32), stop[first].astype(np.int32), other[first], *(pa.nulls(n, t) for t in _FOUND_SCHEMA.types[4:])], schema=_FOUND_SCHEMA)
 
 
 def raw_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -269,80 +293,76 @@ def raw_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Each window that repeats comes with the smallest id among the other documents that have it.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["head", "right", "doc_id", "pos", "left"]
-        kept: list[pa.RecordBatch] = []
-        opened = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            heads = batch.column(0).to_numpy()
-            at = int(np.searchsorted(heads, heads[-1], side="left"))
-            # The last head may go on; so may the first one of the partition, in the partition before.
-            if at or (kept and kept[0].column(0)[0].as_py() != heads[-1]):
-                table = pa.Table.from_batches([*kept, batch.slice(0, at)]).select(names)
-                yield from whole(table, not opened)
-                opened = True
-                kept = [batch.slice(at)]
-            else:
-                kept.append(batch)
-        if kept:
-            yield from still_open(pa.Table.from_batches(kept).select(names))
-
-    def columns(table: pa.Table):
-        return table["head"].to_numpy(), table["right"].to_pylist(), table["doc_id"].to_numpy(), table["pos"].to_numpy().astype(np.int64), table["left"].to_pylist()
-
-    def whole(table: pa.Table, opens: bool) -> Iterator[pa.RecordBatch]:
-        """Spans of heads that end in ``table``; where the partition begins here, its first head is left open."""
-        if opens and table.num_rows:
-            end = int(np.searchsorted(table["head"].to_numpy(), table["head"][0].as_py(), side="right"))
-            yield from still_open(table.slice(0, end))
-            table = table.slice(end)
-        if table.num_rows < 2:
-            return
-        heads = table["head"].to_numpy()
-        _, number, times = np.unique(heads, return_inverse=True, return_counts=True)
+    def compare(table: pa.Table) -> pa.Table:
+        """Spans of the rarer heads of a cell; of a block of a frequent head, its windows and what it tells the fragments."""
+        table = table.sort_by([(c, "ascending") for c in ("head", "right", "doc_id", "pos")])
+        if table["cell"][0].as_py() < 0:
+            return tell(table)
+        _, number, times = np.unique(table["head"].to_numpy(), return_inverse=True, return_counts=True)
         few = times[number] <= NEAR + 1
-        spans = compare_neighbours(*columns(table.filter(pa.array(few & (times[number] > 1)))), min_words)
+        part = table.filter(pa.array(few & (times[number] > 1)))
+        spans = compare_neighbours(*columns(part), min_words) if part.num_rows else []
         many = table.filter(pa.array(~few))
         if many.num_rows:
             _, right, doc, pos, left = columns(many)
             row, before, value = windows_around(right, left, min_words)
-            spans += class_spans(value, doc[row], pos[row] - before, min_words)
-        made = _span_batch(spans)
-        if made is not None:
-            yield made
-
-    def still_open(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Windows of suffixes whose head may go on elsewhere (stop set), and the ids that this partition has of each (stop null)."""
-        _, right, doc, pos, left = columns(table)
+            spans += class_spans(value, doc[row], pos[row] - before, min_words, two_smallest(value, doc[row]))
+        return _span_table(spans)
+
+    def columns(table: pa.Table):
+        return table["head"].to_numpy(), table["right"].to_pylist(), table["doc_id"].to_numpy(), table["pos"].to_numpy().astype(np.int64), table["left"].to_pylist()
+
+    def tell(table: pa.Table) -> pa.Table:
+        block = table["cell"][0].as_py()
+        head, right, doc, pos, left = columns(table)
         row, before, value = windows_around(right, left, min_words)
-        values, least, next_, more = two_smallest(value, doc[row])
-        n, m = len(row), len(values)
-        start = pos[row] - before
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([doc[row], least]), pa.int64()),
-                pa.array(np.concatenate([start, np.zeros(m, np.int64)]), pa.int32()),
-                pa.array(np.concatenate([start + min_words, np.zeros(m, np.int64)]), pa.int32(), mask=np.arange(n + m) >= n),
-                pa.array(np.concatenate([np.zeros(n, np.int64), next_]), pa.int64(), mask=np.concatenate([np.ones(n, bool), ~more])),
-                pa.array(np.concatenate([value, values]), pa.int64()),
-            ],
-            names=["doc_id", "start", "stop", "other", "window"],
-        )
-
-    order = ["head", "right", "doc_id", "pos"]
-    table = suffix_table(docs, min_words)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(table.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _SPANS), "spans")
-    # A partition has two open heads at most, and one row a window of theirs.
-    ids = F.slice(F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.array("doc_id", "other")))))), 1, 2)
-    classes = found.where("window is not null and stop is null").groupBy("window").agg(ids.alias("ids")).where("size(ids) = 2")
-    classes = cut(classes, "classes")  # so that its size is known: where it is small, the windows need no shuffle here
-    other = F.when(F.col("ids")[0] == F.col("doc_id"), F.col("ids")[1]).otherwise(F.col("ids")[0])
-    across = found.where("window is not null and stop is not null").drop("other").join(classes, "window").withColumn("other", other)
-    columns_ = ["doc_id", "start", "stop", "other"]
-    return found.where("window is null").select(*columns_).unionByName(across.select(*columns_))
+        if not len(row):
+            return _FOUND_SCHEMA.empty_table()
+        doc_, start = doc[row], pos[row] - before
+        values, least, next_, more = two_smallest(value, doc_)
+        _, at = np.unique(value, return_index=True)
+        parts = table["parts"].to_numpy()[row[at]].astype(np.uint64)
+        fragment = mix(head[row[at]].view(np.uint64) + values.view(np.uint64) % parts).view(np.int64)
+        order = np.argsort(fragment, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(fragment[order]) != 0, [True]]))
+        next_ = np.where(more, next_, least)
+        packed = [np.array([doc_, start, value]).tobytes()]
+        packed += [np.array([values[order[a:b]], least[order[a:b]], next_[order[a:b]]]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        n = len(packed)
+        fragments = pa.array([None, *fragment[order[cuts[:-1]]].tolist()], pa.int64())
+        return pa.table([*(pa.nulls(n, t) for t in _FOUND_SCHEMA.types[:4]), pa.array([block] * n), fragments, pa.array(packed, pa.binary())], schema=_FOUND_SCHEMA)
+
+    def unpacked(blob: bytes) -> np.ndarray:
+        return np.frombuffer(blob, np.int64).reshape(3, -1)
+
+    def answer(table: pa.Table) -> pa.Table:
+        told = [unpacked(b) for b in table["packed"].to_pylist()]
+        every = np.concatenate(told, axis=1)
+        values, least, next_, more = two_smallest(np.concatenate([every[0], every[0]]), np.concatenate([every[1], every[2]]))
+        out = []
+        for t in told:
+            k = np.searchsorted(values, t[0])
+            k = k[more[k]]
+            out.append(np.array([values[k], least[k], next_[k]]).tobytes())
+        return pa.table({"block": table["block"], "packed": pa.array(out, pa.binary())})
+
+    def close(table: pa.Table, answers: pa.Table) -> pa.Table:
+        spans = []
+        if table.num_rows and answers.num_rows:
+            heard = np.concatenate([unpacked(b) for b in answers["packed"].to_pylist()], axis=1)
+            heard = heard[:, np.argsort(heard[0], kind="stable")]
+            classes = heard[0], heard[1], heard[2], np.ones(heard.shape[1], bool)
+            for blob in table["packed"].to_pylist():
+                doc, start, value = unpacked(blob)
+                spans += class_spans(value, doc, start, min_words, classes)
+        return _span_table(spans)
+
+    found = cut(suffix_table(docs, min_words).groupBy("cell").applyInArrow(compare, _FOUND), "suffixes")
+    said = found.where("fragment is not null").select("block", "fragment", "packed").groupBy("fragment").applyInArrow(answer, "block long, packed binary")
+    own = found.where("block is not null and fragment is null").select("block", "packed")
+    closed = own.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(close, _FOUND)
+    names = ["doc_id", "start", "stop", "other"]
+    return found.where("block is null").select(*names).unionByName(closed.select(*names))
 
 
 JOINED = "doc_id long, start int, stop int, n_words int, other long, repeats_earlier boolean"
@@ -399,19 +419,32 @@ def joined_spans(spans: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All repeated passages of ``docs`` (doc_id, text), as word ranges of their documents."""
-    return joined_spans(raw_spans(docs, min_words))
+    """All repeated passages of ``docs`` (doc_id, text), as word ranges of their documents.
+
+    ``text_key`` tells which text is meant where different texts share the id, and is null elsewhere.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = shared_ids(docs)
+    if shared is None:
+        return joined_spans(raw_spans(docs, min_words)).withColumn("text_key", F.lit(None).cast("long"))
+    rows = numbered(docs, shared, "row")
+    names = cut(rows.where("row <> doc_id").select("row", F.col("doc_id").alias("id"), text_key().alias("text_key")).distinct(), "row-names")
+    spans = joined_spans(raw_spans(rows.select(F.col("row").alias("doc_id"), "text"), min_words))
+    other = names.select(F.col("row").alias("other"), F.col("id").alias("other_id"))
+    spans = spans.join(names.withColumnRenamed("row", "doc_id"), "doc_id", "left").join(other, "other", "left")
+    return spans.select(F.coalesce("id", "doc_id").alias("doc_id"), "start", "stop", "n_words", F.coalesce("other_id", "other").alias("other"), "repeats_earlier", "text_key")
 
 
 def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` without the passages that repeat an earlier document.
 
-    Rows that share an id are taken for one document: its spans apply to each,
-    as far as it reaches. A document left without words goes; all columns stay, ``n_chars`` is counted
-    anew where it is present. Rows without spans are untouched.
+    Spans with a ``text_key`` apply to rows of that text only. A document left
+    without words goes; all columns stay, ``n_chars`` is counted anew where it
+    is present. Rows without spans are untouched.
     """
     columns, kinds = docs.columns, dict(docs.dtypes)
-    per_doc = spans.where("repeats_earlier").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cut"))
+    names = [fresh(n, columns) for n in ("cut_id", "cut_text", "cut_spans")]
+    per_doc = spans.where("repeats_earlier").groupBy(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1])).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(names[2]))
     place, counted = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def shortened(text: bytes, ranges: list[dict]) -> str:
@@ -445,4 +478,5 @@ def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(rest, names=columns)
 
     # One pass over the joined rows: two filtered branches would shuffle the texts twice.
-    return docs.join(per_doc, "doc_id", "left").select(*columns, "_cut").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    meant = (F.col("doc_id").cast("long") == F.col(names[0])) & (F.col(names[1]).isNull() | (F.col(names[1]) == text_key()))
+    return docs.join(per_doc, meant, "left").select(*columns, names[2]).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))

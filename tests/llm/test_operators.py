@@ -96,7 +96,7 @@ def test_suffix_dedup(spark, corpus):
             assert s.other < s.doc_id
     for k in words:
         assert (got[k] == truth[k]).all(), k
-    kept = {r.doc_id: r for r in suffix_dedup.cut_repeats(docs, spark.createDataFrame(spans)).collect()}
+    kept = {r.doc_id: r for r in suffix_dedup.cut_repeats(docs, spark.createDataFrame(spans, suffix_dedup.JOINED + ", text_key long")).collect()}
     assert kept[0].text is None and kept[10].text == texts[10] and kept[10].n_chars == len(texts[10])
     assert 11 not in kept  # an exact copy of 7
     left = {tuple(r.text.encode().lower().split()[i : i + 50]) for r in kept.values() for i in range(len((r.text or "").split()) - 49)}

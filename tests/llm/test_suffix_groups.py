@@ -71,3 +71,27 @@ def test_long_document_with_one_head_many_times(spark, small_batches):
     texts = {k: f"{prose(rng, 10)} {passage} {prose(rng, 10)}" for k in (0, 2)}
     texts[1] = " ".join(f"{prose(rng, 3)} {boiler}" for _ in range(200))
     check(spark, texts)
+
+
+def test_passage_three_hundred_times_in_one_document(spark):
+    rng = np.random.default_rng(8)
+    passage = prose(rng, 60)
+    check(spark, {1: f"{passage} {prose(rng, 30)}", 2: f"{prose(rng, 30)} {passage}", 3: " ".join([passage] * 300), 4: f"{passage} {passage}"})
+
+
+def test_very_many_equal_documents(spark):
+    rng = np.random.default_rng(9)
+    text = prose(rng, 90)
+    check(spark, {**{k: text for k in range(5000)}, 5000: f"{prose(rng, 40)} {text}", 5001: prose(rng, 80)})
+
+
+def test_texts_that_share_an_id(spark):
+    rng = np.random.default_rng(10)
+    passage, alone = prose(rng, 60), prose(rng, 80)
+    rows = [(1, f"{prose(rng, 10)} {passage}", 7), (5, f"{passage} tail of it", 8), (5, alone, 9), (6, prose(rng, 70), 3), (6, passage, 4), (8, alone.upper(), 1), (8, alone.upper(), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cut_spans int").repartition(2)
+    spans = suffix_dedup.repeated_passages(docs)
+    left = sorted((r.doc_id, len(r.text.split())) for r in suffix_dedup.cut_repeats(docs, spans).collect())
+    # Texts that share an id count as later: the text of 5 that equals both rows of 8 goes.
+    assert left == [(1, 70), (5, 3), (6, 70), (8, 80), (8, 80)]
+    assert suffix_dedup.cut_repeats(docs, spans).columns == docs.columns
