@@ -11,11 +11,12 @@ as the threshold requires) coincide. Documents of equal words are one
 representative. Among the documents that meet at an n-gram, all are first
 paired with one of them, the anchor (a document takes the first anchor of its
 n-grams, in an order by hash), and linked documents become one class; only
-classes that still meet are paired again. So a group of near copies costs
-a pair a document and not a pair of each two. At last all pairs of different
-classes that still meet are counted, but those that sizes, places in the order,
-or the distances to the anchor (Jaccard distance obeys the triangle inequality)
-rule out. No link between classes is lost, whatever the groups.
+classes that still meet are paired again. So a group of near copies costs a
+pair a document and not a pair of each two. What still meets then is worked off
+in pairs of blocks of documents: each fragment counts a block pair's partial
+overlaps as one packed matrix, and the matrices are summed; a block pair returns
+a spanning forest of its links. Blocks of one class are not paired. No link
+between classes is lost, whatever the groups.
 
 Links found on hashes are verified on the words of the texts.
 
@@ -45,9 +46,10 @@ from .words import shingles, split_words
 CUTS = (2, 3, 5, 17, 65)
 #: Rows that meet one anchor in a task's group, and bytes of a task's groups, on average.
 ANCHOR_ROWS, CELL_BYTES = 2048, 4 << 20
-#: Pairs left for the last step for each n-gram of a prefix, beyond which another round of anchors comes first.
-PAIRS_PER_ENTRY = 16
-ROUNDS = 4
+#: Rounds of anchors before blocks are paired; a second one where more than so many pairs an n-gram are left.
+ROUNDS, PAIRS_PER_ENTRY = 2, 16
+#: Documents of a block, and columns of n-grams that are multiplied at once.
+SIDE_DOCS, COLUMNS = 1024, 4096
 
 
 def linked(overlap, a, b, percent: int):
@@ -192,7 +194,7 @@ def near_links(alive: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (x, a) between rows that connect all rows that link. ``alive``: row, n_grams, prefix, segments, body."""
     first = alive.select("row", F.col("n_grams").alias("n"), F.explode("prefix").alias("p"))
     entries = cut(first.select(F.col("p.gram").alias("gram"), "row", "n", F.col("p.place").alias("place"), F.col("row").alias("class")), "entries")
-    reps = known = links = None
+    reps = links = None
     for turn in range(ROUNDS + 1):
         per_gram = entries.groupBy("gram", "class").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
         mixed = cut(per_gram.where("m * m > own").select("gram", "m", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")), "mixed")
@@ -203,22 +205,18 @@ def near_links(alive: DataFrame, n: int, percent: int) -> DataFrame:
         discard(mixed)
         if reps is None:  # rows that meet no other leave here
             reps = cut(alive.join(entries.select("row").distinct(), "row", "left_semi").select("row", "n_grams", "segments", "body"), "reps")
-        last = turn > 0 and (size[0] <= PAIRS_PER_ENTRY * size[1] or turn == ROUNDS)
-        if last:
-            pairs = _all_pairs(entries, known, percent)
-        else:
-            met = _with_anchor(entries, turn).where(may_link("x", "y", percent)).groupBy(F.col("x.row").alias("x"))
-            pairs = met.agg(F.min(F.struct("y.h", "y.row")).alias("y")).select("x", F.col("y.row").alias("a"))
+        if turn == ROUNDS or (turn and size[0] <= PAIRS_PER_ENTRY * size[1]):
+            links = links.unionByName(cut(verified(block_links(entries, reps, percent), reps, n, percent), "near"))
+            break
+        met = _with_anchor(entries, turn).where(may_link("x", "y", percent)).groupBy(F.col("x.row").alias("x"))
+        pairs = met.agg(F.min(F.struct("y.h", "y.row")).alias("y")).select("x", F.col("y.row").alias("a"))
         pairs = cut(pairs, "pairs")
         sizes = reps.select(F.col("row"), F.col("n_grams").alias("n"))
         counted = count_overlaps(pairs, reps).join(sizes.toDF("x", "nx"), "x").join(sizes.toDF("a", "na"), "a")
-        counted = cut(counted, "overlaps")
-        known = counted if known is None else known.unionByName(counted)
-        found = cut(verified(counted.where(linked(F.col("overlap"), F.col("nx"), F.col("na"), percent)).select("x", "a"), reps, n, percent), "near")
+        near = counted.where(linked(F.col("overlap"), F.col("nx"), F.col("na"), percent)).select("x", "a")
+        found = cut(verified(cut(near, "links"), reps, n, percent), "near")
         links = found if links is None else links.unionByName(found)
         discard(pairs)
-        if last:
-            break
         classes = components(links.toDF("a", "b")).toDF("row", "component")
         entries = _replaced(entries, entries.join(classes, "row", "left").select("gram", "row", "n", "place", F.coalesce("component", "row").alias("class")), "entries")
     for table in (entries, reps):
@@ -232,18 +230,120 @@ def _replaced(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
     return new
 
 
-def _all_pairs(entries: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different classes that meet, but those ruled out."""
-    # Distance to the first round's anchor of the n-gram, where it was counted.
-    anchor = F.min(F.struct(F.xxhash64(F.lit(0), "row").alias("h"), F.col("row").alias("id"))).alias("y")
-    anchors = entries.groupBy("gram").agg(anchor).select("gram", F.col("y.id").alias("a"))
-    distance = known.select(F.col("x").alias("row"), "a", (1 - F.col("overlap") / (F.col("nx") + F.col("na") - F.col("overlap"))).alias("d")).dropDuplicates(["row", "a"])
-    near = entries.join(anchors, "gram").join(distance, ["row", "a"], "left").withColumn("d", F.when(F.col("row") == F.col("a"), 0.0).otherwise(F.col("d")))
-    near = near.select("gram", "row", "n", "place", "class", "d")
-    apart = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) > 1 - percent / 100 + 1e-9, F.lit(False))
-    met = near.alias("x").join(near.alias("y"), F.col("x.gram") == F.col("y.gram"))
-    met = met.where((F.col("x.class") != F.col("y.class")) & (F.col("x.row") < F.col("y.row")) & ~apart & may_link("x", "y", percent))
-    return met.select(F.col("x.row").alias("x"), F.col("y.row").alias("a")).distinct()
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlap of every left set with every right set."""
+    grams = np.concatenate(left + right)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    _, column, times = np.unique(grams, return_inverse=True, return_counts=True)
+    shared = times[column] >= 2
+    number = np.cumsum(times >= 2) - 1
+    column, owner = number[column[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(left), len(right)), dtype=np.int32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for lo in range(0, width, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        part = np.zeros((len(left) + len(right), min(COLUMNS, width - lo)), dtype=np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        total += (part[: len(left)] @ part[len(left) :].T).astype(np.int32)
+    return total
+
+
+def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what all ``links`` connect; no more of them than documents."""
+    out: list[tuple[int, int]] = []
+    todo_left, todo_right = links.any(axis=1), links.any(axis=0)
+    while todo_left.any():
+        front = [int(todo_left.argmax())]
+        todo_left[front] = False
+        while front:
+            k = front.pop()
+            for r in np.flatnonzero(links[k] & todo_right).tolist():
+                todo_right[r] = False
+                more = np.flatnonzero(links[:, r] & todo_left)
+                todo_left[more] = False
+                out.append((int(left[k]), int(right[r])))
+                out += [(int(x), int(right[r])) for x in left[more]]
+                front += more.tolist()
+    return [(a, b) for a, b in out if a != b]
+
+
+def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of rows in a row that agree in all columns."""
+    change = np.zeros(len(columns[0]) + 1, bool)
+    change[[0, -1]] = True
+    for c in columns:
+        change[1:-1] |= c[1:] != c[:-1]
+    cuts = np.flatnonzero(change).tolist()
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def block_pairs(entries: DataFrame) -> DataFrame:
+    """(i, j, side, row, class): rows of the blocks i (side 0) and j (side 1) of each pair of blocks in which classes still meet."""
+    least = entries.groupBy("gram").agg(F.min("row").alias("b"))
+    meetings = entries.join(least, "gram").where("row <> b").select(F.col("row").alias("a"), "b")
+    groups = components(meetings).toDF("row", "grp")
+    members = cut(entries.select("row", "class").distinct().join(groups, "row"), "members")
+    classes = members.groupBy("grp", "class").agg(F.count(F.lit(1)).alias("c"))
+    large = F.col("c") > SIDE_DOCS // 2
+    sides = classes.groupBy("grp").agg(F.ceil(F.sum(F.when(large, 0).otherwise(F.col("c"))) / SIDE_DOCS).alias("sides"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    classes = cut(classes.join(sides, "grp"), "classes")
+    own = F.pmod(F.xxhash64(F.lit(3), "row"), F.ceil(F.col("c") / SIDE_DOCS))
+    block = F.when(large, F.xxhash64(F.lit(1), "grp", "class", own)).otherwise(F.xxhash64(F.lit(2), "grp", F.pmod(F.xxhash64("class"), F.greatest("sides", F.lit(1)))))
+    members = cut(members.join(classes, ["grp", "class"]).select("grp", "row", "class", block.alias("block"), F.when(large, F.col("class")).alias("only")), "blocks")
+    blocks_ = members.groupBy("grp", "block").agg(F.max("only").alias("only"))
+    one, two = (blocks_.toDF("grp", side, f"only_{side}") for side in ("i", "j"))
+    apart = F.col("only_i").isNull() | F.col("only_j").isNull() | (F.col("only_i") != F.col("only_j"))
+    pairs = cut(one.join(two, "grp").where((F.col("i") <= F.col("j")) & apart).select("grp", "i", "j"), "block-pairs")
+    rows = members.select("grp", "block", "row", "class")
+    first = rows.join(pairs.withColumn("block", F.col("i")), ["grp", "block"]).select("i", "j", F.lit(0).alias("side"), "row", "class")
+    second = rows.join(pairs.where("i <> j").withColumn("block", F.col("j")), ["grp", "block"]).select("i", "j", F.lit(1).alias("side"), "row", "class")
+    return first.unionByName(second)
+
+
+def block_links(entries: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (x, a) that connect all links between classes that still meet."""
+    about = np.dtype([("row", "<i8"), ("n", "<i8"), ("class", "<i8")])
+
+    def count(table: pa.Table) -> pa.Table:
+        """One fragment's partial overlaps of block pairs."""
+        table = table.sort_by([(c, "ascending") for c in ("i", "j", "fragment", "side", "row")])
+        i, j, fragment, side = (table[c].to_numpy() for c in ("i", "j", "fragment", "side"))
+        rows = np.empty(table.num_rows, about)
+        for name, column in (("row", "row"), ("n", "n_grams"), ("class", "class")):
+            rows[name] = table[column].to_numpy()
+        grams = [np.frombuffer(b, np.uint64) for b in table["grams"].to_pylist()]
+        out: list[list] = [[], [], [], [], []]
+        for lo, hi in _runs(i, j, fragment):
+            half = hi if i[lo] == j[lo] else lo + int(np.searchsorted(side[lo:hi], 1))
+            left, right = (lo, half), ((lo, half) if i[lo] == j[lo] else (half, hi))
+            if left[0] < left[1] and right[0] < right[1]:
+                got = _overlaps(grams[slice(*left)], grams[slice(*right)])
+                for column, value in zip(out, (int(i[lo]), int(j[lo]), rows[slice(*left)].tobytes(), rows[slice(*right)].tobytes(), zlib.compress(got.astype("<i4").tobytes(), 1))):
+                    column.append(value)
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["i", "j", "left", "right", "counts"])
+
+    def total(table: pa.Table) -> pa.Table:
+        """Sums of the fragments' matrices, and the links."""
+        out: list[tuple[int, int]] = []
+        lefts, rights = ([np.frombuffer(b, about) for b in table[c].to_pylist()] for c in ("left", "right"))
+        left, right = np.unique(np.concatenate(lefts)), np.unique(np.concatenate(rights))
+        summed = np.zeros((len(left), len(right)), np.int64)
+        for x, y, blob in zip(lefts, rights, table["counts"].to_pylist()):
+            part = np.frombuffer(zlib.decompress(blob), "<i4").reshape(len(x), len(y))
+            summed[np.searchsorted(left["row"], x["row"])[:, None], np.searchsorted(right["row"], y["row"])[None, :]] += part
+        ok = linked(summed, left["n"][:, None], right["n"][None, :], percent) & (left["class"][:, None] != right["class"][None, :])
+        out += _forest(ok, left["row"], right["row"])
+        return pa.table({"x": pa.array([x for x, _ in out], pa.int64()), "a": pa.array([a for _, a in out], pa.int64())})
+
+    rows = cut(block_pairs(entries), "block-rows")
+    size = rows.join(reps.select("row", "n_grams"), "row").agg(F.sum("n_grams")).first()[0] or 0
+    cell = F.pmod(F.xxhash64("i", "j", "fragment"), F.lit(max(8, 8 * size // CELL_BYTES))).alias("cell")
+    segments = rows.join(reps.select("row", "n_grams", F.explode("segments").alias("s")), "row")
+    cells = segments.select("i", "j", "side", "row", "class", "n_grams", F.col("s.fragment").alias("fragment"), F.col("s.grams").alias("grams")).withColumn("cell", cell)
+    partial = cells.groupBy("cell").applyInArrow(count, "i long, j long, left binary, right binary, counts binary")
+    return cut(partial.groupBy("i", "j").applyInArrow(total, "x long, a long"), "block-links")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

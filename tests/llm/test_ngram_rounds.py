@@ -37,9 +37,10 @@ def expected(texts, n, percent):
 
 @pytest.mark.parametrize(("n", "percent", "pairs"), [(5, 80, 2), (4, 85, 1000)])
 def test_families(spark, monkeypatch, n, percent, pairs):
-    """With 1000 pairs an entry the last step follows the first round at once."""
+    """With 1000 pairs an entry the blocks follow the first round at once."""
     monkeypatch.setattr(ngram_join, "PAIRS_PER_ENTRY", pairs)
     monkeypatch.setattr(ngram_join, "ANCHOR_ROWS", 7)
+    monkeypatch.setattr(ngram_join, "SIDE_DOCS", 8)
     rng = np.random.default_rng(n)
     texts = []
     for size, words, changed in ((40, 120, 1), (60, 150, 3), (60, 200, 6), (30, 90, 4), (25, 400, 12)):
