@@ -2,24 +2,29 @@
 
 Two pages of every host, picked by a hash, serve as references. A page's DOM
 tree is aligned with the references of its host by simple tree matching. Text
-in aligned nodes that is the same on both sides is template; text in varying or
-unmatched slots is content. The content root is the element marked as the
-article where there is one with varying text, and otherwise the smallest
-element that holds most of the varying text; there, constant text goes.
-Menus, adverts, forms and the like go by element and class name everywhere.
+in aligned nodes that is the same on both sides is constant, and template if at
+least COMMON of the host's distinct pages have it at the same path (counted over
+all pages); varying and unmatched slots are content. So copies of one article
+do not become template. The content root is the element marked as the article,
+and otherwise the smallest element that holds most of the varying text. Template
+goes in either, unless an article would lose more than half of its text. Menus,
+adverts, forms and the like go by element and class name everywhere.
 
 Null or empty html gives empty text. A page alone on its host, or equal to its
 references, has no template to learn; then only element names decide. Repeated
-rows give a row each; a page without a host (null url) is aligned with others
-without one.
+rows give a row each and count once; a page without a host (null url) is aligned
+with others without one. Other columns are ignored; an empty table gives no rows.
+Depth and length of a page are bounded by memory only.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +48,7 @@ SIBLINGS = {
     "th": (("td", "th"), ("tr", "table")),
     "option": ("option", ("select",)),
 }
-DROPPED = frozenset("head nav footer aside form button select dialog menu label input script style noscript template iframe textarea title svg math object canvas audio video".split())
+DROPPED = frozenset("head nav footer aside button select dialog menu label input script style noscript template iframe textarea title svg math object canvas audio video".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification "
@@ -51,39 +56,53 @@ DROPPED_WORDS = frozenset(
     "share sharing social related recommended newsletter subscribe signup widget pagination pager toolbar skip".split()
 )
 
+#: Parts of class names that say nothing by themselves: "site-header" is a header, "side-effects" is no side.
+NEUTRAL_WORDS = frozenset("area bar block bottom box container global inner item items left links list outer page right section site top wrap wrapper".split())
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>""", re.S)
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-#: Child lists longer than this on both sides, after equal ends are taken off, are matched greedily.
-DP_CELLS = 40_000
+#: Template is what this share of a host's distinct pages have, if they are at least so many.
+COMMON, LEAST_PAGES = 0.9, 3
+#: Rows of a step of the alignment that are kept for the way back.
+STEP = 64
 
 
 class Node:
-    """An element: name, marks (class, id and role words), children (nodes and strings)."""
+    """An element: name, class names, role, children (nodes and strings)."""
 
-    __slots__ = ("tag", "words", "role", "kids", "constant")
+    __slots__ = ("tag", "classes", "id", "role", "kids", "constant", "shape", "wraps")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.words, self.role, self.kids, self.constant = tag, frozenset(), "", [], None
+        self.tag, self.classes, self.id, self.role, self.kids, self.constant, self.shape, self.wraps = tag, (), "", "", [], None, 0, False
         if attrs and "=" in attrs:
-            words: set[str] = set()
             for name, *values in _MARK.findall(attrs):
-                value = next((v for v in values if v), "").lower()
-                if name.lower() == "role":
+                value, name = next((v for v in values if v), "").lower(), name.lower()
+                if name == "role":
                     self.role = value.strip()
+                elif name == "id":
+                    self.id = value.strip()
                 else:
-                    words.update(re.split(r"[^a-z0-9]+", value))
-            self.words = frozenset(words - {""})
+                    self.classes = tuple(value.split())
 
     def dropped(self, in_article: bool) -> bool:
-        if self.tag in DROPPED or self.role in DROPPED_ROLES or (self.tag == "header" and not in_article):
+        if self.tag in DROPPED or self.role in DROPPED_ROLES or (self.tag == "header" and not in_article) or (self.tag == "form" and not self.wraps):
             return True
-        return self.tag not in ("html", "body", "article", "main") and bool(self.words & DROPPED_WORDS)
+        if self.tag in ("html", "body", "article", "main", "form"):
+            return False
+        return any(map(_says_dropped, self.classes)) or (self.tag == "div" and bool(self.id) and _says_dropped(self.id))
+
+
+def _says_dropped(name: str) -> bool:
+    """Whether a class name as a whole stands for a part that is no article."""
+    parts = [p for p in re.split(r"[-_]+|\d+", name) if p]
+    return any(p in DROPPED_WORDS for p in parts) and all(p in DROPPED_WORDS or p in NEUTRAL_WORDS for p in parts)
 
 
 def parse(html: str) -> Node:
     """A forgiving tree: implied ends of p, li, dd, dt, tr, td; unknown end tags are ignored."""
     root = Node("#root")
     stack, at, n = [root], 0, len(html)
+    forms: list[Node] = []
     while at < n:
         m = _TAG.search(html, at)
         stop = m.start() if m else n
@@ -114,11 +133,29 @@ def parse(html: str) -> Node:
             _close(stack, (ends,) if isinstance(ends, str) else ends, within)
         node = Node(name, attrs)
         stack[-1].kids.append(node)
+        if name == "form":
+            forms.append(node)
         if name not in VOID and not attrs.endswith("/"):
             stack.append(node)
+    if forms:  # a form around most of a page is no form of the page
+        whole = _characters(root)
+        for form in forms:
+            form.wraps = 2 * _characters(form) > whole
     return root
 
 
+def _characters(node: Node) -> int:
+    """Characters of text below a node, outside parts that are dropped by element."""
+    total, todo = 0, [node]
+    while todo:
+        for k in todo.pop().kids:
+            if isinstance(k, str):
+                total += len(k.strip())
+            elif k.tag not in DROPPED:
+                todo.append(k)
+    return total
+
+
 def _close(stack: list[Node], ends: tuple, within: tuple) -> None:
     low = None
     for k in range(len(stack) - 1, 0, -1):
@@ -136,88 +173,203 @@ def _own_text(node: Node) -> str:
     return " ".join(" ".join(k for k in node.kids if isinstance(k, str)).split())
 
 
-def _same_kind(a: Node, b: Node) -> bool:
-    return a.tag == b.tag and a.words == b.words
+class Matcher:
+    """Simple tree matching: the largest match of two trees that keeps order and ancestry.
+
+    Nodes match if element and classes agree. The size of a match depends on
+    the shapes of two subtrees alone (elements and classes, without text), so
+    it is worked out once for each pair of shapes, on a stack and not by
+    recursion. Equal shapes at either end of two child lists belong together in
+    some largest match; the rest is aligned by dynamic programming, row by row.
+    """
+
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.kids: list[tuple[int, ...]] = []
+        self.kind: list[tuple] = []
+        self.size: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
+
+    def shapes(self, root: Node) -> None:
+        """Set ``shape`` on all nodes below ``root``."""
+        order, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            order.append(node)
+            todo.extend(k for k in node.kids if isinstance(k, Node))
+        for node in reversed(order):
+            kids = tuple(k.shape for k in node.kids if isinstance(k, Node))
+            key = (node.tag, node.classes, kids)
+            if key not in self.number:
+                self.number[key] = len(self.kids)
+                self.kids.append(kids)
+                self.kind.append((node.tag, node.classes))
+                self.size.append(1 + sum(self.size[k] for k in kids))
+            node.shape = self.number[key]
+
+    def score(self, a: int, b: int) -> int:
+        """Size of the largest match of two shapes."""
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if self._quick(x, y) is not None:
+                todo.pop()
+                continue
+            lo, p, q = _trimmed(self.kids[x], self.kids[y])
+            needed = [pair for pair in {(i, j) for i in set(p) for j in set(q)} if self._quick(*pair) is None]
+            if needed:
+                todo.extend(needed)
+                continue
+            ends = sum(self.size[k] for k in self.kids[x][:lo]) + sum(self.size[k] for k in self.kids[x][lo + len(p) :])
+            self.known[x, y] = 1 + ends + (int(_last_row(self._weights(p, q))[-1]) if p and q else 0)
+            todo.pop()
+        return self._quick(a, b)
+
+    def _quick(self, x: int, y: int) -> int | None:
+        if x == y:
+            return self.size[x]
+        if self.kind[x] != self.kind[y]:
+            return 0
+        if not self.kids[x] or not self.kids[y]:
+            return 1
+        return self.known.get((x, y))
+
+    def _weights(self, p, q):
+        """Rows of match sizes of the shapes p with the shapes q, made one by one."""
+        columns, place = np.unique(np.array(q), return_inverse=True)
+        rows: dict[int, np.ndarray] = {}
+        for i in p:
+            if i not in rows:
+                rows[i] = np.array([self.score(i, j) for j in columns.tolist()], np.int64)[place]
+            yield rows[i]
+
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """Aligned nodes of a largest match."""
+        found, todo = [], [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            if self.kind[a.shape] != self.kind[b.shape]:
+                continue
+            found.append((a, b))
+            x, y = ([k for k in n.kids if isinstance(k, Node)] for n in (a, b))
+            lo, p, q = _trimmed([k.shape for k in x], [k.shape for k in y])
+            todo.extend(zip(x[:lo], y[:lo]))
+            hi = len(x) - lo - len(p)
+            todo.extend(zip(x[len(x) - hi :], y[len(y) - hi :]))
+            if p and q:
+                todo.extend((x[lo + i], y[lo + j]) for i, j in self._align(p, q))
+        return found
+
+    def _align(self, p: list[int], q: list[int]) -> list[tuple[int, int]]:
+        """Places aligned by the dynamic programme; halves are solved apart, so memory is that of a row."""
+        found, todo = [], [(0, len(p), 0, len(q))]
+        while todo:
+            i0, i1, j0, j1 = todo.pop()
+            if i0 == i1 or j0 == j1:
+                continue
+            x, y = p[i0:i1], q[j0:j1]
+            if i1 - i0 > STEP:
+                half = (i1 - i0) // 2
+                up = _last_row(self._weights(x[:half], y))
+                down = _last_row(w[::-1] for w in self._weights(x[half:][::-1], y))[::-1]
+                cut_at = int((up + down).argmax())
+                todo += [(i0, i0 + half, j0, j0 + cut_at), (i0 + half, i1, j0 + cut_at, j1)]
+                continue
+            weights = list(self._weights(x, y))
+            rows = [np.zeros(len(y) + 1, np.int64)]
+            for w in weights:
+                rows.append(_next_row(rows[-1], w))
+            i, j = len(x), len(y)
+            while i and j:
+                if rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                elif rows[i][j] == rows[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    found.append((i0 + i, j0 + j))
+        return found
+
+
+def _trimmed(x, y) -> tuple[int, list, list]:
+    """(length of the equal start, what is left of x, of y) without equal ends."""
+    lo, most = 0, min(len(x), len(y))
+    while lo < most and x[lo] == y[lo]:
+        lo += 1
+    hi = 0
+    while hi < most - lo and x[-1 - hi] == y[-1 - hi]:
+        hi += 1
+    return lo, list(x[lo : len(x) - hi]), list(y[lo : len(y) - hi])
+
+
+def _next_row(row: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    out = row.copy()
+    np.maximum(row[1:], row[:-1] + weights, out=out[1:])
+    return np.maximum.accumulate(out)
+
+
+def _last_row(rows) -> np.ndarray:
+    last = None
+    for w in rows:
+        last = _next_row(np.zeros(len(w) + 1, np.int64) if last is None else last, w)
+    return last
 
 
 def simple_tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """(size of the largest match, pairs of aligned nodes), keeping order and ancestry.
+    """(size of the largest match, pairs of aligned nodes)."""
+    matcher = Matcher()
+    matcher.shapes(a)
+    matcher.shapes(b)
+    return matcher.score(a.shape, b.shape), matcher.pairs(a, b)
 
-    Equal heads and tails of the two child lists are aligned at once; what is
-    left between them goes through the dynamic programme of the method.
-    """
-    score, pairs, todo = 0, [], [(a, b)]
+
+class Reference:
+    """A parsed reference page with the shapes met so far."""
+
+    def __init__(self, html: str):
+        self.root, self.matcher = parse(html), None
+
+    def aligned(self, page: Node) -> list[tuple[Node, Node]]:
+        if self.matcher is None or len(self.matcher.kids) > 100_000:
+            self.matcher = Matcher()
+            self.matcher.shapes(self.root)
+        self.matcher.shapes(page)
+        return self.matcher.pairs(page, self.root)
+
+
+def slots(page: Node) -> Iterator[tuple[Node, int]]:
+    """Nodes with text of their own, each with a hash of path and text."""
+    todo = [(page, b"")]
     while todo:
-        a, b = todo.pop()
-        if not _same_kind(a, b):
-            continue
-        score += 1
-        pairs.append((a, b))
-        x = [k for k in a.kids if isinstance(k, Node)]
-        y = [k for k in b.kids if isinstance(k, Node)]
-        lo = 0
-        while lo < len(x) and lo < len(y) and _same_kind(x[lo], y[lo]):
-            todo.append((x[lo], y[lo]))
-            lo += 1
-        hi = 0
-        while hi < len(x) - lo and hi < len(y) - lo and _same_kind(x[-1 - hi], y[-1 - hi]):
-            todo.append((x[-1 - hi], y[-1 - hi]))
-            hi += 1
-        todo.extend(_align(x[lo : len(x) - hi], y[lo : len(y) - hi]))
-    return score, pairs
-
-
-def _align(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
-    if not x or not y:
-        return []
-    if len(x) * len(y) > DP_CELLS:
-        out, at = [], 0
-        for node in x:
-            k = next((k for k in range(at, min(len(y), at + 64)) if _same_kind(node, y[k])), None)
-            if k is not None:
-                out.append((node, y[k]))
-                at = k + 1
-        return out
-    size = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    took: dict[tuple[int, int], int] = {}
-    for i, p in enumerate(x):
-        for j, q in enumerate(y):
-            best = max(size[i][j + 1], size[i + 1][j])
-            if _same_kind(p, q):
-                w = took[i, j] = simple_tree_match(p, q)[0]
-                best = max(best, size[i][j] + w)
-            size[i + 1][j + 1] = best
-    out, i, j = [], len(x), len(y)
-    while i and j:
-        if (i - 1, j - 1) in took and size[i][j] == size[i - 1][j - 1] + took[i - 1, j - 1]:
-            out.append((x[i - 1], y[j - 1]))
-            i, j = i - 1, j - 1
-        elif size[i][j] == size[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return out
-
-
-def mark_template(page: Node, references: list[Node]) -> bool:
-    """Set ``constant`` on text-bearing nodes; False where no reference differs from the page."""
-    any_differs = False
+        node, path = todo.pop()
+        text = _own_text(node)
+        # A path is hashed level by level, so that deep pages cost no more than their nodes.
+        path = hashlib.blake2b(path + node.tag.encode(), digest_size=8).digest()
+        if text:
+            yield node, int.from_bytes(hashlib.blake2b(path + text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        todo.extend((k, path) for k in node.kids if isinstance(k, Node))
+
+
+def mark_template(page: Node, references: list[Reference], common: frozenset | None) -> bool:
+    """Set ``constant`` on nodes with text of their own; False where nothing can be told.
+
+    ``common``: hashes of slots that most pages of the host have, None where it has too few pages.
+    """
     votes: dict[int, list[bool]] = {}
+    differs = False
     for ref in references:
-        _, pairs = simple_tree_match(page, ref)
-        same = [(p, _own_text(p) == _own_text(q)) for p, q in pairs if _own_text(p)]
+        same = [(p, _own_text(p) == _own_text(q)) for p, q in ref.aligned(page) if _own_text(p)]
         if all(s for _, s in same):
             continue
-        any_differs = True
+        differs = True
         for p, s in same:
             votes.setdefault(id(p), []).append(s)
-    if any_differs:
-        todo = [page]
-        while todo:
-            node = todo.pop()
-            node.constant = all(votes[id(node)]) if id(node) in votes else False
-            todo.extend(k for k in node.kids if isinstance(k, Node))
-    return any_differs
+    if not differs and common is None:
+        return False
+    for node, key in slots(page):
+        constant = all(votes.get(id(node), [False])) if differs else True
+        node.constant = constant and (common is None or key in common)
+    return True
 
 
 def _varying(node: Node, memo: dict[int, int]) -> int:
@@ -285,11 +437,17 @@ def block_texts(root: Node, drop_constant: bool, in_article: bool) -> list[str]:
     return blocks
 
 
-def main_text(html: str | None, references: list[Node]) -> str:
+def main_text(html: str | None, references: list[Reference], common: frozenset | None = None) -> str:
     page = parse(html or "")
-    learned = mark_template(page, references)
+    learned = mark_template(page, references, common)
     roots, marked = content_roots(page)
-    return "\n\n".join(b for r in roots for b in block_texts(r, learned and not marked, marked))
+    whole = [b for r in roots for b in block_texts(r, False, marked)]
+    if not learned or (marked and common is None):
+        return "\n\n".join(whole)
+    kept = [b for r in roots for b in block_texts(r, True, marked)]
+    # An article that is mostly "template" is a copy; so is a page of nothing else.
+    enough = 2 * sum(map(len, kept)) >= sum(map(len, whole)) if marked else bool(kept)
+    return "\n\n".join(kept if enough else whole)
 
 
 def host_of(url):
@@ -317,28 +475,50 @@ def references(pages: DataFrame) -> DataFrame:
     )
 
 
+def common_slots(pages: DataFrame) -> DataFrame:
+    """host, n_pages (distinct pages), common (hashes of slots that nearly all of them have; no more than a page has)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, hashes, htmls = (c.to_pylist() for c in batch.columns)
+            found = [sorted({key for _, key in slots(parse(html))}) for html in htmls]
+            sizes = [len(f) for f in found]
+            at = np.repeat(np.arange(len(found)), sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()).take(pa.array(at)), pa.array(hashes, pa.int64()).take(pa.array(at)), pa.array([k for f in found for k in f], pa.int64())], names=["_host", "_page", "slot"]
+            )
+
+    keyed = pages.where(F.length("html") > 0).select("_host", F.xxhash64("html").alias("_page"), "html")
+    seen = keyed.mapInArrow(run, "_host string, _page long, slot long").groupBy("_host", "slot", "_page").agg(F.lit(1).alias("one"))
+    counts = seen.groupBy("_host", "slot").agg(F.count("one").alias("n"))
+    totals = keyed.select("_host", "_page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= LEAST_PAGES)
+    kept = counts.where(F.col("n") >= LEAST_PAGES).join(totals, "_host").where(F.col("n") >= F.col("n_pages") * COMMON)
+    return totals.join(kept.groupBy("_host").agg(F.collect_list("slot").alias("common")), "_host", "left").select("_host", "n_pages", F.coalesce("common", F.array().cast("array<bigint>")).alias("common"))
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages`` (page_id, url, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed: dict[str, Node] = {}
+        parsed: dict[str, Reference] = {}
         for batch in batches:
-            ids, urls, htmls, first, second = (c.to_pylist() for c in batch.columns)
+            ids, urls, htmls, first, second, common = (c.to_pylist() for c in batch.columns)
             texts = []
-            for html, *refs in zip(htmls, first, second):
+            for html, *refs, slots_ in zip(htmls, first, second, common):
                 trees = []
                 for ref in {r for r in refs if r and r != html}:
                     if ref not in parsed:
                         if len(parsed) >= 64:
                             parsed.clear()
-                        parsed[ref] = parse(ref)
+                        parsed[ref] = Reference(ref)
                     trees.append(parsed[ref])
-                texts.append(main_text(html, trees))
+                texts.append(main_text(html, trees, None if slots_ is None else frozenset(slots_)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url")).alias("_host"))
-    refs = cut(references(rows), "references")
-    return rows.join(refs, "_host", "left").select("page_id", "url", "html", "first", "second").mapInArrow(run, EXTRACTED)
+    common = cut(common_slots(rows), "slots")
+    refs = cut(references(rows).join(common, "_host", "left"), "references")
+    return rows.join(refs, "_host", "left").select("page_id", "url", "html", "first", "second", "common").mapInArrow(run, EXTRACTED)
