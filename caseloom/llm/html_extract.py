@@ -70,10 +70,10 @@ STEP = 64
 class Node:
     """An element: name, class names, role, children (nodes and strings)."""
 
-    __slots__ = ("tag", "classes", "id", "role", "kids", "constant", "shape", "wraps")
+    __slots__ = ("tag", "classes", "id", "role", "kids", "constant", "shape", "wraps", "own")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.classes, self.id, self.role, self.kids, self.constant, self.shape, self.wraps = tag, (), "", "", [], None, 0, False
+        self.tag, self.classes, self.id, self.role, self.kids, self.constant, self.shape, self.wraps, self.own = tag, (), "", "", [], None, 0, False, None
         if attrs and "=" in attrs:
             for name, *values in _MARK.findall(attrs):
                 value, name = next((v for v in values if v), "").lower(), name.lower()
@@ -170,7 +170,9 @@ def _close(stack: list[Node], ends: tuple, within: tuple) -> None:
 
 
 def _own_text(node: Node) -> str:
-    return " ".join(" ".join(k for k in node.kids if isinstance(k, str)).split())
+    if node.own is None:
+        node.own = " ".join(" ".join([k for k in node.kids if isinstance(k, str)]).split())
+    return node.own
 
 
 class Matcher:
@@ -337,17 +339,27 @@ class Reference:
         return self.matcher.pairs(page, self.root)
 
 
-def slots(page: Node) -> Iterator[tuple[Node, int]]:
-    """Nodes with text of their own, each with a hash of path and text."""
+_paths: dict[tuple[bytes, str], bytes] = {}
+
+
+def slots(page: Node) -> Iterator[tuple[Node, bytes]]:
+    """Nodes with text of their own, each with a hash of its path."""
     todo = [(page, b"")]
     while todo:
         node, path = todo.pop()
-        text = _own_text(node)
-        # A path is hashed level by level, so that deep pages cost no more than their nodes.
-        path = hashlib.blake2b(path + node.tag.encode(), digest_size=8).digest()
-        if text:
-            yield node, int.from_bytes(hashlib.blake2b(path + text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        todo.extend((k, path) for k in node.kids if isinstance(k, Node))
+        key = path, node.tag
+        path = _paths.get(key)
+        if path is None:  # a path is hashed level by level, so that deep pages cost no more than their nodes
+            if len(_paths) > 100_000:
+                _paths.clear()
+            path = _paths[key] = hashlib.blake2b(key[0] + node.tag.encode(), digest_size=8).digest()
+        if _own_text(node):
+            yield node, path
+        todo.extend([(k, path) for k in node.kids if isinstance(k, Node)])
+
+
+def slot_key(node: Node, path: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(path + _own_text(node).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def mark_template(page: Node, references: list[Reference], common: frozenset | None) -> bool:
@@ -366,9 +378,9 @@ def mark_template(page: Node, references: list[Reference], common: frozenset | N
             votes.setdefault(id(p), []).append(s)
     if not differs and common is None:
         return False
-    for node, key in slots(page):
+    for node, path in slots(page):
         constant = all(votes.get(id(node), [False])) if differs else True
-        node.constant = constant and (common is None or key in common)
+        node.constant = constant and (common is None or slot_key(node, path) in common)
     return True
 
 
@@ -481,7 +493,7 @@ def common_slots(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, hashes, htmls = (c.to_pylist() for c in batch.columns)
-            found = [sorted({key for _, key in slots(parse(html))}) for html in htmls]
+            found = [sorted({slot_key(*slot) for slot in slots(parse(html))}) for html in htmls]
             sizes = [len(f) for f in found]
             at = np.repeat(np.arange(len(found)), sizes)
             yield pa.RecordBatch.from_arrays(
