@@ -3,16 +3,20 @@
 Vectors belong to the list of their nearest coarse centroid; what is left after
 the centroid is product-quantised. A query visits the lists with the largest
 inner product of centroid and query, as many as a sample's true neighbours
-need for the target recall. In a list, distances come from the query's tables
+need for the target recall, and on until they hold as many members as are asked
+for. In a list, distances come from the query's tables
 of inner products with all codewords. The best by table are reranked exactly in
 double precision, and so is every member whose table value plus its own
 quantisation error could still reach the last place. Lists are split into
-blocks of bounded size; a block returns a query's k best, and these are merged.
+blocks of bounded size, and their queries into slices; a block returns a
+query's k best, and these are merged.
 
 Vectors that are null, empty, zero or hold null or non-finite components take
 no part; vectors of different dimension do not meet. Every row is a candidate
-of its own (repeated vectors too), except those with the query's id. Ties go to
-the smaller id. A null id takes no part.
+of its own (repeated vectors too), except those with the query's id. Of queries
+with one id and different vectors the smallest vector asks. Ties go to the
+smaller id. A null id takes no part. Other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import cut
 from .vectors import k_means, matrix, sample, squared_distances, takes_part
 
 TARGET_RECALL = 0.97
 SUBSPACES, CODEWORDS = 16, 256
-BLOCK_MEMBERS = 4096
+BLOCK_MEMBERS, SLICE_QUERIES = 4096, 4096
 #: Reranked first, by table value; then all within the margin.
 RERANK = 128
 #: Standard deviations of the error of a table value that the second rerank allows for.
@@ -63,9 +68,12 @@ class InvertedFile:
             error += d[np.arange(len(x)), codes[:, m]]
         return near, codes, np.sqrt(error)
 
-    def lists(self, q: np.ndarray) -> np.ndarray:
-        """Lists each query visits."""
-        return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, : self.visits]
+    def lists(self, q: np.ndarray, members: np.ndarray, k: int) -> list[np.ndarray]:
+        """Lists each query visits: the nearest ``visits``, and more until they hold k members and the query itself."""
+        order = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
+        held = np.cumsum(members[order], axis=1)
+        enough = (held <= k).sum(axis=1) + 1
+        return [row[: max(self.visits, n)] for row, n in zip(order, enough.tolist())]
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """[query, subspace, codeword] inner products."""
@@ -94,6 +102,11 @@ def fit(x: np.ndarray, n_lists: int, k: int, target: float) -> InvertedFile:
     return file
 
 
+def of_dimension(files: dict[int, InvertedFile], d: int) -> InvertedFile:
+    """The file of a dimension; one list without residual codes where the sample had too few vectors of it."""
+    return files.get(d) or InvertedFile(np.zeros((1, d)), np.zeros((1, 1, d)), 1)
+
+
 def _search(files, k: int):
     """Per block: the queries' k best members."""
 
@@ -102,7 +115,7 @@ def _search(files, k: int):
         members, queries = table.filter(pa.array(~is_query)), table.filter(pa.array(is_query))
         out: list[list[np.ndarray]] = [[], [], []]
         if members.num_rows and queries.num_rows:
-            file = files.value[len(members["v"][0])]
+            file = of_dimension(files.value, len(members["v"][0]))
             members = members.sort_by("vec_id")
             ids, x = members["vec_id"].to_numpy(), matrix(members["v"])
             centre = file.centres[members["list"][0].as_py()]
@@ -144,50 +157,60 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, target_recall:
     n = rows.count()
     lists = int(max(8, np.sqrt(n) / 8))
     fitted = {m.shape[1]: fit(m, lists, k, target_recall) for m in sample(rows, "vec_id", "v")}
-    other = [r[0] for r in rows.select(F.size("v").alias("d")).distinct().where(~F.col("d").isin(list(fitted))).limit(10_000).collect()]
-    for d in other:  # dimensions too rare for the sample: one list, no residual codes
-        fitted[d] = InvertedFile(np.zeros((1, d)), np.zeros((1, 1, d)), 1)
     files = embeddings.sparkSession.sparkContext.broadcast(fitted)  # bounded by the sample
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(1).to_pylist()
-            near, codes, error, visits = [0] * len(vectors), [b""] * len(vectors), [0.0] * len(vectors), [[]] * len(vectors)
-            asked = batch.column(2).to_pylist()
+            near, codes, error = [0] * len(vectors), [b""] * len(vectors), [0.0] * len(vectors)
             by_dim: dict[int, list[int]] = {}
             for at, v in enumerate(vectors):
                 by_dim.setdefault(len(v), []).append(at)
             for dim, at in by_dim.items():
-                file = files.value[dim]
                 x = np.array([vectors[j] for j in at], np.float64)
-                for j, a, c, e, l in zip(at, *file.encode(x), file.lists(x)):
+                for j, a, c, e in zip(at, *of_dimension(files.value, dim).encode(x)):
                     near[j], codes[j], error[j] = int(a), c.tobytes(), float(e)
-                    visits[j] = l.tolist() if asked[j] else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(near, pa.int32()), pa.array(codes, pa.binary()), pa.array(error), pa.array(visits, pa.list_(pa.int32()))],
-                names=["vec_id", "v", "list", "codes", "error", "visits"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(near, pa.int32()), pa.array(codes, pa.binary()), pa.array(error)],
+                names=["vec_id", "v", "is_query", "list", "codes", "error"],
             )
 
-    from .scratch import cut
-
-    indexed = cut(rows.mapInArrow(index, "vec_id long, v array<double>, list int, codes binary, error double, visits array<int>"), "inverted").withColumn("d", F.size("v"))
-    blocks = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_MEMBERS)).cast("int").alias("blocks")
-    sizes = indexed.groupBy("d", "list").agg(blocks)
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(1).to_pylist()
+            found: list[list[int]] = [[0]] * len(vectors)
+            for at, v in enumerate(vectors):
+                if len(v) in files.value:
+                    file = files.value[len(v)]
+                    found[at] = file.lists(np.array([v], np.float64), held.value[len(v)], k)[0].tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["vec_id", "v", "visits"])
+
+    indexed = cut(rows.mapInArrow(index, "vec_id long, v array<double>, is_query boolean, list int, codes binary, error double"), "inverted").withColumn("d", F.size("v"))
+    sizes = cut(indexed.groupBy("d", "list").agg(F.count(F.lit(1)).alias("m")), "lists")
+    counts = {d: np.zeros(len(file.centres), np.int64) for d, file in fitted.items()}
+    for r in sizes.where(F.col("d").isin(list(fitted))).collect():  # one row a centroid
+        counts[r["d"]][r["list"]] = r["m"]
+    held = embeddings.sparkSession.sparkContext.broadcast(counts)
+    queries = indexed.where("is_query").groupBy("vec_id").agg(F.min("v").alias("v"))
+    asking = queries.mapInArrow(visits, "vec_id long, v array<double>, visits array<int>").select("vec_id", "v", F.size("v").alias("d"), F.explode("visits").alias("list"))
+    asking = cut(asking, "asking")
+    slices = asking.groupBy("d", "list").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE_QUERIES)).cast("int").alias("slices"))
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK_MEMBERS)).cast("int").alias("blocks")
+    sizes = cut(sizes.join(slices, ["d", "list"]).select("d", "list", blocks, "slices"), "list-blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = (
         indexed.join(sizes, ["d", "list"])
         .withColumn("block", F.pmod(F.xxhash64(F.lit(21), "vec_id"), F.col("blocks")).cast("int"))
-        .select("d", "list", "block", "vec_id", "v", "codes", "error", F.lit(False).alias("is_query"))
+        .select("d", "list", "block", every("slices").alias("slice"), "vec_id", "v", "codes", "error", F.lit(False).alias("is_query"))
     )
     asking = (
-        indexed.where(F.size("visits") > 0)
-        .dropDuplicates(["vec_id"])
-        .select("d", F.explode("visits").alias("list"), "vec_id", "v")
-        .join(sizes, ["d", "list"])
+        asking.join(sizes, ["d", "list"])
+        .withColumn("slice", F.pmod(F.xxhash64(F.lit(22), "vec_id"), F.col("slices")).cast("int"))
         .select(
-            "d", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v",
+            "d", "list", every("blocks").alias("block"), "slice", "vec_id", "v",
             F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.lit(True).alias("is_query"),
         )
     )
-    found = members.unionByName(asking).groupBy("d", "list", "block").applyInArrow(_search(files, k), "query_id long, vec_id long, score double")
+    found = members.unionByName(asking).groupBy("d", "list", "block", "slice").applyInArrow(_search(files, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -8,13 +8,16 @@ exactly at the threshold, the hardest case. Vectors found in a visited cell are
 verified by cosine in double precision. A pair is found if either side visits
 the other's cell, and is counted once. Equal vectors are one representative
 with a count. A cell with many members is split into blocks, and a visitor goes
-to each; links are counted in place, and a block returns counts and a spanning
+to each; many visitors of a block are dealt into slices, and its members go to
+each; links are counted in place, and a block returns counts and a spanning
 forest, never its pairs.
 
 Only rows with equal, non-null labels and equal dimension are compared. Vectors
 that are null, empty, zero or hold null or non-finite components link with
-nothing. Repeated rows are linked as equal vectors. A null id is ignored in
-components and its row returned with its own null id.
+nothing. Repeated rows are linked as equal vectors; vectors that share an id are
+one vector in components, and each row tells the larger number of links. A null
+id is ignored in components and its row returned with its own null id. Other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +39,10 @@ THRESHOLD = 0.98
 TARGET_RECALL = 0.995
 #: Members of a cell that are wanted on average, and of a block at most on average.
 CELL_MEMBERS, BLOCK_MEMBERS = 512, 4096
-MAX_WORDS = 128
+#: Visitors of a block that one task compares, on average.
+VISITORS = 16384
+#: Codewords of a half at most; the sample that they are fitted on is five times as large.
+MAX_WORDS = 2048
 
 
 def multi_sequence(d1: np.ndarray, d2: np.ndarray, cells: int) -> list[int]:
@@ -135,11 +141,12 @@ def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
 def _block_links(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         out_id, out_n, out_a, out_b = [], [], [], []
-        grp, cell, block = (table[c].to_numpy() for c in ("grp", "cell", "block"))
-        order = np.lexsort((block, cell, grp))
+        keys = [table[c].to_numpy() for c in ("grp", "cell", "block", "slice")]
+        order = np.lexsort(keys[::-1])
         table = table.take(pa.array(order))
-        grp, cell, block = grp[order], cell[order], block[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]), [True]]))
+        change = np.ones(len(order) + 1, bool)
+        change[1:-1] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+        cuts = np.flatnonzero(change)
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             part = table.slice(lo, hi - lo)
             member = part["member"].to_numpy(zero_copy_only=False)
@@ -151,8 +158,9 @@ def _block_links(threshold: float):
             cells = part["cells"].to_pylist()
             at = np.flatnonzero(member)
             visited = {h: np.array([h in set(cells[k]) for k in at]) for h in np.unique(homes).tolist()}
-            for first in range(0, len(ids), 2048):
-                who = np.arange(first, min(first + 2048, len(ids)))
+            asking = np.flatnonzero(part["asks"].to_numpy(zero_copy_only=False))
+            for first in range(0, len(asking), 2048):
+                who = asking[first : first + 2048]
                 near = x[who] @ x[at].T >= threshold
                 # A pair whose two sides visit each other is counted where the smaller id visits.
                 both = np.array([visited[h] for h in homes[who].tolist()])
@@ -194,19 +202,24 @@ def near_duplicates(
     visits = cut(
         _visits(classes.select("rep", F.xxhash64("label", F.size("v")).alias("grp"), "copies", "v"), indexes), "visits"
     ).withColumn("home", F.col("cells")[0])
-    blocks = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_MEMBERS)).cast("int").alias("blocks")
-    sizes = visits.groupBy("grp", F.col("home").alias("cell")).agg(blocks)
-    probes = (
-        visits.withColumn("cell", F.explode("cells"))
-        .join(sizes, ["grp", "cell"])
-        .withColumn("own", F.pmod(F.xxhash64(F.lit(9), "rep"), F.col("blocks")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("member", (F.col("cell") == F.col("home")) & (F.col("block") == F.col("own")))
-        .withColumn("cells", F.when(F.col("member"), F.col("cells")))
+    visited = visits.withColumn("cell", F.explode("cells")).withColumn("member", F.col("cell") == F.col("home"))
+    members = F.count_if("member")
+    sizes = visited.groupBy("grp", "cell").agg(
+        F.ceil(members / F.lit(BLOCK_MEMBERS)).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / F.lit(VISITORS)).cast("int").alias("slices"), members.alias("m")
     )
-    task = F.xxhash64("grp", "cell", "block")
+    sizes = cut(sizes.where("m > 0").drop("m"), "cell-sizes")
+    own = F.pmod(F.xxhash64(F.lit(9), "rep"), F.col("blocks")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    home = visited.where("member").join(sizes, ["grp", "cell"]).withColumn("block", own)
+    # As a member a vector is in all slices of its block; it asks in the first, and as a visitor of the other blocks in one slice.
+    as_member = home.withColumn("slice", F.explode(every("slices"))).withColumn("asks", F.col("slice") == 0)
+    guests = visited.join(sizes, ["grp", "cell"]).withColumn("block", F.explode(every("blocks"))).where(~F.col("member") | (F.col("block") != own))
+    as_guest = guests.withColumn("member", F.lit(False)).withColumn("slice", F.pmod(F.xxhash64(F.lit(10), "rep"), F.col("slices")).cast("int")).withColumn("asks", F.lit(True))
+    wanted = ["grp", "cell", "block", "slice", "rep", "copies", "home", "member", "asks", "cells", "v"]
+    probes = as_member.select(*wanted).unionByName(as_guest.withColumn("cells", F.lit(None).cast("array<int>")).select(*wanted))
+    task = F.xxhash64("grp", "cell", "block", "slice")
     found = cut(
-        probes.select(task.alias("task"), "grp", "cell", "block", "rep", "copies", "home", "member", "cells", "v").groupBy("task").applyInArrow(_block_links(threshold), "rep long, n long, a long, b long"),
+        probes.withColumn("task", task).groupBy("task").applyInArrow(_block_links(threshold), "rep long, n long, a long, b long"),
         "vector-links",
     )
     counts = found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n"))

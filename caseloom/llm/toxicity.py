@@ -11,7 +11,8 @@ weighted to their shares among all labels); every row of the corpus is scored on
 no features and get the intercept's probabilities. Null labels are not used.
 Rows with the same id are joined with every label row of that id; a text
 labelled twice counts twice. Without rows of both classes, a category's
-probability is its share in the sample (0 without rows).
+probability is its share in the sample (0 without rows). Other columns are
+ignored, or kept where :func:`score` is told to; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -83,9 +84,13 @@ def gather(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], ma
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), *names).mapInArrow(run, schema)
 
 
+def probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 @dataclass
 class Chain:
-    """names; sorted feature hashes; weights [category, feature]; weights on earlier categories' logits; intercepts."""
+    """names; sorted feature hashes; weights [category, feature]; weights on earlier categories' probabilities; intercepts."""
 
     names: list[str]
     features: np.ndarray
@@ -96,11 +101,8 @@ class Chain:
     def probabilities(self, n: int, owner: np.ndarray, feature: np.ndarray) -> np.ndarray:
         """[n, category] for n texts with (owner, feature number) pairs, each pair once."""
         out = np.zeros((n, len(self.names)))
-        logits = np.zeros_like(out)
         for c in range(len(self.names)):
-            z = self.bias[c] + np.bincount(owner, weights=self.weights[c][feature], minlength=n) + logits @ self.earlier[c]
-            logits[:, c] = np.clip(z, -6, 6)
-            out[:, c] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            out[:, c] = probability(self.bias[c] + np.bincount(owner, weights=self.weights[c][feature], minlength=n) + out @ self.earlier[c])
         return out
 
 
@@ -114,7 +116,7 @@ def _fit(rows: np.ndarray, cols: np.ndarray, n: int, dims: int, extra: np.ndarra
     weight = weight / weight.sum()
     for _ in range(steps):
         z = np.bincount(rows, weights=w[cols], minlength=n) + extra @ v + b
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
+        g = (probability(z) - y) * weight
         grads = (np.bincount(cols, weights=g[rows], minlength=dims) + l2 * w / n, extra.T @ g + l2 * v / n, g.sum())
         steps_out = []
         for k, grad in enumerate(grads):
@@ -167,7 +169,7 @@ def train(sample: DataFrame, categories: list[str], folds: int = FOLDS, max_feat
     weights = np.zeros((len(ys), len(features)))
     earlier = np.zeros((len(ys), len(ys)))
     bias = np.zeros(len(ys))
-    outside = np.zeros((n, len(ys)))  # logits of models that did not see the row
+    outside = np.zeros((n, len(ys)))  # probabilities by models that did not see the row
 
     def fit(mask: np.ndarray, c: int):
         """Features are chosen again from the rows in ``mask``."""
@@ -188,7 +190,7 @@ def train(sample: DataFrame, categories: list[str], folds: int = FOLDS, max_feat
                 continue
             w, v, b = fit(~held, c)
             z = b + np.bincount(rows, weights=w[cols], minlength=n) + outside[:, :c] @ v
-            outside[held, c] = np.clip(z[held], -6, 6)
+            outside[held, c] = probability(z[held])
         weights[c], v, bias[c] = fit(np.ones(n, bool), c)
         earlier[c, :c] = v
     return Chain(list(categories), features, weights, earlier, bias)
@@ -197,6 +199,9 @@ def train(sample: DataFrame, categories: list[str], folds: int = FOLDS, max_feat
 def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (doc_id by default) and a probability for each category, p_<name>."""
     keep = keep or ["doc_id"]
+    taken = {f"p_{c}" for c in chain.names} & set(keep)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are made here")
     sent = docs.sparkSession.sparkContext.broadcast(chain)  # bounded by MAX_FEATURES for each category
     names = [f"p_{c}" for c in chain.names]
 
