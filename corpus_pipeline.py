@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import ngram_join, packing, secrets, suffix_dedup, toxicity
+from caseloom.llm import ngram_join, packing, rows, secrets, suffix_dedup, toxicity
 from caseloom.llm.scratch import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,11 +26,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (five words, 80 percent), the document with the smallest id. Rows without an id stay."""
-    found = ngram_join.ngram_components(docs, n=5, percent=80)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    """Of each component of near-duplicates (five words, 80 percent), the document with the smallest id.
+
+    Of rows with equal id and text one stays; different texts that share an id
+    are documents of their own, behind all others. Rows without an id stay.
+    """
+    shared = rows.shared_ids(docs)
+    number = rows.fresh("row", docs.columns)
+    numbered = rows.numbered(rows.without_repeats(docs, shared), shared, number)
+    found = ngram_join.ngram_components(numbered.select(F.col(number).alias("doc_id"), "text"), n=5, percent=80)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(number))
+    return numbered.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +65,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: Trained models and token ids cannot be written in SQL; tests compare with brute force.
+#: Trained models and token ids cannot be written in SQL; tests compare the stages with plain loops.
 ORACLE_SQL = None
 
 
