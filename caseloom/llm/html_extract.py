@@ -250,6 +250,11 @@ class Matcher:
         found, todo = [], [(a, b)]
         while todo:
             a, b = todo.pop()
+            if a.shape == b.shape:  # node by node
+                found.append((a, b))
+                if self.kids[a.shape]:
+                    todo.extend(zip([k for k in a.kids if type(k) is Node], [k for k in b.kids if type(k) is Node]))
+                continue
             if self.kind[a.shape] != self.kind[b.shape]:
                 continue
             found.append((a, b))
