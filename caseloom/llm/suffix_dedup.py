@@ -48,6 +48,8 @@ ROWS = 8192
 CELL_BYTES = 1 << 20
 #: Documents in a block of a frequent head: the least, and this many times the root of all its documents.
 BLOCK_DOCS, ROOTS = 256, 16
+#: Places of one document in a block.
+BLOCK_TURNS = 8
 
 _SUFFIXES = "cell long, head long, right binary, doc_id long, pos int, left binary, parts int"
 _TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
@@ -132,7 +134,12 @@ def suffix_table(docs: DataFrame, min_words: int, window: int = WINDOW) -> DataF
         key, doc, pos, cls = key[order], doc[order], pos[order], classes[good][order]
         shared = blocks.documents_of(cls)
         parts = np.where(cls > blocks.EXACT, np.ceil(shared / np.maximum(BLOCK_DOCS, ROOTS * np.sqrt(shared))), 0).astype(np.int64)
-        dealt = mix(ids[doc].view(np.uint64)) % np.maximum(parts, 1).astype(np.uint64) + (pos >> 16).astype(np.uint64) * np.uint64(1 << 32)
+        # A document's further places of one head go to further blocks.
+        opens = np.ones(len(key), bool)
+        opens[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+        first = np.flatnonzero(opens)
+        turn = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+        dealt = mix(ids[doc].view(np.uint64)) % np.maximum(parts, 1).astype(np.uint64) + (turn // BLOCK_TURNS).astype(np.uint64) * np.uint64(1 << 32)
         cell = np.where(parts > 0, -(mix(key ^ mix(dealt)) >> np.uint64(1)).astype(np.int64) - 1, (key % cells).astype(np.int64))
         out: list[list] = [[] for _ in _NAMES]
         cuts = np.searchsorted(doc, np.arange(len(doc_ids) + 1))
