@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction.
 
 Two pages of every host, picked by a hash, serve as references. A page's DOM
-tree is aligned with the references of its host by simple tree matching. Text
+tree is aligned with a reference that differs from it (with both, where the host
+has too few pages to count) by simple tree matching. Text
 in aligned nodes that is the same on both sides is constant, and template if at
 least COMMON of the host's distinct pages have it at the same path (counted over
 all pages); varying and unmatched slots are content. So copies of one article
@@ -381,6 +382,8 @@ def mark_template(page: Node, references: list[Reference], common: frozenset | N
         differs = True
         for p, s in same:
             votes.setdefault(id(p), []).append(s)
+        if common is not None:  # all pages of the host have a say below
+            break
     if not differs and common is None:
         return False
     for node, path in slots(page):
