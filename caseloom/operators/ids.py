@@ -5,31 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import ensure_checkpoint_dir
 
-def dense_numbers(df: DataFrame, order: list[str], name: str, keys: list[str] | None = None) -> DataFrame:
-    """PR11: 1, 2, 3 ... in ``order`` (which should be unique), for each value of ``keys``.
 
-    Rows are spread over ranges of (keys, order); each range numbers its own
-    rows, and the counts of the ranges before it are added. So a key that holds
-    most rows is no single task. Ranges come from fixed quantile cuts that are
-    joined as a small table, which keeps the plan deterministic.
+def dense_numbers(df: DataFrame, order: list[str | Column], name: str, keys: list[str] | None = None) -> DataFrame:
+    """PR11: 1, 2, 3 ... in ``order`` (which should be unique), for each value of ``keys``; nulls come first, of any type.
+
+    Rows are sorted by ranges of (keys, order) and written to the checkpoint
+    folder with their place; the counts of the ranges before are added. So a
+    key that holds most rows is no single task, and only counts meet in one.
     """
     keys = keys or []
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    lead = order[0]
-    cuts = df.agg(F.percentile_approx(F.col(lead).cast("double"), [k / parts for k in range(1, parts)] or [0.5], 1000).alias("c")).first()["c"]
-    bounds = sorted(set(cuts or []))
-    bucket: Column = F.lit(0)
-    for b in bounds:
-        bucket = bucket + (F.col(lead).cast("double") > F.lit(b)).cast("int")
-    tagged = df.withColumn("_range", bucket)
-    own = Window.partitionBy(*keys, "_range").orderBy(*order)
-    sizes = tagged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    line = [*keys, *order]
+    placed = df.repartitionByRange(parts, *line).sortWithinPartitions(*line).withColumn("_place", F.monotonically_increasing_id()).checkpoint()
+    placed = placed.withColumn("_range", F.shiftrightunsigned("_place", 33))
+    sizes = placed.groupBy(*keys, "_range").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    numbered = tagged.withColumn("_own", F.row_number().over(own))
-    return numbered.join(offsets, [*keys, "_range"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+    offsets = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_r"), "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return placed.join(offsets, same).withColumn(name, F.col("_before") + F.col("_place") - F.col("_first") + 1).select(*df.columns, name)
 
 
 def assign_case_codes(cases: DataFrame) -> DataFrame:

@@ -33,9 +33,15 @@ def _(s, d):
     return views.table(s, d, "pages").select("page_id", clean.decode_entities(text.display_text("html")).alias("shown"))
 
 
-@query("FN04_mojibake", "SELECT case_id, length(question) AS n FROM cases_v WHERE NOT regexp_matches(question, '[ÂÃâ]')")
+# What the damaged forms of these characters come back as; text with others in the Latin-1 range is damaged beyond the list.
+MENDED = "[°±µéèöü]"
+
+
+@query("FN04_mojibake", f"SELECT case_id, question AS mended FROM cases_v WHERE NOT regexp_matches(regexp_replace(question, '{MENDED}', '', 'g'), '[^\\x00-\\x7f]')")
 def _(s, d):
-    return views.cases(s, d).where(~F.col("question").rlike("[ÂÃâ]")).select("case_id", F.length(text.fix_mojibake("question")).cast("long").alias("n"))
+    """Every text that is ASCII or of those characters, damaged by reading its UTF-8 as Latin-1, and mended."""
+    c = views.cases(s, d).where(~F.regexp_replace("question", MENDED, "").rlike("[^\\x00-\\x7f]"))
+    return c.select("case_id", text.fix_mojibake(F.decode(F.encode("question", "UTF-8"), "ISO-8859-1")).alias("mended"))
 
 
 @query("FN05_clean_explanation")
@@ -53,11 +59,6 @@ def _(s, d):
     return views.cases(s, d).select("case_id", text.age(F.concat(F.lit("A "), F.col("case_id") % 90, F.lit("-year-old. "), F.col("title"))).cast("long").alias("years"))
 
 
-@query("FN08_prompt")
-def _(s, d):
-    return views.cases(s, d).select("case_id", text.extract_prompt("question").alias("prompt"))
-
-
 @query("FN09_titles")
 def _(s, d):
     c = views.cases(s, d)
@@ -135,11 +136,6 @@ def _(s, d):
     return views.cases(s, d).select("case_id", text.parse_custom_id(made).alias("found"))
 
 
-@query("FN27_strip_html")
-def _(s, d):
-    return views.table(s, d, "pages").select("page_id", text.strip_html("html").alias("plain"))
-
-
 @query("FN28_units", "SELECT case_id, 'at ' || case_id || ' mg/dL and 3 mmHg' AS t FROM cases_v")
 def _(s, d):
     return views.cases(s, d).select("case_id", clean.canonical_units(F.concat(F.lit("at "), "case_id", F.lit(" MG / dl and 3 mm hg"))).alias("t"))
@@ -484,12 +480,6 @@ def _(s, d):
     return ranked.groupBy("source").agg(best.alias("b")).select("source", F.get("b", F.lit(0))["category"].alias("winner"), F.get("b", F.lit(1))["category"].alias("runner_up"))
 
 
-@query("UD03_edges_per_case")
-def _(s, d):
-    return contradictions.contradiction_keys(views.cases(s, d)).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("case_id").alias("first_id")).where("n > 1")
-
-
-
 FP_SQL = "fp_v AS (SELECT case_id, array_to_string(list_sort(list(substring(trim(lower(option_text)), 1, 30))), '|') AS fp FROM options_v GROUP BY case_id)"
 FPS = (CASES_SQL, OPTIONS_SQL, FP_SQL)
 

@@ -35,6 +35,11 @@ NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]+',
 ALNUM = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 
 
+def with_label(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the cases that have a label."""
+    return views.table(spark, d, "labels").select(F.col("doc_id").alias("case_id")).where("case_id is not null").distinct()
+
+
 def answers(spark: SparkSession, d: str) -> DataFrame:
     return views.options(views.cases(spark, d)).where("is_correct").select("case_id", F.col("option_text").alias("answer"))
 
@@ -151,16 +156,6 @@ def _(s, d):
     return contradictions.contradiction_keys(views.cases(s, d)).select("case_id", "key")
 
 
-@query("DD16_contradiction_edges")
-def _(s, d):
-    return contradictions.contradiction_edges(contradictions.contradiction_keys(views.cases(s, d)))
-
-
-@query("DD17_components")
-def _(s, d):
-    return contradictions.connected(contradictions.contradiction_edges(contradictions.contradiction_keys(views.cases(s, d))))
-
-
 @query("DD18_answer_clusters")
 def _(s, d):
     c = views.cases(s, d)
@@ -168,18 +163,20 @@ def _(s, d):
     return contradictions.answer_clusters(comps.join(c.select("case_id", "pos"), "case_id").join(answers(s, d), "case_id"))
 
 
+# Stock phrases of explanations, in SQL.
+HOLLOW = "coalesce(length({0}) < 20 OR " + " OR ".join(f"contains(lower(trim({{0}})), '{p}')" for p in merge.PLACEHOLDERS) + ", true)"
 GOLD = f"""keyed AS (SELECT s.*, sig || '::' || coalesce(oh, '') AS cluster FROM sig_v s LEFT JOIN
     (SELECT case_id, array_to_string(list_sort(list(k) FILTER (length(k) > 3)), '_') AS oh FROM (SELECT case_id, substring({ALNUM.format('option_text')}, 1, 30) AS k FROM options_v) GROUP BY case_id) o USING (case_id) WHERE sig IS NOT NULL),
   mk AS (SELECT *, cluster || '::' || CASE WHEN bool_or(exam_type = 'A') OVER (PARTITION BY cluster) AND bool_or(exam_type = 'B') OVER (PARTITION BY cluster) AND exam_type = 'B' THEN 'B' ELSE 'A' END AS merge_key FROM keyed),
   rk AS (SELECT *, row_number() OVER (PARTITION BY merge_key ORDER BY coalesce(confidence, 0) DESC, case_id) AS rn FROM mk),
-  gt AS (SELECT merge_key, arg_min(case_id, rn) AS host_id, list_sort(list(DISTINCT source)) AS merged_sources, count(*) AS n_merged, arg_min(rationale, rn) FILTER (length(rationale) >= 20) AS graft FROM rk GROUP BY merge_key)"""
+  gt AS (SELECT merge_key, arg_min(case_id, rn) AS host_id, list_sort(list(DISTINCT source)) AS merged_sources, count(*) AS n_merged, arg_min(rationale, rn) FILTER (NOT {HOLLOW.format('rationale')}) AS graft FROM rk GROUP BY merge_key)"""
 
 
 @query(
     "DD03_golden_merge",
-    """SELECT c.case_id, source, exam_type, CASE WHEN length(rationale) >= 20 THEN rationale ELSE coalesce(graft, rationale) END AS rationale,
-      CASE WHEN n_merged > 1 THEN least(5.0, coalesce(confidence, 3.0) + least((len(merged_sources) - 1) * CAST(0.15 AS DOUBLE), 0.5)) ELSE confidence END AS confidence,
-      array_to_string(coalesce(merged_sources, [source]), ',') AS merged_sources, coalesce(n_merged, 1) AS n_merged, coalesce(len(merged_sources) - 1, 0) >= 2 AS is_high_yield
+    f"""SELECT c.case_id, source, exam_type, CASE WHEN {HOLLOW.format('rationale')} THEN coalesce(graft, rationale) ELSE rationale END AS rationale,
+      CASE WHEN len(merged_sources) > 1 THEN least(5.0, coalesce(nullif(confidence, 0), 3.0) + least((len(merged_sources) - 1) * CAST(0.15 AS DOUBLE), 0.5)) ELSE confidence END AS confidence,
+      array_to_string(coalesce(merged_sources, [source]), ',') AS merged_sources, coalesce(n_merged, 1) AS n_merged, coalesce(len(merged_sources), 1) > 1 AS is_high_yield
     FROM cases_v c LEFT JOIN gt ON host_id = c.case_id WHERE c.case_id NOT IN (SELECT case_id FROM rk WHERE rn > 1)""",
     (*BOTH, SIG, GOLD),
 )
@@ -187,6 +184,47 @@ def _(s, d):
     return merge.golden_merge(views.cases_with_options(s, d))[0].withColumn("merged_sources", F.array_join("merged_sources", ","))
 
 
+def donors(s, d):
+    """Cases with grafts: a pearl and distractors from the text, and tags, each missing in some."""
+    c, i = views.cases_with_options(s, d), F.col("case_id")
+    parts = F.split("question", " ")
+    return (
+        c.withColumn("pearl", F.when(i % 3 != 0, F.element_at(parts, 1)))
+        .withColumn("distractors", F.create_map(F.lit("A"), F.when(i % 2 == 0, F.element_at(parts, 1)).otherwise(""), F.substring(F.lit("BCD"), (i % 3 + 1).cast("int"), F.lit(1)), F.concat("source", F.lit("!"))))
+        .withColumn("tags", F.array("category", F.concat(F.lit("t"), (i % 4).cast("string"))))
+    )
+
+
+@query(
+    "DD04_grafts",
+    """, giv AS (SELECT case_id, string_split(question, ' ')[1] AS w, source, category FROM cases_v),
+      all_g AS (SELECT r.merge_key, r.rn, g.case_id, CASE WHEN g.case_id % 3 <> 0 THEN w END AS pearl, CASE WHEN g.case_id % 2 = 0 THEN w ELSE '' END AS a,
+        substring('BCD', CAST(g.case_id % 3 + 1 AS INTEGER), 1) AS k, g.source || '!' AS t, category, 't' || (g.case_id % 4) AS tag FROM giv g LEFT JOIN rk r USING (case_id)),
+      grp AS (SELECT *, coalesce(merge_key, CAST(case_id AS VARCHAR)) AS g, coalesce(rn, 1) AS n FROM all_g)
+    SELECT h.case_id, CASE WHEN coalesce(length(h.pearl), 0) < 5 THEN coalesce(arg_min(x.pearl, x.n) FILTER (length(x.pearl) > 5), h.pearl) ELSE h.pearl END AS pearl,
+      concat_ws(';', 'A=' || arg_min(x.a, x.n) FILTER (x.a <> ''), 'B=' || arg_min(x.t, x.n) FILTER (x.k = 'B'), 'C=' || arg_min(x.t, x.n) FILTER (x.k = 'C'), 'D=' || arg_min(x.t, x.n) FILTER (x.k = 'D')) AS distractors,
+      array_to_string(list_sort(list_distinct(list(x.category) || list(x.tag))), ',') AS tags
+    FROM grp h JOIN grp x USING (g) WHERE h.n = 1 GROUP BY h.case_id, h.pearl""",
+    (*BOTH, SIG, GOLD),
+)
+def _(s, d):
+    entries = F.array_sort(F.map_entries("distractors"))
+    said = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return merge.golden_merge(donors(s, d))[0].select("case_id", "pearl", said.alias("distractors"), F.array_join("tags", ",").alias("tags"))
+
+
+@query(
+    "DD05_consensus",
+    """SELECT is_high_yield, count(*) AS n, round(sum(confidence), 6) AS confidence, count(confidence) AS rated FROM (
+      SELECT CASE WHEN len(merged_sources) > 1 THEN least(5.0, coalesce(nullif(confidence, 0), 3.0) + least((len(merged_sources) - 1) * CAST(0.15 AS DOUBLE), 0.5)) ELSE confidence END AS confidence, coalesce(len(merged_sources), 1) > 1 AS is_high_yield
+      FROM cases_v c LEFT JOIN gt ON host_id = c.case_id WHERE c.case_id NOT IN (SELECT case_id FROM rk WHERE rn > 1)) GROUP BY is_high_yield""",
+    (*BOTH, SIG, GOLD),
+)
+def _(s, d):
+    golden = merge.golden_merge(views.cases_with_options(s, d))[0]
+    return golden.groupBy("is_high_yield").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"), F.count("confidence").alias("rated"))
+
+
 @query("DD06_redirects", "SELECT case_id AS absorbed_id, host_id FROM rk JOIN gt USING (merge_key) WHERE rn > 1", (*BOTH, SIG, GOLD))
 def _(s, d):
     return merge.golden_merge(views.cases_with_options(s, d))[1]
@@ -853,10 +891,11 @@ def _(s, d):
     return category.fill_gaps(views.cases(s, d).where("needs_review").select("case_id", "category"), s.createDataFrame([("en", 5), ("de", 3)], "category string, needed int"))
 
 
-@query("SC14_changed_only", "SELECT case_id, CASE WHEN case_id % 9 = 0 THEN 'x' ELSE category END AS category FROM cases_v WHERE case_id % 9 = 0 OR case_id >= 900")
+@query("SC14_changed_only", "SELECT case_id, CASE WHEN needs_review THEN 'x' ELSE category END AS category FROM cases_v WHERE needs_review OR case_id NOT IN (SELECT doc_id FROM labels)")
 def _(s, d):
-    c = views.cases(s, d).select("case_id", "category")
-    return category.changed_only(c.where("case_id < 900"), c.withColumn("category", F.when(F.col("case_id") % 9 == 0, "x").otherwise(F.col("category"))), "case_id", ["category"])
+    c = views.cases(s, d).select("case_id", "category", "needs_review")
+    known = c.join(with_label(s, d), "case_id", "left_semi")
+    return category.changed_only(known.drop("needs_review"), c.select("case_id", F.when(F.col("needs_review"), "x").otherwise(F.col("category")).alias("category")), "case_id", ["category"])
 
 
 @query("FL03_browse", "SELECT case_id FROM cases_v WHERE category = 'en' AND exam_type IN ('A', 'BOTH') AND contains(lower(title || ' ' || question || ' ' || category), 'idiot') AND case_id NOT IN (SELECT case_id FROM telemetry_v WHERE case_id IS NOT NULL)", (CASES_SQL, TELEMETRY_SQL))
@@ -914,10 +953,10 @@ def _(s, d):
     return io.from_relational(table, opts).select("case_id", F.size("options").cast("long").alias("n"), F.array_join(F.transform("options", lambda o: o["id"]), "").alias("ids"))
 
 
-@query("IO07_parity", "SELECT count(*) FILTER (case_id % 10 <> 0 AND case_id < 900) AS equal, count(*) FILTER (case_id % 10 = 0 AND case_id < 900) AS different, count(*) FILTER (case_id >= 900) AS only_a, CAST(0 AS BIGINT) AS only_b FROM cases_v")
+@query("IO07_parity", "SELECT count(*) FILTER (l.doc_id IS NOT NULL AND NOT truncated) AS equal, count(*) FILTER (l.doc_id IS NOT NULL AND truncated) AS different, count(*) FILTER (l.doc_id IS NULL) AS only_a, CAST(0 AS BIGINT) AS only_b FROM cases_v LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = case_id")
 def _(s, d):
     a = views.cases(s, d)
-    return io.parity(a, a.where("case_id < 900").withColumn("title", F.when(F.col("case_id") % 10 == 0, "changed").otherwise(F.col("title"))))
+    return io.parity(a, a.join(with_label(s, d), "case_id", "left_semi").withColumn("title", F.when(F.col("truncated"), "changed").otherwise(F.col("title"))))
 
 
 @query("IO08_upsert", "SELECT case_id, CASE WHEN truncated THEN 'fixed' ELSE category END AS category FROM cases_v")
@@ -960,10 +999,10 @@ def _(s, d):
     return parse.publishable(views.cases_with_options(s, d)).select("case_id")
 
 
-@query("PR15_append_new", f"""SELECT case_id FROM (SELECT case_id, k, row_number() OVER (PARTITION BY k ORDER BY case_id) AS rn FROM (SELECT case_id, substring({ALNUM.format('question')}, 1, 100) AS k FROM cases_v WHERE case_id >= 500)) WHERE rn = 1 AND k NOT IN (SELECT substring({ALNUM.format('question')}, 1, 100) FROM cases_v WHERE case_id < 500)""")
+@query("PR15_append_new", f"""SELECT case_id FROM (SELECT case_id, k, row_number() OVER (PARTITION BY k ORDER BY case_id) AS rn FROM (SELECT case_id, substring({ALNUM.format('question')}, 1, 100) AS k FROM cases_v WHERE case_id NOT IN (SELECT doc_id FROM labels))) WHERE rn = 1 AND k NOT IN (SELECT substring({ALNUM.format('question')}, 1, 100) FROM cases_v WHERE case_id IN (SELECT doc_id FROM labels))""")
 def _(s, d):
     c = views.cases(s, d).select("case_id", "pos", "question")
-    return parse.append_new(c.where("case_id < 500"), c.where("case_id >= 500")).select("case_id")
+    return parse.append_new(c.join(with_label(s, d), "case_id", "left_semi"), c.join(with_label(s, d), "case_id", "left_anti")).select("case_id")
 
 
 @query("PR16_by_hits", "SELECT case_id, CASE WHEN greatest(a, b) = 0 THEN 'none' WHEN a >= b THEN 'en' ELSE 'de' END AS category FROM (SELECT case_id, CAST(contains(lower(question), ' the ') AS INTEGER) + CAST(contains(lower(question), ' of ') AS INTEGER) AS a, CAST(contains(lower(question), ' die ') AS INTEGER) + CAST(contains(lower(question), ' der ') AS INTEGER) AS b FROM cases_v)")
@@ -971,14 +1010,6 @@ def _(s, d):
     return views.cases(s, d).select("case_id", parse.categorize_by_hits(F.col("question"), {"en": [" the ", " of "], "de": [" die ", " der "]}, "none").alias("category"))
 
 
-@query("FN11_validation_score")
-def _(s, d):
-    i = F.col("case_id")
-    layers = dict(zip(scoring.LAYER_WEIGHTS, (i % 5, i % 4, i % 3, i % 6, i % 2, i % 7)))
-    score, _flags = scoring.validation_score(layers, F.when(F.col("exam_type") == "A", scoring.LOCAL_CONTEXT).otherwise(F.col("exam_type")))
-    return views.cases(s, d).select("case_id", score.alias("score"))
-
-
 @query("FN12_quality_score", """SELECT case_id, 25 * CAST(n_right > 0 AS INTEGER) + 25 * CAST(length(rationale) > 50 AS INTEGER) + 15 * CAST(NOT truncated AS INTEGER) + 10 * CAST(n_options BETWEEN 4 AND 5 AS INTEGER) + 10 * CAST(length(question) > 100 AS INTEGER) + 5 * CAST(NOT needs_review AS INTEGER) AS quality FROM agg_v""", AUDIT)
 def _(s, d):
     score = scoring.quality_score(F.exists("options", lambda o: o["is_correct"]), F.col("rationale"), F.col("truncated"), F.size("options"), F.col("question"), F.lit(False), F.lit(False), F.col("needs_review"))
@@ -994,10 +1025,3 @@ def _(s, d):
 def _(s, d):
     said = F.element_at(F.array(F.lit("A"), F.lit("opb"), F.lit("3"), F.lit("zz")), (F.col("case_id") % 4 + 1).cast("int"))
     return views.cases_with_options(s, d).select("case_id", scoring.resolve_option(F.col("options"), said).alias("option"))
-
-
-@query("FN24_flip_votes")
-def _(s, d):
-    i = F.col("case_id")
-    votes = F.array(*[((i * k) % 11).cast("int") for k in range(1, 6)])
-    return views.cases(s, d).select("case_id", F.array_join(scoring.flip_votes(votes, F.when(i % 2 == 0, 1).otherwise(-1)).cast("array<string>"), ",").alias("votes"))

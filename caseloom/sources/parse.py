@@ -75,7 +75,7 @@ def parse_discussion(df: DataFrame) -> DataFrame:
 def parse_structured(df: DataFrame) -> DataFrame:
     """PR08: records in case shape already; more confident with a key."""
     keyed = F.exists("options", lambda o: F.coalesce(o["is_correct"], F.lit(False)))
-    return df.select("case_key", "question", "options", F.when(keyed, 3.0).otherwise(1.0).alias("confidence"))
+    return df.select("case_key", "question", "options", F.when(keyed, F.lit(3.0)).otherwise(F.lit(1.0)).alias("confidence"))
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
