@@ -34,7 +34,8 @@ def keep_first_answers(events: DataFrame, sink: str, checkpoint: str, buckets: i
         there = [str(s.getPath().getName()) for s in fs.listStatus(path)] if fs.exists(path) else []
         earlier = [f"{sink}/{n}" for n in there if n.startswith("epoch=") and int(n[6:]) < epoch]
         if earlier:
-            seen = spark.read.parquet(*earlier).select("case_id", "user_hash", "bucket")
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` rows
+            seen = spark.read.option("basePath", sink).parquet(*earlier).where(F.col("bucket").isin(touched)).select("case_id", "user_hash", "bucket")
             new = new.join(seen, ["bucket", "case_id", "user_hash"], "left_anti")
         new.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/epoch={epoch}")
 
