@@ -11,9 +11,10 @@ Repeated rows give a row each. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import fresh
 from .scratch import cut
 
 # The base patterns, in the order in which kinds are listed.
@@ -26,41 +27,25 @@ GENERIC = r"[A-Za-z0-9+/_=-]{20,}+"
 #: A value held by more owners than this is a copied example.
 MAX_OWNERS = 2
 
-_HIT = "array<struct<start:int,rank:int,end:int,value:string>>"
+_HITS = "array<struct<start:int,rank:int,end:int,digest:string>>"
 
 
-def _hits(text: Column, pattern: str, rank: int, value_group: int, keep=None) -> Column:
-    """Matches with offsets: the texts between matches give where each one starts."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = found if value_group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    gaps = F.split(text, pattern, -1)
-    rows = F.zip_with(
-        F.arrays_zip(F.transform(found, F.char_length).alias("n"), values.alias("v")),
-        F.slice(F.transform(gaps, F.char_length), F.lit(1), F.size(found)),
-        lambda hit, gap: F.struct(gap.alias("gap"), hit["n"].alias("n"), hit["v"].alias("v")),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_HIT).alias("hits"))
-    walked = F.aggregate(
+def _matches(found: Column, text: Column, pattern: str, rank: int, value=lambda m: m, keep=lambda v: F.lit(True)) -> Column:
+    """Matches in order with their lengths and the lengths of the texts before them; values become digests, so no secret is written to a table."""
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), F.char_length), F.lit(1), F.size(found))
+    rows = F.zip_with(found, gaps, lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
+    made = F.transform(
         rows,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(
-                acc["hits"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + x["gap"]).alias("start"),
-                        F.lit(rank).alias("rank"),
-                        (acc["at"] + x["gap"] + x["n"]).alias("end"),
-                        x["v"].alias("value"),
-                    )
-                ),
-            ).cast(_HIT).alias("hits"),
+        lambda x, i: F.struct(
+            F.lit(rank).alias("rank"),
+            i.alias("nth"),
+            x["gap"].alias("gap"),
+            F.char_length(x["m"]).alias("n"),
+            keep(value(x["m"])).alias("kept"),
+            F.sha2(value(x["m"]), 256).alias("digest"),
         ),
-    )["hits"]
-    if keep is not None:
-        walked = F.filter(walked, lambda x: keep(x["value"]))
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(_HIT))
+    )
+    return F.when(F.size(found) > 0, made).otherwise(F.slice(made, 1, 0))
 
 
 def spans_text(hits: Column) -> Column:
@@ -73,53 +58,52 @@ def spans_text(hits: Column) -> Column:
 
 
 def find_candidates(docs: DataFrame, id_col="doc_id", text_col="text", repo_col="source", owner_col="source") -> DataFrame:
-    """Per row of ``docs``: row_id, id, key of id and text, repo, owner, base hits and generic hits, in order of start."""
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    base = F.array_sort(
-        F.concat(
-            _hits(text, ASSIGN, 0, 2, lambda v: F.char_length(v) >= 6),
-            _hits(text, ACCESS, 1, 0),
-            _hits(text, HEX, 2, 0),
-        )
+    """Per row of ``docs``: row_id, id, key of the text, repo, owner and the matches of every kind as digests."""
+    found = docs.select(
+        F.monotonically_increasing_id().alias("row_id"),
+        F.col(id_col).alias("_id"),
+        F.xxhash64(text_col).alias("_text_key"),
+        F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("_repo"),
+        F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
     )
-    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    return (
-        docs.select(
-            F.monotonically_increasing_id().alias("row_id"),
-            F.col(id_col).alias("_id"),
-            F.col(text_col).alias("_text"),
-            F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("_repo"),
-            F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"),
-            F.xxhash64(id_col, text_col).alias("_row_key"),
-        )
-        .select("row_id", "_id", "_row_key", "_repo", "_owner", base.alias("_base"), _hits(text, GENERIC, 3, 0, mixed).alias("_generic"))
-        .select(
-            "row_id",
-            "_id",
-            "_row_key",
-            "_repo",
-            "_owner",
-            _hashed(F.col("_base")).alias("_base"),
-            _hashed(
-                F.filter("_generic", lambda g: ~F.exists("_base", lambda b: (g["start"] < b["end"]) & (b["start"] < g["end"])))
-            ).alias("_generic"),
-        )
+    names = [f"_{kind}" for kind in KINDS]
+    patterns = (ASSIGN, ACCESS, HEX, GENERIC)
+    found = found.select("*", *[F.regexp_extract_all("_text", F.lit(p), F.lit(0)).alias(name) for p, name in zip(patterns, names)])
+    options = (
+        {"value": lambda m: F.regexp_extract(m, ASSIGN, 2), "keep": lambda v: F.char_length(v) >= 6},
+        {},
+        {},
+        {"keep": lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")},
     )
+    made = [_matches(F.col(name), F.col("_text"), p, rank, **more) for rank, (name, p, more) in enumerate(zip(names, patterns, options))]
+    return found.select("row_id", "_id", "_text_key", "_repo", "_owner", F.concat(*made).alias("_matches"))
 
 
-def _hashed(hits: Column) -> Column:
-    """Values become digests, so no secret is written to a table."""
-    return F.transform(
-        hits,
-        lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("digest")),
-    )
+def place_hits(candidates: DataFrame) -> DataFrame:
+    """A row per hit with start and end: row_id, id, key of the text, repo, owner, start, rank, end, digest.
 
-
-def ownership(candidates: DataFrame) -> DataFrame:
+    Offsets are running sums over the matches of a text and kind; generic hits
+    that overlap a base hit go. A text's matches are one window, so their
+    number costs no more than a sort.
+    """
+    each = candidates.select("row_id", "_id", "_text_key", "_repo", "_owner", F.explode("_matches").alias("m"))
+    each = each.select("row_id", "_id", "_text_key", "_repo", "_owner", "m.*").repartition("row_id")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    ended = each.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("row_id", "rank").orderBy("nth").rowsBetween(*so_far)).cast("int"))
+    ended = ended.where("kept").withColumn("start", F.col("end") - F.col("n"))
+    base = F.col("rank") < KINDS.index("generic")
+    forward = Window.partitionBy("row_id").orderBy("start", "rank").rowsBetween(*so_far)
+    back = Window.partitionBy("row_id").orderBy(F.desc("start"), F.desc("rank")).rowsBetween(*so_far)
+    near = ended.withColumn("_before", F.max(F.when(base, F.col("end"))).over(forward)).withColumn("_after", F.min(F.when(base, F.col("start"))).over(back))
+    overlaps = F.coalesce(F.col("_before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_after") < F.col("end"), F.lit(False))
+    return near.where(base | ~overlaps).select("row_id", "_id", "_text_key", "_repo", "_owner", "start", "rank", "end", "digest")
+
+
+def ownership(hits: DataFrame) -> DataFrame:
     """Per value digest: distinct repositories, distinct owners, rows."""
-    seen = candidates.select("_repo", "_owner", F.explode(F.concat("_base", "_generic")).alias("h")).select("_repo", "_owner", F.col("h.digest").alias("digest"))
     return (
-        seen.groupBy("digest", "_repo", "_owner")
+        hits.groupBy("digest", "_repo", "_owner")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("digest")
         .agg(F.count_distinct("_repo").alias("n_repos"), F.count_distinct("_owner").alias("n_owners"), F.sum("n").alias("n_rows"))
@@ -134,23 +118,26 @@ def secret_scan(docs: DataFrame, id_col="doc_id", text_col="text", repo_col="sou
     whatever their counts; a generic hit is added only when owner-specific.
     """
     found = cut(find_candidates(docs, id_col, text_col, repo_col, owner_col), "secrets")
+    hits = cut(place_hits(found), "secret-hits")
+    hit = F.struct("start", "rank", "end", "digest")
+    base = F.col("rank") < KINDS.index("generic")
     judged = (
-        found.select("row_id", F.explode(F.concat("_base", "_generic")).alias("h"))
-        .select("row_id", "h", F.col("h.digest").alias("digest"))
-        .join(ownership(found), "digest")
+        hits.join(ownership(hits), "digest")
         .withColumn("owned", F.col("n_owners") <= max_owners)
         .groupBy("row_id")
         .agg(
-            F.collect_list(F.when(F.col("owned") & (F.col("h.rank") == 3), F.col("h"))).alias("_added"),
+            F.array_sort(F.collect_list(F.when(base, hit))).alias("_base"),
+            F.array_sort(F.collect_list(F.when(base | F.col("owned"), hit))).alias("_all"),
             F.count_if("owned").alias("n_owned"),
             F.count_if(~F.col("owned")).alias("n_copied"),
             F.max("n_owners").alias("max_owners"),
         )
     )
-    return found.join(judged, "row_id", "left").select(
+    none = F.array().cast(_HITS)
+    return found.select("row_id", "_id").join(judged, "row_id", "left").select(
         F.col("_id").alias(id_col),
-        F.col("_base").alias("base_hits"),
-        F.array_sort(F.concat("_base", F.coalesce("_added", F.array().cast("array<struct<start:int,rank:int,end:int,digest:string>>")))).alias("all_hits"),
+        F.coalesce(F.col("_base").cast(_HITS), none).alias("base_hits"),
+        F.coalesce(F.col("_all").cast(_HITS), none).alias("all_hits"),
         F.coalesce("n_owned", F.lit(0)).alias("n_owned"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
         F.coalesce("max_owners", F.lit(0)).alias("max_owners"),
@@ -181,46 +168,25 @@ def mask_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     of the first. ``n_chars`` is counted anew where it is present.
     """
     columns = docs.columns
-    marked = "array<struct<start:int,rank:int,end:int>>"
-    found = cut(find_candidates(docs), "secrets")
-    counted = ownership(found).where(F.col("n_owners") <= max_owners).select("digest")
-    owned = (
-        found.select("_row_key", F.explode(F.concat("_base", "_generic")).alias("h"))
-        .select("_row_key", F.struct("h.start", "h.rank", "h.end").alias("span"), F.col("h.digest").alias("digest"))
-        .join(counted, "digest", "left_semi")
-        .groupBy("_row_key")
-        .agg(F.array_sort(F.collect_set("span")).alias("_spans"))
-    )
-    # Spans grow from left to right; one that starts inside the last one only widens it.
-    joined = F.aggregate(
-        "_spans",
-        F.array().cast(marked),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (x["start"] < F.element_at(done, -1)["end"]),
-            F.concat(
-                F.slice(done, F.lit(1), F.size(done) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1)["start"].alias("start"),
-                        F.element_at(done, -1)["rank"].alias("rank"),
-                        F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"),
-                    )
-                ),
-            ).cast(marked),
-        ).otherwise(F.concat(done, F.array(x)).cast(marked)),
-    )
+    hits = cut(place_hits(find_candidates(docs)), "secret-hits")
+    counted = ownership(hits).where(F.col("n_owners") <= max_owners).select("digest")
+    owned = hits.join(counted, "digest", "left_semi")
+    # Rows of equal id and text have equal spans: they are reduced to one before the window.
+    owned = owned.groupBy("_text_key", "_id", "start", "rank").agg(F.max("end").alias("end"))
+    in_text = Window.partitionBy("_text_key", "_id").orderBy("start", "rank")
+    reached = F.max("end").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("start") >= F.col("_reached"), F.lit(True)).cast("int")
+    joined = owned.withColumn("_reached", reached).withColumn("_group", F.sum(opens).over(in_text.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joined = joined.groupBy("_text_key", "_id", "_group").agg(F.min(F.struct("start", "rank")).alias("first"), F.max("end").alias("end"))
+    spans, key, row = (fresh(name, columns) for name in ("_spans", "_text_key", "_id"))
+    span = F.struct("first.start", "first.rank", "end")
+    masks = joined.groupBy(F.col("_text_key").alias(key), F.col("_id").alias(row)).agg(F.array_sort(F.collect_list(span)).alias(spans))
     kind = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    pieces = F.aggregate(
-        F.col("_joined"),
-        F.struct(F.lit("").alias("made"), F.lit(0).alias("at")),
-        lambda acc, x: F.struct(
-            F.concat(acc["made"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.get(kind, x["rank"])).alias("made"),
-            x["end"].alias("at"),
-        ),
-    )
-    out = docs.withColumn("_row_key", F.xxhash64("doc_id", "text")).join(owned, "_row_key", "left").withColumn("_joined", joined).withColumn("_made", pieces)
-    whole = F.concat(F.col("_made.made"), F.substring(F.col("text"), F.col("_made.at") + 1, F.char_length("text")))
-    out = out.withColumn("text", F.when(F.col("_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(whole))
+    before = lambda i: F.coalesce(F.get(F.col(spans), i - 1)["end"], F.lit(0))
+    pieces = F.transform(spans, lambda x, i: F.concat(F.substring(F.col("text"), before(i) + 1, x["start"] - before(i)), F.get(kind, x["rank"])))
+    whole = F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), F.element_at(spans, -1)["end"] + 1, F.char_length("text")))
+    out = docs.join(masks, (F.xxhash64("text") == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(row)), "left")
+    out = out.withColumn("text", F.when(F.col(spans).isNull() | F.col("text").isNull(), F.col("text")).otherwise(whole))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(dict(docs.dtypes)["n_chars"]))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*columns)

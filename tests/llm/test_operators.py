@@ -141,6 +141,22 @@ def test_mask_secrets(spark):
     assert secrets.mask_secrets(docs).columns == docs.columns
 
 
+def test_many_secrets_in_one_text(spark):
+    """Thousands of hits of a text: offsets, overlaps and masks against a plain loop."""
+    parts = [("token=abcde%d" if k % 2 else "Zz9%024d" % k + "q%d") % k for k in range(6000)]
+    text = " ".join(parts)
+    docs = documents(spark, [text, "plain"]).withColumns({"_spans": F.lit(1), "_text_key": F.lit(2), "_id": F.lit(3)})
+    got = {r.doc_id: r for r in secrets.secret_digest(docs).collect()}
+    expect, at = [], 0
+    for k, part in enumerate(parts):
+        expect.append(f"hex:{at + 2}:{at + 27}" if k % 2 == 0 else f"assign:{at}:{at + len(part)}")
+        at += len(part) + 1
+    assert got[0].spans == ",".join(expect) and got[0].n_hex == got[0].n_assign == 3000
+    masked = {r.doc_id: r for r in secrets.mask_secrets(docs).collect()}
+    assert masked[0].text == " ".join("[assign]" if k % 2 else f"Zz[hex]q{k}" for k in range(6000))
+    assert masked[1].text == "plain" and masked[0]._id == 3
+
+
 def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
