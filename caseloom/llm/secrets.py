@@ -27,6 +27,7 @@ GENERIC = r"[A-Za-z0-9+/_=-]{20,}+"
 #: A value held by more owners than this is a copied example.
 MAX_OWNERS = 2
 
+_MATCHES = "array<struct<rank:int,nth:int,gap:int,n:int,kept:boolean,digest:string>>"
 _HITS = "array<struct<start:int,rank:int,end:int,digest:string>>"
 
 
@@ -45,7 +46,7 @@ def _matches(found: Column, text: Column, pattern: str, rank: int, value=lambda
             F.sha2(value(x["m"]), 256).alias("digest"),
         ),
     )
-    return F.when(F.size(found) > 0, made).otherwise(F.slice(made, 1, 0))
+    return F.when(F.size(found) > 0, made).otherwise(F.array().cast(_MATCHES))
 
 
 def spans_text(hits: Column) -> Column:
