@@ -93,10 +93,11 @@ def dissonance(cases: DataFrame, answers: DataFrame, variants: DataFrame, least:
 
 def wrong_explained(df: DataFrame, least: int = 5) -> DataFrame:
     """QA14: rationales that mention words of a wrong option more often than words of the right one."""
-    words = lambda t: F.array_distinct(F.filter(F.split(comparable(t), " "), lambda w: F.length(w) >= least))
-    said = F.split(comparable("rationale"), " ")
-    hits = lambda t: F.size(F.filter(said, lambda w: F.array_contains(words(t), w)))
-    scored = F.transform("options", lambda o: F.struct(o["is_correct"].alias("c"), hits(o["text"]).alias("n")))
+    long_words = lambda t: F.filter(F.split(comparable(t), " "), lambda w: F.length(w) >= least)
+    # The words of an option are made once, not again for every word of the rationale.
+    asked = F.transform("options", lambda o: F.struct(o["is_correct"].alias("c"), F.array_distinct(long_words(o["text"])).alias("words")))
+    df = df.where(F.length("rationale") > 0).select("case_id", asked.alias("asked"), long_words("rationale").alias("said"))
+    scored = F.transform("asked", lambda x: F.struct(x["c"].alias("c"), F.size(F.filter("said", lambda w: F.array_contains(x["words"], w))).alias("n")))
     right = F.coalesce(F.array_max(F.transform(F.filter(scored, lambda x: x["c"]), lambda x: x["n"])), F.lit(0))
     wrong = F.coalesce(F.array_max(F.transform(F.filter(scored, lambda x: ~x["c"]), lambda x: x["n"])), F.lit(0))
-    return df.where(F.length("rationale") > 0).select("case_id", right.alias("right_hits"), wrong.alias("wrong_hits")).where("wrong_hits > right_hits")
+    return df.select("case_id", right.alias("right_hits"), wrong.alias("wrong_hits")).where("wrong_hits > right_hits")

@@ -99,7 +99,7 @@ def _(s, d):
     return views.cases(s, d).select("case_id", clean.image_type(F.when(i == 0, "an MRI ").when(i == 1, "the picture ").otherwise("")).alias("kind"))
 
 
-@query("FN18_search_key", "SELECT case_id, lower(title || ' ' || substring(question, 1, 120) || ' ' || category || ' ' || source) AS key FROM cases_v")
+@query("FN18_search_key", "SELECT case_id, lower(substring(title, 1, 60) || ' ' || substring(question, 1, 120) || ' ' || category || ' ' || source) AS key FROM cases_v")
 def _(s, d):
     return views.cases(s, d).select("case_id", clean.search_key((F.col("title"), 60), (F.col("question"), 120), (F.col("category"), 10), (F.col("source"), 10)).alias("key"))
 

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: a case without options."""
+    """One row per document: a case without options. Its title is the first sentence, its rationale all after it (all of a text of one)."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
     return docs.join(labels, "doc_id", "left").select(
@@ -28,9 +28,9 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("category"),
         F.when(i % 3 == 0, "A").when(i % 3 == 1, "B").otherwise("BOTH").alias("exam_type"),
         text.alias("question"),
-        F.substring(text, 1, 300).alias("narrative"),
-        F.substring(text, 1, 60).alias("title"),
-        F.substring(text, 61, 200).alias("rationale"),
+        text.alias("narrative"),
+        F.substring_index(text, ".", 1).alias("title"),
+        F.substr(text, F.instr(text, ".") + 1).alias("rationale"),
         F.when(i % 11 != 0, (1 + (i * 7) % 5).cast("double")).alias("confidence"),
         ((i * 13) % 101).cast("double").alias("score"),
         (1 + i % 5).cast("int").alias("difficulty"),
@@ -44,8 +44,8 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASES_SQL = """cases_v AS (
   SELECT doc_id AS case_id, doc_id AS pos, source, lang AS category,
     CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'BOTH' END AS exam_type,
-    coalesce(text, '') AS question, substring(coalesce(text, ''), 1, 300) AS narrative, substring(coalesce(text, ''), 1, 60) AS title,
-    substring(coalesce(text, ''), 61, 200) AS rationale,
+    coalesce(text, '') AS question, coalesce(text, '') AS narrative, split_part(coalesce(text, ''), '.', 1) AS title,
+    substring(coalesce(text, ''), instr(coalesce(text, ''), '.') + 1) AS rationale,
     CASE WHEN doc_id % 11 <> 0 THEN CAST(1 + (doc_id * 7) % 5 AS DOUBLE) END AS confidence,
     CAST((doc_id * 13) % 101 AS DOUBLE) AS score, CAST(1 + doc_id % 5 AS INTEGER) AS difficulty,
     coalesce(toxic, 0) = 1 AS quarantined, coalesce(quality, 1) = 0 AS needs_review, doc_id % 17 = 0 AS truncated,
