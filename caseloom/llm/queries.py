@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embedding_dedup, html_extract, ngram_join, packing, secrets, sentencepiece_fst, suffix_dedup, toxicity
+from . import ann, chat, embedding_dedup, html_extract, merkle, ngram_join, packing, quality_rules, secrets, sentencepiece_fst, suffix_dedup, toxicity
+from .merkle_sql import OP11
 from .oracles import ORACLE_SQL as _ORACLE_SQL
 
 
@@ -65,6 +66,14 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_ann": op2_ann,
@@ -76,6 +85,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_html": op10_html,
+    "op11_merkle": op11_merkle,
+    "op13_quality_rules": op13_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = dict(_ORACLE_SQL)
+ORACLE_SQL: dict[str, str] = _ORACLE_SQL | {"op11_merkle": OP11, "op13_quality_rules": quality_rules.oracle_sql()}
