@@ -30,10 +30,11 @@ from .scratch import cut
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 ROUNDS = 25
-#: Votes that every rule is taken to have cast besides its own, right and wrong.
-RIGHT, WRONG = 8.0, 2.0
+#: Votes (right, all) that every rule is taken to have cast besides its own: sound texts pass nearly all rules, but junk of one kind fails few of them.
+ON_GOOD, ON_BAD = (9.5, 10.0), (3.0, 10.0)
 
-#: Name, and the SQL conditions on the counts under which a rule votes bad, or else good.
+#: Name, and the SQL conditions on the counts under which a rule votes bad, or else good. Repeated words and repeated lines
+#: are one rule: they go together, and the estimation takes rules for independent given the quality.
 RULES: list[tuple[str, str, str]] = [
     ("length", "n_words < 50", "n_words >= 80"),
     ("word_length", "word_chars > 12 * n_words OR 2 * word_chars < 5 * n_words", "word_chars BETWEEN 3 * n_words AND 9 * n_words"),
@@ -42,8 +43,7 @@ RULES: list[tuple[str, str, str]] = [
     ("lettered", "100 * n_lettered < 80 * n_words", "100 * n_lettered >= 90 * n_words"),
     ("capitals", "100 * n_capitals > 50 * word_chars", "100 * n_capitals < 20 * word_chars"),
     ("shouting", "10 * n_marks > n_words", "50 * n_marks <= n_words"),
-    ("repeats", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words"),
-    ("dup_lines", "100 * n_dup_lines > 30 * n_lines", "100 * n_dup_lines <= 10 * n_lines"),
+    ("repetition", "100 * n_repeat_words > 30 * n_words OR 100 * n_dup_lines > 30 * n_lines", "100 * n_repeat_words <= 15 * n_words AND 100 * n_dup_lines <= 10 * n_lines"),
 ]
 
 
@@ -139,12 +139,12 @@ def _rated(weighed: Column) -> Column:
     total = lambda part: F.aggregate(weighed, F.lit(0.0), lambda so_far, x: so_far + part(x))
     each = F.sequence(F.lit(0), F.lit(len(RULES) - 1))
 
-    def right(side: str, vote: int) -> Column:
+    def right(side: str, vote: int, besides: tuple[float, float]) -> Column:
         of = lambda j, holds: total(lambda x: F.when(holds(F.get(x["cast"], j)), x[side]).otherwise(0.0))
-        return F.transform(each, lambda j: (of(j, lambda v: v == vote) + RIGHT) / (of(j, lambda v: v != 0) + RIGHT + WRONG))
+        return F.transform(each, lambda j: (of(j, lambda v: v == vote) + besides[0]) / (of(j, lambda v: v != 0) + besides[1]))
 
     share = (total(lambda x: x["good"]) + 1) / (total(lambda x: x["good"] + x["bad"]) + 2)
-    return F.struct(share.alias("share"), right("good", 1).alias("on_good"), right("bad", -1).alias("on_bad"))
+    return F.struct(share.alias("share"), right("good", 1, ON_GOOD).alias("on_good"), right("bad", -1, ON_BAD).alias("on_bad"))
 
 
 def estimate(voted: DataFrame, rounds: int = ROUNDS) -> Worth:
@@ -187,10 +187,10 @@ def oracle_sql() -> str:
         f"coalesce(sum(CASE WHEN v_{x} = -1 THEN n * (1 - p) END) OVER (), 0) AS c_{x}, coalesce(sum(CASE WHEN v_{x} <> 0 THEN n * (1 - p) END) OVER (), 0) AS d_{x}"
         for x in names
     )
-    rate = lambda top, under: f"(({top} + {RIGHT}) / ({under} + {RIGHT + WRONG}))"
+    good, bad = (lambda x: f"((a_{x} + {ON_GOOD[0]}) / (b_{x} + {ON_GOOD[1]}))"), (lambda x: f"((c_{x} + {ON_BAD[0]}) / (d_{x} + {ON_BAD[1]}))")
     share = "((sp + 1) / (sn + 2))"
     odds = f"{share} / (1 - {share})" + "".join(
-        f" * CASE v_{x} WHEN 1 THEN {rate(f'a_{x}', f'b_{x}')} / (1 - {rate(f'c_{x}', f'd_{x}')}) WHEN -1 THEN (1 - {rate(f'a_{x}', f'b_{x}')}) / {rate(f'c_{x}', f'd_{x}')} ELSE 1 END" for x in names
+        f" * CASE v_{x} WHEN 1 THEN {good(x)} / (1 - {bad(x)}) WHEN -1 THEN (1 - {good(x)}) / {bad(x)} ELSE 1 END" for x in names
     )
     return rf"""WITH RECURSIVE text_v AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
   word_v AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM text_v),

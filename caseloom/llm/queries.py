@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embedding_dedup, html_extract, merkle, ngram_join, packing, quality_rules, secrets, sentencepiece_fst, suffix_dedup, toxicity
+from . import ann, chat, embedding_dedup, hard_negatives, html_extract, merkle, ngram_join, packing, quality_rules, secrets, sentencepiece_fst, suffix_dedup, toxicity
 from .merkle_sql import OP11
 from .oracles import ORACLE_SQL as _ORACLE_SQL
 
@@ -70,6 +70,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.query(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_digest(_table(spark, sf_dir, "documents"))
 
@@ -86,7 +90,8 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_html": op10_html,
     "op11_merkle": op11_merkle,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_quality_rules": op13_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = _ORACLE_SQL | {"op11_merkle": OP11, "op13_quality_rules": quality_rules.oracle_sql()}
+ORACLE_SQL: dict[str, str] = _ORACLE_SQL | {"op11_merkle": OP11, "op12_hard_negatives": hard_negatives.OP12, "op13_quality_rules": quality_rules.oracle_sql()}
