@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from . import more_queries, source_queries  # noqa: F401  register their queries
+from . import more_queries, source_queries, stream_queries  # noqa: F401  register their queries
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

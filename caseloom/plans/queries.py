@@ -793,12 +793,13 @@ def _(s, d):
 
 @query("TK03_due_cards")
 def _(s, d):
-    return memory.due_cards(memory.fold_reviews(review_log(s, d)), 1_710_000_000.0)
+    return memory.due_cards(memory.fold_reviews(review_log(s, d)), 1_710_000_000.0).withColumn("retrievability", F.round("retrievability", 6))
 
 
 @query("ST04_reset_corrected")
 def _(s, d):
-    return memory.reset_corrected(memory.fold_reviews(review_log(s, d)), views.cases(s, d).where("quarantined").select("case_id"))
+    st = memory.reset_corrected(memory.fold_reviews(review_log(s, d)), views.cases(s, d).where("quarantined").select("case_id"))
+    return st.withColumns({c: F.round(c, 6) for c in ("difficulty", "stability", "last_review")})
 
 
 @query("ST05_memory_stats")
