@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import contradictions
-from ..sources import io, parse
+from ..sources import io, parity, parse, versions
 from . import views
 from .queries import BOTH, NORM, query
 from .views import CASES_SQL
@@ -62,12 +62,63 @@ def _(s, d):
     return got.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("case_id").alias("ids"))
 
 
-@query("IO11_chunks", "SELECT count(*) AS n_rows, CAST(ceil(count(*) / 100.0) AS BIGINT) AS n_chunks_least, count(*) AS n_back FROM cases_v")
+@query("IO11_chunks", "SELECT chunk, 1 AS files, count(*) AS n_rows, min(case_id) AS first_id, max(case_id) AS last_id FROM (SELECT case_id, (row_number() OVER (ORDER BY case_id) - 1) // 100 + 1 AS chunk FROM cases_v) GROUP BY chunk")
 def _(s, d):
+    """The manifest beside what the files of each chunk hold."""
     path = folder(s, "chunks")
-    manifest = io.write_chunks(views.cases(s, d).select("case_id", "title"), path, 100)
-    back = s.read.schema("case_id long").json(path).agg(F.count("case_id").alias("n_back"))
-    return manifest.crossJoin(back)  # one row each
+    manifest = io.write_chunks(views.cases(s, d).select("case_id", "title"), path, ["case_id"], 100)
+    held = s.read.schema("case_id long, chunk long").json(path).groupBy("chunk").agg(F.min("case_id").alias("first_id"), F.max("case_id").alias("last_id"))
+    return manifest.groupBy("chunk").agg(F.count(F.lit(1)).alias("files"), F.sum("n_rows").alias("n_rows")).join(held, "chunk")
+
+
+FIELDS = ["case_id", "source", "status", "category", "title", "narrative", "rationale"]
+COPY_SQL = "copy_v AS (SELECT *, case_id % 289 = 17 AS gone, case_id % 331 = 5 AS moved FROM cases_v)"
+COUNTS = """SELECT 'cases' AS part, '' AS value, count(*) AS a, count(*) FILTER (NOT gone) AS b FROM copy_v
+  UNION ALL SELECT 'options', '', count(*), count(*) FILTER (NOT gone) FROM options_v JOIN copy_v USING (case_id)
+  UNION ALL SELECT 'keys', '', count(*) FILTER (is_correct), count(*) FILTER (is_correct AND NOT gone) FROM options_v JOIN copy_v USING (case_id)
+  UNION ALL SELECT 'source', coalesce(v, ''), sum(a), sum(b) FROM (SELECT source AS v, 1 AS a, 0 AS b FROM copy_v UNION ALL SELECT CASE WHEN moved THEN 'elsewhere' ELSE source END, 0, 1 FROM copy_v WHERE NOT gone) GROUP BY v
+  UNION ALL SELECT 'status', status, count(*), count(*) FILTER (NOT gone) FROM copy_v GROUP BY status"""
+
+
+def copies(s, d) -> tuple[parity.Copy, parity.Copy]:
+    """A bank, and a copy in which a few cases are lost and a few have another source; both with their trees."""
+    a = views.cases_with_options(s, d)
+    i = F.col("case_id")
+    b = a.where(i % 289 != 17).withColumn("source", F.when(i % 331 == 5, "elsewhere").otherwise(F.col("source")))
+    return tuple(parity.Copy(x, parity.keep_tree(parity.key_tree(x, FIELDS), folder(s, "tree"))) for x in (a, b))
+
+
+@query("IO07_verify_copy", f"""SELECT part, value, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, a = b AS matches FROM ({COUNTS})
+  UNION ALL SELECT 'digest', '', count(*), count(*) FILTER (NOT gone), NOT bool_or(gone OR moved) FROM copy_v""", (*BOTH, COPY_SQL))
+def _(s, d):
+    return parity.verify_copy(*copies(s, d))
+
+
+@query("IO07_differing_rows", "SELECT case_id, gone, moved FROM copy_v WHERE case_id // 64 IN (SELECT case_id // 64 FROM copy_v WHERE gone OR moved)", (CASES_SQL, COPY_SQL))
+def _(s, d):
+    """All rows of the ranges that differ, beside those of the copy."""
+    a, b = copies(s, d)
+    ranges = parity.differing_ranges(a.tree, b.tree).checkpoint()
+    x, y = (parity.rows_of(c.rows.select("case_id", "source"), ranges) for c in (a, b))
+    both = x.join(y.select("case_id", F.col("source").alias("other")), "case_id", "left")
+    return both.select("case_id", F.col("other").isNull().alias("gone"), F.coalesce(F.col("source") != F.col("other"), F.lit(False)).alias("moved"))
+
+
+@query("IO08_snapshot", """SELECT case_id, CASE WHEN truncated THEN 'fixed' ELSE category END AS category, CASE WHEN truncated AND case_id % 2 = 0 THEN 0 WHEN truncated THEN 1 ELSE n END AS n_options, 2 AS versions
+  FROM cases_v LEFT JOIN (SELECT case_id AS id, count(*) AS n FROM options_v GROUP BY 1) o ON id = case_id WHERE TRUE""".replace(" ELSE n END", " ELSE coalesce(n, 0) END"), BOTH)
+def _(s, d):
+    """A snapshot of cases and options, then truncated cases anew: half of them with one option, half with none."""
+    bank = views.cases(s, d)
+    cases, options = bank.select("case_id", "category"), views.options(bank).select("case_id", "option_id", "option_text")
+    path = folder(s, "bank")
+    keys = {"cases": ["case_id"], "options": ["case_id"]}
+    io.publish({"cases": cases, "options": options}, path, keys)
+    tables = versions.Versions(s, path, keys)
+    changed = bank.where("truncated").select("case_id", F.lit("fixed").alias("category"))
+    one = changed.where("case_id % 2 <> 0").select("case_id", F.lit("A").alias("option_id"), F.lit("only").alias("option_text"))
+    last = tables.upsert({"cases": changed, "options": one}, keys=changed)
+    n = tables.read("options", last).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    return tables.read("cases", last).join(n, "case_id", "left").select("case_id", "category", F.coalesce("n", F.lit(0)).alias("n_options"), F.lit(last).cast("long").alias("versions"))
 
 
 @query("PR03_key_base", f"SELECT case_id AS case_key, {SAID} AS said, CASE WHEN o[1 + case_id % 4] <> '' THEN substring('ABCD', CAST(1 + case_id % 4 AS INTEGER), 1) ELSE '' END AS key FROM (SELECT case_id, {PARTS} AS o FROM cases_v)")

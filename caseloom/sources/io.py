@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,15 +105,11 @@ def upsert(base: DataFrame, delta: DataFrame, key: str = "case_id") -> DataFrame
     return base.join(delta.select(key), key, "left_anti").unionByName(delta)
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """IO08: replace a snapshot: written beside it, then renamed into place."""
-    spark = df.sparkSession
-    staging = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(staging)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(jvm.Path(path), True)
-    fs.rename(jvm.Path(staging), jvm.Path(path))
+def publish(tables: dict[str, DataFrame], path: str, keys: dict[str, list[str]]) -> int:
+    """IO08: replace a snapshot of several tables at once; the number of the new version (read by ``versions.Versions``)."""
+    from .versions import Versions
+
+    return Versions(next(iter(tables.values())).sparkSession, path, keys).replace(tables)
 
 
 def write_request_pack(df: DataFrame, path: str, per_file: int, by: list[str]) -> None:
@@ -124,10 +119,22 @@ def write_request_pack(df: DataFrame, path: str, per_file: int, by: list[str]) -
     lines.write.option("maxRecordsPerFile", per_file).text(path)
 
 
-def write_chunks(df: DataFrame, path: str, per_file: int = 5000) -> DataFrame:
-    """IO11: JSON chunks and a manifest of one row."""
-    df.write.option("maxRecordsPerFile", per_file).json(path)
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_chunks_least", F.ceil(F.col("n_rows") / F.lit(per_file)))
+def write_chunks(df: DataFrame, path: str, order: list[str], per_file: int = 5000) -> DataFrame:
+    """IO11: JSON chunks of exactly ``per_file`` rows in ``order``, the last of what is left; the manifest: chunk, file, n_rows.
+
+    Rows are numbered over all ranges, so a chunk is known before it is
+    written: a chunk is one folder with one file. The manifest is read back
+    from the files.
+    """
+    from ..operators.ids import dense_numbers
+
+    numbered = dense_numbers(df, order, "_n").withColumn("chunk", F.expr(f"(_n - 1) div {per_file} + 1"))
+    chunked = numbered.repartition("chunk").sortWithinPartitions("chunk", "_n")
+    chunked.drop("_n").write.partitionBy("chunk").json(path)
+    back = df.sparkSession.read.schema(df.schema).json(path)
+    where = F.col("_metadata.file_path")
+    read = back.select(F.regexp_extract(where, "chunk=(\\d+)/", 1).cast("long").alias("chunk"), F.col("_metadata.file_name").alias("file"))
+    return read.groupBy("chunk", "file").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 RESULT = "_id string, correct_option_id string, confidence string, rationale string"

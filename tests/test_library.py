@@ -148,12 +148,11 @@ def test_relational_round_trip_and_snapshot(spark, tmp_path):
     frame = spark.createDataFrame([case(1, "q", ["b", "a", "c"], key=2), case(2, "none", [])], CASE)
     back = io.from_relational(*io.to_relational(frame, 7)).select(*frame.columns)
     assert io.parity(frame, back).first().asDict() == {"equal": 2, "different": 0, "only_a": 0, "only_b": 0}
-    for k in (1, 2):
-        io.publish(frame.where(F.col("case_id") <= k), f"{tmp_path}/bank")
-        assert spark.read.parquet(f"{tmp_path}/bank").count() == k
     io.write_request_pack(frame.select("case_id", "question"), f"{tmp_path}/packs", 1, ["case_id"])
     assert spark.read.text(f"{tmp_path}/packs").count() == 2
-    assert io.write_chunks(frame.select("case_id"), f"{tmp_path}/chunks", 1).first().n_rows == 2
+    chunks = io.write_chunks(spark.range(25).select(F.col("id").alias("case_id")), f"{tmp_path}/chunks", ["case_id"], 10)
+    assert sorted((r.chunk, r.n_rows) for r in chunks.collect()) == [(1, 10), (2, 10), (3, 5)]
+    assert [r.case_id for r in spark.read.json(f"{tmp_path}/chunks/chunk=2").collect()] == list(range(10, 20))
 
 
 def test_verdicts(spark):
