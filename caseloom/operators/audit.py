@@ -44,18 +44,57 @@ def audit_structure(df: DataFrame, categories: list[str]) -> DataFrame:
     )
 
 
+# What denies an answer behind it and before it, and how far away it may stand.
+DENIED_AFTER = r"\b(?:is incorrect|is wrong|is not correct|is false|is ruled out)\b"
+DENIED_BEFORE = r"(?:incorrect answer is|wrong answer is|not the correct)"
+NEAR = 15
+_RUN = "[a-z0-9_]+"
+
+
+def denied(text: Column, word: Column) -> Column:
+    """Whether a denial stands within NEAR characters of ``word`` (lower-case letters and digits) on its line.
+
+    The text is cut at the denials, so each has the text beside it as a piece.
+    The word is looked up among the whole words of the piece's end or
+    beginning; one character more is taken, and the word that touches it is
+    left out, as it begins or ends too far away.
+    """
+    reach = F.length(word) + NEAR + 1
+    low = F.lower(text)
+    has = lambda part: F.array_contains(F.split(part, "[^a-z0-9_]+"), word)
+
+    def ends(piece: Column) -> Column:
+        tail = F.substr(piece, F.greatest(F.length(piece) - reach + 1, F.lit(1)), reach)
+        tail = F.when(F.length(tail) == reach, F.regexp_replace(tail, f"^{_RUN}", "")).otherwise(tail)
+        return has(F.substring_index(tail, "\n", -1))
+
+    def begins(piece: Column, last: Column) -> Column:
+        head = F.substr(piece, F.lit(1), reach)
+        # What runs on, beyond the reach or into the next denial, has no end here.
+        head = F.when((F.length(head) == reach) | ~last, F.regexp_replace(head, f"{_RUN}$", "")).otherwise(head)
+        return has(F.regexp_replace(F.substring_index(head, "\n", 1), f"^{_RUN}", ""))
+
+    after, before = F.split(low, DENIED_AFTER, -1), F.split(low, DENIED_BEFORE, -1)
+    behind = F.transform(F.slice(before, F.lit(2), F.size(before)), lambda piece, i: begins(piece, i == F.size(before) - 2))
+    beside = F.exists(F.slice(after, F.lit(1), F.size(after) - 1), ends) | F.exists(behind, lambda x: x)
+    for own in ("incorrect", "wrong", "correct", "false", "ruled", "answer"):  # words of the denials themselves
+        beside = F.when(word == own, low.rlike(rf"\b{own}\b[^\n]{{0,{NEAR}}}{DENIED_AFTER}|{DENIED_BEFORE}[^\n]{{0,{NEAR}}}\b{own}\b")).otherwise(beside)
+    return F.when(low.rlike(f"{DENIED_AFTER}|{DENIED_BEFORE}"), beside).otherwise(False)
+
+
 def audit_answers(df: DataFrame) -> DataFrame:
-    """QA02: layer B. Very short or long options, one option's text beside a denial in the rationale."""
-    right = F.lower(F.coalesce(F.get(_right(), F.lit(0))["text"], F.lit("")))
-    near = F.locate("not ", F.lower("rationale")) > 0
+    """QA02: layer B. Very short answers, options that are all one text, an explanation that denies the answer, very long options."""
+    right = F.get(_right(), F.lit(0))["text"]
+    texts = F.array_distinct(F.transform("options", lambda o: F.lower(F.trim(o["text"]))))
+    word = F.get(F.filter(F.split(F.regexp_replace(F.lower(right), "[^a-z0-9 ]", " "), " "), lambda w: F.length(w) >= 5), F.lit(0))
     return issues(
         df,
         "B",
         [
-            ("short_answer", "medium", (F.size(_right()) > 0) & (F.length(right) < 2)),
-            ("long_option", "low", F.exists("options", lambda o: F.length(o["text"]) > 300)),
-            ("identical_options", "high", F.size(F.array_distinct(F.transform("options", lambda o: F.lower(F.trim(o["text"]))))) < F.size("options")),
-            ("denied_answer", "high", near & (F.length(right) > 3) & F.lower("rationale").contains(F.concat(F.lit("not "), right))),
+            ("short_answer", "medium", F.length(F.trim(right)) < 2),
+            ("identical_options", "critical", (F.size(texts) == 1) & (F.size("options") > 1)),
+            ("denied_answer", "critical", (F.length("rationale") > 30) & denied(F.col("rationale"), word)),
+            ("long_option", "low", F.exists("options", lambda o: F.length(o["text"]) > 500)),
         ],
     )
 
@@ -91,11 +130,36 @@ def screening(df: DataFrame) -> DataFrame:
     )
 
 
-def topic_drift(df: DataFrame, least: int = 6) -> DataFrame:
-    """QA10: cases whose rationale shares no long word with stem and answer."""
-    long_words = lambda c: F.filter(F.split(comparable(c), " "), lambda w: F.length(w) >= least)
-    stem = F.concat_ws(" ", F.col("question"), F.get(_right(), F.lit(0))["text"])
-    return df.where((F.length("rationale") >= 40) & (F.size(F.array_intersect(long_words(stem), long_words(F.col("rationale")))) == 0)).select("case_id")
+def language_of(c: Column, lists: dict[str, list[str]]) -> Column:
+    """The language with two of its common words at least, and half as many again as any other; else ``other``."""
+    words = F.split(comparable(c), " ")
+    count = lambda ws: F.size(F.filter(words, lambda w: w.isin(*ws)))
+    hits = {n: count(ws) for n, ws in lists.items()}
+    out = F.lit("other")
+    for n in reversed(list(hits)):
+        rest = [hits[m] for m in hits if m != n]
+        most = F.lit(0) if not rest else (rest[0] if len(rest) == 1 else F.greatest(*rest))
+        out = F.when((hits[n] >= 2) & (hits[n] * 2 > most * 3), n).otherwise(out)
+    return out
+
+
+def topic_drift(df: DataFrame, lists: dict[str, list[str]], prompt: str = "question", least: int = 6, shortest: int = 120) -> DataFrame:
+    """QA10: cases whose explanation shares no long word with prompt, answer or options, in one language.
+
+    Explanations under ``shortest`` characters, or with fewer than four long
+    words, and prompts with fewer than two, tell nothing; nor do explanations in
+    another language than the prompt, or that hold an option's text.
+    """
+    long_words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= least))
+    rows = df.where(F.length("rationale") >= shortest).select(
+        "case_id", comparable("rationale").alias("r"), comparable(F.concat_ws(" ", F.col(prompt), F.get(_right(), F.lit(0))["text"])).alias("a"),
+        F.transform("options", lambda o: comparable(o["text"])).alias("o"), language_of(F.col(prompt), lists).alias("lp"), language_of(F.col("rationale"), lists).alias("lr"),
+    )
+    padded = F.concat(F.lit(" "), "r", F.lit(" "))
+    held = F.exists("o", lambda t: (t != "") & padded.contains(F.concat(F.lit(" "), t, F.lit(" "))))
+    same = (F.col("lp") == F.col("lr")) | (F.col("lp") == "other") | (F.col("lr") == "other")
+    rows = rows.where(same & ~held).select("case_id", long_words(F.col("a")).alias("a"), long_words(F.col("r")).alias("r"), long_words(F.array_join("o", " ")).alias("o"))
+    return rows.where((F.size("a") >= 2) & (F.size("r") >= 4) & ~F.arrays_overlap("a", "r") & ~F.arrays_overlap("o", "r")).select("case_id")
 
 
 def text_artifacts(df: DataFrame, fields: list[str], buckets: dict[str, str]) -> DataFrame:

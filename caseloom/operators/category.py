@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import comparable
+from ..functions.matcher import Dictionary, matches
 
 # Weights of the signals, and thresholds of score and lead.
 WEIGHTS = {"raw": 4, "subject": 3, "tags": 3, "topic": 3, "organ": 3, "prefix": 2, "keyword": 1, "narrative": 2, "options": 1}
@@ -17,30 +14,12 @@ UNCLASSIFIED = "Unclassified"
 CONTENT = ("tags", "topic", "organ", "keyword", "narrative", "options")
 
 
-def match_keywords(df: DataFrame, fields: dict[str, str], words: dict[str, list[str]]) -> DataFrame:
+def match_keywords(df: DataFrame, fields: dict[str, str], words: dict[str, list[str]], beginnings: set[str] = frozenset()) -> DataFrame:
     """UD02: case_id, signal, category, word for dictionary words that stand as whole words in the fields.
 
-    One pass over Arrow batches; single words go through a set, phrases through
-    a padded search. The dictionary is a parameter and goes with the task.
+    Words in ``beginnings`` match longer words too. All are found in one pass.
     """
-    singles = {w: c for c, ws in words.items() for w in ws if " " not in w}
-    phrases = [(f" {w} ", w, c) for c, ws in words.items() for w in ws if " " in w]
-    signals = list(fields)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: list[tuple] = []
-            for signal in signals:
-                for case, value in zip(pdf["case_id"], pdf[signal]):
-                    if not value:
-                        continue
-                    out += [(case, signal, singles[t], t) for t in dict.fromkeys(value.split(" ")) if t in singles]
-                    padded = f" {value} "
-                    out += [(case, signal, c, w) for p, w, c in phrases if p in padded]
-            yield pd.DataFrame(out, columns=["case_id", "signal", "category", "word"])
-
-    chosen = df.select("case_id", *[comparable(col).alias(s) for s, col in fields.items()])
-    return chosen.mapInPandas(run, "case_id long, signal string, category string, word string")
+    return matches(df, fields, Dictionary.of(words, beginnings))
 
 
 def resolve_category(cases: DataFrame, signals: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
@@ -66,20 +45,11 @@ def resolve_category(cases: DataFrame, signals: DataFrame, weights: dict[str, in
     confidence = F.when((F.col("score") >= HIGH) & lead, "high").when((F.col("score") >= MEDIUM) & lead, "medium").otherwise("low")
     joined = cases.select("case_id", F.col("category").alias("raw")).join(best, "case_id", "left")
     return joined.select(
-        "case_id", F.coalesce("resolved", F.lit(UNCLASSIFIED)).alias("resolved"), F.coalesce("score", F.lit(0)).alias("score"), "runner_up",
+        "case_id", F.coalesce("resolved", F.lit(UNCLASSIFIED)).alias("resolved"), F.coalesce("score", F.lit(0)).alias("score"), "runner_up", F.coalesce("runner_score", F.lit(0)).alias("runner_score"),
         F.coalesce(confidence, F.lit("low")).alias("confidence"), (F.coalesce(F.col("raw") != F.col("resolved"), F.lit(False)) | F.coalesce(F.col("runner_score") >= 3, F.lit(False))).alias("conflict"),
     )
 
 
-def promote_category(resolved: DataFrame, rules: list[tuple[str, str, str, int]]) -> DataFrame:
-    """SC03: rules (name, raw, resolved, highest runner-up score) lift low confidence to high; the first match names the rule."""
-    rule = F.lit(None).cast("string")
-    for name, raw, to, most in reversed(rules):
-        rule = F.when((F.col("raw") == raw) & (F.col("resolved") == to) & (F.col("runner_score") <= most), F.lit(name)).otherwise(rule)
-    named = resolved.withColumn("rule", F.when(F.col("confidence") == "low", rule))
-    return named.withColumn("confidence", F.when(F.col("rule").isNotNull(), "high").otherwise(F.col("confidence")))
-
-
 def apply_category(resolved: DataFrame, adjudicated: DataFrame) -> DataFrame:
     """SC04: an adjudicated category stands; else the resolved one where confidence is high; else the raw one, for review."""
     joined = resolved.join(adjudicated.select("case_id", F.col("category").alias("_a")), "case_id", "left")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,39 +58,49 @@ def connected(edges: DataFrame, folder: str | None = None) -> DataFrame:
             return labels.select(F.col("v").alias("case_id"), F.col("c").alias("component"))
 
 
-def _one_edit(a: str, b: str) -> bool:
-    """Edit distance of at most 1."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    return a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:]
+def similar_answers(answers: DataFrame) -> DataFrame:
+    """a, b: ids of answers (id, component, words) of a component that a slip tells apart: one word of four letters or more, by one letter.
 
-
-def _same_answer(a: list[str], b: list[str]) -> bool:
-    """Equal, or of one length of at least two words with at most one differing pair, which is a slip in long words."""
-    if a == b:
-        return True
-    if len(a) != len(b) or len(a) < 2:
-        return False
-    odd = [(x, y) for x, y in zip(a, b) if x != y]
-    return len(odd) == 1 and min(map(len, odd[0])) >= 4 and _one_edit(*odd[0])
+    A deletion neighbourhood: each long word is left out a letter at a time, and
+    whole, so that words one edit apart have a form in common. The rest of the
+    answer, the word's place and a form are a key, under which few distinct
+    answers meet; only those are compared.
+    """
+    word = answers.where(F.size("words") >= 2).select("id", "component", "words", F.posexplode("words").alias("at", "word")).where(F.length("word") >= 4)
+    rest = F.xxhash64("component", F.size("words"), "at", F.array_join(F.transform("words", lambda w, i: F.when(i == F.col("at"), "").otherwise(w)), " "))
+    less = F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.concat(F.substr("word", F.lit(1), k - 1), F.substr("word", k + 1, F.length("word"))))
+    keyed = word.select("id", "component", "words", "at", "word", rest.alias("rest"), F.explode(F.array_distinct(F.concat(F.array("word"), less))).alias("form"))
+    one, two = keyed.alias("x"), keyed.select("id", "component", "words", "at", "word", "rest", "form").alias("y")
+    met = one.join(two, ["rest", "form", "component", "at"]).where("x.id < y.id and size(x.words) = size(y.words) and levenshtein(x.word, y.word, 1) = 1")
+    others = F.zip_with("x.words", "y.words", lambda v, w: v != w)
+    return met.where(F.size(F.filter(others, lambda d: d)) == 1).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def answer_clusters(members: DataFrame) -> DataFrame:
     """DD18: for rows (component, pos, case_id, answer): greedy clusters of answers in input order.
 
-    A component with two clusters or more is a contradiction. Equal answers are
-    collapsed before they come together, so a task holds distinct answers only.
+    An answer that no head before it is similar to is a head. Answers that have
+    none undecided before them decide in rounds what comes behind; those
+    without a similar one are heads at once. A component with two heads or more
+    is a contradiction. Equal answers are one; no component is one task.
     """
-    distinct = members.groupBy("component", comparable("answer").alias("answer")).agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads: list[list[str]] = []
-        for words in pdf.sort_values(["pos", "answer"])["answer"].str.split():
-            if not any(_same_answer(h, words) for h in heads):
-                heads.append(words)
-        return pd.DataFrame({"component": [pdf["component"].iloc[0]], "n_cases": [int(pdf["n"].sum())], "n_clusters": [len(heads)], "contradiction": [len(heads) > 1]})
-
-    return distinct.where("answer <> ''").groupBy("component").applyInPandas(run, "component long, n_cases long, n_clusters long, contradiction boolean")
+    from ..sources.io import ensure_checkpoint_dir
+    from .ids import dense_numbers
+
+    ensure_checkpoint_dir(members.sparkSession)
+    distinct = members.groupBy("component", comparable("answer").alias("answer")).agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")).where("answer <> ''")
+    numbered = dense_numbers(distinct, ["pos", "answer", "component"], "id").withColumn("words", F.split("answer", " ")).checkpoint()
+    edges = similar_answers(numbered).checkpoint()  # a is before b
+    joined = None
+    while not edges.isEmpty():
+        later = edges.select(F.col("b").alias("id")).distinct()
+        heads = edges.select(F.col("a").alias("id")).distinct().join(later, "id", "left_anti")
+        taken = edges.join(heads.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct().checkpoint()
+        joined = taken if joined is None else joined.unionByName(taken)
+        gone = heads.unionByName(taken)
+        edges = edges.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").checkpoint()
+    found = numbered.select("id", "component", "n").withColumn("head", F.lit(1))
+    if joined is not None:
+        found = numbered.select("id", "component", "n").join(joined.withColumn("_in", F.lit(True)), "id", "left").withColumn("head", F.when(F.col("_in"), 0).otherwise(1))
+    out = found.groupBy("component").agg(F.sum("n").alias("n_cases"), F.sum("head").alias("n_clusters"))
+    return out.withColumn("contradiction", F.col("n_clusters") > 1)

@@ -62,17 +62,6 @@ def fix_keys(cases: DataFrame, named: DataFrame, findings_level: str = "high") -
     return joined.select("case_id", "key", "named", F.when(F.col("several"), "hold").otherwise("flip").alias("action"))
 
 
-def clear_findings(findings: DataFrame, cases: DataFrame, answers: DataFrame, least: int = 4) -> DataFrame:
-    """QA12: low findings are cleared where four prefixes of the answer's words, and 60 % of them, are in the rationale."""
-    stems = lambda c: F.array_distinct(F.transform(F.filter(F.split(comparable(c), " "), lambda w: F.length(w) >= least), lambda w: F.substring(w, 1, least)))
-    one = answers.groupBy("case_id").agg(F.min("answer").alias("answer"))
-    joined = findings.join(cases.select("case_id", "rationale"), "case_id").join(one, "case_id")
-    shared = F.size(F.array_intersect(stems("answer"), stems("rationale")))
-    wanted = F.size(stems("answer"))
-    clear = (wanted > 0) & (shared >= F.least(wanted, F.lit(4))) & (shared >= 0.6 * wanted)
-    return joined.select("case_id", F.when(clear, "cleared").otherwise("kept").alias("outcome"))
-
-
 def readability_queue(df: DataFrame, weights: dict[str, int]) -> DataFrame:
     """QA16: reasons for a rewrite with the sum of their weights as priority; cases without a reason are absent."""
     q = F.col("question")
@@ -233,11 +222,3 @@ def category_pack(resolved: DataFrame, buckets: dict[str, str]) -> DataFrame:
     names = F.filter(F.array(*[F.when(F.expr(p), F.lit(n)) for n, p in buckets.items()]), lambda x: x.isNotNull())
     allowed = F.array_distinct(F.filter(F.array("raw", "resolved", "runner_up"), lambda x: x.isNotNull()))
     return resolved.select("case_id", F.explode(names).alias("bucket"), allowed.alias("allowed"))
-
-
-def suppress_signals(signals: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """SC02: signals without false positives: a rule (signal, category, word) drops that signal of a case; an empty word drops any."""
-    drop = F.lit(False)
-    for signal, cat, word in rules:
-        drop = drop | ((F.col("signal") == signal) & (F.col("category") == cat) & ((F.col("word") == word) if word else F.lit(True)))
-    return signals.where(~drop)

@@ -299,12 +299,6 @@ def _(s, d):
     return rationale.except_trap(cased(s, d))
 
 
-@query("QA12_clear_findings")
-def _(s, d):
-    c = cased(s, d)
-    return quality.clear_findings(c.where("case_id % 3 = 0").select("case_id"), c.withColumn("rationale", F.col("question")), answers(s, d))
-
-
 @query("QA13_dissonance")
 def _(s, d):
     c = views.cases(s, d)
@@ -383,12 +377,6 @@ def _(s, d):
     return quality.remediate(c, F.col("truncated"), lambda df: df.withColumn("category", F.upper("category"))).select("case_id", "category")
 
 
-@query("SC03_promote", "SELECT case_id, CASE WHEN score < 50 AND category = 'en' AND difficulty <= 3 THEN 'high' WHEN score < 50 THEN 'low' ELSE 'medium' END AS confidence FROM cases_v")
-def _(s, d):
-    made = views.cases(s, d).select("case_id", F.col("category").alias("raw"), F.lit("X").alias("resolved"), F.col("difficulty").alias("runner_score"), F.when(F.col("score") < 50, "low").otherwise("medium").alias("confidence"))
-    return category.promote_category(made, [("english", "en", "X", 3)]).select("case_id", "confidence")
-
-
 @query("SC09_issue_type", "SELECT case_id, CASE WHEN needs_review AND case_id % 2 = 0 THEN 'answer' WHEN needs_review THEN 'text' WHEN n_options < 2 THEN 'few_options' WHEN n_right = 0 THEN 'no_key' WHEN truncated THEN 'truncated' ELSE 'other' END AS type FROM agg_v", AUDIT)
 def _(s, d):
     c = cased(s, d)
@@ -533,9 +521,3 @@ def _(s, d):
 def _(s, d):
     made = views.cases(s, d).select("case_id", "score", F.col("category").alias("raw"), F.lit("X").alias("resolved"), F.lit(None).cast("string").alias("runner_up"))
     return quality.category_pack(made, {"low": "score < 30", "even": "case_id % 2 = 0"}).withColumn("allowed", F.array_join("allowed", ","))
-
-
-@query("SC02_suppress", "SELECT case_id, word FROM (SELECT case_id, unnest(string_split(NORMAL, ' ')) AS word FROM cases_v) WHERE word = 'of' GROUP BY case_id, word".replace("NORMAL", NORM.format("title")))
-def _(s, d):
-    hits = category.match_keywords(views.cases(s, d), {"keyword": "title"}, {"Alpha": ["the", "of"], "Beta": ["die"]})
-    return quality.suppress_signals(hits, [("keyword", "Alpha", "the"), ("keyword", "Beta", "")]).select("case_id", "word")

@@ -577,21 +577,11 @@ def _(s, d):
     return audit.audit_structure(views.cases_with_options(s, d), LANGS)
 
 
-@query("QA02_answers")
-def _(s, d):
-    return audit.audit_answers(views.cases_with_options(s, d))
-
-
 @query("QA15_screening", checks_sql("S", S_CHECKS), AUDIT)
 def _(s, d):
     return audit.screening(views.cases_with_options(s, d))
 
 
-@query("QA10_topic_drift")
-def _(s, d):
-    return audit.topic_drift(views.cases_with_options(s, d))
-
-
 BUCKETS = {"hash_run": "#{2,}", "star_run": "[*]{2,}", "number": "[0-9]{4,}", "mail": "[a-z0-9.]+@[a-z0-9.]+"}
 
 
@@ -838,7 +828,7 @@ RESOLVED_SQL = """scored_v AS (SELECT case_id, category, sum(CASE signal WHEN 'r
 
 @query("SC01_resolve_category", "SELECT case_id, resolved, CAST(score AS BIGINT) AS score, runner_up, confidence, conflict FROM resolved_v", (CASES_SQL, HITS_SQL, RESOLVED_SQL))
 def _(s, d):
-    return category.resolve_category(labelled(s, d), hits(s, d))
+    return category.resolve_category(labelled(s, d), hits(s, d)).drop("runner_score")
 
 
 @query(

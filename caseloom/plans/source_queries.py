@@ -11,8 +11,8 @@ from ..functions import scoring, text
 from ..operators import contradictions
 from ..sources import io, parity, parse, versions
 from . import views
-from .queries import BOTH, NORM, query
-from .views import CASES_SQL
+from .queries import BOTH, NORM, ORACLE_SQL, query
+from .views import CASES_SQL, OPTIONS_SQL
 
 #: The first four parts of a text as raw options, in SQL.
 PARTS = "list_transform([1, 2, 3, 4], lambda i: coalesce(trim(string_split(question, '.')[i]), ''))"
@@ -217,6 +217,17 @@ def _(s, d):
     return contradictions.connected(edges(s, d))
 
 
+# One edit apart: with a letter of either or of both left out at one place, the rest is equal.
+_SLIP = "len(list_filter(range(0, greatest(length(v), length(w)) + 1), lambda i: (length(v) = length(w) AND substring(v, 1, i) || substring(v, i + 2) = substring(w, 1, i) || substring(w, i + 2)) OR (length(v) = length(w) + 1 AND substring(v, 1, i) || substring(v, i + 2) = w) OR (length(w) = length(v) + 1 AND substring(w, 1, i) || substring(w, i + 2) = v))) > 0"
+_PAIRS = "list_filter(list_zip(string_split({h}, ' '), string_split({x}, ' ')), lambda p: p[1] <> p[2])"
+_SLIPS = f"len(string_split({{h}}, ' ')) = len(string_split({{x}}, ' ')) AND len(string_split({{h}}, ' ')) >= 2 AND len({_PAIRS}) = 1 AND len(list_filter({_PAIRS}, lambda p: least(length(p[1]), length(p[2])) >= 4 AND {_SLIP.replace('(v', '(p[1]').replace('(w', '(p[2]').replace('= w)', '= p[2])').replace('= v)', '= p[1])')})) = 1"
+_MEMBERS = f"""component_v AS (SELECT v AS case_id, min(w) AS component FROM (WITH RECURSIVE reach AS (SELECT a AS v, a AS w FROM nodes_v UNION SELECT r.v, p.b FROM reach r JOIN both_v p ON p.a = r.w) SELECT * FROM reach) GROUP BY v),
+  given_v AS (SELECT component, x, min(pos) AS pos, count(*) AS n FROM (SELECT component, c.pos, {NORM.format('option_text')} AS x FROM component_v JOIN cases_v c USING (case_id) JOIN options_v o USING (case_id) WHERE is_correct) WHERE x <> '' GROUP BY component, x),
+  lists_v AS (SELECT component, CAST(sum(n) AS BIGINT) AS n_cases, list(x ORDER BY pos, x) AS xs FROM given_v GROUP BY component),
+  heads_v AS (SELECT component, n_cases, list_reduce(xs, lambda hs, x: CASE WHEN len(list_filter(string_split(hs, '|'), lambda h: {_SLIPS.format(h='h', x='x')})) > 0 THEN hs ELSE hs || '|' || x END) AS hs FROM lists_v)"""
+ORACLE_SQL["DD18_answer_clusters"] = f"WITH {CASES_SQL}, {OPTIONS_SQL}, {REACH}, {_MEMBERS} SELECT component, n_cases, CAST(len(string_split(hs, '|')) AS BIGINT) AS n_clusters, len(string_split(hs, '|')) > 1 AS contradiction FROM heads_v"
+
+
 @query("UD03_edges_per_case", "SELECT v AS case_id, count(*) AS n_edges FROM (SELECT a AS v FROM edges_v UNION ALL SELECT b FROM edges_v) GROUP BY v", (CASES_SQL, KEYS))
 def _(s, d):
     e = edges(s, d)

@@ -205,8 +205,6 @@ def test_category_resolution(spark):
     assert {(r.case_id, r.signal, r.word) for r in hits.collect()} == {(1, s, w) for s in ("narrative", "keyword") for w in ("myocardial infarction", "breathless")}
     got = {r.case_id: (r.resolved, r.score, r.confidence) for r in category.resolve_category(frame, hits.where("category = 'Heart'")).collect()}
     assert got == {1: ("Heart", 5, "high"), 2: ("Unclassified", 0, "low")}
-    lifted = category.promote_category(spark.createDataFrame([(1, "a", "b", 1, "low"), (2, "a", "b", 9, "low")], "case_id long, raw string, resolved string, runner_score long, confidence string"), [("r", "a", "b", 3)])
-    assert {r.case_id: (r.confidence, r.rule) for r in lifted.collect()} == {1: ("high", "r"), 2: ("low", None)}
 
 
 def test_gates(spark):
