@@ -34,7 +34,7 @@ from .scratch import cut
 
 # Element names of HTML and class words for parts that are not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title xmp svg math object canvas audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title xmp svg object canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -49,7 +49,7 @@ SIBLINGS = {
     "th": (("td", "th"), ("tr", "table")),
     "option": ("option", ("select",)),
 }
-DROPPED = frozenset("head nav footer aside button select dialog menu label input script style noscript template iframe textarea title svg math object canvas audio video".split())
+DROPPED = frozenset("head nav footer aside button select dialog menu input script style noscript template iframe textarea title svg object canvas audio video".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification "
@@ -61,7 +61,11 @@ DROPPED_WORDS = frozenset(
 NEUTRAL_WORDS = frozenset("area bar block bottom box container global inner item items left links list outer page right section site top wrap wrapper".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>""", re.S)
-_MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+#: Elements that may hold a part of the page as a whole; class names of others (headings, paragraphs, tables) drop nothing.
+CONTAINERS = frozenset("div section aside ul ol dl header hgroup span li figure fieldset details".split())
+#: What makes an article or an item a reader's comment.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies".split())
 #: Template is what this share of a host's distinct pages have, if they are at least so many.
 COMMON, LEAST_PAGES = 0.9, 3
 #: Rows of a step of the alignment that are kept for the way back.
@@ -76,8 +80,11 @@ class Node:
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.classes, self.id, self.role, self.kids, self.constant, self.shape, self.wraps, self.own = tag, (), "", "", [], None, 0, False, None
         if attrs and "=" in attrs:
-            for name, *values in _MARK.findall(attrs):
-                value, name = next((v for v in values if v), "").lower(), name.lower()
+            for name, *values in _ATTRIBUTE.findall(attrs):
+                name = name.lower()
+                if name not in ("class", "id", "role"):
+                    continue
+                value = next((v for v in values if v), "").lower()
                 if name == "role":
                     self.role = value.strip()
                 elif name == "id":
@@ -88,7 +95,9 @@ class Node:
     def dropped(self, in_article: bool) -> bool:
         if self.tag in DROPPED or self.role in DROPPED_ROLES or (self.tag == "header" and not in_article) or (self.tag == "form" and not self.wraps):
             return True
-        if self.tag in ("html", "body", "article", "main", "form"):
+        if self.tag == "article":
+            return any(COMMENT_WORDS & set(re.split(r"[-_]+", c)) and _says_dropped(c) for c in self.classes)
+        if self.tag not in CONTAINERS:
             return False
         return any(map(_says_dropped, self.classes)) or (self.tag == "div" and bool(self.id) and _says_dropped(self.id))
 
@@ -103,9 +112,11 @@ def parse(html: str) -> Node:
     """A forgiving tree: implied ends of p, li, dd, dt, tr, td; unknown end tags are ignored."""
     root = Node("#root")
     stack, at, n = [root], 0, len(html)
+    last = html.rfind(">") + 1  # what begins behind it is no tag
+    opened: dict[str, int] = {}
     forms: list[Node] = []
     while at < n:
-        m = _TAG.search(html, at)
+        m = _TAG.search(html, at) if at < last else None
         stop = m.start() if m else n
         if stop > at:
             stack[-1].kids.append(html[at:stop])
@@ -117,27 +128,29 @@ def parse(html: str) -> Node:
             continue
         name, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
+            if opened.get(name):
+                k = len(stack) - 1
+                while stack[k].tag != name:
+                    k -= 1
+                _end(stack, k, opened)
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at, max(at, last))
             stack[-1].kids.append(Node(name, attrs))
             at = end.end() if end else n
             continue
         if name in CLOSES_P:
-            _close(stack, ("p",), ("td", "th", "table", "div", "article", "section", "body", "li"))
+            _close(stack, ("p",), ("td", "th", "table", "div", "article", "section", "body", "li"), opened)
         if name in SIBLINGS:
             ends, within = SIBLINGS[name]
-            _close(stack, (ends,) if isinstance(ends, str) else ends, within)
+            _close(stack, (ends,) if isinstance(ends, str) else ends, within, opened)
         node = Node(name, attrs)
         stack[-1].kids.append(node)
         if name == "form":
             forms.append(node)
         if name not in VOID and not attrs.endswith("/"):
             stack.append(node)
+            opened[name] = opened.get(name, 0) + 1
     if forms:  # a form around most of a page is no form of the page
         whole = _characters(root)
         for form in forms:
@@ -157,7 +170,16 @@ def _characters(node: Node) -> int:
     return total
 
 
-def _close(stack: list[Node], ends: tuple, within: tuple) -> None:
+def _end(stack: list[Node], k: int, opened: dict[str, int]) -> None:
+    """End the open element ``k`` and all within it."""
+    for node in stack[k:]:
+        opened[node.tag] -= 1
+    del stack[k:]
+
+
+def _close(stack: list[Node], ends: tuple, within: tuple, opened: dict[str, int]) -> None:
+    if not any(opened.get(name) for name in ends):
+        return
     low = None
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag in within:
@@ -167,7 +189,7 @@ def _close(stack: list[Node], ends: tuple, within: tuple) -> None:
             if len(ends) == 1:
                 break
     if low is not None:
-        del stack[low:]
+        _end(stack, low, opened)
 
 
 def _own_text(node: Node) -> str:

@@ -137,8 +137,11 @@ class Transducer:
             ids.append(k)
         self.arcs = {}
         for length, (keys, ids) in by_length.items():
+            if len(set(keys)) < len(keys):
+                raise ValueError("two pieces of this model share a hash")
             sorting = np.argsort(np.array(keys, np.uint64))
-            self.arcs[length] = (np.array(keys, np.uint64)[sorting], np.array(ids, np.int64)[sorting])
+            codes = np.frombuffer("".join(model.pieces[k] for k in ids).encode("utf-32-le"), np.uint32).reshape(-1, length)
+            self.arcs[length] = (np.array(keys, np.uint64)[sorting], np.array(ids, np.int64)[sorting], codes[sorting])
         self.known_pairs = np.empty(0, np.int64)
         self.known_follow = np.empty(0, bool)
         self.runs_known: dict[int, np.ndarray] = {}
@@ -236,9 +239,12 @@ class Transducer:
                     power = power * step
                     if length not in self.arcs:
                         continue
-                    keys, ids = self.arcs[length]
+                    keys, ids, spelled = self.arcs[length]
                     place = np.minimum(np.searchsorted(keys, suffix), len(keys) - 1)
                     there = keys[place] == suffix
+                    # Hashes only narrow the search: the letters decide.
+                    hit = np.flatnonzero(there)
+                    there[hit] = (codes[rows[hit], start:stop] == spelled[place[hit]]).all(axis=1)
                     piece = np.where(there, ids[place], FALLBACK + codes[rows, start]) if length == 1 else ids[place]
                     use = np.arange(len(rows)) if length == 1 else np.flatnonzero(there)
                     if not len(use):

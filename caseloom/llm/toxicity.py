@@ -126,25 +126,26 @@ def _fit(rows: np.ndarray, cols: np.ndarray, n: int, dims: int, extra: np.ndarra
     return w, v, float(b)
 
 
-def _select(rows: np.ndarray, keys: np.ndarray, y: np.ndarray, n: int, most: int) -> np.ndarray:
-    """Features by strength of association (z of the log-odds ratio), sorted."""
-    if not len(keys):
-        return np.empty(0, np.uint64)
-    uniq, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse)
-    pos = np.bincount(inverse, weights=y[rows])
+def _select(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, mask: np.ndarray, size: int, most: int) -> np.ndarray:
+    """Features by strength of association (z of the log-odds ratio) among the texts in ``mask``, sorted."""
+    total = np.bincount(cols, minlength=size)
+    pos = np.bincount(cols, weights=y[rows], minlength=size)
     neg = total - pos
-    p, q = max(y.sum(), 1), max(n - y.sum(), 1)
+    p = max(y[mask].sum(), 1)
+    q = max(mask.sum() - y[mask].sum(), 1)
     ratio = np.log((pos + 0.5) / (p - pos + 0.5)) - np.log((neg + 0.5) / (q - neg + 0.5))
     z = ratio / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
     good = np.flatnonzero((total >= MIN_DOCS) & (np.abs(z) >= 2.5))
-    good = good[np.argsort(-np.abs(z[good]), kind="stable")][:most]
-    return np.sort(uniq[good])
+    return np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")][:most])
 
 
 def train(sample: DataFrame, categories: list[str], folds: int = FOLDS, max_features: int = MAX_FEATURES) -> Chain:
     """Fit the chain on the gathered sample (bounded by its ``max_rows``)."""
-    got = sample.toArrow()
+    return fit_chain(sample.toArrow(), categories, folds, max_features)[0]
+
+
+def fit_chain(got: pa.Table, categories: list[str], folds: int = FOLDS, max_features: int = MAX_FEATURES) -> tuple[Chain, np.ndarray, np.ndarray]:
+    """The chain, and of the sample's rows the labels and the probabilities by models that did not see them."""
     blobs = got["features"].to_pylist()
     order = sorted(range(len(blobs)), key=lambda k: (blobs[k], *(got[f"y_{c}"][k].as_py() for c in categories)))
     feats = [np.frombuffer(blobs[k], np.uint64) for k in order]
@@ -154,33 +155,31 @@ def train(sample: DataFrame, categories: list[str], folds: int = FOLDS, max_feat
     keys = np.concatenate(feats) if n else np.empty(0, np.uint64)
     rows = np.repeat(np.arange(n), [len(f) for f in feats]) if n else np.empty(0, int)
     del feats, blobs
-    if n:  # what too few texts of the sample have is never chosen
-        _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
-        common = times[inverse] >= MIN_DOCS
-        keys, rows = keys[common], rows[common]
-        del inverse, times, common
+    # What too few texts of the sample have is never chosen; no label has a say in that.
+    features, cols, times = np.unique(keys, return_inverse=True, return_counts=True)
+    common = times >= MIN_DOCS
+    number = np.cumsum(common) - 1
+    use = common[cols]
+    rows, cols, features = rows[use].astype(np.int32), number[cols[use]].astype(np.int32), features[common]
+    del keys, times, common, number, use
     fold = np.arange(n) % folds
-    kept = [_select(rows, keys, y, n, max_features) for y in ys]
-    features = np.unique(np.concatenate(kept)) if kept else np.empty(0, np.uint64)
-    at = np.searchsorted(features, keys)
-    known = at < len(features)
-    known[known] = features[at[known]] == keys[known]
-    rows, cols, keys = rows[known], at[known], keys[known]
     weights = np.zeros((len(ys), len(features)))
     earlier = np.zeros((len(ys), len(ys)))
     bias = np.zeros(len(ys))
     outside = np.zeros((n, len(ys)))  # probabilities by models that did not see the row
 
     def fit(mask: np.ndarray, c: int):
-        """Features are chosen again from the rows in ``mask``."""
+        """Features are chosen from the rows in ``mask`` alone, so a model knows nothing of the labels of others."""
         part = mask[rows]
-        chosen = _select(rows[part], keys[part], np.where(mask, ys[c], 0), int(mask.sum()), max_features)
-        number = np.searchsorted(features, chosen)
-        use = part & np.isin(cols, number)
+        some, which = rows[part], cols[part]
+        chosen = _select(some, which, ys[c], mask, len(features), max_features)
+        place = np.full(len(features), -1, np.int64)
+        place[chosen] = np.arange(len(chosen))
+        use = place[which] >= 0
         renum = np.cumsum(mask) - 1
-        w, v, b = _fit(renum[rows[use]], np.searchsorted(number, cols[use]), int(mask.sum()), len(number), outside[mask][:, :c], ys[c][mask], weight[mask])
+        w, v, b = _fit(renum[some[use]], place[which[use]], int(mask.sum()), len(chosen), outside[mask][:, :c], ys[c][mask], weight[mask])
         full = np.zeros(len(features))
-        full[number] = w
+        full[chosen] = w
         return full, v, b
 
     for c in range(len(ys)):
@@ -193,7 +192,8 @@ def train(sample: DataFrame, categories: list[str], folds: int = FOLDS, max_feat
             outside[held, c] = probability(z[held])
         weights[c], v, bias[c] = fit(np.ones(n, bool), c)
         earlier[c, :c] = v
-    return Chain(list(categories), features, weights, earlier, bias)
+    used = (weights != 0).any(axis=0)
+    return Chain(list(categories), features[used], weights[:, used], earlier, bias), np.stack(ys, axis=1) if ys else np.zeros((n, 0)), outside
 
 
 def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataFrame:
