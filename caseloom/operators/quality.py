@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import comparable
-from .audit import corruption_reason, issues
+from .audit import issues
 from .rationale import is_placeholder
 
 
@@ -36,25 +36,6 @@ def quality_audit(df: DataFrame) -> DataFrame:
     )
 
 
-def full_audit(df: DataFrame) -> DataFrame:
-    """QA07: structure, text damage and rationale in one pass; corruption reasons are codes of their own."""
-    reason = corruption_reason(F.col("question"))
-    damage = [(f"stem_{r}", "high", reason == r) for r in ("too_short", "garbled_caps", "encoding_garbage", "truncated", "repetitive", "no_spaces")]
-    return issues(
-        df,
-        "F",
-        [
-            *damage,
-            ("no_rationale", "medium", F.length(F.trim("rationale")) == 0),
-            ("short_rationale", "low", F.length(F.trim("rationale")).between(1, 39)),
-            ("single_letter_options", "high", (F.size("options") > 0) & F.forall("options", lambda o: F.length(F.trim(o["text"])) <= 1)),
-            ("html_left", "low", F.col("question").rlike("</?[a-z]+[^>]*>")),
-            ("url_left", "low", F.lower("question").rlike("https?://")),
-            ("low_score", "low", F.col("score") < 20),
-        ],
-    )
-
-
 def fix_keys(cases: DataFrame, named: DataFrame, findings_level: str = "high") -> DataFrame:
     """QA06/QA11: key by the letter a rationale names, where it is one letter, an option, and not the key: flip for a single statement, else hold."""
     own = cases.select("case_id", F.get(F.transform(F.filter("options", lambda o: o["is_correct"]), lambda o: o["id"]), F.lit(0)).alias("key"), F.transform("options", lambda o: o["id"]).alias("ids"))

@@ -263,11 +263,6 @@ def _(s, d):
     return quality.quality_audit(cased(s, d))
 
 
-@query("QA07_full_audit")
-def _(s, d):
-    return quality.full_audit(cased(s, d))
-
-
 LOCAL = [("L1", "the", "of", "zzz"), ("L2", "und", "die", "der")]
 
 
