@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import checks
 from ..operators import full_audit as fa
+from ..operators import healing
 from . import views
-from .queries import query
+from .queries import NORM, query
 from .views import CASES_SQL
 
 #: Phrases behind prompts and before explanations, by remainders of the case's number.
@@ -188,3 +190,83 @@ def _(s, d):
     cases = rich(s, d)
     files = cases.where("case_id % 4 = 0 and images is not null").select(F.concat(F.lit("p"), F.col("case_id").cast("string"), F.lit(".png")).alias("name"))
     return fa.full_audit(cases, files)
+
+
+def repaired(s, d) -> DataFrame:
+    i = F.col("case_id")
+    return rich(s, d).withColumns({"antidote": i % 9 == 0, "needs_regen": i % 9 == 3, "regenerated": i % 18 == 3, "case_code": F.when(i % 71 != 2, F.concat(F.lit("C"), F.floor(i / F.when(i % 73 == 1, 2).otherwise(1)).cast("string")))})
+
+
+_W = lambda text, least: f"list_filter(regexp_extract_all(lower({text}), '\\b[a-z]+\\b'), lambda w: length(w) >= {least})"
+_H = lambda words: f"len(list_filter({words}, lambda w: contains(lr, w)))"
+_PRINT = "array_to_string(list_sort(list_transform(o, lambda x: substring(lower(trim(x.text)), 1, 30))), '|')"
+SMOKE = (*VIEWS, f"""smoke_v AS (SELECT *, lower(r) AS lr, {_W("coalesce(rt[1].text, '')", 4)} AS kw, coalesce(nullif(narrative, ''), nullif(prompt, ''), '') AS sq, {_LOWS} AS lt, {_PRINT} AS fp FROM told_v),
+  mark_v AS (SELECT *, coalesce(q_type = 'MCQ' AND len(rt) > 0 AND length(lr) >= 30, false) AS explained, (len(kw) = 0 OR {_H('kw')} > 0) AND NOT {_any('wr', f"len({_W('x.text', 5)}) >= 2 AND {_H(_W('x.text', 5))} > {_H('kw')} + 2")} AS coherent FROM smoke_v),
+  rawkey_v AS (SELECT fp, min_by(CASE WHEN case_id % 6 = 0 THEN 'B' ELSE rt[1].id END, case_id) AS k FROM smoke_v WHERE case_id % 4 <> 1 AND source = 'src0' GROUP BY fp),
+  cross_v AS (SELECT k, rt[1].id AS own FROM smoke_v m LEFT JOIN rawkey_v USING (fp) WHERE source = 'src0'),
+  source_v AS (SELECT coalesce(source, 'unknown') AS name, count(*) AS n, count(*) FILTER (length(lr) > 20) AS rr, count(*) FILTER (len(rt) > 0) AS kk, min_by(len(rt) > 0 AND length(lr) > 30, case_id) AS first FROM smoke_v GROUP BY 1)""")
+_LAYERS = [
+    (1, "no_question", "sq = ''", False), (1, "no_options", "n < 2", False), (1, "no_correct", "n >= 2 AND len(rt) = 0", False), (1, "multi_correct", "n >= 2 AND len(rt) > 1", True), (1, "empty_option_text", "n >= 2 AND list_contains(lt, '')", False),
+    (3, "coherent", "explained AND coherent", True), (3, "suspicious", "explained AND NOT coherent", False), (3, "no_rationale", "q_type = 'MCQ' AND NOT explained", True),
+    (6, "antidoted_with_rationale", "case_id % 9 = 0 AND length(lr) > 30", True), (6, "antidoted_without", "case_id % 9 = 0 AND length(lr) <= 30", False), (6, "needs_regen", "case_id % 9 = 3", True), (6, "regenerated", "case_id % 18 = 3", True),
+    (7, "very_short_question", "q_type = 'MCQ' AND length(sq) < 20", False), (7, "truncated_vignette", "ends_with(sq, '...')", False), (7, "html_in_text", "regexp_matches(sq, '(?i)<[a-z]+>')", False), (7, "duplicate_options", "len(list_distinct(lt)) < n", False), (7, "all_same_options", "n >= 2 AND len(list_distinct(lt)) = 1", False),
+]
+
+
+@query("QA21_smoke_layers", " UNION ALL ".join(f"SELECT {layer} AS layer, '{name}' AS name, count(*) FILTER ({p}) AS n, {'true' if good else f'count(*) FILTER ({p}) = 0'} AS passed FROM mark_v" for layer, name, p, good in _LAYERS) + """
+  UNION ALL SELECT 1, 'duplicate_ids', count(*) - count(DISTINCT case_id), count(*) = count(DISTINCT case_id) FROM smoke_v
+  UNION ALL SELECT 2, 'matched', count(*) FILTER (k = own), true FROM cross_v UNION ALL SELECT 2, 'mismatch', count(*) FILTER (k IS NOT NULL AND k IS DISTINCT FROM own), count(*) FILTER (k IS NOT NULL AND k IS DISTINCT FROM own) = 0 FROM cross_v UNION ALL SELECT 2, 'not_found', count(*) FILTER (k IS NULL), true FROM cross_v
+  UNION ALL SELECT 4, name, n, kk = n AND 2 * rr >= n FROM source_v UNION ALL SELECT 5, name, 1, first FROM (SELECT * FROM source_v ORDER BY n DESC, name LIMIT 5)""", SMOKE)
+def _(s, d):
+    """Raw records of the largest source: three cases in four, every sixth with another key."""
+    c = repaired(s, d)
+    key = F.when(F.col("case_id") % 6 == 0, "B").otherwise(F.get(F.filter("options", lambda o: o["is_correct"]), F.lit(0))["id"])
+    raw = c.where("case_id % 4 <> 1 and source = 'src0'").select(checks.option_print(F.col("options")).alias("fp"), key.alias("key"), F.col("case_id").alias("pos"))
+    return checks.smoke_layers(c, raw, "src0")
+
+
+_CODE = "CASE WHEN case_id % 71 <> 2 THEN 'C' || CAST(CASE WHEN case_id % 73 = 1 THEN case_id // 2 ELSE case_id END AS VARCHAR) END"
+PUBLISH = (*VIEWS, f"code_v AS (SELECT *, {_CODE} AS code, coalesce(nullif(prompt, ''), nullif(question, ''), nullif(narrative, ''), '') AS p FROM told_v)", "held_v AS (SELECT CASE WHEN case_id % 100 = 3 THEN 'x' ELSE CAST(case_id + CASE WHEN case_id % 100 = 5 THEN 100000000 ELSE 0 END AS VARCHAR) END AS id FROM cases_v WHERE case_id % 100 < 7 UNION ALL SELECT CAST(case_id AS VARCHAR) FROM cases_v WHERE case_id % 100 = 1)")
+_N2 = NORM.format
+_STATED = "regexp_extract(r, '" + healing.STATEMENT.replace("'", "''") + "([\\s\\S]{0,120})', 1)"
+HARD = f"""hard_v AS (SELECT case_id, list_min(list_filter(list_transform(range(1, n + 1), lambda j: {{'at': instr(said, {_N2('o[j].text')}), 'n': -length({_N2('o[j].text')}), 'j': j}}), lambda p: p['at'] > 0 AND p['n'] <= -3)).j AS j, o, rt
+    FROM (SELECT *, {_N2("regexp_extract(w, '^[^\\n;]*')")} AS said FROM (SELECT *, {_STATED} AS w FROM told_v WHERE n >= 2) WHERE w <> '' AND NOT regexp_matches(substring(w, 1, 12), '(?i)^\\s*(?:>|<|/|&|,|and\\b|or\\b)'))
+    WHERE case_id NOT IN (SELECT try_cast(id AS BIGINT) FROM held_v WHERE try_cast(id AS BIGINT) IS NOT NULL))"""
+PUBLISH = (*PUBLISH, HARD)
+_P_SQL = [
+    ("missing_id", "count(*) FILTER (case_id IS NULL)"), ("missing_case_code", "count(*) FILTER (code IS NULL)"), ("prompt_too_short", "count(*) FILTER (length(trim(p)) < 10)"), ("bad_option_count", "count(*) FILTER (n NOT BETWEEN 2 AND 5)"), ("bad_correct_count", "count(*) FILTER (len(rt) <> 1)"),
+    ("empty_option_text", "sum(len(list_filter(o, lambda x: trim(x.text) = '')))"), ("option_too_long", "sum(len(list_filter(o, lambda x: length(x.text) > 1500)))"), ("unexplained_beyond_five_percent", "CASE WHEN count(*) FILTER (r <> '') < 0.95 * count(*) THEN count(*) FILTER (r = '') ELSE 0 END"),
+]
+
+
+@query("QA22_publish_checks", "SELECT name, CAST(n AS BIGINT) AS n, n = 0 AS passed FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS name, {count} AS n FROM code_v" for name, count in _P_SQL) + """
+  UNION ALL SELECT 'duplicate_ids', count(*) FROM (SELECT case_id FROM code_v GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'duplicate_case_codes', count(*) FROM (SELECT code FROM code_v WHERE code IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'manifest_non_numeric', count(*) FROM held_v WHERE try_cast(id AS BIGINT) IS NULL UNION ALL SELECT 'manifest_unknown', count(DISTINCT id) FROM held_v WHERE try_cast(id AS BIGINT) NOT IN (SELECT case_id FROM code_v)
+  UNION ALL SELECT 'manifest_duplicate', count(try_cast(id AS BIGINT)) - count(DISTINCT try_cast(id AS BIGINT)) FROM held_v UNION ALL SELECT 'hard_contradictions', count(*) FROM hard_v WHERE len(rt) > 0 AND HARDER)""".replace("HARDER", f"{_N2('o[j].text')} <> {_N2('rt[1].text')}"), PUBLISH)
+def _(s, d):
+    """A manifest of seven cases in a hundred, with entries that are no number, unknown or repeated."""
+    c = repaired(s, d)
+    i = F.col("case_id")
+    held = c.where(i % 100 < 7).select(F.when(i % 100 == 3, "x").otherwise((i + F.when(i % 100 == 5, 100000000).otherwise(0)).cast("string")).alias("id"))
+    return checks.publish_checks(c, held.unionByName(c.where(i % 100 == 1).select(i.cast("string").alias("id"))))
+
+
+_WS = lambda text: f"list_distinct(list_filter(string_split_regex(regexp_replace(lower({text}), '[^a-z0-9]', ' ', 'g'), '\\s+'), lambda w: length(w) > 3))"
+BLIND = (*VIEWS, f"blind_v AS (SELECT *, length(rt[1].text) AS c, list_avg(list_transform(wr, lambda x: length(x.text))) AS w, list_position(list_transform(o, lambda x: x.is_correct), true) - 1 AS at_key, {_WS('f')} AS stem FROM told_v WHERE len(rt) > 0 AND len(wr) > 0)", f"blinder_v AS (SELECT *, len(list_intersect(stem, {_WS('rt[1].text')})) AS sh, list_max(list_transform(wr, lambda x: len(list_intersect(stem, {_WS('x.text')})))) AS best FROM blind_v)")
+_N = lambda lists, pattern: f"len(list_filter({lists}, lambda x: {_rx('x.text', pattern)}))"
+
+
+@query("AG12_blindspots", f"""SELECT count(*) AS cases, round(avg(c), 4) AS mean_right, round(avg(w), 4) AS mean_wrong, count(*) FILTER (c > 1.5 * w) AS longer_right, count(*) FILTER (c < 0.6 * w) AS shorter_right, count(*) FILTER ({_rx("coalesce(prompt, '')", checks.NEGATIVE)}) AS negative_prompts,
+  CAST(sum({_N('o', checks.ALL_ABOVE)}) AS BIGINT) AS all_of_the_above, CAST(sum({_N('o', checks.NONE_ABOVE)}) AS BIGINT) AS none_of_the_above, count(*) FILTER ({_N('o', checks.ABSOLUTE)} > 0) AS absolute_terms, CAST(sum({_N('rt', checks.ABSOLUTE)}) AS BIGINT) AS absolute_right, CAST(sum({_N('wr', checks.ABSOLUTE)}) AS BIGINT) AS absolute_wrong,
+  {', '.join(f'count(*) FILTER (at_key = {k}) AS key_at_{k}' for k in range(5))}, count(*) FILTER (at_key > 4) AS key_at_other, count(*) FILTER (sh > best AND sh > 0) AS word_match_cue, count(*) FILTER ({_rx('r', checks.CIRCULAR)} AND length(r) < 150) AS circular_rationale FROM blinder_v""", BLIND)
+def _(s, d):
+    return checks.psychometrics(rich(s, d))
+
+
+_SQ = "coalesce(nullif(question, ''), nullif(narrative, ''), title, '')"
+@query("FL05_quarantine_reasons", rf"""SELECT case_id, reason FROM (SELECT case_id, CASE WHEN length(trim(t)) < 20 THEN 'too_short' WHEN length(regexp_replace(t, '[^A-Za-z]', '', 'g')) > 40 AND length(regexp_replace(t, '[^A-Z]', '', 'g')) * 10 > length(regexp_replace(t, '[^A-Za-z]', '', 'g')) * 8 THEN 'garbled_caps'
+    WHEN regexp_matches(t, '\x{{FFFD}}{{2,}}|(Ã.){{3,}}') THEN 'encoding_garbage' WHEN regexp_matches(trim(t), '[,;(]$') THEN 'truncated' WHEN five THEN 'repetitive' WHEN length(t) > 60 AND nw * 30 < length(t) THEN 'no_spaces' WHEN n < 2 OR len(rt) = 0 THEN 'no_correct_answer' END AS reason
+  FROM (SELECT case_id, t, n, rt, len(list_filter(string_split_regex(trim(t), '\s+'), lambda x: x <> '')) AS nw, len(list_filter(range(1, len(ws) - 3), lambda j: ws[j] = ws[j + 1] AND ws[j] = ws[j + 2] AND ws[j] = ws[j + 3] AND ws[j] = ws[j + 4])) > 0 AS five
+    FROM (SELECT case_id, {_SQ} AS t, n, rt, string_split(lower({_SQ}), ' ') AS ws FROM told_v))) WHERE reason IS NOT NULL""", VIEWS)
+def _(s, d):
+    return checks.quarantine_reason(rich(s, d))
