@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Blanks beyond ASCII that count as white space when trimming.
 BLANK = "[\\s\\x{00A0}\\x{FEFF}]"
 
+# UTF-8 read as Latin text, and what it stood for.
+MOJIBAKE = [("â€™", "'"), ("â€˜", "'"), ("â€œ", '"'), ("â€\x9d", '"'), ("â€“", "-"), ("â€”", "-"), ("â€¦", "..."), ("Â°", "°"), ("Â±", "±"), ("Âµ", "µ"), ("Ã©", "é"), ("Ã¨", "è"), ("Ã¶", "ö"), ("Ã¼", "ü"), ("Â", "")]
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -45,10 +48,8 @@ def fingerprint(c, chars: int = 200, digits: int = 12) -> Column:
 
 def fix_mojibake(c) -> Column:
     """FN04: UTF-8 that was read as Latin text, replaced in order."""
-    # Wrong sequence and what it stood for.
-    pairs = [("â€™", "'"), ("â€˜", "'"), ("â€œ", '"'), ("â€\x9d", '"'), ("â€“", "-"), ("â€”", "-"), ("â€¦", "..."), ("Â°", "°"), ("Â±", "±"), ("Âµ", "µ"), ("Ã©", "é"), ("Ã¨", "è"), ("Ã¶", "ö"), ("Ã¼", "ü"), ("Â", "")]
     out = _col(c)
-    for wrong, right in pairs:
+    for wrong, right in MOJIBAKE:
         out = F.replace(out, F.lit(wrong), F.lit(right))
     return out
 

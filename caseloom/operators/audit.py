@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import comparable, word_count
@@ -171,11 +171,10 @@ def text_artifacts(df: DataFrame, fields: list[str], buckets: dict[str, str]) ->
 
 def issue_report(found: DataFrame) -> DataFrame:
     """AG04: totals by severity, by layer and by code in one pass."""
-    found.createOrReplaceTempView("_issues")
-    return found.sparkSession.sql(
-        """SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(layer) = 0 THEN 'layer' ELSE 'code' END AS dimension,
-        coalesce(severity, layer, code) AS value, count(*) AS n FROM _issues GROUP BY GROUPING SETS ((severity), (layer), (code))"""
-    )
+    names = ["severity", "layer", "code"]
+    grouped = found.groupingSets([[n] for n in names], *names).agg(F.count(F.lit(1)).alias("n"), *[F.grouping(n).alias(f"_{n}") for n in names])
+    dimension = F.when(F.col("_severity") == 0, "severity").when(F.col("_layer") == 0, "layer").otherwise("code")
+    return grouped.select(dimension.alias("dimension"), F.coalesce(*names).alias("value"), "n")
 
 
 def build_manifest(found: DataFrame, codes: list[str]) -> DataFrame:
@@ -206,15 +205,14 @@ def queue_order(queue: DataFrame) -> DataFrame:
 
 
 def publish_violations(df: DataFrame) -> DataFrame:
-    """QA22: counts of broken publish rules, in one pass; all zero for a sound bank."""
-    ids = Window.partitionBy("case_id")
-    marked = df.withColumn("_same", F.count(F.lit(1)).over(ids))
+    """QA22: counts of broken publish rules; all zero for a sound bank. Repeated ids are counted on the ids alone."""
+    ids = df.groupBy("case_id").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0)).alias("repeated_ids"))
     texts = F.transform("options", lambda o: comparable(o["text"]))
-    return marked.agg(
-        F.count_if(F.col("_same") > 1).alias("repeated_ids"),
+    counted = df.agg(
         F.count_if(F.size(_right()) != 1).alias("not_one_correct"),
         F.count_if(~F.col("score").between(0, 100)).alias("score_out_of_range"),
         F.count_if(F.size(F.array_distinct(texts)) < F.size(texts)).alias("repeated_options"),
         F.count_if(F.length(F.trim("question")) < 10).alias("short_stems"),
         F.count_if(F.length("rationale") == 0).alias("no_rationale"),
     )
+    return ids.crossJoin(counted)  # one row each

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.matcher import Dictionary, matches
+from .ids import dense_numbers
 
 # Weights of the signals, and thresholds of score and lead.
 WEIGHTS = {"raw": 4, "subject": 3, "tags": 3, "topic": 3, "organ": 3, "prefix": 2, "keyword": 1, "narrative": 2, "options": 1}
@@ -89,9 +90,9 @@ def first_rule(c: Column, rules: dict[str, str], fallback: str) -> Column:
 
 
 def fill_gaps(candidates: DataFrame, needed: DataFrame) -> DataFrame:
-    """SC08: of candidates (case_id, category) as many as a category needs, by id."""
-    order = Window.partitionBy("category").orderBy("case_id")
-    return candidates.withColumn("rn", F.row_number().over(order)).join(F.broadcast(needed), "category").where(F.col("rn") <= F.col("needed")).select("case_id", "category")
+    """SC08: of candidates (case_id, category) as many as a category needs, by id; numbered over ranges, so no category is one task."""
+    numbered = dense_numbers(candidates, ["case_id"], "_n", ["category"])
+    return numbered.join(needed, "category").where(F.col("_n") <= F.col("needed")).select("case_id", "category")
 
 
 def changed_only(before: DataFrame, after: DataFrame, key: str, cols: list[str]) -> DataFrame:

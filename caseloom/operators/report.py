@@ -191,8 +191,8 @@ def daily_order(cases: DataFrame, day: str, done: DataFrame) -> DataFrame:
 
 
 def sample_exam(cases: DataFrame, n: int, seed: int) -> DataFrame:
-    """TK05: ``n`` cases in seeded hash order."""
-    return cases.orderBy(F.xxhash64("case_id", F.lit(seed)), "case_id").limit(n)
+    """TK05: ``n`` cases in the order of the SHA-256 of seed, bar and id."""
+    return cases.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "case_id"), 256), "case_id").limit(n)
 
 
 def best_finding(findings: DataFrame, weights: dict[str, int]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import comparable
+from .ids import dense_numbers
 
 
 def merge_verdicts(results: DataFrame) -> DataFrame:
@@ -87,9 +88,8 @@ def adjudicate(results: DataFrame, shortlist: DataFrame) -> DataFrame:
 
 
 def number_packs(df: DataFrame, size: int) -> DataFrame:
-    """WN10: file number of each row: packs of ``size`` within an issue type, by id."""
-    order = Window.partitionBy("issue").orderBy("case_id")
-    return df.withColumn("pack", F.floor((F.row_number().over(order) - 1) / F.lit(size)))
+    """WN10: file number of each row: packs of ``size`` within an issue type, by id; numbers come from ranges, so no issue is one task."""
+    return dense_numbers(df, ["case_id"], "_n", ["issue"]).withColumn("pack", F.floor((F.col("_n") - 1) / F.lit(size))).drop("_n")
 
 
 def conflict_lane(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks
 from ..operators import full_audit as fa
-from ..operators import healing
+from ..operators import healing, rationale
 from . import views
 from .queries import NORM, query
 from .views import CASES_SQL
@@ -44,7 +44,7 @@ def rich(s, d) -> DataFrame:
         F.when((i % 7 == 2) & (i % 3 == 0), panel).when(m == 1, F.array().cast("array<struct<id:string,text:string,is_correct:boolean,votes:int>>")).when(m == 2, F.slice(plain, 1, 1))
         .when(m == 3, fixed(["same"] * 3, 1)).when(m == 4, fixed(["Yes", "no", "maybe"], 0)).when(m == 5, fixed(["a and b", "always", "", "four", "five", "six", "seven"], 0)).otherwise(plain)
     )
-    lead = F.concat(_pick(i % 37, LEADS, F.lit("")), F.when(i % 41 == 3, F.concat(F.coalesce(sentence(0), F.lit("")), F.lit(" is the best answer. "))).otherwise(F.lit("")), F.col("rationale"))
+    lead = F.concat(_pick(i % 37, LEADS, F.lit("")), F.when(i % 41 == 3, F.concat(F.coalesce(sentence(0), F.lit("")), F.lit(" is correct and the best answer. "))).otherwise(F.lit("")), F.col("rationale"))
     return c.select(
         "case_id",
         F.when(i % 29 == 3, "medexpqa").when(i % 29 == 5, "pubmedqa").when(i % 29 != 7, F.col("source")).alias("source"),
@@ -79,7 +79,7 @@ def _fixed(texts: list[str], right: int) -> str:
 
 _PLAIN = "list_filter(list_transform([1, 2, 3, 4], lambda k: {'id': substring('ABCD', k, 1), 'text': trim(string_split(question, '.')[k]), 'is_correct': i % 4 = k - 1, 'votes': CAST((i * k) % 3 AS INTEGER)}), lambda o: o.text IS NOT NULL AND o.text <> '')"
 _PANEL = "[" + ", ".join(f"{{'id': '{x}', 'text': 'level {x}', 'is_correct': i % 5 = {k}, 'votes': CAST((i + {k}) % 4 AS INTEGER)}}" for k, x in enumerate(fa.PANEL_LABELS)) + "]"
-_LEAD = f"{_case('i % 37', LEADS, _said(''))} || CASE WHEN i % 41 = 3 THEN coalesce(trim(string_split(question, '.')[1]), '') || ' is the best answer. ' ELSE '' END || rationale"
+_LEAD = f"{_case('i % 37', LEADS, _said(''))} || CASE WHEN i % 41 = 3 THEN coalesce(trim(string_split(question, '.')[1]), '') || ' is correct and the best answer. ' ELSE '' END || rationale"
 PLAIN = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[''\"“”‘’`]', '', 'g'), '[^a-z0-9+/-]+', ' ', 'g'), ' ')"
 RICH = f"""rich_v AS (SELECT i AS case_id, CASE WHEN i % 29 = 3 THEN 'medexpqa' WHEN i % 29 = 5 THEN 'pubmedqa' WHEN i % 29 <> 7 THEN source END AS source, CASE WHEN i % 7 = 2 THEN 'SCT' WHEN i % 53 <> 4 THEN 'MCQ' END AS q_type,
     CASE WHEN i % 11 <> 0 THEN substring(sha256(substring(question, 1, 60)), 1, 12) END AS hash_id, CASE WHEN i % 41 = 3 THEN title || ' except?' WHEN i % 13 = 2 THEN '' WHEN i % 13 <> 1 THEN title END AS question,
@@ -266,7 +266,13 @@ def _(s, d):
 _SQ = "coalesce(nullif(question, ''), nullif(narrative, ''), title, '')"
 @query("FL05_quarantine_reasons", rf"""SELECT case_id, reason FROM (SELECT case_id, CASE WHEN length(trim(t)) < 20 THEN 'too_short' WHEN length(regexp_replace(t, '[^A-Za-z]', '', 'g')) > 40 AND length(regexp_replace(t, '[^A-Z]', '', 'g')) * 10 > length(regexp_replace(t, '[^A-Za-z]', '', 'g')) * 8 THEN 'garbled_caps'
     WHEN regexp_matches(t, '\x{{FFFD}}{{2,}}|(Ã.){{3,}}') THEN 'encoding_garbage' WHEN regexp_matches(trim(t), '[,;(]$') THEN 'truncated' WHEN five THEN 'repetitive' WHEN length(t) > 60 AND nw * 30 < length(t) THEN 'no_spaces' WHEN n < 2 OR len(rt) = 0 THEN 'no_correct_answer' END AS reason
-  FROM (SELECT case_id, t, n, rt, len(list_filter(string_split_regex(trim(t), '\s+'), lambda x: x <> '')) AS nw, len(list_filter(range(1, len(ws) - 3), lambda j: ws[j] = ws[j + 1] AND ws[j] = ws[j + 2] AND ws[j] = ws[j + 3] AND ws[j] = ws[j + 4])) > 0 AS five
+  FROM (SELECT case_id, t, n, rt, len(list_filter(string_split_regex(trim(t), '\s+'), lambda x: x <> '')) AS nw, len(list_filter(range(1, len(ws) - 3), lambda j: regexp_matches(ws[j], '^\w+$') AND ws[j] = ws[j + 1] AND ws[j] = ws[j + 2] AND ws[j] = ws[j + 3] AND ws[j] = ws[j + 4])) > 0 AS five
     FROM (SELECT case_id, {_SQ} AS t, n, rt, string_split(lower({_SQ}), ' ') AS ws FROM told_v))) WHERE reason IS NOT NULL""", VIEWS)
 def _(s, d):
     return checks.quarantine_reason(rich(s, d))
+
+
+@query("QA09_except_trap", r"""SELECT case_id FROM (SELECT case_id, question, lower(r) AS lr, lower(rt[1].text) AS k FROM told_v) WHERE regexp_matches(lower(question), '\b(except|not|incorrect|false|least likely)\b') AND length(k) > 3 AND contains(lr, k)
+  AND regexp_matches(substring(lr, greatest(instr(lr, k) - 40, 1), length(k) + 80), '\b(is true|is correct|is seen|is associated|are seen)\b')""", VIEWS)
+def _(s, d):
+    return rationale.except_trap(rich(s, d))

@@ -8,7 +8,7 @@ from ..functions import clean, scoring, text
 from ..operators import audit, category, contradictions, keys, quality, rationale, report
 from ..sources import io, parse
 from . import views
-from .queries import ALNUM, AUDIT, BOTH, NORM, answers, query, raw_rows
+from .queries import ANSWERS, ALNUM, AUDIT, BOTH, NORM, answers, query, raw_rows
 from .views import CASES_SQL, FEEDBACK_SQL, OPTIONS_SQL, TELEMETRY_SQL
 
 
@@ -33,15 +33,14 @@ def _(s, d):
     return views.table(s, d, "pages").select("page_id", clean.decode_entities(text.display_text("html")).alias("shown"))
 
 
-# What the damaged forms of these characters come back as; text with others in the Latin-1 range is damaged beyond the list.
-MENDED = "[°±µéèöü]"
-
-
-@query("FN04_mojibake", f"SELECT case_id, question AS mended FROM cases_v WHERE NOT regexp_matches(regexp_replace(question, '{MENDED}', '', 'g'), '[^\\x00-\\x7f]')")
+@query("FN04_mojibake", "SELECT case_id, question AS mended FROM cases_v")
 def _(s, d):
-    """Every text that is ASCII or of those characters, damaged by reading its UTF-8 as Latin-1, and mended."""
-    c = views.cases(s, d).where(~F.regexp_replace("question", MENDED, "").rlike("[^\\x00-\\x7f]"))
-    return c.select("case_id", text.fix_mojibake(F.decode(F.encode("question", "UTF-8"), "ISO-8859-1")).alias("mended"))
+    """Every text, with each character of the list beyond ASCII, and apostrophes, in their damaged form, and mended."""
+    damaged = F.col("question")
+    for wrong, right in text.MOJIBAKE:
+        if wrong == "â€™" or not right.isascii():
+            damaged = F.replace(damaged, F.lit(right), F.lit(wrong))
+    return views.cases(s, d).select("case_id", text.fix_mojibake(damaged).alias("mended"))
 
 
 @query("FN05_clean_explanation")
@@ -289,18 +288,15 @@ def _(s, d):
     return quality.fix_keys(c, rationale.rationale_answers(c))
 
 
-@query("QA09_except_trap")
-def _(s, d):
-    return rationale.except_trap(cased(s, d))
-
-
-@query("QA13_dissonance")
+@query("QA13_dissonance", f"""SELECT case_id FROM (SELECT a.case_id, {NORM.format('c.rationale')} AS r, unnest(list_distinct(list_filter(string_split({NORM.format('answer')}, ' '), lambda w: length(w) >= 5))) AS t FROM ({ANSWERS}) a JOIN cases_v c ON c.case_id = a.case_id)
+  WHERE r <> '' GROUP BY case_id HAVING NOT bool_or(contains(r, t) OR (t = 'heart' AND contains(r, 'cardiac')))""", BOTH)
 def _(s, d):
     c = views.cases(s, d)
     return rationale.dissonance(c, answers(s, d), s.createDataFrame([("heart", "cardiac")], "token string, variant string"))
 
 
-@query("QA14_wrong_explained")
+@query("QA14_wrong_explained", f"""SELECT case_id, right_hits, wrong_hits FROM (SELECT case_id, coalesce(max(n) FILTER (is_correct), 0) AS right_hits, coalesce(max(n) FILTER (NOT is_correct), 0) AS wrong_hits FROM (
+    SELECT o.case_id, is_correct, len(list_filter(string_split({NORM.format('c.rationale')}, ' '), lambda w: length(w) >= 5 AND list_contains(string_split({NORM.format('option_text')}, ' '), w))) AS n FROM options_v o JOIN cases_v c ON c.case_id = o.case_id WHERE length(c.rationale) > 0) GROUP BY case_id) WHERE wrong_hits > right_hits""", BOTH)
 def _(s, d):
     return rationale.wrong_explained(cased(s, d))
 

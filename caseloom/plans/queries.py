@@ -236,7 +236,8 @@ def _(s, d):
     return dedup.fix_ids(c).select("pos", "new_id")
 
 
-@query("DD20_dedupe_options")
+@query("DD20_dedupe_options", f"""SELECT case_id, CASE WHEN kept >= 2 THEN kept ELSE n END AS n, CASE WHEN kept >= 2 THEN kept_right ELSE n_right END > 1 AS review_options FROM (SELECT c.case_id, count(o.case_id) AS n, count(*) FILTER (is_correct) AS n_right, count(*) FILTER (rn = 1) AS kept, count(*) FILTER (rn = 1 AND is_correct) AS kept_right
+    FROM cases_v c LEFT JOIN (SELECT case_id, is_correct, row_number() OVER (PARTITION BY case_id, {NORM.format('option_text')} ORDER BY is_correct DESC, slot) AS rn FROM options_v) o ON o.case_id = c.case_id GROUP BY c.case_id)""", BOTH)
 def _(s, d):
     return dedup.dedupe_options(views.cases_with_options(s, d)).select("case_id", F.size("options").alias("n"), "review_options")
 
@@ -289,7 +290,9 @@ def _(s, d):
     return report.coverage(views.cases(s, d), TARGETS)
 
 
-@query("AG12_psychometrics", None)
+@query("AG12_psychometrics", "SELECT count(*) AS n, round(avg(rl), 4) AS mean_right, round(avg(wl), 4) AS mean_wrong, count(*) FILTER (rl > wl) AS right_longer, count(*) FILTER (ra) AS absolute_right, count(*) FILTER (wa) AS absolute_wrong, " + ", ".join(f"count(*) FILTER (sl = '{x}') AS slot_{x.lower()}" for x in "ABCD") + r""" FROM (
+  SELECT case_id, max(length(option_text)) FILTER (is_correct) AS rl, avg(length(option_text)) FILTER (NOT is_correct) AS wl, bool_or(is_correct AND regexp_matches(option_text, '(?i)\b(always|never|all|none|only)\b')) AS ra, bool_or(NOT is_correct AND regexp_matches(option_text, '(?i)\b(always|never|all|none|only)\b')) AS wa, max(option_id) FILTER (is_correct) AS sl
+  FROM options_v GROUP BY case_id HAVING count(*) FILTER (is_correct) = 1 AND count(*) FILTER (NOT is_correct) > 0)""", BOTH)
 def _(s, d):
     return report.psychometrics(views.cases_with_options(s, d))
 
@@ -405,12 +408,12 @@ def _(s, d):
     return report.top_counts(views.cases(s, d), "source", 7)
 
 
-@query("TK04_daily_order")
+@query("TK04_daily_order", "SELECT case_id, case_id IN (SELECT case_id FROM telemetry_v WHERE case_id IS NOT NULL) AS seen FROM cases_v", (CASES_SQL, TELEMETRY_SQL))
 def _(s, d):
     return report.daily_order(views.cases(s, d), "2024-01-20", views.telemetry(s, d)).select("case_id", "seen")
 
 
-@query("TK05_sample_exam")
+@query("TK05_sample_exam", f"SELECT case_id, category FROM (SELECT * FROM cases_v WHERE NOT {HELD} AND NOT needs_review AND NOT truncated ORDER BY sha256('7|' || case_id), case_id LIMIT 100)")
 def _(s, d):
     return report.sample_exam(views.cases(s, d).where(report.is_playable()), 100, 7).select("case_id", "category")
 
@@ -648,7 +651,9 @@ def _(s, d):
     return audit.publish_violations(views.cases_with_options(s, d))
 
 
-@query("FL05_corruption")
+@query("FL05_corruption", r"""SELECT case_id, reason FROM (SELECT case_id, CASE WHEN length(trim(t)) < 20 THEN 'too_short' WHEN length(regexp_replace(t, '[^A-Za-z]', '', 'g')) > 40 AND length(regexp_replace(t, '[^A-Z]', '', 'g')) * 10 > length(regexp_replace(t, '[^A-Za-z]', '', 'g')) * 8 THEN 'garbled_caps'
+    WHEN regexp_matches(t, '\x{FFFD}{2,}|(Ã.){3,}') THEN 'encoding_garbage' WHEN regexp_matches(trim(t), '[,;(]$') THEN 'truncated' WHEN five THEN 'repetitive' WHEN length(t) > 60 AND nw * 30 < length(t) THEN 'no_spaces' END AS reason
+  FROM (SELECT case_id, question AS t, len(list_filter(string_split_regex(trim(question), '\s+'), lambda x: x <> '')) AS nw, len(list_filter(range(1, len(ws) - 3), lambda j: regexp_matches(ws[j], '^\w+$') AND ws[j] = ws[j + 1] AND ws[j] = ws[j + 2] AND ws[j] = ws[j + 3] AND ws[j] = ws[j + 4])) > 0 AS five FROM (SELECT *, string_split(lower(question), ' ') AS ws FROM cases_v))) WHERE reason IS NOT NULL""")
 def _(s, d):
     return views.cases(s, d).select("case_id", audit.corruption_reason(F.col("question")).alias("reason")).where("reason is not null")
 
@@ -720,10 +725,11 @@ def _(s, d):
     return review.resolve_conflicts(keyed.select("case_id", F.col("option_id").alias("key"), F.lit("B").alias("audit_key"), F.col("score").alias("quality")))
 
 
-@query("EN08_aligned")
+@query("EN08_aligned", f"""SELECT case_id, (length(a) <= length(b) AND length(a) >= 24 AND contains(b, a)) OR (length(b) < length(a) AND length(b) >= 24 AND contains(a, b)) OR (least(len(x), len(y)) > 0 AND len(list_intersect(x, y)) >= 0.6 * least(len(x), len(y))) AS aligned
+  FROM (SELECT *, list_distinct(list_filter(string_split(a, ' '), lambda w: w <> '')) AS x, list_distinct(list_filter(string_split(b, ' '), lambda w: w <> '')) AS y FROM (SELECT case_id, {NORM.format('title')} AS a, {NORM.format('rationale')} AS b FROM cases_v))""")
 def _(s, d):
     c = views.cases(s, d)
-    return c.select("case_id", review.aligned(F.col("question"), F.col("narrative")).alias("aligned"))
+    return c.select("case_id", review.aligned(F.col("title"), F.col("rationale")).alias("aligned"))
 
 
 @query(
@@ -763,11 +769,12 @@ def _(s, d):
     return review.recover_rationale(views.cases(s, d), ["title", "rationale"], "^the")
 
 
-@query("EN16_panel_cases")
+@query("EN16_panel_cases", """SELECT case_id, array_to_string(v, ',') AS votes, list_position(v, list_max(v)) AS peak FROM (SELECT case_id, CASE WHEN t BETWEEN 10 AND 20 THEN votes ELSE list_transform(votes, lambda x: CAST(floor(x * 15 / t + 0.5) AS INTEGER)) END AS v FROM (
+  SELECT case_id, votes, list_sum(votes) AS t FROM (SELECT case_id, list_transform([1, 2, 3, 4, 5], lambda k: CAST((case_id * k) % 7 AS INTEGER)) AS votes FROM cases_v)) WHERE t > 0)""")
 def _(s, d):
     i = F.col("case_id")
     votes = F.array(*[((i * k) % 7).cast("int") for k in range(1, 6)])
-    return review.panel_cases(views.cases(s, d).select("case_id", votes.alias("votes")))
+    return review.panel_cases(views.cases(s, d).select("case_id", votes.alias("votes"))).withColumn("votes", F.array_join(F.col("votes").cast("array<string>"), ","))
 
 
 def review_log(s, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,8 +30,9 @@ def in_arrivals(rows: DataFrame, arrival: str, start: Callable[[DataFrame], Stre
         start(spark.readStream.schema(rows.select(*columns).schema).parquet(path)).awaitTermination()
 
 
-#: Ten days an arrival; every tenth event comes one arrival late.
-ARRIVAL = F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10) + F.when(F.col("seq") % 10 == 0, 1).otherwise(0)).cast("int")
+def arrival() -> Column:
+    """Ten days an arrival; every tenth event comes one arrival late."""
+    return F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10) + F.when(F.col("seq") % 10 == 0, 1).otherwise(0)).cast("int")
 
 
 def _n(x: float) -> str:
@@ -65,7 +66,7 @@ def _(s, d):
     """ST03 as a stream with keyed state: late reviews are folded where they belong."""
     tables = Versions(s, folder(s, "cards"), {"cards": ["user_hash", "case_id"]})
     checkpoint = folder(s, "cards-checkpoint")
-    in_arrivals(review_log(s, d).withColumn("arrival", ARRIVAL), "arrival", lambda log: cards.keep_cards(log, tables, checkpoint, "30 days"))
+    in_arrivals(review_log(s, d).withColumn("arrival", arrival()), "arrival", lambda log: cards.keep_cards(log, tables, checkpoint, "30 days"))
     return tables.read("cards").select("user_hash", "case_id", *[F.round(c, 6).alias(c) for c in ("difficulty", "stability", "last_review")], "lapses", "reviews")
 
 
@@ -74,7 +75,7 @@ def _(s, d):
     """Item statistics kept by a stream, with late answers that replace kept ones."""
     tables = Versions(s, folder(s, "items"), kept.ITEM_KEYS)
     checkpoint = folder(s, "items-checkpoint")
-    in_arrivals(views.telemetry(s, d).withColumn("seq", F.col("event_id")).withColumn("arrival", ARRIVAL), "arrival", lambda events: kept.keep_item_stats(events, tables, checkpoint))
+    in_arrivals(views.telemetry(s, d).withColumn("seq", F.col("event_id")).withColumn("arrival", arrival()), "arrival", lambda events: kept.keep_item_stats(events, tables, checkpoint))
     return kept.item_stats_now(tables)
 
 
