@@ -62,6 +62,7 @@ NEUTRAL_WORDS = frozenset("area bar block bottom box container global inner item
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_NAMED = re.compile(r"(?:class|id|role)\s*=", re.I)
 #: Elements that may hold a part of the page as a whole; class names of others (headings, paragraphs, tables) drop nothing.
 CONTAINERS = frozenset("div section aside ul ol dl header hgroup span li figure fieldset details".split())
 #: What makes an article or an item a reader's comment.
@@ -79,7 +80,7 @@ class Node:
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.classes, self.id, self.role, self.kids, self.constant, self.shape, self.wraps, self.own = tag, (), "", "", [], None, 0, False, None
-        if attrs and "=" in attrs:
+        if attrs and _NAMED.search(attrs):
             for name, *values in _ATTRIBUTE.findall(attrs):
                 name = name.lower()
                 if name not in ("class", "id", "role"):

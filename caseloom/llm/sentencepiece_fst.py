@@ -242,9 +242,10 @@ class Transducer:
                     keys, ids, spelled = self.arcs[length]
                     place = np.minimum(np.searchsorted(keys, suffix), len(keys) - 1)
                     there = keys[place] == suffix
-                    # Hashes only narrow the search: the letters decide.
-                    hit = np.flatnonzero(there)
-                    there[hit] = (codes[rows[hit], start:stop] == spelled[place[hit]]).all(axis=1)
+                    if length > 2:  # hashes only narrow the search: the letters decide (one or two letters have a hash of their own)
+                        hit = np.flatnonzero(there)
+                        if len(hit):
+                            there[hit] = (codes[rows[hit], start:stop] == spelled[place[hit]]).all(axis=1)
                     piece = np.where(there, ids[place], FALLBACK + codes[rows, start]) if length == 1 else ids[place]
                     use = np.arange(len(rows)) if length == 1 else np.flatnonzero(there)
                     if not len(use):
