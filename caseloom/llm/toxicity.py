@@ -148,20 +148,23 @@ def fit_chain(got: pa.Table, categories: list[str], folds: int = FOLDS, max_feat
     """The chain, and of the sample's rows the labels and the probabilities by models that did not see them."""
     blobs = got["features"].to_pylist()
     order = sorted(range(len(blobs)), key=lambda k: (blobs[k], *(got[f"y_{c}"][k].as_py() for c in categories)))
-    feats = [np.frombuffer(blobs[k], np.uint64) for k in order]
     ys = [got[f"y_{c}"].to_numpy()[order].astype(float) if len(order) else np.zeros(0) for c in categories]
     weight = got["weight"].to_numpy()[order] if len(order) else np.zeros(0)
-    n = len(feats)
-    keys = np.concatenate(feats) if n else np.empty(0, np.uint64)
-    rows = np.repeat(np.arange(n), [len(f) for f in feats]) if n else np.empty(0, int)
-    del feats, blobs
+    n = len(blobs)
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(blobs[k]) // 8 for k in order]) if n else np.empty(0, np.int32)
+    keys = np.frombuffer(b"".join(blobs[k] for k in order), np.uint64)
+    del blobs, got, order
     # What too few texts of the sample have is never chosen; no label has a say in that.
-    features, cols, times = np.unique(keys, return_inverse=True, return_counts=True)
-    common = times >= MIN_DOCS
-    number = np.cumsum(common) - 1
+    features = np.unique(keys)
+    cols = np.empty(len(keys), np.int32)
+    for at in range(0, len(keys), 1 << 20):
+        cols[at : at + (1 << 20)] = np.searchsorted(features, keys[at : at + (1 << 20)])
+    del keys
+    common = np.bincount(cols, minlength=len(features)) >= MIN_DOCS
+    number = (np.cumsum(common) - 1).astype(np.int32)
     use = common[cols]
-    rows, cols, features = rows[use].astype(np.int32), number[cols[use]].astype(np.int32), features[common]
-    del keys, times, common, number, use
+    rows, cols, features = rows[use], number[cols[use]], features[common]
+    del common, number, use
     fold = np.arange(n) % folds
     weights = np.zeros((len(ys), len(features)))
     earlier = np.zeros((len(ys), len(ys)))
@@ -173,10 +176,10 @@ def fit_chain(got: pa.Table, categories: list[str], folds: int = FOLDS, max_feat
         part = mask[rows]
         some, which = rows[part], cols[part]
         chosen = _select(some, which, ys[c], mask, len(features), max_features)
-        place = np.full(len(features), -1, np.int64)
+        place = np.full(len(features), -1, np.int32)
         place[chosen] = np.arange(len(chosen))
         use = place[which] >= 0
-        renum = np.cumsum(mask) - 1
+        renum = (np.cumsum(mask) - 1).astype(np.int32)
         w, v, b = _fit(renum[some[use]], place[which[use]], int(mask.sum()), len(chosen), outside[mask][:, :c], ys[c][mask], weight[mask])
         full = np.zeros(len(features))
         full[chosen] = w
