@@ -63,6 +63,17 @@ def category_audit(resolved: DataFrame, k: int = 25) -> DataFrame:
     return resolved.where("raw <> resolved").groupBy("raw", "resolved").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "raw", "resolved").limit(k)
 
 
+def category_counts(applied: DataFrame) -> DataFrame:
+    """AG07: dimension, value, n: cases by raw, resolved and final category and by confidence, and as outcomes those that were
+    fixed without a reviewer, wait for one, or have no category; from one pass over ``applied`` (SC04)."""
+    names = ["raw", "resolved", "final", "confidence"]
+    fixed = F.coalesce(F.col("final") != F.col("raw"), F.col("final") != UNCLASSIFIED) & ~F.col("review")
+    outcome = F.array(F.when(fixed, "auto_fixed"), F.when(F.col("review"), "queued"), F.when(F.col("final") == UNCLASSIFIED, "unclassified"))
+    kinds = [F.struct(F.lit(n).alias("dimension"), F.coalesce(n, F.lit(UNCLASSIFIED)).alias("value")) for n in names]
+    more = F.transform(F.filter(outcome, lambda x: x.isNotNull()), lambda x: F.struct(F.lit("outcome").alias("dimension"), x.alias("value")))
+    return applied.select(F.explode(F.concat(F.array(*kinds), more)).alias("k")).groupBy("k.dimension", "k.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def map_sources(cases: DataFrame, table: DataFrame, allowed: list[str]) -> DataFrame:
     """SC05: category by source, where the table's category is allowed."""
     good = table.where(F.col("category").isin(*allowed)).select("source", F.col("category").alias("_c"))

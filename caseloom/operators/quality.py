@@ -135,6 +135,31 @@ def apply_translation(options: DataFrame, translations: DataFrame) -> DataFrame:
     return options.join(t, ["case_id", "option_id"], "left").withColumn("option_text", F.coalesce(F.nullif("_t", F.lit("")), "option_text")).drop("_t")
 
 
+def apply_severity(cases: DataFrame, audit: DataFrame) -> DataFrame:
+    """EN11: verdicts of a severity audit (case_id, pos, severity, reasoning, answer) on their cases; the last of a case stands.
+
+    FATAL holds the case and keeps the suggested answer; MINOR and NONE are noted.
+    """
+    known = F.upper(F.coalesce("severity", F.lit("")))
+    last = audit.groupBy("case_id").agg(F.max_by(F.struct(known.alias("verdict"), F.coalesce("reasoning", F.lit("")).alias("reasoning"), F.nullif("answer", F.lit("")).alias("answer")), "pos").alias("_v"))
+    fatal = F.coalesce(F.col("_v.verdict") == "FATAL", F.lit(False))
+    joined = cases.join(last, "case_id", "left").withColumn("verdict", F.col("_v.verdict")).withColumn("reasoning", F.col("_v.reasoning"))
+    return joined.withColumn("quarantined", F.col("quarantined") | fatal).withColumn("suggested_answer", F.when(fatal, F.col("_v.answer"))).drop("_v")
+
+
+def panel_sizes(df: DataFrame) -> DataFrame:
+    """AG13: per panel size (votes in all): items, those whose modal vote is a majority, and the mean length of their vignettes."""
+    total = F.aggregate("votes", F.lit(0), lambda a, v: a + v)
+    rows = df.select(total.alias("panel"), F.array_max("votes").alias("m"), F.length(F.coalesce("narrative", F.lit(""))).alias("length"))
+    return rows.groupBy("panel").agg(F.count(F.lit(1)).alias("items"), F.count_if((F.col("panel") > 0) & (2 * F.col("m") > F.col("panel"))).alias("majority"), F.round(F.avg("length"), 4).alias("mean_vignette"))
+
+
+def action_summary(queue: DataFrame, k: int = 15) -> DataFrame:
+    """AG17: by suggested action (the lane of SC11) the ``k`` largest: action, n, sum of priorities, sources."""
+    counted = lane(queue).groupBy(F.col("lane").alias("action")).agg(F.count(F.lit(1)).alias("n"), F.sum("priority").alias("priority"), F.count_distinct("source").alias("sources"))
+    return counted.orderBy(F.desc("n"), "action").limit(k)
+
+
 def remediate(df: DataFrame, selector, patch, key: str = "case_id") -> DataFrame:
     """UD01: rows that ``selector`` picks go through ``patch`` (frame to frame) and replace themselves."""
     from ..sources.io import upsert

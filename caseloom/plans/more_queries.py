@@ -189,10 +189,32 @@ def _(s, d):
     return quality.audit_panel(panels(s, d))
 
 
-@query("AG15_distractor_conflicts", "SELECT source, count(*) AS n, CAST(sum(CASE WHEN case_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS conflicts FROM cases_v GROUP BY ROLLUP (source)")
+@query("AG15_distractor_conflicts", """SELECT source, count(*) AS n, CAST(sum(CASE WHEN case_id % 7 = 0 AND key IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS conflicts FROM (
+  SELECT c.case_id, any_value(c.source) AS source, max(option_id) FILTER (is_correct) AS key FROM cases_v c LEFT JOIN options_v o ON o.case_id = c.case_id GROUP BY c.case_id) GROUP BY ROLLUP (source)""", BOTH)
 def _(s, d):
-    key = F.when(F.col("case_id") % 3 == 0, "A").otherwise("D")
-    return quality.distractor_conflicts(views.cases(s, d).select("case_id", "source", key.alias("key"), F.create_map(F.lit("A"), F.lit("x")).alias("distractors")))
+    """Maps of the options' texts without the key's; every seventh case has the key's too."""
+    c = cased(s, d)
+    key = F.get(F.filter("options", lambda o: o["is_correct"]), F.lit(0))["id"]
+    listed = F.filter("options", lambda o: ~o["is_correct"] | (F.col("case_id") % 7 == 0))
+    texts = F.map_from_arrays(F.transform(listed, lambda o: o["id"]), F.transform(listed, lambda o: o["text"]))
+    return quality.distractor_conflicts(c.select("case_id", "source", key.alias("key"), texts.alias("distractors")))
+
+
+@query("AG13_panel_sizes", """SELECT t AS panel, count(*) AS items, count(*) FILTER (t > 0 AND 2 * m > t) AS majority, round(avg(l), 4) AS mean_vignette FROM (SELECT CAST(list_sum(v) AS INTEGER) AS t, list_max(v) AS m, l FROM (
+  SELECT list_transform([1, 2, 3, 4, 5], lambda k: (case_id * k * k) % 7) AS v, length(narrative) AS l FROM cases_v)) GROUP BY t""")
+def _(s, d):
+    votes = F.array(*[((F.col("case_id") * k * k) % 7).cast("int") for k in range(1, 6)])
+    return quality.panel_sizes(views.cases(s, d).select("case_id", votes.alias("votes"), "narrative"))
+
+
+@query("EN11_severity", """SELECT c.case_id, quarantined OR coalesce(v = 'FATAL', false) AS quarantined, v AS verdict, w AS reasoning, CASE WHEN v = 'FATAL' THEN nullif(a, '') END AS suggested_answer FROM cases_v c LEFT JOIN (
+  SELECT conv_id, arg_max(CASE turn % 3 WHEN 0 THEN 'MINOR' WHEN 1 THEN 'FATAL' ELSE '' END, turn) AS v, arg_max(coalesce(text, ''), turn) AS w, arg_max(CASE WHEN turn % 2 = 1 THEN chr(CAST(65 + conv_id % 4 AS INTEGER)) ELSE '' END, turn) AS a FROM conversations GROUP BY conv_id) t ON t.conv_id = c.case_id""")
+def _(s, d):
+    """Turns as verdicts of a severity audit; the last turn of a case stands."""
+    t = F.col("turn")
+    letter = F.when(t % 2 == 1, F.expr("char(65 + conv_id % 4)")).otherwise("")
+    found = views.table(s, d, "conversations").select(F.col("conv_id").alias("case_id"), t.alias("pos"), F.when(t % 3 == 0, "minor").when(t % 3 == 1, "Fatal").alias("severity"), F.col("text").alias("reasoning"), letter.alias("answer"))
+    return quality.apply_severity(views.cases(s, d).select("case_id", "quarantined"), found)
 
 
 @query("AG21_manifest_stats", "SELECT status AS code, count(*) AS n FROM cases_v WHERE status <> 'OK' GROUP BY status")
@@ -230,6 +252,12 @@ def _(s, d):
     return quality.queue_summary(quality.readability_queue(views.cases(s, d), READ))
 
 
+@query("AG17_actions", """SELECT action, count(*) AS n, CAST(sum(len(reasons)) AS BIGINT) AS priority, count(DISTINCT source) AS sources FROM (SELECT *, CASE WHEN list_contains(reasons, 'html') OR list_contains(reasons, 'symbols') THEN 'source_text' WHEN list_contains(reasons, 'broken_lines') OR list_contains(reasons, 'no_space_after_stop') THEN 'auto'
+  WHEN list_contains(reasons, 'shouting') THEN 'editor' ELSE 'advisory' END AS action FROM queue_v WHERE len(reasons) > 0) GROUP BY action ORDER BY n DESC, action LIMIT 15""", (CASES_SQL, QUEUE_SQL))
+def _(s, d):
+    return quality.action_summary(quality.readability_queue(views.cases(s, d), {}))
+
+
 @query("TK02_queue_order", "SELECT case_id, priority FROM (SELECT case_id, CAST(len(reasons) AS BIGINT) AS priority FROM queue_v WHERE len(reasons) > 0)", (CASES_SQL, QUEUE_SQL))
 def _(s, d):
     return audit.queue_order(quality.readability_queue(views.cases(s, d), {})).select("case_id", F.col("priority").cast("long").alias("priority"))

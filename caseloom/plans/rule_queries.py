@@ -58,3 +58,16 @@ ATOMS = f"""met_v AS (SELECT r.case_id, r.resolved, r.confidence, coalesce(t.rs,
 def _(s, d):
     resolved, found = parts(s, d)
     return rules.promote(resolved, rules.case_atoms(found, resolved), RULES).select("case_id", "resolved", "confidence", "rule")
+
+
+APPLIED = """applied_v AS (SELECT r.case_id, r.raw, r.resolved, r.confidence, coalesce(a.category, CASE WHEN confidence = 'high' THEN resolved ELSE coalesce(raw, 'Unclassified') END) AS final, a.category IS NULL AND confidence <> 'high' AND conflict AS review FROM resolved_v r
+    LEFT JOIN (SELECT case_id, 'Delta' AS category FROM cases_v WHERE needs_review) a USING (case_id))"""
+
+
+@query("AG07_category_counts", " UNION ALL ".join(f"SELECT '{n}' AS dimension, coalesce({n}, 'Unclassified') AS value, count(*) AS n FROM applied_v GROUP BY 2" for n in ("raw", "resolved", "final", "confidence")) + """
+  UNION ALL SELECT 'outcome', 'auto_fixed', count(*) FROM applied_v WHERE coalesce(final <> raw, final <> 'Unclassified') AND NOT review HAVING count(*) > 0 UNION ALL SELECT 'outcome', 'queued', count(*) FROM applied_v WHERE review HAVING count(*) > 0
+  UNION ALL SELECT 'outcome', 'unclassified', count(*) FROM applied_v WHERE final = 'Unclassified' HAVING count(*) > 0""", (CASES_SQL, HITS_SQL, RESOLVED_SQL, APPLIED))
+def _(s, d):
+    c = labelled(s, d)
+    resolved, _ = parts(s, d)
+    return category.category_counts(category.apply_category(resolved, c.where("needs_review").select("case_id", F.lit("Delta").alias("category"))))
