@@ -259,3 +259,35 @@ def deep_audit(df: DataFrame) -> DataFrame:
             ("has_images", "low", has),
         ],
     )
+
+
+# Local protocols: name, subject, the drug of the one school, the drug of the local one.
+PROTOCOLS = [
+    ("MALARIA_TX", r"\b(malaria|plasmodium|falciparum)\b", r"\b(chloroquine|atovaquone|mefloquine|malarone|quinine)\b", r"\b(DHP|dihydroartemisinin|piperaquine|primakuin|primaquine|artemisinin|ACT)\b"),
+    ("TYPHOID_TX", r"\b(typhoid|salmonella typhi|enteric fever)\b", r"\b(ceftriaxone|fluoroquinolone|ciprofloxacin)\b", r"\b(chloramphenicol|kloramfenikol)\b"),
+    ("TB_TX", r"\b(tuberculosis|TB|mycobacterium)\b", r"\b(RIPE|rifampin|isoniazid|pyrazinamide|ethambutol)\b", r"\b(OAT|FDC|kategori\s*[12]|2HRZE|4HR|rifampisin)\b"),
+    ("DHF_TX", r"\b(dengue|DHF|DSS|hemorrhagic fever)\b", r"\b(supportive|fluid|crystalloid)\b", r"\b(RL|ringer|cairan\s*kristaloid|WHO\s*grade)\b"),
+    ("RABIES_PEP", r"\b(rabies|rabid|dog\s*bite)\b", r"\b(RIG|rabies\s*immunoglobulin|HRIG)\b", r"\b(VAR|SAR|wound\s*washing)\b"),
+    ("LEPTOSPIROSIS_TX", r"\b(leptospirosis|weil|leptospira|rat\s*urine|sewer)\b", r"\b(penicillin\s*g|ceftriaxone|iv\s*antibiotics)\b", r"\b(doxycycline|doksisiklin)\b"),
+    ("FILARIASIS_TX", r"\b(filariasis|elephantiasis|wuchereria|brugia)\b", r"\b(ivermectin|diethylcarbamazine\s*only)\b", r"\b(albendazole)\b"),
+    ("TETANUS_NEONATORUM", r"\b(tetanus neonatorum|umbilical stump|lockjaw.*neonate)\b", r"\b(metronidazole|penicillin)\b", r"\b(diazepam|ats|htig)\b"),
+    ("DIPHTHERIA_TX", r"\b(diphtheria|corynebacterium|bull\s*neck)\b", r"\b(penicillin|erythromycin)\b", r"\b(ADS|anti\s*difteri\s*serum)\b"),
+    ("LEPROSY_TX", r"\b(leprosy|hansen|mycobacterium\s*leprae)\b", r"\b(dapsone|rifampin)\b", r"\b(MDT|multi\s*drug|klofazimin|clofazimine)\b"),
+]
+# What is stabilised and referred, not operated; words of an operation; prompts that ask what to do.
+REFERRED = r"\b(appendicitis|appendectomy|cholecystitis|cholecystectomy|fracture\s+(?:femur|pelvis|spine)|bowel\s*obstruction|ectopic\s*pregnancy|placenta\s*previa|intracranial\s*hemorrhage|epidural|subdural|myocardial\s*infarction|STEMI|tension\s*pneumothorax)\b"
+OPERATES = r"\b(surgery|operate|surgical\s+intervention|excision|resection)\b"
+ASKS = r"\b(next\s+step|management|treatment|what\s+(?:should|would))\b"
+LOCAL_EXAM = "UKMPPD"
+
+
+def localization(df: DataFrame, protocols: list[tuple[str, str, str, str]] = PROTOCOLS) -> DataFrame:
+    """QA04: layer D, for cases of other exams than the local one: an answer or explanation with the other school's drug and not the
+    local one, where the case is about the protocol's subject; an answer that operates on what is to be referred, where the prompt asks what to do."""
+    answer = F.coalesce(F.get(_right(), F.lit(0))["text"], F.lit(""))
+    told = F.concat_ws(" ", answer, _text("rationale"))
+    everything = F.concat_ws(" ", _text("narrative"), _text("prompt"), F.concat_ws(" ", F.transform("options", lambda o: o["text"])), _text("rationale"))
+    rows = df.where(~F.coalesce(F.col("exam_type") == LOCAL_EXAM, F.lit(False))).withColumns({"_all": everything, "_told": told})
+    has = lambda c, p: F.col(c).rlike(f"(?i){p}")
+    checks = [(name, "medium", has("_all", subject) & has("_told", other) & ~has("_told", local)) for name, subject, other, local in protocols]
+    return issues(rows, "D", [*checks, ("refer_not_operate", "medium", has("_all", REFERRED) & answer.rlike(f"(?i){OPERATES}") & _text("prompt").rlike(f"(?i){ASKS}"))])

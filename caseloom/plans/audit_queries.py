@@ -276,3 +276,25 @@ def _(s, d):
   AND regexp_matches(substring(lr, greatest(instr(lr, k) - 40, 1), length(k) + 80), '\b(is true|is correct|is seen|is associated|are seen)\b')""", VIEWS)
 def _(s, d):
     return rationale.except_trap(rich(s, d))
+
+
+#: Protocols told in the words of the texts.
+LOCAL = [("first", " (the|der) ", " (of|und|des) ", " (best|wer) "), ("second", " (les|que) ", " (dans|pour) ", " (sur|une) ")]
+
+
+def treated(s, d) -> DataFrame:
+    """Prompts of every seventh case ask for the next step in an appendicitis; of these every second answer operates."""
+    i = F.col("case_id")
+    c = rich(s, d)
+    cut_out = F.transform("options", lambda o: F.struct(o["id"].alias("id"), F.when(o["is_correct"] & (i % 14 == 0), F.concat(o["text"], F.lit(" by surgery"))).otherwise(o["text"]).alias("text"), o["is_correct"].alias("is_correct"), o["votes"].alias("votes")))
+    return c.withColumn("prompt", F.when(i % 7 == 0, F.concat("title", F.lit(" has appendicitis: next step?"))).otherwise(F.col("prompt"))).withColumn("exam_type", F.when(i % 5 == 2, fa.LOCAL_EXAM).otherwise(F.col("exam_type"))).withColumn("options", cut_out)
+
+
+_TREATED = """treat_v AS (SELECT *, coalesce(rt[1].text || CASE WHEN case_id % 14 = 0 THEN ' by surgery' ELSE '' END, '') AS ans, CASE WHEN case_id % 7 = 0 THEN title || ' has appendicitis: next step?' ELSE coalesce(prompt, '') END AS p2 FROM told_v WHERE case_id % 5 <> 2),
+  local_v AS (SELECT *, ans || ' ' || r AS tx, concat_ws(' ', coalesce(narrative, ''), p2, array_to_string(list_transform(o, lambda x: x.text || CASE WHEN x.is_correct AND case_id % 14 = 0 THEN ' by surgery' ELSE '' END), ' '), r) AS ax FROM treat_v)"""
+
+
+@query("QA04_layer_d", " UNION ALL ".join(f"SELECT case_id, 'D' AS layer, '{n}' AS code, 'medium' AS severity FROM local_v WHERE {_rx('ax', '(?i)' + a)} AND {_rx('tx', '(?i)' + b)} AND NOT {_rx('tx', '(?i)' + c)}" for n, a, b, c in LOCAL)
+    + f" UNION ALL SELECT case_id, 'D', 'refer_not_operate', 'medium' FROM local_v WHERE {_rx('ax', '(?i)' + fa.REFERRED)} AND {_rx('ans', '(?i)' + fa.OPERATES)} AND {_rx('p2', '(?i)' + fa.ASKS)}", (*VIEWS, _TREATED))
+def _(s, d):
+    return fa.localization(treated(s, d), LOCAL)

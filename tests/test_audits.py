@@ -63,3 +63,11 @@ def test_empty_banks(spark):
     assert len(rules) == 14 and all(r.passed for r in rules)
     raw = spark.createDataFrame([], "fp string, key string, pos long")
     assert all(r.n == 0 for r in checks.smoke_layers(none.selectExpr("*", "true as antidote", "true as needs_regen", "true as regenerated"), raw, "s").collect())
+
+
+def test_localization(spark):
+    cases = bank(
+        spark, {"narrative": "She has malaria now", "rationale": "give quinine"}, {"narrative": "She has malaria now", "rationale": "give quinine with DHP"}, {"narrative": "She has malaria now", "rationale": "give quinine", "exam_type": "UKMPPD"},
+        {"narrative": "An ectopic  pregnancy", "prompt": "Which is the next step?", "options": [("A", "surgery at once", True, 0), ("B", "x", False, 0)]}, {"narrative": "An ectopic pregnancy", "prompt": "Why is it so?", "options": [("A", "surgery at once", True, 0), ("B", "x", False, 0)]},
+    )
+    assert codes(fa.localization(cases)) == {0: {"MALARIA_TX"}, 3: {"refer_not_operate"}}
