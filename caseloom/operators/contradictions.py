@@ -19,8 +19,11 @@ def fingerprint_words(cases: DataFrame, most: int = 5) -> DataFrame:
 
 
 def contradiction_keys(cases: DataFrame, most: int = 5, choose: int = 4) -> DataFrame:
-    """DD15: every choice of four of a case's five longest words."""
-    worded = fingerprint_words(cases, most).where(F.size("words") == most)
+    """DD15: every choice of four of a case's five longest words; tokens ride along, kept once in the checkpoint folder."""
+    from ..sources.io import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(cases.sparkSession)
+    worded = fingerprint_words(cases, most).where(F.size("words") == most).checkpoint()
     picks = [F.array_join(F.array(*[F.col("words")[k] for k in c]), "_") for c in combinations(range(most), choose)]
     return worded.select("case_id", "pos", "tokens", F.explode(F.array(*picks)).alias("key"))
 
@@ -29,12 +32,16 @@ def contradiction_edges(keys: DataFrame, overlap: float = 0.6) -> DataFrame:
     """DD16: each bucket's first case against every other member, where enough tokens are shared.
 
     The star keeps a bucket of n at n comparisons; its anchor comes from an
-    aggregate, so a large bucket is no single task.
+    aggregate, so a large bucket is no single task. Only ids travel with the
+    keys; tokens meet the distinct pairs afterwards, once a case.
     """
-    anchors = keys.groupBy("key").agg(F.min_by("case_id", "pos").alias("a"), F.min_by("tokens", "pos").alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = keys.join(anchors, "key").where("case_id <> a")
-    shared = F.size(F.array_intersect("at", "tokens")) / F.least(F.size("at"), F.size("tokens"))
-    return pairs.where(shared >= overlap).select("a", F.col("case_id").alias("b")).distinct()
+    narrow = keys.select("key", "case_id", "pos")
+    anchors = narrow.groupBy("key").agg(F.min_by("case_id", "pos").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = narrow.join(anchors, "key").where("case_id <> a").select("a", F.col("case_id").alias("b")).distinct()
+    tokens = keys.groupBy("case_id").agg(F.min_by("tokens", "pos").alias("tokens"))
+    one, two = (tokens.select(F.col("case_id").alias(k), F.col("tokens").alias(f"{k}t")) for k in "ab")
+    shared = F.size(F.array_intersect("at", "bt")) / F.least(F.size("at"), F.size("bt"))
+    return pairs.join(one, "a").join(two, "b").where(shared >= overlap).select("a", "b")
 
 
 def connected(edges: DataFrame, folder: str | None = None) -> DataFrame:
