@@ -96,35 +96,37 @@ def audit_structure(df: DataFrame, categories: list[str] = CATEGORIES) -> DataFr
     )
 
 
-def _named_option(rationale: Column) -> Column:
-    """Place of the option that an explanation names: by letter, by its text, or by a cue beside its text."""
+def _named_option(rationale: Column, low: Column, texts: Column) -> Column:
+    """Place of the option that an explanation names: by letter, by its text, or by a cue beside its text.
+
+    ``low`` and ``texts`` are the explanation and the options' texts in plain form.
+    """
     options = F.col("options")
-    place = lambda holds: F.array_min(F.transform(F.filter(F.transform(options, lambda o, i: F.struct(o.alias("o"), i.alias("i"))), lambda x: holds(x["o"])), lambda x: x["i"]))
+    placed = F.transform(texts, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    first = lambda holds: F.array_min(F.transform(F.filter(placed, holds), lambda x: x["i"]))
     out = []
     for pattern in LETTERS:
         letter = F.upper(F.regexp_extract(rationale, pattern, 1))
         at = F.ascii(letter) - 65
-        by_id = place(lambda o: F.upper(F.trim(o["id"])) == letter)  # noqa: B023
-        out.append(F.when(letter != "", F.coalesce(by_id, F.when(at < F.size(options), at))))
+        by_id = F.array_position(F.transform(options, lambda o: F.upper(F.trim(o["id"]))), letter) - 1
+        out.append(F.when(letter != "", F.coalesce(F.when(by_id >= 0, by_id.cast("int")), F.when(at < F.size(options), at))))
     for pattern in TEXTS:
         said = plain(F.regexp_extract(rationale, pattern, 1))
-        fits = F.filter(F.transform(options, lambda o, i: F.struct(plain(o["text"]).alias("t"), i.alias("i"))), lambda x: (x["t"] != "") & (said.contains(x["t"]) | x["t"].contains(said)))  # noqa: B023
+        fits = F.filter(placed, lambda x: (x["t"] != "") & (said.contains(x["t"]) | x["t"].contains(said)))  # noqa: B023
         out.append(F.when((said != "") & (F.size(fits) == 1), F.get(fits, F.lit(0))["i"]))
-    low = plain(rationale)
 
-    def cued(o: Column) -> Column:
-        t = plain(o["text"])
+    def cued(x: Column) -> Column:
+        t = x["t"]
         at = F.instr(low, t)
-        first = F.greatest(at - 30, F.lit(1))
-        window = F.substr(low, first, at + F.length(t) + 30 - first)
+        start = F.greatest(at - 30, F.lit(1))
+        window = F.substr(low, start, at + F.length(t) + 30 - start)
         return F.length(t).between(5, 120) & (at > 0) & window.rlike(CUE) & window.rlike(COPULA)
 
-    return F.coalesce(*out, place(cued))
+    return F.coalesce(*out, first(cued))
 
 
-def _affirmed(rationale: Column, text: Column) -> Column:
-    """Whether an explanation speaks well of a text: words of that kind and none of the other within 40 characters of it."""
-    low, t = plain(rationale), plain(text)
+def _affirmed(low: Column, t: Column) -> Column:
+    """Whether an explanation speaks well of a text (both in plain form): words of that kind and none of the other within 40 characters of it."""
     at = F.instr(low, t)
     first = F.greatest(at - 40, F.lit(1))
     window = F.substr(low, first, at + F.length(t) + 40 - first)
@@ -134,17 +136,20 @@ def _affirmed(rationale: Column, text: Column) -> Column:
 def full_audit(df: DataFrame, files: DataFrame) -> DataFrame:
     """QA07: the 21 published categories; ``files`` (name) are the images that are there."""
     best = F.coalesce(*[F.nullif(F.trim(_text(c)), F.lit("")) for c in ("question", "narrative", "prompt", "title")], F.lit(""))
-    rows = df.withColumns({"_q": best, "_r": F.trim(_text("rationale")), "_prefix": F.substring(plain(best), 1, 80)})
-    groups = rows.where(F.length("_prefix") >= 25).groupBy("_prefix").agg(F.count_distinct("case_id").alias("_ids"), F.count_distinct("source").alias("_sources")).where("_ids > 1 and _sources > 1")
+    keyed = df.withColumn("_prefix", F.substring(plain(best), 1, 80))
+    groups = keyed.where(F.length("_prefix") >= 25).groupBy("_prefix").agg(F.count_distinct("case_id").alias("_ids"), F.count_distinct("source").alias("_sources")).where("_ids > 1 and _sources > 1")
     shown = df.select("case_id", F.explode("images").alias("image")).where(~F.col("image").rlike("(?i)^(?:https?:|data:)") & (F.trim("image") != ""))
     shown = shown.select("case_id", F.regexp_extract(F.replace(F.col("image"), F.lit("\\"), F.lit("/")), "([^/]*)$", 1).alias("name"))
     missing = shown.join(files.select("name").distinct(), "name", "left_anti").select("case_id").distinct().withColumn("_lost", F.lit(True))
-    rows = rows.join(groups.select("_prefix", F.lit(True).alias("_twice")), "_prefix", "left").join(missing, "case_id", "left")
-    texts, n = F.transform("options", lambda o: plain(o["text"])), F.coalesce(F.size("options"), F.lit(0))
+    rows = keyed.join(groups.select("_prefix", F.lit(True).alias("_twice")), "_prefix", "left").join(missing, "case_id", "left")
+    # The plain forms are made once a case, behind the joins, and not again for each check and option.
+    rows = rows.withColumns({"_q": best, "_r": F.trim(_text("rationale")), "_t": F.transform("options", lambda o: plain(o["text"]))})
+    rows = rows.withColumns({"_pr": plain(F.col("_r")), "_pq": plain(F.col("_q"))})
+    texts, n = F.col("_t"), F.coalesce(F.size("options"), F.lit(0))
     one = F.size(_right()) == 1
-    right = F.when(one, F.get(_right(), F.lit(0))["text"])
     key = F.when(one, F.array_position(F.transform("options", lambda o: o["is_correct"]), True) - 1)
-    named = _named_option(F.col("_r"))
+    right = F.get(texts, key.cast("int"))
+    named = _named_option(F.col("_r"), F.col("_pr"), texts)
     said = F.concat_ws(" ", F.transform("options", lambda o: o["text"]))
     source, question = F.lower(_text("source")), F.trim(F.coalesce(F.nullif("question", F.lit("")), F.col("prompt"), F.lit("")))
     labels = F.array_distinct(F.filter(F.concat(F.transform("options", lambda o: F.trim(o["id"])), F.transform("options", lambda o: F.trim(o["text"]))), lambda x: x.isin(*PANEL_LABELS)))
@@ -154,7 +159,7 @@ def full_audit(df: DataFrame, files: DataFrame) -> DataFrame:
         "F",
         [
             ("rationale_contradicts_answer", "critical", one & named.isNotNull() & (named != key)),
-            ("except_logic_suspect", "high", one & F.col("_q").rlike(NEGATIVE_QUESTION) & _affirmed(F.col("_r"), right)),
+            ("except_logic_suspect", "high", one & F.col("_q").rlike(NEGATIVE_QUESTION) & _affirmed(F.col("_pr"), right)),
             ("duplicate_question", "high", F.col("_twice")),
             ("encoding_broken", "high", F.concat_ws(" ", "question", "prompt", "narrative", said).rlike(ENCODING)),
             ("mixed_language", "medium", (source != "medexpqa") & F.concat_ws(" ", "_q", said, "_r").rlike(MIXED)),
@@ -168,7 +173,7 @@ def full_audit(df: DataFrame, files: DataFrame) -> DataFrame:
             ("medexpqa_incomplete", "high", (source == "medexpqa") & ((n == 0) | F.exists("options", lambda o: F.trim(F.coalesce(o["text"], F.lit(""))) == "") | ~one | (F.length(question) <= 30))),
             ("pubmedqa_incomplete", "high", (source == "pubmedqa") & ((n != 3) | (F.array_join(F.array_sort(quoted), ",") != ",".join(YES_NO)) | ~one | ~question.endswith("?"))),
             ("all_options_same", "critical", (n > 1) & F.forall(texts, lambda t: t != "") & (F.size(F.array_distinct(texts)) == 1)),
-            ("answer_in_question", "medium", one & (F.length(plain(right)) >= 8) & plain(F.col("_q")).contains(plain(right))),
+            ("answer_in_question", "medium", one & (F.length(right) >= 8) & F.col("_pq").contains(right)),
             ("single_option", "critical", n == 1),
             ("too_many_options", "low", n > 6),
             ("no_rationale", "medium", F.col("_r").rlike(UNAVAILABLE)),
