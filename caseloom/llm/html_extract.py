@@ -500,6 +500,21 @@ def host_of(url):
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` (page_id, url, html, _host) with html compressed: body, and size in bytes; both null where html is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            ids, urls, htmls, hosts = batch.columns
+            raw = htmls.cast(pa.binary()).to_pylist()
+            body = pa.array([None if b is None else codec.compress(b, asbytes=True) for b in raw], pa.binary())
+            size = pa.array([None if b is None else len(b) for b in raw], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, urls, hosts, body, size], names=["page_id", "url", "_host", "body", "size"])
+
+    return rows.select("page_id", "url", "html", "_host").mapInArrow(run, "page_id long, url string, _host string, body binary, size long")
+
+
 def references(pages: DataFrame) -> DataFrame:
     """host, first, second: html of two pages of each host, picked by hash."""
     keyed = pages.select("_host", F.xxhash64("page_id", "url").alias("_h"), "html").where(F.length("html") > 0)
@@ -544,8 +559,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict[str, Reference] = {}
+        codec = pa.Codec("zstd", 1)
         for batch in batches:
-            ids, urls, htmls, first, second, common = (c.to_pylist() for c in batch.columns)
+            ids, urls, bodies, sizes, first, second, common = (c.to_pylist() for c in batch.columns)
+            htmls = [None if b is None else codec.decompress(b, n, asbytes=True).decode("utf-8") if n else "" for b, n in zip(bodies, sizes)]
             texts = []
             for html, *refs, slots_ in zip(htmls, first, second, common):
                 trees = []
@@ -564,4 +581,5 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url")).alias("_host"))
     common = cut(common_slots(rows), "slots")
     refs = cut(references(rows).join(common, "_host", "left"), "references")
-    return rows.join(refs, "_host", "left").select("page_id", "url", "html", "first", "second", "common").mapInArrow(run, EXTRACTED)
+    # Pages travel compressed to the references of their host: every byte of theirs that is shuffled is on disk.
+    return packed(rows).join(refs, "_host", "left").select("page_id", "url", "body", "size", "first", "second", "common").mapInArrow(run, EXTRACTED)

@@ -86,3 +86,17 @@ def test_template_inside_articles(spark):
     for k in range(5):
         assert got[10 + k] == "Copy\n\n" + ("the same text " * 10).strip()
     assert all(got[20 + k] == "Equal\n\nrows" for k in range(3))
+
+
+def test_pages_travel_compressed(spark):
+    """What meets the references holds pages compressed (as plain html before), and gives the same texts back."""
+    texts = [None, "", "plain é ▁ 😀", "<article><p>One &amp; two.</p></article>" * 50, "<article><p>One &amp; two.</p></article>" * 50]
+    pages = spark.createDataFrame([(k, None if k == 2 else "http://a.org/x", t) for k, t in enumerate(texts)], "page_id long, url string, html string")
+    found = html_extract.extract_main_text(pages)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    shuffled = plan.children().head().output().mkString(",")
+    assert "body" in shuffled and "html" not in shuffled
+    got = {r.page_id: r.text for r in found.collect()}
+    assert got == {0: "", 1: "", 2: "plain é ▁ 😀", 3: "\n\n".join(["One & two."] * 50), 4: "\n\n".join(["One & two."] * 50)}
