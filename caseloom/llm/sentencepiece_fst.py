@@ -41,6 +41,8 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 INF = np.int64(1) << 40
 #: Ids from here on stand for a character without a piece.
 FALLBACK = 1 << 21
+#: Pairs that are gathered before they go in among those known, and pairs known before a worker starts afresh.
+FRESH_PAIRS, KNOWN_PAIRS = 1 << 15, 2_000_000
 
 
 def _fields(blob: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -142,8 +144,8 @@ class Transducer:
             sorting = np.argsort(np.array(keys, np.uint64))
             codes = np.frombuffer("".join(model.pieces[k] for k in ids).encode("utf-32-le"), np.uint32).reshape(-1, length)
             self.arcs[length] = (np.array(keys, np.uint64)[sorting], np.array(ids, np.int64)[sorting], codes[sorting])
-        self.known_pairs = np.empty(0, np.int64)
-        self.known_follow = np.empty(0, bool)
+        self.known = np.empty(0, np.int64), np.empty(0, bool)
+        self.fresh = np.empty(0, np.int64), np.empty(0, bool)
         self.runs_known: dict[int, np.ndarray] = {}
         spelled = []
         for k, (p, t) in enumerate(zip(model.pieces, model.kinds)):
@@ -204,18 +206,25 @@ class Transducer:
         if not len(hard):
             return out
         uniq, inverse = np.unique((a[hard] << 22) | b[hard], return_inverse=True)
-        if len(self.known_pairs) > 2_000_000:
-            self.known_pairs, self.known_follow = np.empty(0, np.int64), np.empty(0, bool)
-        place = np.searchsorted(self.known_pairs, uniq)
-        known = place < len(self.known_pairs)
-        known[known] = self.known_pairs[place[known]] == uniq[known]
-        new = uniq[~known]
-        if len(new):
-            follow = self.may_follow(new >> 22, new & ((1 << 22) - 1))
-            self.known_pairs = np.insert(self.known_pairs, place[~known], new)
-            self.known_follow = np.insert(self.known_follow, place[~known], follow)
-            place = np.searchsorted(self.known_pairs, uniq)
-        out[hard] = self.known_follow[place][inverse]
+        follow = np.empty(len(uniq), bool)
+        rest = np.arange(len(uniq))
+        for pairs, said in (self.known, self.fresh):
+            place = np.searchsorted(pairs, uniq[rest])
+            there = place < len(pairs)
+            there[there] = pairs[place[there]] == uniq[rest[there]]
+            follow[rest[there]] = said[place[there]]
+            rest, place = rest[~there], place[~there]
+        if len(rest):
+            new = uniq[rest]
+            follow[rest] = self.may_follow(new >> 22, new & ((1 << 22) - 1))
+            self.fresh = np.insert(self.fresh[0], place, new), np.insert(self.fresh[1], place, follow[rest])
+            if len(self.fresh[0]) > FRESH_PAIRS:  # a few at a time would copy all known ones each time
+                if len(self.known[0]) > KNOWN_PAIRS:
+                    self.known = np.empty(0, np.int64), np.empty(0, bool)
+                place = np.searchsorted(self.known[0], self.fresh[0])
+                self.known = tuple(np.insert(old, place, more) for old, more in zip(self.known, self.fresh))
+                self.fresh = np.empty(0, np.int64), np.empty(0, bool)
+        out[hard] = follow[inverse]
         return out
 
     def shortest_paths(self, stretches: list[str]) -> list[list[int]]:
@@ -309,13 +318,15 @@ class Transducer:
                     paths[k] = path
         out, alone = [], self.run_pieces[1]
         for n, path in zip(spaces, paths):
-            if n and (not path or path[0] == alone):
-                head, path = self.space_run(n), path[1:]
-            else:
-                head = self.space_run(n - 1) if n > 1 else np.empty(0, np.uint32)
-            if any(x >= FALLBACK for x in path):
+            head = None
+            if n and not path:
+                head = self.space_run(n)
+            elif n > 1:  # the one before the letters is a piece by itself, or part of theirs
+                head, path = (self.space_run(n), path[1:]) if path[0] == alone else (self.space_run(n - 1), path)
+            if path and max(path) >= FALLBACK:
                 path = [y for x in path for y in ([x] if x < FALLBACK else self.byte_id[list(chr(x - FALLBACK).encode("utf-8"))].tolist())]
-            out.append(np.concatenate([head, np.array(path, np.uint32)]))
+            ids = np.array(path, np.uint32)
+            out.append(ids if head is None else np.concatenate([head, ids]))
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -64,3 +64,32 @@ def test_labels_without_meaning_are_not_learnt(spark):
         y = labels[:, c] == 1
         auc = (place[y].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (~y).sum())
         assert abs(auc - 0.5) < 0.05
+
+
+def test_known_pairs_are_copied_seldom(monkeypatch):
+    """Pairs worked out go in among the known ones in bulk (all known ones were copied for every few before); ids stay the same."""
+    import public_tokenizers
+
+    model = sentencepiece_fst.Model.read(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(3)
+    letters = np.array(list("etaoinshrdlucmfwypvbgk"))
+    texts = [("  ".join("".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(60)) + "   ☃").encode() for _ in range(100)]
+    copied, insert = [], np.insert
+
+    def counted(old, place, more):
+        if old.dtype == np.int64 and len(old):
+            copied.append(len(old))
+        return insert(old, place, more)
+
+    monkeypatch.setattr(sentencepiece_fst.np, "insert", counted)
+    got = []
+    for fresh, known in ((8, 40), (1 << 15, 2_000_000), (512, 2_000_000)):
+        monkeypatch.setattr(sentencepiece_fst, "FRESH_PAIRS", fresh, raising=False)
+        monkeypatch.setattr(sentencepiece_fst, "KNOWN_PAIRS", known, raising=False)
+        machine = sentencepiece_fst.Transducer(model)
+        copied.clear()
+        encoder = sentencepiece_fst.Encoder(machine)
+        got.append([ids.tolist() for k in range(0, 100, 10) for ids in encoder.encode(texts[k : k + 10])])
+        assert [machine.decode(np.array(ids)) for ids in got[-1]] == texts
+    assert sum(copied) < 100 * max(copied)
+    assert got[0] == got[1] == got[2]
