@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table; one that comes as fewer pieces than there are cores (a small file) is spread over them."""
@@ -64,7 +66,7 @@ def options(cases_df: DataFrame) -> DataFrame:
             "source",
             (F.col("i") + 1).cast("long").alias("slot"),
             F.substring(F.lit("ABCD"), F.col("i") + 1, F.lit(1)).alias("option_id"),
-            F.trim("t").alias("option_text"),
+            trimmed("t").alias("option_text"),
             (F.col("i") == F.col("case_id") % 4).alias("is_correct"),
         )
         .where("option_text <> ''")
@@ -83,7 +85,7 @@ def cases_with_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.slice(F.split("question", "\\.", -1), 1, 4)
     made = F.transform(
         parts,
-        lambda t, i: F.struct(F.substring(F.lit("ABCD"), i + 1, F.lit(1)).alias("id"), F.trim(t).alias("text"), (i == F.col("case_id") % 4).alias("is_correct")),
+        lambda t, i: F.struct(F.substring(F.lit("ABCD"), i + 1, F.lit(1)).alias("id"), trimmed(t).alias("text"), (i == F.col("case_id") % 4).alias("is_correct")),
     )
     return frame.withColumn("options", F.filter(made, lambda o: o["text"] != ""))
 
