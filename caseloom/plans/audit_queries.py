@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
 from ..operators import checks
 from ..operators import full_audit as fa
 from ..operators import healing, rationale
@@ -34,7 +35,7 @@ def _pick(number: Column, table: dict[int, str | None], fallback: Column) -> Col
 def rich(s, d) -> DataFrame:
     c = views.cases(s, d)
     i = F.col("case_id")
-    sentence = lambda k: F.trim(F.get(F.split("question", "\\.", -1), F.lit(k)))
+    sentence = lambda k: trimmed(F.get(F.split("question", "\\.", -1), F.lit(k)))
     option = lambda id_, text, right, votes: F.struct(F.lit(id_).cast("string").alias("id"), text.cast("string").alias("text"), right.cast("boolean").alias("is_correct"), votes.cast("int").alias("votes"))
     plain = F.filter(F.array(*[option("ABCD"[k], sentence(k), i % 4 == k, (i * (k + 1)) % 3) for k in range(4)]), lambda o: o["text"].isNotNull() & (o["text"] != ""))
     fixed = lambda texts, right: F.array(*[option("ABCDEFG"[k], F.lit(t), F.lit(k == right), F.lit(0)) for k, t in enumerate(texts)])
