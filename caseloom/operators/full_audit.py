@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import sql_pattern, trimmed
 from .audit import issues
 
 # Signs in texts, as the published audits name them.
@@ -73,7 +74,8 @@ def _repeats(df: DataFrame, key: Column, name: str) -> DataFrame:
 
 def audit_structure(df: DataFrame, categories: list[str] = CATEGORIES) -> DataFrame:
     """QA01: layer A. Options, key, question text, images, hashes, category."""
-    full = F.trim(F.concat_ws(" ", _text("narrative"), _text("prompt")))
+    full = trimmed(F.concat_ws(" ", _text("narrative"), _text("prompt")))
+    end = lambda n: F.right(full, F.lit(n))  # noqa: E731  longer than what a pattern of the end can reach
     short = (F.length(full) > 0) & (F.length(full) < 200)
     mcq, has = F.col("q_type") == "MCQ", F.coalesce(F.size("images"), F.lit(0)) > 0
     rows = _repeats(df, F.nullif("hash_id", F.lit("")), "_hashes")
@@ -86,10 +88,10 @@ def audit_structure(df: DataFrame, categories: list[str] = CATEGORIES) -> DataFr
             ("multi_correct", "medium", mcq & (F.size(_right()) > 1)),
             ("empty_question", "critical", (F.length(_text("narrative")) < 10) & (F.length(_text("prompt")) < 10)),
             ("brackets", "medium", short & (_count(full, "(") != _count(full, ")"))),
-            ("trailing_stop_word", "medium", short & full.rlike(TRAILING)),
-            ("no_terminal", "low", short & (F.length(full) < 80) & ~full.rlike('[.?!:")]$')),
-            ("phantom_image", "medium", full.rlike(PHANTOM) & ~has),
-            ("empty_option", "medium", F.exists("options", lambda o: F.length(F.trim(F.coalesce(o["text"], F.lit("")))) < 1)),
+            ("trailing_stop_word", "medium", short & end(9).rlike(sql_pattern(TRAILING))),
+            ("no_terminal", "low", short & (F.length(full) < 80) & ~end(1).rlike(sql_pattern('[.?!:")]$'))),
+            ("phantom_image", "medium", full.rlike(sql_pattern(PHANTOM)) & ~has),
+            ("empty_option", "medium", F.exists("options", lambda o: F.length(trimmed(F.coalesce(o["text"], F.lit("")))) < 1)),
             ("duplicate_hash", "medium", F.col("_hashes") > 1),
             ("bad_category", "low", ~F.coalesce(F.col("category").isin(*categories), F.lit(False))),
         ],
