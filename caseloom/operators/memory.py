@@ -12,7 +12,12 @@ def _clamp(c: Column) -> Column:
     return F.greatest(F.lit(1.0), F.least(F.lit(10.0), c))
 
 
-def _step(state: Column, review: Column) -> Column:
+def start() -> Column:
+    """State of a card without reviews."""
+    return F.struct(F.lit(5.0).alias("d"), F.lit(0.0).alias("s"), F.lit(0).alias("lapses"), F.lit(0.0).alias("last"))
+
+
+def step(state: Column, review: Column) -> Column:
     """State after one review: a new card starts by its grade; a later one moves difficulty, stability and lapses."""
     w, g = MEMORY_W, review["grade"]
     first = F.element_at(F.array(*[F.lit(x) for x in w[:4]]), g)
@@ -39,8 +44,7 @@ def fold_reviews(log: DataFrame) -> DataFrame:
     good = log.where(F.col("grade").between(1, 4) & F.col("case_id").isNotNull())
     item = F.struct(F.col("ts").cast("timestamp").cast("double").alias("at"), "seq", F.col("grade").cast("int").alias("grade"))
     cards = good.groupBy("user_hash", "case_id").agg(F.array_sort(F.collect_list(item)).alias("r"))
-    start = F.struct(F.lit(5.0).alias("d"), F.lit(0.0).alias("s"), F.lit(0).alias("lapses"), F.lit(0.0).alias("last"))
-    folded = cards.withColumn("st", F.aggregate("r", start, _step))
+    folded = cards.withColumn("st", F.aggregate("r", start(), step))
     return folded.select("user_hash", "case_id", F.col("st.d").alias("difficulty"), F.col("st.s").alias("stability"), F.col("st.lapses").alias("lapses"), F.col("st.last").alias("last_review"), F.size("r").alias("reviews"))
 
 
