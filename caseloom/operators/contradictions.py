@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -19,13 +20,15 @@ def fingerprint_words(cases: DataFrame, most: int = 5) -> DataFrame:
 
 
 def contradiction_keys(cases: DataFrame, most: int = 5, choose: int = 4) -> DataFrame:
-    """DD15: every choice of four of a case's five longest words; tokens ride along, kept once in the checkpoint folder."""
+    """DD15: every choice of four of a case's five longest words; tokens ride along with the first, from a table in the checkpoint folder."""
     from ..sources.io import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(cases.sparkSession)
-    worded = fingerprint_words(cases, most).where(F.size("words") == most).checkpoint()
+    spark = cases.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/caseloom/worded-{uuid.uuid4().hex}"
+    fingerprint_words(cases, most).where(F.size("words") == most).write.parquet(path)  # packed, where checkpoint() is not
     picks = [F.array_join(F.array(*[F.col("words")[k] for k in c]), "_") for c in combinations(range(most), choose)]
-    return worded.select("case_id", "pos", "tokens", F.explode(F.array(*picks)).alias("key"))
+    rows = spark.read.parquet(path).select("case_id", "pos", "tokens", F.posexplode(F.array(*picks)).alias("nth", "key"))
+    return rows.select("case_id", "pos", F.when(F.col("nth") == 0, F.col("tokens")).alias("tokens"), "key")
 
 
 def contradiction_edges(keys: DataFrame, overlap: float = 0.6) -> DataFrame:
@@ -33,12 +36,13 @@ def contradiction_edges(keys: DataFrame, overlap: float = 0.6) -> DataFrame:
 
     The star keeps a bucket of n at n comparisons; its anchor comes from an
     aggregate, so a large bucket is no single task. Only ids travel with the
-    keys; tokens meet the distinct pairs afterwards, once a case.
+    keys; tokens meet the distinct pairs afterwards, once a case (rows without
+    tokens stand beside one that has them).
     """
     narrow = keys.select("key", "case_id", "pos")
     anchors = narrow.groupBy("key").agg(F.min_by("case_id", "pos").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = narrow.join(anchors, "key").where("case_id <> a").select("a", F.col("case_id").alias("b")).distinct()
-    tokens = keys.groupBy("case_id").agg(F.min_by("tokens", "pos").alias("tokens"))
+    tokens = keys.where("tokens is not null").groupBy("case_id").agg(F.min_by("tokens", "pos").alias("tokens"))
     one, two = (tokens.select(F.col("case_id").alias(k), F.col("tokens").alias(f"{k}t")) for k in "ab")
     shared = F.size(F.array_intersect("at", "bt")) / F.least(F.size("at"), F.size("bt"))
     return pairs.join(one, "a").join(two, "b").where(shared >= overlap).select("a", "b")
@@ -68,19 +72,27 @@ def connected(edges: DataFrame, folder: str | None = None) -> DataFrame:
 def similar_answers(answers: DataFrame) -> DataFrame:
     """a, b: ids of answers (id, component, words) of a component that a slip tells apart: one word of four letters or more, by one letter.
 
-    A deletion neighbourhood: each long word is left out a letter at a time, and
-    whole, so that words one edit apart have a form in common. The rest of the
-    answer, the word's place and a form are a key, under which few distinct
-    answers meet; only those are compared.
+    The rest of the answer and the word's place are a key; a word whose key no
+    other answer has is out. The others meet by a deletion neighbourhood: a word
+    is left out a letter at a time, and whole, so that words one edit apart have
+    a form in common. Only ids and hashes travel with keys and forms; the words
+    meet the distinct pairs afterwards and decide.
     """
-    word = answers.where(F.size("words") >= 2).select("id", "component", "words", F.posexplode("words").alias("at", "word")).where(F.length("word") >= 4)
+    long = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: F.length(F.get("words", k)) >= 4)
+    placed = answers.where(F.size("words") >= 2).select("id", "component", "words", F.explode(long).alias("at"))
     rest = F.xxhash64("component", F.size("words"), "at", F.array_join(F.transform("words", lambda w, i: F.when(i == F.col("at"), "").otherwise(w)), " "))
+    slots = placed.select("id", "at", rest.alias("rest"))
+    shared = slots.groupBy("rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rest")
+    met = slots.join(shared, "rest", "left_semi").join(answers.select("id", "words"), "id").select("id", "rest", F.get("words", F.col("at")).alias("word"))
     less = F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.concat(F.substr("word", F.lit(1), k - 1), F.substr("word", k + 1, F.length("word"))))
-    keyed = word.select("id", "component", "words", "at", "word", rest.alias("rest"), F.explode(F.array_distinct(F.concat(F.array("word"), less))).alias("form"))
-    one, two = keyed.alias("x"), keyed.select("id", "component", "words", "at", "word", "rest", "form").alias("y")
-    met = one.join(two, ["rest", "form", "component", "at"]).where("x.id < y.id and size(x.words) = size(y.words) and levenshtein(x.word, y.word, 1) = 1")
-    others = F.zip_with("x.words", "y.words", lambda v, w: v != w)
-    return met.where(F.size(F.filter(others, lambda d: d)) == 1).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    keyed = met.select("id", F.explode(F.array_distinct(F.transform(F.concat(F.array("word"), less), lambda f: F.xxhash64("rest", f)))).alias("key"))
+    pairs = keyed.alias("x").join(keyed.alias("y"), "key").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    one, two = (answers.select(F.col("id").alias(k), F.col("component").alias(f"{k}c"), F.col("words").alias(f"{k}w")) for k in "ab")
+    both = pairs.join(one, "a").join(two, "b").where((F.col("ac") == F.col("bc")) & (F.size("aw") == F.size("bw")))
+    other = F.filter(F.arrays_zip("aw", "bw"), lambda p: p["aw"] != p["bw"])
+    p = F.get(other, F.lit(0))
+    near = (F.length(p["aw"]) >= 4) & (F.length(p["bw"]) >= 4) & (F.levenshtein(p["aw"], p["bw"], 1) == 1)
+    return both.where((F.size(other) == 1) & near).select("a", "b")
 
 
 def answer_clusters(members: DataFrame) -> DataFrame:
